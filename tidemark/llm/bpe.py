@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import groups_of, map_batches
 
 # The split pattern of byte-level BPE vocabularies, and the
 # classes of its unbounded runs.
@@ -366,19 +366,6 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return map_batches(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, text string")
 
 
-def groups_of(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts of a column, null as empty, in lists of about ``size`` characters."""
-    held, n = [], 0
-    for value in column:
-        held.append(value.as_py() or "")
-        n += len(held[-1])
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def named_blocks(groups: Iterable[tuple[int, ...]], size: int = 4096) -> Iterator[list[tuple[tuple[int, ...], bytes]]]:
     """Groups of ids with their decimal names, in lists of bounded length."""
     while block := list(islice(groups, size)):

@@ -70,6 +70,19 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def groups_of(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of a column, null as empty, in lists of about ``size`` characters."""
+    held, n = [], 0
+    for value in column:
+        held.append(value.as_py() or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -3,21 +3,55 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, langid, repetition, toxicity
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def id_fold(folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text and the verdict of the repetition limits."""
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from the four folds that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, id_fold(5) != 0)
+    held_out = (id_fold(5) == 0).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and the text they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the two folds that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_fold(3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (id_fold(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
