@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, repetition, toxicity
+from tidemark.llm import bpe, langid, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,21 @@ def id_fold(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
 
 
+# The rules of the url query.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page, with decisions shared among aliases."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every text and the verdict of the repetition limits."""
     return repetition.judge(table(spark, sf_dir, "documents"))
@@ -30,6 +45,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, with near equal bytes in 40 shards."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and the text they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -48,10 +76,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_url_filter": op4_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_sharding": op8_sharding,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": urlfilter.oracle(URL_RULES),
+}
