@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, decontam, langid, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def id_fold(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that leaks into it."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The rules of the url query.
 URL_RULES = (
     ("allow", "com/"),
@@ -76,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_url_filter": op4_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
