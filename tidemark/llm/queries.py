@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, decontam, langid, linededup, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated line runs."""
+    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 # The rules of the url query.
 URL_RULES = (
     ("allow", "com/"),
@@ -82,6 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
@@ -91,5 +97,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.oracle(),
     "op4_url_filter": urlfilter.oracle(URL_RULES),
 }
