@@ -25,6 +25,15 @@ def num(x: float) -> str:
     return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
 
 
+#: Added before rounding, so that exact halves don't depend on a sum's last bit.
+NUDGE = 3.1e-8
+
+
+def rounding(sql: str, digits: int) -> str:
+    """The value rounded, without negative zeros."""
+    return f"round({sql} + {NUDGE!r}, {digits}) + 0e0"
+
+
 class Series:
     """Stages over ``by``, ordered by ``order``."""
 
@@ -124,13 +133,13 @@ class Series:
     def spark(self, df: DataFrame, keep: Iterable[str], out: dict[str, str], digits: int | None = 4) -> DataFrame:
         for stage in self.stages:
             df = df.withColumns({n: F.expr(sql) for n, sql in stage.items()})
-        shown = {n: sql if digits is None else f"round({sql}, {digits}) + 0e0" for n, sql in out.items()}
+        shown = {n: sql if digits is None else rounding(sql, digits) for n, sql in out.items()}
         return df.select(*keep, *(F.expr(sql).alias(n.replace(".", "_")) for n, sql in shown.items()))
 
     def text(self, base: str, keep: Iterable[str], out: dict[str, str], digits: int | None = 4) -> str:
         parts = [f"s0 AS ({base})"]
         for k, stage in enumerate(self.stages):
             parts.append(f"s{k + 1} AS (SELECT *, {', '.join(f'{sql} AS {n}' for n, sql in stage.items())} FROM s{k})")
-        shown = {n: sql if digits is None else f"round({sql}, {digits}) + 0e0" for n, sql in out.items()}
+        shown = {n: sql if digits is None else rounding(sql, digits) for n, sql in out.items()}
         columns = [*keep, *(f"{sql} AS {n.replace('.', '_')}" for n, sql in shown.items())]
         return f"WITH {', '.join(parts)} SELECT {', '.join(columns)} FROM s{len(self.stages)}"

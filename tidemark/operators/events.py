@@ -136,7 +136,7 @@ def decayed(day_rows: DataFrame, columns: Sequence[str], halflives: Sequence[flo
             out[f"{c}_hl{str(h).replace('.', 'p')}"] = R.ewma_recursive(s, c, h)
         for n in means:
             out[f"{c}_ma{n}"] = R.mean(s, c, n, 2)
-    return s.spark(day_rows, ["release_date"], out, 6)
+    return s.spark(day_rows, ["release_date"], out, None)
 
 
 def pre_event_days(days: DataFrame, events: DataFrame, weekdays: Sequence[int], day: str = "date") -> DataFrame:

