@@ -144,5 +144,5 @@ def eligible(rows: DataFrame, min_skill: float, max_mae: float, drift: bool) ->
 
 def aligned(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns first, null where missing, then the others."""
-    named = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns]
+    named = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
     return rows.select(*named, *(c for c in rows.columns if c not in columns))
