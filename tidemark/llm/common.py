@@ -83,6 +83,11 @@ def groups_of(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
+def lowest_ids(docs: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The ``n`` ids with the smallest hash: a bounded sample that does not depend on the order of rows."""
+    return docs.select(F.col(id_col), F.xxhash64(id_col).alias("_h")).distinct().orderBy("_h", id_col).limit(n)
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import lowest_ids, map_batches
 
 PREFIXES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -70,43 +70,62 @@ def word_buckets(token: str) -> tuple[int, ...]:
     return tuple({crc32(p.encode()) % BUCKETS for p in parts})
 
 
-def rates(text: str, full_rate: float, buckets=word_buckets) -> dict[int, float]:
+def rates(text: str, full_rate: float) -> dict[int, float]:
     """Bucket -> saturated rate in the text."""
     tokens = Counter(text.lower().split())
     n = max(sum(tokens.values()), 1)
     counts: Counter[int] = Counter()
     for token, k in tokens.items():
-        for b in buckets(token):
+        for b in word_buckets(token):
             counts[b] += k
     return {b: min(1.0, k / (full_rate * n)) for b, k in counts.items()}
 
 
-def sample(docs: DataFrame, n: int, id_col: str, text_col: str) -> list[str]:
-    """The ``n`` texts with the smallest hash of their id; each task keeps at most ``n``."""
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.xxhash64(id_col).alias("h"))
-    return [r.t for r in rows.orderBy("h", "t").limit(n).collect()]
+@dataclass
+class Rates:
+    """Rates of a sample of texts: entry j is text ``row[j]``, bucket ``bucket[j]``, rate ``value[j]``."""
+
+    n: int
+    row: np.ndarray
+    bucket: np.ndarray
+    value: np.ndarray
 
 
-def dense(rows: list[dict[int, float]], chosen: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(rows), len(chosen)))
-    for x, row in zip(out, rows):
-        for b, v in row.items():
-            if b in chosen:
-                x[chosen[b]] = v
+def sample_rates(docs: DataFrame, known: DataFrame, n: int, full_rate: float, id_col: str, text_col: str) -> Rates:
+    """Rates of at most ``n`` whole texts, picked among the ids of ``known``; no other text is moved."""
+    ids = lowest_ids(known, id_col, n)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [rates(t or "", full_rate) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([list(r) for r in found], pa.list_(pa.int32())),
+             pa.array([list(r.values()) for r in found], pa.list_(pa.float32()))],
+            ["h", "buckets", "rates"],
+        )
+
+    picked = docs.join(F.broadcast(ids), id_col).select(F.col("_h").alias("h"), F.col(text_col).cast("string"))
+    got = map_batches(picked, run, "h bigint, buckets array<int>, rates array<float>").toArrow().sort_by("h")
+    lists = got.column("buckets").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    values = got.column("rates").combine_chunks().flatten().to_numpy()
+    return Rates(len(lists), row, lists.flatten().to_numpy(), values.astype(float))
+
+
+def dense(rates: Rates, chosen: dict[int, int]) -> np.ndarray:
+    column = np.full(BUCKETS, -1)
+    column[list(chosen)] = list(chosen.values())
+    at = column[rates.bucket]
+    out = np.zeros((rates.n, len(chosen)))
+    out[rates.row[at >= 0], at[at >= 0]] = rates.value[at >= 0]
     return out
 
 
-def screen(pos: list[dict[int, float]], unl: list[dict[int, float]], k: int) -> dict[int, int]:
+def screen(pos: Rates, unl: Rates, k: int) -> dict[int, int]:
     """The buckets whose mean rate differs most between both samples, in units of its error."""
 
-    def moments(rows: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        s, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for row in rows:
-            b, v = np.fromiter(row, np.int64, len(row)), np.fromiter(row.values(), float, len(row))
-            s[b] += v
-            q[b] += v * v
-        mean = s / len(rows)
-        return mean, (q / len(rows) - mean**2) / len(rows)
+    def moments(r: Rates) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.bincount(r.bucket, r.value, BUCKETS) / r.n
+        return mean, (np.bincount(r.bucket, r.value**2, BUCKETS) / r.n - mean**2) / r.n
 
     (mp, vp), (mu, vu) = moments(pos), moments(unl)
     gap = np.abs(mp - mu) / np.sqrt(vp + vu + 1e-6)
@@ -154,10 +173,9 @@ def fit(
     if not counts.k:
         return None
     texts = docs.select(id_col, text_col)
-    confirmed = texts.join(known.where("_y = 1").select(id_col), id_col, "left_semi")
-    pos = [rates(t, params.full_rate) for t in sample(confirmed, params.positives, id_col, text_col)]
-    unl = [rates(t, params.full_rate) for t in sample(texts, params.unlabelled, id_col, text_col)]
-    if not pos or not unl:
+    pos = sample_rates(texts, known.where("_y = 1"), params.positives, params.full_rate, id_col, text_col)
+    unl = sample_rates(texts, texts, params.unlabelled, params.full_rate, id_col, text_col)
+    if not pos.n or not unl.n:
         return None
     chosen = screen(pos, unl, params.features)
     prior = min(max(counts.k / counts.n, 1e-3), 0.9)
