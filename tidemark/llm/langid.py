@@ -80,16 +80,17 @@ def presence_rows(texts: list[str], lookup: np.ndarray, columns: int, max_n: int
 
 
 def training_texts(docs: DataFrame, allowed: Column | None, per_lang: int, id_col: str, text_col: str, lang_col: str):
-    """(lang, text) of the bounded sample; Spark keeps ``per_lang`` rows of a language in each task."""
+    """(lang, k, text) of the bounded sample: ids are picked first, then only their texts are read."""
     docs = docs if allowed is None else docs.where(allowed)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(id_col).alias("id"),
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"),
-        F.xxhash64(F.col(id_col)).alias("h"),
     )
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    picked = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
-    return sorted((r.lang, r.k, r.text) for r in picked.select("lang", "k", "text").collect())
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = rows.select("id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
+    known = F.broadcast(picked.groupBy("id", "lang").agg(F.min("k").alias("k")))
+    return sorted((r.lang, r.k, r.text) for r in rows.join(known, ["id", "lang"]).select("lang", "k", "text").collect())
 
 
 def fit(
@@ -156,8 +157,9 @@ def predict(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
+    with_text: bool = False,
 ) -> DataFrame:
-    """``id_col``, the columns ``keep``, ``lang_pred`` and ``score`` of every row."""
+    """``id_col``, the text if asked for, the columns ``keep``, ``lang_pred`` and ``score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Params and BUCKET_BITS
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -168,12 +170,11 @@ def predict(
         if known:
             for i, lang, score in zip(known, *score_texts([texts[i] for i in known], m)):
                 langs[i], scores[i] = lang, score
-        kept = [batch.column(c + 2) for c in range(len(keep))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *kept, pa.array(langs), pa.array(scores, pa.float64())],
-            [id_col, *keep, "lang_pred", "score"],
-        )
-
-    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    return map_batches(src, run, f"{fields}, lang_pred string, score double")
+        kept = [batch.column(c) for c in range(0 if with_text else 2, batch.num_columns)]
+        kept = kept if with_text else [batch.column(0), *kept]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores, pa.float64())], names)
+
+    src = docs.select(F.col(id_col), F.col(text_col).cast("string"), *keep)
+    names = [id_col, *([text_col] if with_text else []), *keep, "lang_pred", "score"]
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema} | {"lang_pred": "string", "score": "double"}
+    return map_batches(src, run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
