@@ -173,3 +173,33 @@ def transfer_entropy(rows: DataFrame, by: Sequence[str], order: str, x: str, y:
     parts = full.withColumns({"n": over(), "ws": over("was", "src"), "nw": over("now", "was"), "ww": over("was")})
     term = F.col("k") / F.col("n") * F.log2(F.col("k") * F.col("ww") / (F.col("ws") * F.col("nw")))
     return parts.groupBy(*by).agg(F.sum(term).alias("te"))
+
+
+# readings of a banded forecast
+
+
+def mass_between(probs: str, edges: Sequence[float], low: float, high: float) -> Column:
+    """Probability of the bands that lie inside [low, high]."""
+    total = F.lit(0.0)
+    for k in range(len(edges) - 1):
+        if edges[k] >= low - 1e-12 and edges[k + 1] <= high + 1e-12:
+            total = total + F.element_at(F.col(probs), k + 1)
+    return total
+
+
+def trade_fields(probs: str, edges: Sequence[float]) -> dict[str, Column]:
+    """Expected move (band middles) and probabilities of a rise and a fall; a band across 0 is split at 0."""
+    move, up = F.lit(0.0), F.lit(0.0)
+    for k in range(len(edges) - 1):
+        low, high, p = edges[k], edges[k + 1], F.element_at(F.col(probs), k + 1)
+        move = move + p * ((low + high) / 2)
+        up = up + p * min(max(high / (high - low), 0.0), 1.0)
+    return {"expected_move": move, "p_up": up, "p_down": array_sum(F.col(probs)) - up}
+
+
+def conditional_entropy(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Entropy (nats) of y given x, both categorical."""
+    w = Window.partitionBy(*by)
+    cells = rows.groupBy(*by, x, y).agg(F.count("*").alias("k"))
+    parts = cells.withColumns({"n": F.sum("k").over(w), "kx": F.sum("k").over(Window.partitionBy(*by, x))})
+    return parts.groupBy(*by).agg((-F.sum(F.col("k") / F.col("n") * F.log(F.col("k") / F.col("kx")))).alias("conditional_entropy"))

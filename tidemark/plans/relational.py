@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import NUDGE, Series, rounding
-from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, options, scoring, search, selection, signals, splits
+from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, models, options, robustness, scoring, search, selection, signals, splits, subspaces
 from tidemark.operators import rolling as R
 from tidemark.plans.domain import RELEASES, TRADES, forward_returns, forward_sql, releases, trades
 from tidemark.plans.panel import BARS, bars, read
@@ -846,3 +846,113 @@ def stepwise_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = objectives(spark, sf_dir).groupBy("setup_id").agg(F.avg("a").alias("score")).orderBy(F.desc("score"), "setup_id").limit(10)
     ranked = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "setup_id")))
     return selection.stepwise(ranked, d, "setup_id", "place", "trigger_date", "r")
+
+
+# forecasts read as trades, stability, feature scores, event studies
+
+
+@query(f"""WITH p AS (SELECT ticker, f.band, low, high, p FROM {FIT} f JOIN {EDGE_SQL} e ON e.band = f.band WHERE odd = 1)
+  SELECT ticker, {r('sum(p * (low + high) / 2)')} AS expected_move, {r('sum(p * least(greatest(high / (high - low), 0), 1))')} AS p_up,
+    {r('sum(p) - sum(p * least(greatest(high / (high - low), 0), 1))')} AS p_down, {r('sum(p) FILTER (low >= 0.05)')} AS p_beyond FROM p GROUP BY ticker""")
+def forecast_trade_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected move and direction of each ticker's forecast."""
+    f = forward_returns(spark, sf_dir).where(F.col("fwd").isNotNull())
+    fit = scoring.histogram(f.where("pos % 2 = 1"), ["ticker"], "fwd", EDGES).select("ticker", scoring.smoothed(F.col("probs")).alias("probs"))
+    fields = scoring.trade_fields("probs", EDGES) | {"p_beyond": scoring.mass_between("probs", EDGES, 0.05, 2.0)}
+    return rounded(fit.select("ticker", *(c.alias(n) for n, c in fields.items())))
+
+
+@query(f"""WITH c AS (SELECT ticker, horizon, pnl_pct > 0 AS win, count(*) AS k FROM ({TRADES}) GROUP BY 1, 2, 3),
+  p AS (SELECT ticker, k * 1e0 / sum(k) OVER (PARTITION BY ticker) AS p, k * 1e0 / sum(k) OVER (PARTITION BY ticker, horizon) AS q FROM c)
+  SELECT ticker, {r('-sum(p * ln(q))')} AS conditional_entropy FROM p GROUP BY ticker""")
+def outcome_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of winning given the horizon."""
+    t = trades(spark, sf_dir).withColumn("win", F.col("pnl_pct") > 0)
+    return rounded(scoring.conditional_entropy(t, ["ticker"], "horizon", "win"))
+
+
+@query(f"""WITH l AS (SELECT ticker, (sum(pnl_pct) OVER (PARTITION BY ticker) - pnl_pct) / (count(*) OVER (PARTITION BY ticker) - 1) AS l FROM ({TRADES}))
+  SELECT ticker, {r('avg(l)')} AS jack_mean, {r('stddev_samp(l)')} AS jack_std, count(*) AS n FROM l GROUP BY ticker""")
+def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(robustness.jackknife_mean(trades(spark, sf_dir), ["ticker"], "pnl_pct"))
+
+
+FOLD_MEANS = f"SELECT setup_id, fold, {r('avg(pnl_pct)')} AS m FROM ({TRADES}) GROUP BY 1, 2"
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, setup_id) * 1e0 AS r FROM ({FOLD_MEANS})),
+  p AS (SELECT a.fold AS fold_a, b.fold AS fold_b, a.r AS ra, b.r AS rb FROM r a JOIN r b ON b.setup_id = a.setup_id AND a.fold < b.fold),
+  f AS (SELECT *, lead(rb) OVER (PARTITION BY fold_a, fold_b ORDER BY ra) AS nb FROM p)
+  SELECT fold_a, fold_b, {r('corr(ra, rb)')} AS spearman, {r('avg(CASE WHEN nb < rb THEN 1e0 WHEN nb IS NOT NULL THEN 0e0 END)')} AS flip_rate, count(*) AS n FROM f GROUP BY 1, 2""")
+def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the setups' order between years."""
+    m = rounded(trades(spark, sf_dir).groupBy("setup_id", "fold").agg(F.avg("pnl_pct").alias("m")))
+    return rounded(robustness.rank_stability(m, "setup_id", "fold", "m"))
+
+
+@query(f"""WITH f AS (SELECT ticker, date, ret, ntile(5) OVER (PARTITION BY ticker ORDER BY date) AS fold FROM ({RET}) WHERE ret IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold ORDER BY date) AS k FROM f), m AS (SELECT ticker, fold, avg(ret) AS m FROM k WHERE fold = 1 OR k > 3 GROUP BY 1, 2)
+  SELECT ticker, {r('avg(m)', 4)} AS fold_mean, {r('stddev_samp(m)', 4)} AS fold_std, {r('CASE WHEN abs(avg(m)) > 1e-12 THEN stddev_samp(m) / abs(avg(m)) END', 4)} AS fold_cv FROM m GROUP BY ticker""")
+def fold_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = returns(spark, sf_dir).where("ret is not null")
+    return rounded(robustness.fold_variation(x, ["ticker"], "date", F.avg("ret"), 5, 3), 4)
+
+
+@query(f"""WITH f AS ({_feat_sql()}), t AS (SELECT feature, f.ticker, f.date, CASE WHEN fwd IS NOT NULL THEN z END AS x, CASE WHEN z IS NOT NULL THEN fwd END AS y FROM f JOIN ({forward_sql()}) w ON w.ticker = f.ticker AND w.date = f.date),
+  c AS (SELECT feature, count(x) OVER w AS n, stddev_samp(x) OVER w * stddev_samp(y) OVER w AS s, covar_samp(x, y) OVER w AS c FROM t WINDOW w AS (PARTITION BY feature, ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+  SELECT feature, {r('avg(CASE WHEN n >= 126 AND s > 1e-15 THEN abs(c / s) END)', 5)} AS score FROM c GROUP BY feature""")
+def feature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How closely features follow the next five bars' return."""
+    f = feature_rows(spark, sf_dir).select("feature", "ticker", "date", F.col("z").alias("value"))
+    t = forward_returns(spark, sf_dir).select("ticker", "date", F.col("fwd").alias("target"))
+    return rounded(subspaces.score_features(f.join(t, ["ticker", "date"])), 5)
+
+
+@query(f"""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 211 = 0),
+  b AS (SELECT ticker, date, px_open, px_last, lead(px_last, 5) OVER (PARTITION BY ticker ORDER BY date) AS later FROM ({BARS})),
+  s AS (SELECT ticker, day, min(date) AS date FROM e JOIN b ON b.date BETWEEN e.day AND e.day + 7 GROUP BY 1, 2)
+  SELECT s.ticker, count(*) AS n, {r('avg(px_last / px_open - 1)', 4)} AS same_day, {r('avg(later / px_open - 1)', 4)} AS five_days, {r('avg(CASE WHEN px_last > px_open THEN 1e0 ELSE 0e0 END)')} AS win_rate
+  FROM s JOIN b ON b.ticker = s.ticker AND b.date = s.date GROUP BY s.ticker""")
+def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open to close returns of the first bar within a week of each event."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    b = bars(spark, sf_dir).select("ticker", "date", "px_open", "px_last", F.lead("px_last", 5).over(w).alias("later"))
+    e = read(spark, sf_dir, "orders").where("o_orderkey % 211 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
+    near = e.select("day", F.explode(F.sequence("day", F.date_add("day", 7))).alias("date"))
+    hit = near.join(b, "date").groupBy("ticker", "day").agg(F.min_by(F.struct("px_open", "px_last", "later"), "date").alias("x"))
+    o, c = F.col("x.px_open"), F.col("x.px_last")
+    out = hit.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.avg(c / o - 1).alias("same_day"), F.avg(F.col("x.later") / o - 1).alias("five_days"),
+        F.avg((c > o).cast("double")).alias("win_rate"),
+    )
+    return rounded(out, 4, win_rate=6)
+
+
+@query()
+def calibrated_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier scores of raw, isotonic and logistic probabilities on the labels."""
+    x = probs(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    iso, log = models.isotonic(x, x, "y", "p"), models.platt(x, x, "y", "p")
+    score = lambda df, c, name: df.agg(F.lit(name).alias("method"), F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))).alias("brier"))
+    return rounded(score(x, "p", "raw").unionByName(score(iso, "calibrated", "isotonic")).unionByName(score(log, "calibrated", "logistic")), 5)
+
+
+@query()
+def mixture_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and mean volume of the benchmark's volatility regimes."""
+    s = Series()
+    out = {"vol": R.std(s, R.ret(s), 20, 10), "trend": s.roll("sum", R.ret(s), 20, 10)}
+    one = s.spark(bars(spark, sf_dir).where("ticker = 'NO'"), ["date", "volume"], out, None)
+    found = models.mixture_regimes(one, ["vol", "trend"], 3, "date")
+    if found is None:
+        return spark.createDataFrame([], "regime string, days bigint, mean_volume double")
+    return rounded(found.where("regime is not null").groupBy("regime").agg(F.count("*").alias("days"), F.avg("volume").alias("mean_volume")), 3)
+
+
+@query()
+def sample_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well early and late trades can be told apart."""
+    t = trades(spark, sf_dir).select("fold", F.col("pnl_pct"), F.col("capital").cast("double"), F.col("horizon").cast("double"))
+    auc, weights = models.adversarial_auc(t.where("fold <= 1996"), t.where("fold > 1996"), ["pnl_pct", "capital", "horizon"], 10, 3, 2)
+    rows = [(k, float(v), float(auc)) for k, v in weights.items()]
+    return spark.createDataFrame(rows, "feature string, importance double, auc double")
