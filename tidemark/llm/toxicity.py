@@ -10,7 +10,7 @@ negative, its gradient is reversed, as it only measures over-fitting.
 
 Features are rates: for a word and its prefixes of 4 to 6 letters, the share of
 the text's words that have it, relative to ``full_rate`` and at most 1.  Those
-whose mean differs most between P and U, against their spread, are kept.
+whose mean in P most exceeds that in U, against their spread, are kept.
 
 P and U are bounded samples (``Params``), taken by the smallest hash of the id;
 the prior comes from the labelled rows.  Every whole text is scored.  Null and
@@ -46,6 +46,7 @@ class Params:
     positives: int = 1500
     unlabelled: int = 4500
     features: int = 512
+    least_gap: float = 4.0
     full_rate: float = 0.01
     epochs: int = 400
     rate: float = 0.05
@@ -120,17 +121,15 @@ def dense(rates: Rates, chosen: dict[int, int]) -> np.ndarray:
     return out
 
 
-def screen(pos: Rates, unl: Rates, k: int) -> dict[int, int]:
-    """The buckets whose mean rate differs most between both samples, in units of its error."""
-
-    def moments(r: Rates) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.bincount(r.bucket, r.value, BUCKETS) / r.n
-        return mean, (np.bincount(r.bucket, r.value**2, BUCKETS) / r.n - mean**2) / r.n
-
-    (mp, vp), (mu, vu) = moments(pos), moments(unl)
-    gap = np.abs(mp - mu) / np.sqrt(vp + vu + 1e-6)
+def screen(pos: Rates, unl: Rates, k: int, least: float) -> dict[int, int]:
+    """The k buckets whose mean rate in P most exceeds that in U, by ``least`` pooled errors or more."""
+    sums = [np.bincount(r.bucket, r.value, BUCKETS) for r in (pos, unl)]
+    squares = sum(np.bincount(r.bucket, r.value**2, BUCKETS) for r in (pos, unl))
+    n = pos.n + unl.n
+    spread = np.maximum(squares / n - (sum(sums) / n) ** 2, 1e-9)
+    gap = (sums[0] / pos.n - sums[1] / unl.n) / np.sqrt(spread * (1 / pos.n + 1 / unl.n))
     best = np.argsort(-gap, kind="stable")[:k]
-    return {int(b): i for i, b in enumerate(best[gap[best] > 0])}
+    return {int(b): i for i, b in enumerate(best[gap[best] >= least])}
 
 
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, p: Params) -> tuple[np.ndarray, float]:
@@ -177,7 +176,7 @@ def fit(
     unl = sample_rates(texts, texts, params.unlabelled, params.full_rate, id_col, text_col)
     if not pos.n or not unl.n:
         return None
-    chosen = screen(pos, unl, params.features)
+    chosen = screen(pos, unl, params.features, params.least_gap)
     prior = min(max(counts.k / counts.n, 1e-3), 0.9)
     weights, bias = fit_nnpu(dense(pos, chosen), dense(unl, chosen), prior, params)
     return Model(chosen, weights, bias, params)
