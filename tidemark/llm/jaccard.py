@@ -18,11 +18,14 @@ and any order gives the same result.
 
 Lists are scanned in two rounds, and pairs are verified on whole texts:
 
-1. Each set against the pivot (smallest set) it shares most lists with.  This
-   joins a group of n copies by n - 1 links.
+1. Each set against the pivot it shares most lists with: the set in which the
+   list's shingle comes earliest, so one with few shingles of its own.  This joins
+   a group of n copies by n - 1 links.
 2. Then only pairs of different components matter.  In each list, sets outside the
-   list's main component meet all others; pairs with enough lists in common, and
-   whose positions leave room for the overlap, are verified too.
+   list's main component meet all others.  Of the shingles before a shared one,
+   those that no other set has in its lists can't be shared; so each row knows how
+   much overlap its set can still reach, and rows meet only if both reach enough.
+   Pairs with enough lists in common, and room for the overlap, are verified too.
 
 So no link between two components is lost, and a group's pairs aren't enumerated.
 Hot lists are cut into salted parts whose pivots meet in a list of their own.
@@ -40,7 +43,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_saved, groups_of, map_batches, saved, shuffle_width
@@ -50,6 +53,7 @@ SKETCH_BITS = 18
 BITMAP_BITS = 23
 SALT_ROWS = 1 << 20
 LARGEST_LIGHT = 24
+PART = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -231,7 +235,7 @@ def list_rows(docs: DataFrame, counts: np.ndarray, light: int, p: Params, text_c
 
 
 def with_pivots(rows: DataFrame) -> DataFrame:
-    """Rows of lists with two sets or more, each with its list's smallest set; repeated rows go.
+    """Rows of lists with two sets or more, each with the set that has the list's key earliest; repeated rows go.
 
     Partitions are sorted, so a list streams by and only its pivot is held.  Of salted lists
     (salt >= 0) single rows stay, for their pivots meet later.
@@ -267,10 +271,22 @@ def with_pivots(rows: DataFrame) -> DataFrame:
             gone = bool(out[last]) or (held is not None and first[last] == 0 and bool(held[2])) or bool(several[first[last]])
             held = (key[-1:], salt[-1:], sid[-1:], n[-1:], pos[-1:]), (pivot[last], pivot_n[last], pivot_pos[last]), gone
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "sid")
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "pos", "sid")
     return dealt.mapInArrow(run, "key bigint, salt int, sid bigint, n int, pos int, pivot bigint, pivot_n int, pivot_pos int")
 
 
+def with_reach(lists: DataFrame, p: Params) -> DataFrame:
+    """Adds ``rank``, how many of a set's earlier shingles other sets have in their lists.
+
+    The others can't be shared; rows whose set can't reach enough overlap with any partner go.
+    """
+    before = Window.partitionBy("sid").orderBy("pos", "key").rowsBetween(Window.unboundedPreceding, -1)
+    shared = F.coalesce(F.sum(F.when(F.col("pos") >= 0, 1).otherwise(0)).over(before), F.lit(0))
+    alone = F.when(F.col("pos") >= 0, F.col("pos") - shared).otherwise(0)
+    rows = lists.withColumns({"rank": shared.cast("int"), "reach": F.col("n") - alone})
+    return rows.where(f"100 * reach >= {p.percent} * n or salt >= 0").drop("reach")
+
+
 def overlap_needed(n: str, m: str, p: Params) -> Column:
     return F.ceil(p.percent * (F.col(n) + F.col(m)) / F.lit(100.0 + p.percent) - 1e-9)
 
@@ -297,6 +313,68 @@ def paired(rows: DataFrame, p: Params) -> DataFrame:
     return found.where(promising(p)).select("x", "y", "k")
 
 
+def scanned(split: DataFrame, p: Params) -> DataFrame:
+    """(x, y) of different components that may link: the set of the smaller component scans its lists.
+
+    ``split``: key, sid, n, pos, rank, c and its size, main (size and id of the list's largest component).
+    A list comes in parts by the hash of its sets, each of about ``PART`` sets; a task counts one set's
+    meetings with one part of the sets at a time, so no list and no pairs of it are laid out as rows.
+    """
+    longest = split.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-longest // PART))
+    member = F.struct(F.col("sid").alias("s"), "c", "size", "n", "pos", "rank")
+    listed = split.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("int")).groupBy("key", "part").agg(
+        F.collect_list(member).alias("sets")
+    )
+    asked = split.where(F.struct("size", "c") < F.col("main"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = asked.join(listed, ["key", "part"]).select("sid", "part", "n", "c", "size", "pos", "rank", "sets")
+    dealt = met.repartition(shuffle_width(split.sparkSession), "sid", "part").sortWithinPartitions("sid", "part")
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sid, _, n, c, size = rows[0][:5]
+        other, oc, osize, m, j, r, i, q = (np.concatenate(x) for x in zip(*map(_spread, rows)))
+        ok = (osize > size) | ((osize == size) & (oc > c))
+        ok &= 100 * np.minimum(m, n) >= p.percent * np.maximum(m, n)
+        order = np.flatnonzero(ok)
+        order = order[np.argsort(other[order], kind="stable")]
+        if not len(order):
+            return
+        other, m, j, r, i, q = (x[order] for x in (other, m, j, r, i, q))
+        at = np.flatnonzero(np.r_[True, other[1:] != other[:-1]])
+        k = np.diff(np.r_[at, len(other)])
+        need = -(-p.percent * (n + m[at]) // (100 + p.percent))
+        early = np.minimum.reduceat(np.minimum(q, r) + 1 + np.minimum(n - i - 1, m - j - 1), at)
+        late = k + np.minimum(n - np.maximum.reduceat(i, at) - 1, m[at] - np.maximum.reduceat(j, at) - 1)
+        link = (np.minimum.reduceat(j, at) < 0) | ((k >= p.common) & (early >= need) & (late >= need))
+        for x in other[at][link].tolist():
+            yield (x, sid) if x < sid else (sid, x)
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        x, y = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+                if held and held[0][:2] != row[:2]:
+                    out += pairs(held)
+                    held = []
+                held.append((*row, batch.column(7)[k].values))
+            yield table(out)
+        yield table(list(pairs(held)) if held else [])
+
+    return dealt.mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def _spread(row: tuple) -> tuple[np.ndarray, ...]:
+    """A list part's columns (set, component, its size, n, position, rank), and the asking set's position and rank."""
+    columns = [row[7].field(k).to_numpy().astype(np.int64) for k in range(6)]
+    return *columns, np.full(len(columns[0]), row[5]), np.full(len(columns[0]), row[6])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """The pairs (x, y) that link, by their whole texts; ``texts``: (sid, text)."""
     y = pairs.select("x", "y").join(texts.select(F.col("sid").alias("y"), F.col("text").alias("yt")), "y")
@@ -344,11 +422,11 @@ def components(
     sets = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"))
 
     light = light_boundary(counts, p)
-    lists = saved(with_pivots(list_rows(docs, counts, light, p, text_col)), "lists")
+    lists = saved(with_reach(with_pivots(list_rows(docs, counts, light, p, text_col)), p), "lists")
     pivots = lists.where("salt >= 0").select(
         "key", F.lit(-1).alias("salt"), F.col("pivot").alias("sid"), F.col("pivot_n").alias("n"), F.col("pivot_pos").alias("pos")
     )
-    stars = lists.unionByName(with_pivots(pivots.distinct()))
+    stars = lists.drop("rank").unionByName(with_pivots(pivots.distinct()))
     sharing = lists.select("sid").distinct().join(sets, "sid").select(F.col("rep").alias("id"), "sid")
     texts = saved(texts_of(docs, sharing, id_col, text_col).dropDuplicates(["sid"]), "texts")
 
@@ -361,24 +439,15 @@ def components(
     best = star.groupBy("y").agg(F.max(F.struct("k", "x")).alias("b")).select("b.x", "y")
     first = saved(verified(best, texts, p), "links")
 
-    near = connected_components(first, "x", "y")
-    own = lists.select("key", "sid", "n", "pos").join(near.withColumnRenamed("node", "sid"), "sid", "left")
-    own = own.withColumn("c", F.coalesce("component", "sid")).drop("component")
-    main = own.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(
-        F.max(F.struct("k", "c")).getField("c").alias("main"), F.count("*").alias("parts")
-    )
-    split = saved(own.join(main.where("parts > 1").select("key", "main"), "key"), "split")
-    a = split.where("c <> main").select("key", F.col("c").alias("ca"), F.col("sid").alias("sa"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = split.select("key", "main", F.col("c").alias("cb"), F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    meets = a.join(b, "key").where(
-        f"ca <> cb and (cb = main or sa < sb) and 100 * least(na, nb) >= {p.percent} * greatest(na, nb)"
-    )
-    swap = F.col("sa") < F.col("sb")
-    pick = lambda u, v, name: F.when(swap, F.col(u)).otherwise(F.col(v)).alias(name)
-    crossing = meets.select(
-        pick("sa", "sb", "x"), pick("sb", "sa", "y"), pick("na", "nb", "n"), pick("nb", "na", "m"), pick("pa", "pb", "i"), pick("pb", "pa", "j")
+    near = connected_components(first, "x", "y").withColumnRenamed("node", "sid")
+    near = near.join(near.groupBy("component").agg(F.count("*").alias("size")), "component")
+    own = lists.select("key", "sid", "n", "pos", "rank").join(near, "sid", "left").withColumns(
+        {"c": F.coalesce("component", "sid"), "size": F.coalesce("size", F.lit(1))}
     )
-    second = verified(paired(crossing, p).select("x", "y"), texts, p)
+    group = F.struct("size", "c")
+    main = own.groupBy("key").agg(F.max(group).alias("main"), F.min(group).alias("least")).where("least < main")
+    split = saved(own.join(main.select("key", "main"), "key").drop("component"), "split")
+    second = verified(scanned(split, p), texts, p)
     linked = connected_components(first.unionByName(second), "x", "y")
 
     roots = sets.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
