@@ -358,3 +358,62 @@ def adaptive_cooldown(rows: DataFrame, by: Sequence[str], order: str, fired: str
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*names, order])
     return rows.select(*names, order, fired, vol).groupBy(*names).applyInPandas(run, f"{kinds}, kept boolean")
+
+
+# matrices of several series
+
+
+def portfolio_var(returns: np.ndarray, weights: np.ndarray, alpha: float = 0.05) -> float:
+    """Quantile of the weighted return of rows that are complete."""
+    r = returns[np.isfinite(returns).all(axis=1)]
+    return float(np.quantile(r @ weights, alpha)) if len(r) else np.nan
+
+
+def stability(features: np.ndarray) -> float:
+    """Share of the largest eigenvalue of the correlation matrix."""
+    x = features[np.isfinite(features).all(axis=1)]
+    if len(x) < 3 or (x.std(axis=0) < 1e-12).any():
+        return np.nan
+    values = np.linalg.eigvalsh(np.corrcoef(x.T))
+    return float(values[-1] / values.sum())
+
+
+def tail_correlation(returns: np.ndarray, share: float = 0.05) -> float:
+    """Mean pairwise correlation on the rows with the worst mean return."""
+    x = returns[np.isfinite(returns).all(axis=1)]
+    bad = x[x.mean(axis=1) <= np.quantile(x.mean(axis=1), share)] if len(x) else x
+    if len(bad) < 3 or (bad.std(axis=0) < 1e-12).any():
+        return np.nan
+    c = np.corrcoef(bad.T)
+    return float(c[np.triu_indices(len(c), 1)].mean())
+
+
+def reversion_half_life(x: np.ndarray) -> float:
+    """Half-life of a first-order autoregression; infinite without reversion is NaN."""
+    x = finite(x)
+    if len(x) < 10:
+        return np.nan
+    slope = np.polyfit(x[:-1], np.diff(x), 1)[0]
+    return float(-np.log(2) / np.log1p(slope)) if -1 < slope < 0 else np.nan
+
+
+def windowed_matrix(rows: DataFrame, order: str, columns: Sequence[str], n: int, kernels: dict[str, Callable[[np.ndarray], float]], by: Sequence[str] = ()) -> DataFrame:
+    """Each kernel of the last n rows of several columns, at every row of a group."""
+    names = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        v = pdf[list(columns)].to_numpy(float)
+        out = pdf[[*names, order]].copy()
+        for name, f in kernels.items():
+            out[name] = [f(v[k - n + 1 : k + 1]) if k >= n - 1 else np.nan for k in range(len(v))]
+        return out
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*names, order])
+    schema = f"{kinds}, " + ", ".join(f"{k} double" for k in kernels)
+    src = rows.select(*names, order, *columns)
+    if not names:
+        from pyspark.sql import functions as F
+
+        return src.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: run(pdf.drop(columns="_all", errors="ignore")), schema)
+    return src.groupBy(*names).applyInPandas(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import NUDGE, Series, rounding
-from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, models, options, robustness, scoring, search, selection, signals, splits, subspaces
+from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, models, options, reports, robustness, scoring, search, selection, signals, splits, subspaces
 from tidemark.operators import rolling as R
 from tidemark.plans.domain import RELEASES, TRADES, forward_returns, forward_sql, releases, trades
 from tidemark.plans.panel import BARS, bars, read
@@ -956,3 +956,60 @@ def sample_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     auc, weights = models.adversarial_auc(t.where("fold <= 1996"), t.where("fold > 1996"), ["pnl_pct", "capital", "horizon"], 10, 3, 2)
     rows = [(k, float(v), float(auc)) for k, v in weights.items()]
     return spark.createDataFrame(rows, "feature string, importance double, auc double")
+
+
+# reports
+
+
+@query(f"""WITH g AS (SELECT setup_id, count(*) AS trades_total, CAST(sum(CASE WHEN trigger_date > DATE '{AS_OF}' - 365 THEN 1 ELSE 0 END) AS BIGINT) AS trades_12m, CAST(sum(CASE WHEN trigger_date > DATE '{AS_OF}' - 182 THEN 1 ELSE 0 END) AS BIGINT) AS trades_6m,
+    exp(sum(ln(1 + greatest(pnl_pct / 100, -0.95)))) - 1 AS growth, max(trigger_date) AS last_trigger FROM ({TRADES}) WHERE trigger_date <= DATE '{AS_OF}' GROUP BY setup_id)
+  SELECT setup_id, trades_total, trades_12m, trades_6m, {r('growth')} AS growth, last_trigger, {r(f"least(greatest(power(0.5, (DATE '{AS_OF}' - last_trigger) / 63e0), 0.2), 1)")} AS recency FROM g""")
+def prior_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.prior_records(trades(spark, sf_dir), AS_OF))
+
+
+@query(f"""WITH t AS ({TRADES}), l AS (SELECT setup_id, max(struct_pack(a := trigger_date, b := trade_id, c := ticker, d := horizon, e := capital)) AS t FROM t GROUP BY setup_id)
+  SELECT setup_id, t.c AS ticker, t.a AS trigger_date, t.b AS trade_id, t.d AS horizon, CAST((SELECT max(trigger_date) FROM t) - t.a AS INT) AS age FROM l WHERE (SELECT max(trigger_date) FROM t) - t.a < t.d""")
+def open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setups whose last trade is younger than its horizon."""
+    return reports.open_positions(trades(spark, sf_dir))
+
+
+WD = "((datediff('day', DATE '1970-01-01', {0}) + 3) // 7 * 5 + least((datediff('day', DATE '1970-01-01', {0}) + 3) % 7, 5))"
+SPAN = f"({WD.format('b + 1')} - {WD.format('a')})"
+
+
+@query(f"""WITH c AS (SELECT ticker, trigger_date AS a, exit_date AS b FROM ({TRADES}) WHERE exit_date >= trigger_date), d AS (SELECT ticker, a, {SPAN} AS d FROM c),
+  g AS (SELECT ticker, median(d) AS m, count(*) AS n, min(a) AS a, max(a) AS b FROM d GROUP BY ticker) SELECT ticker, {r('m')} AS median_days, {r(f'n * 1e0 / {SPAN}')} AS per_weekday FROM g""")
+def holding_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.holding(trades(spark, sf_dir), ["ticker"]))
+
+
+QUALITY = f"""SELECT ticker, setup_id, max(trigger_date) AS last_trigger, {r('avg(pnl_pct)')} AS quality FROM ({TRADES}) GROUP BY 1, 2"""
+
+
+@query(f"""SELECT ticker, setup_id, last_trigger, quality FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY last_trigger DESC, quality DESC, setup_id) AS k FROM ({QUALITY})
+  WHERE DATE '{AS_OF}' - last_trigger <= 3000 AND setup_id % 3 <> 0) WHERE k = 1""")
+def tradeable_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest approved setup of each ticker."""
+    q = rounded(trades(spark, sf_dir).groupBy("ticker", "setup_id").agg(F.max("trigger_date").alias("last_trigger"), F.avg("pnl_pct").alias("quality")))
+    return reports.tradeable(q, q.where("setup_id % 3 <> 0").select("setup_id").distinct(), AS_OF, F.lit(3000))
+
+
+@query(f"""WITH t AS ({TRADES}) SELECT 'all' AS level, '' AS value, count(*) AS n, {r('avg(pnl_pct)')} AS mean, count(DISTINCT setup_id) AS setups FROM t
+  UNION ALL SELECT 'ticker', ticker, count(*), {r('avg(pnl_pct)')}, count(DISTINCT setup_id) FROM t GROUP BY ticker
+  UNION ALL SELECT 'horizon', CAST(horizon AS VARCHAR), count(*), {r('avg(pnl_pct)')}, count(DISTINCT setup_id) FROM t GROUP BY horizon""")
+def eligibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill overall, by ticker and by horizon."""
+    return rounded(reports.eligibility_summary(trades(spark, sf_dir), ["ticker", "horizon"], "pnl_pct"))
+
+
+@query()
+def cross_asset_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common movement of all tickers over their last 250 common days."""
+    from functools import partial
+
+    wide = returns(spark, sf_dir).groupBy("date").pivot("ticker", ["AF", "AO", "NF", "NO", "RF", "RO"]).agg(F.first("ret"))
+    last = wide.orderBy(F.desc("date")).limit(250)
+    suite = {"stability": kernels.stability, "tail": kernels.tail_correlation, "var": partial(kernels.portfolio_var, weights=np.full(6, 1 / 6))}
+    return kernels.windowed_matrix(last.na.fill(0.0), "date", ["AF", "AO", "NF", "NO", "RF", "RO"], 120, suite).orderBy(F.desc("date"))
