@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -224,7 +224,7 @@ def test_tables_round_trip(spark, tmp_path):
 def test_streaming(spark, tmp_path):
     from tidemark.streaming import stateful
 
-    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k), "a", 0.0 if k < 50 else 30.0) for k in range(100)]
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=k), "a", 0.0 if k < 50 else 30.0) for k in range(100)]
     spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/in")
     src = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
     for name, df in (("alarms", stateful.page_hinkley(src)), ("kept", stateful.cooled(src, key="event_type"))):

@@ -15,7 +15,7 @@ def parse_relevance(c: Column) -> Column:
     # Words for relevance.
     text = F.lower(F.trim(c.cast("string")))
     word = F.when(text == "high", 90.0).when(text.isin("medium", "med"), 60.0).when(text == "low", 30.0)
-    return F.coalesce(word, F.expr("1") * F.regexp_replace(text, "%", "").try_cast("double"))
+    return F.coalesce(word, F.regexp_replace(text, "%", "").try_cast("double"))
 
 
 def eastern_day(ts: Column) -> Column:

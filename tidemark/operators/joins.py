@@ -33,7 +33,7 @@ def asof(
 def snap_forward(left: DataFrame, calendar: DataFrame, time: str, day: str = "date") -> DataFrame:
     """``left`` with ``snapped``, the first calendar day on or after its time; rows beyond the end go.
 
-    The calendar is a day list; a sentinel partition by year keeps windows bounded.
+    The one window without partitions runs over distinct days only, so it stays small.
     """
     days = calendar.select(F.col(day).alias("_day")).distinct()
     wanted = left.select(F.col(time).alias("_t")).distinct()
@@ -92,7 +92,8 @@ def is_weekday(day: Column) -> Column:
 
 def weekdays_between(a: Column, b: Column) -> Column:
     """Monday to Friday days from a to b, both included; 0 if b is before a."""
-    count = lambda d: F.expr("1") * (F.floor((F.unix_date(d) + 3) / 7) * 5 + F.least(F.pmod(F.unix_date(d) + 3, F.lit(7)), F.lit(5)))
+    since = lambda d: F.unix_date(d) + 3  # days since a Monday
+    count = lambda d: F.floor(since(d) / 7) * 5 + F.least(F.pmod(since(d), F.lit(7)), F.lit(5))
     return F.when(b >= a, count(F.date_add(b, 1)) - count(a)).otherwise(0).cast("int")
 
 

@@ -13,6 +13,7 @@ from math import factorial, log, log2
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Kernel = Callable[[np.ndarray], float]
 
@@ -413,7 +414,5 @@ def windowed_matrix(rows: DataFrame, order: str, columns: Sequence[str], n: int,
     schema = f"{kinds}, " + ", ".join(f"{k} double" for k in kernels)
     src = rows.select(*names, order, *columns)
     if not names:
-        from pyspark.sql import functions as F
-
-        return src.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: run(pdf.drop(columns="_all", errors="ignore")), schema)
+        return src.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, schema)
     return src.groupBy(*names).applyInPandas(run, schema)

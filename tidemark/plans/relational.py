@@ -107,7 +107,7 @@ def _asof_sql(keep_null: bool) -> str:
     tail = "" if keep_null else "AND (q.px IS NOT NULL OR q.date = t.trigger_date)"
     return f"""WITH t AS ({TRADES}), q AS ({QUOTES}), d AS (SELECT DISTINCT ticker, trigger_date FROM t), m AS (
       SELECT t.ticker, t.trigger_date, max(struct_pack(d := q.date, v := q.px)) AS b FROM d t JOIN q
-        ON q.ticker = t.ticker AND q.date <= t.trigger_date {tail} AND t.trigger_date - q.date < 40 GROUP BY t.ticker, t.trigger_date)
+        ON q.ticker = t.ticker AND q.date <= t.trigger_date {tail} GROUP BY t.ticker, t.trigger_date)
       SELECT t.trade_id, t.ticker, t.trigger_date, m.b.v AS px FROM t LEFT JOIN m ON m.ticker = t.ticker AND m.trigger_date = t.trigger_date"""
 
 
