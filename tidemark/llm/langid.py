@@ -32,6 +32,7 @@ from tidemark.llm.common import map_batches
 
 UNDETERMINED = "und"
 BUCKET_BITS = 18
+LARGEST_BROADCAST = 100_000
 SLICE = 1 << 20
 ROWS = 64
 _LETTER = regex.compile(r"\p{L}")
@@ -89,7 +90,9 @@ def training_texts(docs: DataFrame, allowed: Column | None, per_lang: int, id_co
     )
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     picked = rows.select("id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
-    known = F.broadcast(picked.groupBy("id", "lang").agg(F.min("k").alias("k")))
+    known = picked.groupBy("id", "lang").agg(F.min("k").alias("k"))
+    if known.count() <= LARGEST_BROADCAST:  # per_lang rows a language; labels may be many
+        known = F.broadcast(known)
     return sorted((r.lang, r.k, r.text) for r in rows.join(known, ["id", "lang"]).select("lang", "k", "text").collect())
 
 
