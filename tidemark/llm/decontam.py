@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import groups_of, map_batches
 
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 FILTER_BITS = 22
 ALIGNED_AT_ONCE = 512
 _GAPS = re.compile(r"[\W_]+")
