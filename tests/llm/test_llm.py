@@ -262,6 +262,19 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_whole_notice_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.Params())
+    names = lambda text: [f[0] for f in scanner.find(text)]
+    assert names("NOTICE\n" + "\n".join(t for _, t, _ in licenses.TEMPLATES)) == [n for n, _, _ in licenses.TEMPLATES]
+    mit = "Released under the MIT License."
+    assert [f[:3] for f in scanner.find(f"{mit} And {mit}")] == [("MIT", 0, 30), ("MIT", 36, 66)]
+    gpl = "Our work is licensed under the GNU General Public License, version 3."
+    ((name, begin, end, cost, diffs),) = scanner.find(f"Read this before all that comes then. {gpl}")
+    assert (name, begin, end, cost, diffs) == ("GPL-3.0", 42, 106, 1, ["-this +"])
+    assert names(gpl.replace("3", "9")) == [] and names(gpl.replace("General ", "")) == []
+    assert names("pad " * 900 + gpl + " pad" * 30 + gpl) == ["GPL-3.0"] * 2
+
+
 def test_url_aliases(spark):
     pages = [
         (1, "https://a.example.org/x?y#z", '<link href="/c" rel="canonical">'), (2, "http://A.example.org/c", None),

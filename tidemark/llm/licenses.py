@@ -3,10 +3,13 @@
 Candidate blocks are stretches of text around cue words.  Each is compressed on
 its own and with every template as a raw dictionary; the template that saves the
 largest share of the block is the likeliest, as only its wording is new to the
-compressor.  The best templates, in that order, are then confirmed by exact
-wording: a template is found if its words occur in the block in sequence with at
+compressor.  That only ranks them: every template is confirmed by exact wording, at
+every place.  It is found where its words occur in the block in sequence with at
 most ``differing`` of them replaced, missing or added, and none of those differences
-touches a decisive word (a version, a clause or the name of the license).
+touches a decisive word (a version, a clause or the name of the license).  One of
+the first words, as many as may differ and one more, is in place, so a notice begins
+at such a word.  Of overlapping notices the one with most words in place stays, then
+the better ranked.
 
 Null texts have no blocks.  Blocks are independent, so a text of any length is
 scanned whole, block by block.
@@ -15,9 +18,9 @@ scanned whole, block by block.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -83,10 +86,9 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """``reach`` characters around a cue form a block; ``tried`` templates of a block are compared word by word."""
+    """``reach`` characters around a cue form a block."""
 
     reach: int = 400
-    tried: int = 6
     differing: float = 0.1
 
 
@@ -105,6 +107,47 @@ def blocks(text: str, cue: re.Pattern, reach: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def aligned(
+    template: list[str], words: list[str], most: int, missed: int, decisive: set[str]
+) -> tuple[int, list[tuple[int, int]]] | None:
+    """(differing words, places in both of the words in place) of the best alignment that begins with both first words.
+
+    ``missed`` words of the template went before.  The count is the larger one of the missing and the added words,
+    ``most`` at best; a decisive word is neither.
+    """
+    n, none = len(template), -1
+    if template == words[:n]:
+        return missed, [(k, k) for k in range(n)]
+    if not most:
+        return None
+    # in place of template[: a + 1] and words[: b + 1]; at most ``most`` are missing and at most ``most`` added
+    common = [[none] * len(words) for _ in range(n)]
+    move = [[""] * len(words) for _ in range(n)]
+    for a in range(n):
+        for b in range(max(a - most, 0), min(a + most + 1, len(words))):
+            best, how = none, ""
+            if template[a] == words[b] and (not a and not b or a and b and common[a - 1][b - 1] >= 0):
+                best, how = (common[a - 1][b - 1] if a else 0) + 1, "="
+            if a and template[a] not in decisive and common[a - 1][b] > best:
+                best, how = common[a - 1][b], "-"
+            if b and words[b] not in decisive and common[a][b - 1] > best:
+                best, how = common[a][b - 1], "+"
+            common[a][b], move[a][b] = best, how
+    ends = [
+        (max(missed + n - common[-1][b], b + 1 - common[-1][b]), b) for b in range(len(words)) if common[-1][b] >= 0
+    ]
+    if not ends or min(ends)[0] > most:
+        return None
+    cost, b = min(ends)
+    a, pairs = n - 1, []
+    while a >= 0 and b >= 0:
+        how = move[a][b]
+        if how == "=":
+            pairs.append((a, b))
+        a, b = a - (how != "+"), b - (how != "-")
+    return cost, pairs[::-1]
+
+
 class Scanner:
     """The templates as dictionaries and as words."""
 
@@ -120,67 +163,59 @@ class Scanner:
             for _, t, _ in templates
         ]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
+    def ranked(self, block: str) -> list[int]:
         """Templates by the share of their own size that they save, best first; equal ones in their order."""
         data = block.lower().encode()
         alone = len(self.plain.compress(data))
         saves = [(alone - len(c.compress(data))) / max(len(w), 1) for c, w in zip(self.given, self.words)]
-        return sorted(((-s, k) for k, s in enumerate(saves) if s > 0))
-
-    def difference(self, k: int, words: list[str]) -> tuple[int, list[str], int, int] | None:
-        """(differing words, what differs, first and last word) where template ``k`` fits the words best."""
-        template = self.words[k]
-        best = None
-        first = set(template)
-        starts = [i for i, w in enumerate(words) if w == template[0]] or [i for i, w in enumerate(words) if w in first][:1]
-        for i in starts:
-            part = words[i : i + len(template) + max(2, len(template) // 8)]
-            matches = [b for b in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if b.size]
-            if not matches:
-                continue
-            last = matches[-1].b + matches[-1].size
-            diffs: list[str] = []
-            a = b = 0
-            for m in [*matches, None]:
-                ta, tb = (m.a, m.b) if m else (len(template), last)
-                if ta > a or tb > b:
-                    diffs.append("-" + " ".join(template[a:ta]) + " +" + " ".join(part[b:tb]))
-                if m:
-                    a, b = m.a + m.size, m.b + m.size
-            missed = len(template) - sum(m.size for m in matches)
-            extra = last - sum(m.size for m in matches)
-            cost = max(missed, extra)
-            if best is None or cost < best[0]:
-                best = cost, diffs, i, i + last - 1
-        return best
+        return sorted(range(len(saves)), key=lambda k: (-saves[k], k))
+
+    def places(self, k: int, words: list[str]) -> Iterator[tuple[int, list[str], int, int]]:
+        """(differing words, what differs, first and last word) of template ``k`` from every word that can be its first in place."""
+        template, decisive = self.words[k], self.decisive[k]
+        most = int(self.params.differing * len(template))
+        known = set(words)
+        if sum(w not in known for w in template) > most:
+            return
+        heads: dict[str, list[int]] = {}
+        for j, w in enumerate(template[: most + 1]):
+            heads.setdefault(w, []).append(j)
+            if w in decisive:
+                break
+        for i, w in enumerate(words):
+            best = None
+            for j in heads.get(w, ()):
+                got = aligned(template[j:], words[i : i + len(template) - j + most], most, j, decisive)
+                if got and (best is None or got[0] < best[0]):
+                    best = *got, j
+            if best:
+                cost, pairs, j = best
+                part, diffs, a, b = words[i:], [], 0, 0
+                for ta, tb in [*((x + j, y) for x, y in pairs), (len(template), pairs[-1][1] + 1)]:
+                    if ta > a or tb > b:
+                        diffs.append("-" + " ".join(template[a:ta]) + " +" + " ".join(part[b:tb]))
+                    a, b = ta + 1, tb + 1
+                yield cost, diffs, i, i + pairs[-1][1]
 
     def find(self, text: str) -> list[tuple[str, int, int, int, list[str]]]:
         """(license, begin, end, differing words, differences) of what a text declares, in order."""
-        found: dict[tuple[str, int], tuple] = {}
+        hits = []
         for low, high in blocks(text, self.cue, self.params.reach):
             block = text[low:high]
             spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
             words = [block[a:b].lower() for a, b in spans]
-            if not words:
+            for rank, k in enumerate(self.ranked(block) if words else ()):
+                for cost, diffs, i, j in self.places(k, words):
+                    hits.append((cost - len(self.words[k]), cost, rank, low + spans[i][0], low + spans[j][1], k, diffs))
+        found: list[tuple[str, int, int, int, list[str]]] = []
+        begins: list[int] = []
+        for _, cost, _, begin, end, k, diffs in sorted(hits):
+            at = bisect(begins, begin)
+            if (at and found[at - 1][2] > begin) or (at < len(found) and found[at][1] < end):
                 continue
-            taken: list[tuple[int, int]] = []
-            hits = []
-            for _, k in self.ranked(block)[: self.params.tried]:
-                got = self.difference(k, words)
-                if got is None or got[0] > self.params.differing * len(self.words[k]):
-                    continue
-                cost, diffs, i, j = got
-                changed = {w for d in diffs for w in _WORD.findall(d)}
-                if changed & self.decisive[k]:
-                    continue
-                hits.append((-(len(self.words[k]) - cost), k, cost, diffs, i, j))
-            for _, k, cost, diffs, i, j in sorted(hits):
-                if any(i <= b and a <= j for a, b in taken):
-                    continue
-                taken.append((i, j))
-                begin, end = low + spans[i][0], low + spans[j][1]
-                found.setdefault((self.names[k], begin), (self.names[k], begin, end, cost, diffs))
-        return sorted(found.values(), key=lambda f: (f[1], f[0]))
+            begins.insert(at, begin)
+            found.insert(at, (self.names[k], begin, end, cost, diffs))
+        return found
 
 
 def scan(
