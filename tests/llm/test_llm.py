@@ -252,6 +252,22 @@ def test_leaks_against_full_search(spark):
     assert decontam.leaks(docs_of(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_items_leak(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("bcdfghjk") for _ in range(n))
+    items = [(m, letters(m)) for m in range(1, 26)] + [(90, "東京タワー"), (91, "!?"), (92, None), (93, "Yes, no")]
+    whole, inside, near = (lambda x: f"qq {x.upper()}. qq"), (lambda x: f"qq m{x}m qq"), (lambda x: f"qq {x[:6]}z{x[7:]} qq")
+    texts = [f(x) for f in (whole, inside, near) for _, x in items[:25]] + ["高い東京タワーです。", "yes -- no!", "东京タワー", "yes nono", ""]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.begin, r.end) for r in decontam.leaks(docs_of(spark, texts), df).collect()}
+    for m, x in items[:25]:
+        assert got.get((m - 1, m)) == (0, 3, 3 + m), m
+        assert ((24 + m, m) in got) == (m >= 10), m
+        assert ((49 + m, m) in got) == (m >= 17), m
+    assert got[75, 90] == (0, 2, 7) and got[76, 93] == (0, 0, 6) and not {(77, 90), (78, 93)} & set(got)
+    assert not {91, 92} & {i for _, i in got}
+
+
 def test_licenses(spark):
     texts = [None, "", "no terms here", "Foo\nReleased under the MIT License.\nbar", "Licensed under CC BY-NC 4.0. x", "Licensed under CC BY 4.0.",
              "licensed under the GNU General Public License, version 9.", "pad " * 5000 + "Licensed under the Apache License, Version 2.0."]

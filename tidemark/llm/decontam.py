@@ -10,9 +10,11 @@ aligned within the band, with free ends in the text.
 
 The filter loses nothing, so the result equals a full search.  Items form blocks
 of ``BLOCK`` characters; each block is indexed on the driver, sent to the tasks
-and searched in one pass over the texts.  Items shorter than ``q`` characters,
-or so short that the bound is below 1, give no evidence and are left out.
-Null texts and items have no characters.
+and searched in one pass over the texts.  Where the bound is below 1 with ``q``, the
+item has an index of the longest grams whose bound is 2 (8 for 17 to 19 characters).
+Items shorter than ``q`` characters leak by an exact copy as whole words; next to a
+character of a script without spaces, a word may begin and end anywhere.
+Null texts and items, and those without a word, have no characters and don't leak.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ BLOCK = 1_000_000
 FILTER_BITS = 22
 ALIGNED_AT_ONCE = 512
 _GAPS = re.compile(r"[\W_]+")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 
 
 @dataclass(frozen=True)
@@ -51,9 +55,11 @@ class Index:
     of: np.ndarray
     at: np.ndarray
     present: np.ndarray
+    bits: int
     edits: np.ndarray
     bound: np.ndarray
     q: int
+    whole: bool
 
 
 def normal(text: str) -> str:
@@ -87,25 +93,49 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def build_index(items: list[tuple[object, str]], p: Params) -> Index:
-    kept, ids, edits, bound = [], [], [], []
+def gram_size(m: int, k: int, p: Params) -> int:
+    """``q`` where the bound is 1 at least, else the longest grams with a bound of 2."""
+    return p.q if m + 1 - p.q * (k + 1) >= 1 else max((m - 1) // (k + 1), 1)
+
+
+def build_index(items: list[tuple[object, str]], p: Params) -> list[Index]:
+    """An index for each size of grams that the items need, and for each length of those found as whole words."""
+    sized: dict[tuple[int, bool], list[tuple[object, np.ndarray]]] = {}
     for item_id, text in items:
         codes = points(normal(text or ""))
-        k = int(p.edit_rate * len(codes))
-        need = len(codes) + 1 - p.q * (k + 1)
-        if len(codes) >= p.q and need >= 1:
-            kept.append(codes)
-            ids.append(item_id)
-            edits.append(k)
-            bound.append(need)
-    hashes = [qgram_hashes(c, p.q) for c in kept]
+        m, k = len(codes), int(p.edit_rate * len(codes))
+        if m:
+            whole = m < p.q and not k
+            sized.setdefault((m if whole else gram_size(m, k, p), whole), []).append((item_id, codes))
+    return [index_of(of, q, whole, p) for (q, whole), of in sorted(sized.items())]
+
+
+def index_of(items: list[tuple[object, np.ndarray]], q: int, whole: bool, p: Params) -> Index:
+    ids, kept = [i for i, _ in items], [c for _, c in items]
+    edits = np.array([int(p.edit_rate * len(c)) for c in kept], np.int64)
+    bound = np.array([len(c) for c in kept]) + 1 - q * (edits + 1)
+    hashes = [qgram_hashes(c, q) for c in kept]
     of = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])
-    at = np.concatenate([np.arange(len(h)) for h in hashes]) if kept else np.zeros(0, np.int64)
-    flat = np.concatenate(hashes) if kept else np.zeros(0, np.uint64)
+    at = np.concatenate([np.arange(len(h)) for h in hashes])
+    flat = np.concatenate(hashes)
     order = np.argsort(flat, kind="stable")
-    present = np.zeros(1 << FILTER_BITS, bool)
-    present[flat >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(kept, ids, flat[order], of[order], at[order], present, np.array(edits, np.int64), np.array(bound, np.int64), p.q)
+    bits = min(FILTER_BITS, (64 * len(flat)).bit_length())
+    present = np.zeros(1 << bits, bool)
+    present[flat >> np.uint64(64 - bits)] = True
+    return Index(kept, ids, flat[order], of[order], at[order], present, bits, edits, bound, q, whole)
+
+
+def whole_words(codes: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """Whether the ``q`` characters at each place begin and end between words; ``codes`` are padded by zeros."""
+
+    def parted(right: np.ndarray) -> np.ndarray:
+        left, here = codes[np.maximum(right - 1, 0)], codes[np.minimum(right, len(codes) - 1)]
+        out = (right == 0) | (left == ord(" ")) | (here == ord(" ")) | (left == 0) | (here == 0)
+        for k in np.flatnonzero(~out & ((left >= 0xE00) | (here >= 0xE00))):
+            out[k] = bool(_UNSPACED.search(chr(left[k]) + chr(here[k])))
+        return out
+
+    return parted(at) & parted(at + q)
 
 
 def banded_edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[int, int, int]]:
@@ -144,16 +174,13 @@ def banded_edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[
     return best
 
 
-def find_in(texts: list[str], index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+def find_in(parts: list[np.ndarray], index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item) -> (edits, begin, end) of the best region, for the pairs that leak."""
-    if not index.items:
-        return {}
     pad = np.zeros(int(index.edits.max()) + 2, np.uint32)
-    parts = [points(normal(t)) for t in texts]
     codes = np.concatenate([x for part in parts for x in (part, pad)])
     starts = np.cumsum([0] + [len(p) + len(pad) for p in parts])
     hashes = qgram_hashes(codes, index.q)
-    at = np.flatnonzero(index.present[hashes >> np.uint64(64 - FILTER_BITS)])
+    at = np.flatnonzero(index.present[hashes >> np.uint64(64 - index.bits)])
     lo, hi = np.searchsorted(index.hashes, hashes[at], "left"), np.searchsorted(index.hashes, hashes[at], "right")
     hit = hi > lo
     at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
@@ -161,6 +188,16 @@ def find_in(texts: list[str], index: Index) -> dict[tuple[int, int], tuple[int,
         return {}
     which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
     item = index.of[which]
+    if index.whole:
+        at = np.repeat(at, n)
+        same = whole_words(codes, at, index.q)
+        for j in range(index.q):
+            same &= codes[at + j] == np.array([i[j] for i in index.items], np.uint32)[item]
+        firsts: dict[tuple[int, int], tuple[int, int, int]] = {}
+        text = np.searchsorted(starts, at, "right") - 1
+        for t, i, begin in zip(text[same].tolist(), item[same].tolist(), (at - starts[text])[same].tolist()):
+            firsts.setdefault((t, i), (0, begin, begin + index.q))
+        return firsts
     step = index.edits[item] + 1
     band = (np.repeat(at, n) - index.at[which]) // step + 1  # from 0: an item may begin before the text
     key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])
@@ -222,10 +259,12 @@ def leaks(
         shared = docs.sparkSession.sparkContext.broadcast(build_index(block, params))
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            index, rows, first = shared.value, [], 0
+            rows, first = [], 0
             for texts in groups_of(batch.column(1)):
-                for (t, i), found in sorted(find_in(texts, index).items()):
-                    rows.append((first + t, index.item_ids[i], *found))
+                parts = [points(normal(t)) for t in texts]
+                for index in shared.value:
+                    for (t, i), found in sorted(find_in(parts, index).items()):
+                        rows.append((first + t, index.item_ids[i], *found))
                 first += len(texts)
             if rows:
                 at, item, edits, begin, end = zip(*rows)
