@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 ``run`` writes every stage's rows as Parquet in the shared folder and reads them
 again for the next.  All stages but the last return the columns of ``documents``.
 
-* language: texts without a letter, or null, are no language's and go.
+* language: texts without a letter, or null, go, and those in no language that the
+  kernel model has learnt (``langid.recognised``); without a model all with a letter stay.
 * lines: later copies of repeated line runs are deleted; a document goes if all
   its lines with a word were such copies.
 * near_copies: of each component the document with the smallest id stays.
@@ -25,8 +26,11 @@ from tidemark.llm.queries import VOCABULARY
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    kept = langid.predict(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")), with_text=True)
-    return kept.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    judged = langid.predict(docs, model, keep=keep, with_text=True, with_known=True)
+    return judged.where(langid.recognised()).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 from test_llm import brute_components, brute_lines
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -32,3 +33,16 @@ def test_stages_keep_columns(spark):
     docs = table(spark, DATA, "documents")
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns, name
+
+
+def test_language_decides(spark):
+    docs = table(spark, DATA.replace("0.001", "0.01"), "documents")
+    odd = ["Это русский текст, которого нет в выборке и который надо отвергнуть.", "これは日本語の文章です。学習された言語ではありません。",
+           "To jest polski tekst, którego nikt się nie nauczył w tej próbce.", "qrclv tqmtp xjvgm gfzlw zgmfd ntwfp " * 8]
+    rows = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    both = docs.unionByName(rows, allowMissingColumns=True)
+    kept = {r.doc_id for r in pipeline.language(spark, both, DATA).select("doc_id").collect()}
+    letters = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert kept == letters
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in pipeline.language(spark, blank, DATA).select("doc_id").collect()} == letters
