@@ -8,7 +8,8 @@ again for the next.  All stages but the last return the columns of ``documents``
   kernel model has learnt (``langid.recognised``); without a model all with a letter stay.
 * lines: later copies of repeated line runs are deleted; a document goes if all
   its lines with a word were such copies.
-* near_copies: of each component the document with the smallest id stays.
+* near_copies: documents that share 80 % of their 5-word shingles are linked; of each
+  component one row with the smallest id stays.
 * benchmark: documents that hold a benchmark item go.
 * tokens: ids of the texts, counted and digested, and decoded again.
 """
@@ -23,6 +24,8 @@ from tidemark.llm import bpe, decontam, jaccard, langid, linededup
 from tidemark.llm.common import saved, table
 from tidemark.llm.queries import VOCABULARY
 
+NEAR = jaccard.Params(words=5, percent=80)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
@@ -40,9 +43,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").select(*docs.columns)
+    row = F.struct("doc_id", F.xxhash64("text").alias("th"))  # rows of one id and other texts are other documents
+    groups = jaccard.components(docs.select(row.alias("row"), "text"), NEAR, id_col="row")
+    stay = groups.where("row = component_id").groupBy("row").agg(F.count("*").alias("copies"))
+    kept = docs.withColumn("_row", row).join(stay, F.col("_row") == F.col("row"))
+    repeated = kept.where("copies > 1").dropDuplicates(["_row"])
+    return kept.where("copies = 1").unionByName(repeated).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,15 @@ def test_language_decides(spark):
     assert kept == letters
     blank = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in pipeline.language(spark, blank, DATA).select("doc_id").collect()} == letters
+
+
+def test_near_copies_by_five_words(spark):
+    base = [f"w{k}" for k in range(1000)]
+    spread = [f"x{k}" if k % 45 == 20 else w for k, w in enumerate(base)]
+    short = [f"s{k}" for k in range(50)]
+    middle = [*short[:25], "other", *short[26:]]
+    far = [f"y{k}" if k % 20 == 10 else w for k, w in enumerate(base)]
+    texts = [(1, base), (2, spread), (3, short), (4, middle), (5, far), (6, ["once"] * 9), (6, ["once"] * 9), (7, ["a", "b"]), (7, ["c", "d"]), (7, ["c", "d"])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in [*texts, (None, ["e"]), (None, ["f"])]], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in pipeline.near_copies(spark, docs, DATA).collect())
+    assert got == sorted((d or 0, " ".join(w)) for d, w in [texts[0], texts[2], *texts[4:6], *texts[7:9], (0, ["e"]), (0, ["f"])])
