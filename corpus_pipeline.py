@@ -6,8 +6,9 @@ again for the next.  All stages but the last return the columns of ``documents``
 
 * language: texts without a letter, or null, go, and those in no language that the
   kernel model has learnt (``langid.recognised``); without a model all with a letter stay.
-* lines: later copies of repeated line runs are deleted; a document goes if all
-  its lines with a word were such copies.
+* lines: later copies of repeated runs of 8 words or more are deleted, and of shorter
+  lines that 10 documents or more have; a document goes if all its lines with a word
+  were such copies.
 * near_copies: documents that share 80 % of their 5-word shingles are linked; of each
   component one row with the smallest id stays.
 * benchmark: documents that hold a benchmark item go.
@@ -25,6 +26,7 @@ from tidemark.llm.common import saved, table
 from tidemark.llm.queries import VOCABULARY
 
 NEAR = jaccard.Params(words=5, percent=80)
+OFTEN = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = linededup.dedup(docs)
+    done = linededup.dedup(docs, often=OFTEN)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return done.where(~emptied).select(*docs.columns)
 

@@ -58,3 +58,11 @@ def test_near_copies_by_five_words(spark):
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in [*texts, (None, ["e"]), (None, ["f"])]], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in pipeline.near_copies(spark, docs, DATA).collect())
     assert got == sorted((d or 0, " ".join(w)) for d, w in [texts[0], texts[2], *texts[4:6], *texts[7:9], (0, ["e"]), (0, ["f"])])
+
+
+def test_short_lines_of_many_documents(spark):
+    texts = [f"own words of {k}\nshare this now\nand more of {k}" for k in range(12)] + ["share this now", "rare line\nx1", "rare line\nx2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.lines(spark, docs, DATA).collect()}
+    wanted = {k: t if k in (0, 13, 14) else t.replace("\nshare this now", "") for k, t in enumerate(texts) if k != 12}
+    assert got == wanted

@@ -4,7 +4,8 @@ The corpus is a sequence of lines (those with a word), document after document i
 the order of (id, text hash); a run is a sequence of neighbouring lines of one
 document.  A run of ``min_words`` words or more that also starts earlier in the
 corpus is a later copy, and its lines are deleted.  So every line keeps its first
-copy, and short lines only go as part of a longer run.
+copy, and short lines only go as part of a longer run.  With ``often``, a shorter line
+that occurs in so many documents is a repeated run by itself, wherever it stands.
 
 1. Lines get IDs in the order of their 128-bit hash.  Lines that occur once end
    every repeated run and leave the sequence here.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD_PATTERN, drop_saved, saved
 
 CHUNKS = 4096
+LARGEST_BROADCAST = 100_000
 DOC = ["id", "th"]
 
 
@@ -136,22 +138,44 @@ def shortest_runs(ranks: DataFrame, min_words: int) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def later_copies(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_copies(lines: DataFrame, min_words: int, often: int) -> DataFrame:
+    """(id, th, line) of the later copies of lines below ``min_words`` words that ``often`` documents or more have."""
+    line = ["h1", "h2"]
+    short = lines.where(F.col("words") < min_words)
+    counted = short.groupBy(*line).agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "seq")).alias("earliest"))
+    likely = saved(counted.where(F.col("n") >= often).drop("n"), "frequent")
+    few = likely.count() <= LARGEST_BROADCAST
+
+    def among(found: DataFrame) -> DataFrame:
+        return short.join(F.broadcast(found) if few else found, line)
+
+    within = among(likely).select(*line, *DOC).distinct().groupBy(*line).agg(F.count("*").alias("n"))
+    frequent = likely.join(within.where(F.col("n") >= often).drop("n"), line)
+    return among(frequent).where(F.struct(*DOC, "seq") > F.col("earliest")).select(*DOC, "line")
+
+
+def later_copies(
+    docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text", often: int | None = None
+) -> DataFrame:
     """(id, th, gone): the numbers of the lines to delete, for documents that lose some."""
     lines = saved(numbered_lines(docs, id_col, text_col), "lines")
+    short = saved(frequent_copies(lines, min_words, often), "short") if often else None
     ranks = suffix_ranks(lines, min_words)
     runs = saved(shortest_runs(ranks, min_words), "runs")
     drop_saved(lines)
     interval = ["n", "first", "last"]
     earliest = runs.groupBy(*interval).agg(F.min(F.struct(*DOC, "start")).alias("earliest"), F.count("*").alias("k"))
     later = runs.join(earliest.where("k > 1"), interval).where(F.struct(*DOC, "start") > F.col("earliest"))
-    gone = later.select(*DOC, F.explode("lines").alias("line")).groupBy(*DOC).agg(F.collect_set("line").alias("gone"))
-    return gone
+    gone = later.select(*DOC, F.explode("lines").alias("line"))
+    gone = gone if short is None else gone.unionByName(short)
+    return gone.groupBy(*DOC).agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", often: int | None = None
+) -> DataFrame:
     """All rows and columns of ``docs``, the text without later copies, and ``n_lines`` and ``n_removed``."""
-    gone = later_copies(docs, min_words, id_col, text_col)
+    gone = later_copies(docs, min_words, id_col, text_col, often)
     text = F.col(f"d.{text_col}").cast("string")
     rows = docs.alias("d").withColumn("_th", F.xxhash64(text_col))
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("_th") == F.col("g.th"))
