@@ -31,3 +31,22 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_series(spark, monkeypatch):
+    """Kernels see every day, not only the last ones."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import kernels
+    from tidemark.plans import relational
+
+    n = 600
+    day = F.expr("date_add(date'2020-01-01', cast(id % 600 as int))").alias("date")
+    ticker = F.element_at(F.array(*map(F.lit, ["AF", "AO", "NF", "NO", "RF", "RO"])), (F.col("id") / n).cast("int") + 1).alias("ticker")
+    made = spark.range(6 * n).select(ticker, day, (F.sin(F.col("id") * 12.9) / 100).alias("ret"))
+    monkeypatch.setattr(relational, "returns", lambda spark, sf_dir: made)
+    days = {r.ticker: r.d for r in relational.hidden_regimes(spark, DATA).groupBy("ticker").agg(F.sum("days").alias("d")).collect()}
+    assert days == dict.fromkeys(["AF", "AO", "NF", "NO", "RF", "RO"], n)
+    assert relational.cross_asset_stability(spark, DATA).count() == n
+    monkeypatch.setattr(kernels.grouped, "__defaults__", ({"n": len}, None))
+    assert {r.n for r in relational.complexity_suite(spark, DATA).collect()} == {float(n)}

@@ -813,18 +813,18 @@ def daily_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def complexity_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complexity of each ticker's last 252 returns."""
-    return kernels.grouped(returns(spark, sf_dir).where("ret is not null"), ["ticker"], "date", "ret", last=252)
+    """Complexity of each ticker's returns."""
+    return kernels.grouped(returns(spark, sf_dir).where("ret is not null"), ["ticker"], "date", "ret")
 
 
 @query()
 def hidden_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden states of each ticker's last 500 days and their mean returns."""
+    """Hidden states of each ticker's days and their mean returns."""
 
     def run(key, pdf):
         import pandas as pd
 
-        x = pdf.sort_values("date")["ret"].to_numpy()[-500:]
+        x = pdf.sort_values("date")["ret"].to_numpy()
         s = kernels.hidden_states(np.c_[x, pd.Series(x).rolling(20, 1).std().fillna(0).to_numpy()], 3, 15)
         return pd.DataFrame({"ticker": key[0], "state": range(3), "days": [int((s == j).sum()) for j in range(3)], "mean_ret": [float(x[s == j].mean()) if (s == j).any() else None for j in range(3)]})
 
@@ -1006,10 +1006,9 @@ def eligibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cross_asset_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common movement of all tickers over their last 250 common days."""
+    """Common movement of all tickers over the last 120 days, at every day."""
     from functools import partial
 
     wide = returns(spark, sf_dir).groupBy("date").pivot("ticker", ["AF", "AO", "NF", "NO", "RF", "RO"]).agg(F.first("ret"))
-    last = wide.orderBy(F.desc("date")).limit(250)
     suite = {"stability": kernels.stability, "tail": kernels.tail_correlation, "var": partial(kernels.portfolio_var, weights=np.full(6, 1 / 6))}
-    return kernels.windowed_matrix(last.na.fill(0.0), "date", ["AF", "AO", "NF", "NO", "RF", "RO"], 120, suite).orderBy(F.desc("date"))
+    return kernels.windowed_matrix(wide.na.fill(0.0), "date", ["AF", "AO", "NF", "NO", "RF", "RO"], 120, suite).orderBy(F.desc("date"))
