@@ -33,6 +33,23 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_entry_without_the_training_data_part(tmp_path):
+    """The rest works where the subpackage is gone, even if the pipeline's file stays."""
+    import shutil
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path / name)
+    shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), sum(k[:2] == 'op' and k[2].isdigit() or k == 'pipeline' for k in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES)), "0"], done.stderr
+
+
 def test_whole_series(spark, monkeypatch):
     """Kernels see every day, not only the last ones."""
     from pyspark.sql import functions as F
