@@ -130,13 +130,13 @@ class Series:
 
     # results
 
-    def spark(self, df: DataFrame, keep: Iterable[str], out: dict[str, str], digits: int | None = 4) -> DataFrame:
+    def spark(self, df: DataFrame, keep: Iterable[str], out: dict[str, str], digits: int | None = None) -> DataFrame:
         for stage in self.stages:
             df = df.withColumns({n: F.expr(sql) for n, sql in stage.items()})
         shown = {n: sql if digits is None else rounding(sql, digits) for n, sql in out.items()}
         return df.select(*keep, *(F.expr(sql).alias(n.replace(".", "_")) for n, sql in shown.items()))
 
-    def text(self, base: str, keep: Iterable[str], out: dict[str, str], digits: int | None = 4) -> str:
+    def text(self, base: str, keep: Iterable[str], out: dict[str, str], digits: int | None = None) -> str:
         parts = [f"s0 AS ({base})"]
         for k, stage in enumerate(self.stages):
             parts.append(f"s{k + 1} AS (SELECT *, {', '.join(f'{sql} AS {n}' for n, sql in stage.items())} FROM s{k})")

@@ -130,9 +130,9 @@ def range_position(s: Series, close: str, low: str, high: str, n: int) -> str:
 
 
 def log_slope(s: Series, x: str, n: int) -> str:
-    """Slope of the logarithm on the row number; needs the larger of 5 and half the rows."""
-    y, t = s.let(ln(x)), s.let(f"row_number() {s.row()}")
-    return s.roll2("regr_slope", y, t, n, max(5, n // 2))
+    """Slope of the logarithm on the row number from the n-th row on; needs the larger of 5 and half the values."""
+    y, t = s.let(f"CASE WHEN {x} IS NOT NULL THEN ln(greatest({x}, 1e-12)) END"), s.let(f"row_number() {s.row()}")
+    return s.let(f"CASE WHEN {t} >= {n} THEN {s.roll2('regr_slope', y, t, n, max(5, n // 2))} END")
 
 
 def ma_gap(s: Series, x: str, short: int, long: int) -> str:
@@ -174,10 +174,10 @@ def drawdown(s: Series, x: str, n: int) -> str:
 
 
 def time_in_drawdown(s: Series, r: str, n: int) -> str:
-    """Share of n rows in which compounded returns stand below their running peak."""
+    """Share of n rows, half of them at least, in which compounded returns stand below their running peak."""
     grown = s.let(f"sum(CASE WHEN {s.let(r)} > -1 THEN ln(1 + {s.let(r)}) ELSE 0e0 END) {s.frame(None)}")
     peak = s.let(f"max({grown}) {s.frame(None)}")
-    return mean(s, flag(f"{grown} < {peak} - 1e-12"), n)
+    return mean(s, flag(f"{grown} < {peak} - 1e-12"), n, max(2, n // 2))
 
 
 # volatility
@@ -226,15 +226,16 @@ def semivariance(s: Series, r: str, n: int, down: bool = True) -> str:
 
 
 def up_down_ratio(s: Series, r: str, n: int) -> str:
+    """Deviation of the gains by that of the losses; a missing return counts as none."""
     r = s.let(r)
-    up, down = (std(s, f"CASE WHEN {r} IS NOT NULL THEN {f}({r}, 0e0) END", n) for f in ("greatest", "least"))
+    up, down = (std(s, f"CASE WHEN {r} {sign} 0 THEN {r} ELSE 0e0 END", n) for sign in (">", "<"))
     return s.let(safe_div(up, down))
 
 
 def expected_shortfall(s: Series, r: str, n: int, alpha: float) -> str:
-    """Mean of the values up to the alpha quantile of n rows; ten values suffice."""
+    """Mean of the values up to the alpha quantile of n rows."""
     r = s.let(r)
-    q, v = s.quantile(r, alpha, n, 10), s.values(r, n)
+    q, v = s.quantile(r, alpha, n), s.values(r, n)
     return s.let(s.mean_where(v, f"v <= {q}"))
 
 

@@ -32,6 +32,35 @@ def z_to_prob_sigmoid(z: Column, scale: float = 1.0) -> Column:
     return 1 / (1 + F.exp(-z / max(scale, 1e-9)))
 
 
+def rank_to_prob(c: str, by: Sequence[str]) -> Column:
+    """A rank as a probability; percent where the group's largest exceeds 1.5."""
+    top = F.max(f"`{c}`").over(Window.partitionBy(*by))
+    x = F.col(f"`{c}`")
+    return clip01(F.when(top > 1.5, x / 100).otherwise(x))
+
+
+def is_z_like(name: str) -> bool:
+    """Whether a feature's name says that it is a z-score."""
+    low = name.lower()
+    return low.endswith("_z") or any(mark in low for mark in ("_z/", ".z", "zscore"))
+
+
+def is_rank(name: str) -> bool:
+    return name.lower().startswith("cs.rank")
+
+
+def soft_signal(columns: Sequence[str], prefix: str, by: Sequence[str], softness: float, threshold: float) -> Column:
+    """Whether the smallest probability of the features of a family exceeds the threshold; false without a feature.
+
+    Z-scores become probabilities by tanh, others by their rank.  Events use ``EV_``, 2 and 0.3; options ``opt.``, 1.5 and 0.4.
+    """
+    found = [c for c in columns if c.startswith(prefix) or prefix == "opt." and prefix in c.lower()]
+    if not found:
+        return F.lit(False)
+    probs = [z_to_prob_tanh(F.col(f"`{c}`"), softness) if is_z_like(c) else rank_to_prob(c, by) for c in found]
+    return F.coalesce(soft_and(*probs) > threshold, F.lit(False))
+
+
 def soft_and(*probs: Column) -> Column:
     """Smallest probability; null if any is."""
     known = F.lit(True)

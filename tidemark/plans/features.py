@@ -199,16 +199,16 @@ def stages(family: str, lagged: bool = True, engine: str = "spark", by: tuple[st
     return s, {n: s.lag(x) if lagged else x for n, x in out.items()}
 
 
-def compute(panel: DataFrame, family: str, lagged: bool = True, by: tuple[str, ...] = ("ticker",), keep: Iterable[str] = ("ticker", "date")) -> DataFrame:
-    """The family's features of every row of the panel."""
+def compute(panel: DataFrame, family: str, lagged: bool = True, by: tuple[str, ...] = ("ticker",), keep: Iterable[str] = ("ticker", "date"), digits: int | None = None) -> DataFrame:
+    """The family's features of every row of the panel; rounded only if ``digits`` is given."""
     s, out = stages(family, lagged, by=by)
-    return s.spark(panel, keep, out)
+    return s.spark(panel, keep, out, digits)
 
 
-def text(base: str, family: str, lagged: bool = True, by: tuple[str, ...] = ("ticker",), keep: Iterable[str] = ("ticker", "date")) -> str:
+def text(base: str, family: str, lagged: bool = True, by: tuple[str, ...] = ("ticker",), keep: Iterable[str] = ("ticker", "date"), digits: int | None = None) -> str:
     """The same as DuckDB SQL."""
     s, out = stages(family, lagged, "duckdb", by)
-    return s.text(base, keep, out)
+    return s.text(base, keep, out, digits)
 
 
 # registry catalogue

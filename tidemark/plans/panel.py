@@ -86,19 +86,20 @@ PANEL = f"""SELECT b.*, {', '.join(f'm.{c} AS b_{c}, v.{c} AS v_{c}' for c in MA
   LEFT JOIN ({BARS}) m ON m.date = b.date AND m.ticker = '{BENCHMARK}'
   LEFT JOIN ({BARS}) v ON v.date = b.date AND v.sector = b.sector AND v.ticker = b.sector || 'F'"""
 
-#: Stand-ins of the macro series among the tickers.
-MACRO = {"y10": "AF", "y2": "NF", "dxy": "NO", "hg": "RF", "xau": "AO", "btc": "RO"}
+#: Stand-ins of the macro series among the tickers; dxy is the day's highest, so that it has every day.
+MACRO = {"y10": "AF", "y2": "NF", "hg": "RF", "xau": "AO", "btc": "RO"}
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a day with the last prices of the macro series."""
     b = bars(spark, sf_dir)
     last = {n: F.max(F.when(F.col("ticker") == t, F.col("px_last"))).alias(n) for n, t in MACRO.items()}
-    return b.groupBy("date").agg(*last.values()).withColumn("all_days", F.lit(1))
+    return b.groupBy("date").agg(*last.values(), F.max("px_last").alias("dxy")).withColumn("all_days", F.lit(1))
 
 
 MACRO_SQL = (
     "SELECT date, 1 AS all_days, "
     + ", ".join(f"max(CASE WHEN ticker = '{t}' THEN px_last END) AS {n}" for n, t in MACRO.items())
+    + ", max(px_last) AS dxy"
     + f" FROM ({BARS}) GROUP BY date"
 )
