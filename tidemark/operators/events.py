@@ -94,6 +94,35 @@ def daily(rows: DataFrame, buckets: Sequence[str]) -> DataFrame:
     return rows.groupBy("release_date").agg(*aggs)
 
 
+def divergence(a: Column, b: Column) -> Column:
+    """1 where two buckets' means point the same way, -1 where they don't, 0 where one is missing or zero."""
+    return F.signum(F.coalesce(F.signum(a), F.lit(0.0)) * F.coalesce(F.signum(b), F.lit(0.0)))
+
+
+def bundle(rows: DataFrame, inflation: str, growth: str, tail: float = 2.0) -> DataFrame:
+    """Event columns of every calendar day from the first release to the last: heat, known before the day, and composites.
+
+    The composites (mean surprise, inflation and growth buckets, divergence, trailing tail share) are those of the
+    day's own releases, moved one row on; days without releases have none, but for the trailing share.
+    """
+    z, w = F.col("z"), F.col("weight")
+    own = rows.groupBy("release_date").agg(
+        F.sum("weight").alias("weight_sum"), weighted_mean(z, w).alias("ev_z"), weighted_mean(z, w, F.col("event") == inflation).alias("ev_inflation"),
+        weighted_mean(z, w, F.col("event") == growth).alias("ev_growth"), F.avg(F.coalesce(F.abs(z) >= tail, F.lit(False)).cast("double")).alias("_tail"),
+    ).withColumn("ev_divergence", divergence(F.col("ev_inflation"), F.col("ev_growth")))
+    o = Window.orderBy("release_date")
+    last = o.rowsBetween(-20, 0)
+    full = spine(own).join(own, "release_date", "left")
+    full = full.withColumns(
+        {
+            "ev_heat_3": F.sum(F.coalesce("weight_sum", F.lit(0.0))).over(o.rowsBetween(-2, 0)),
+            "ev_tail_21": F.when(F.count("_tail").over(last) >= 5, F.avg("_tail").over(last)),
+        }
+    )
+    realised = ["ev_z", "ev_inflation", "ev_growth", "ev_divergence", "ev_tail_21"]
+    return lagged(full.select("release_date", "ev_heat_3", *realised), realised)
+
+
 def spine(days: DataFrame, day: str = "release_date") -> DataFrame:
     """Every calendar day from the first to the last."""
     span = days.agg(F.min(day).alias("a"), F.max(day).alias("b"))

@@ -5,11 +5,12 @@ Ratios that would be infinite are null; ``*_raw`` columns say ``inf`` where that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,19 +198,32 @@ def bootstrap(
 def exclusive(ledger: DataFrame, by: Sequence[str], cooldown: int, far: int = 3650) -> DataFrame:
     """Trades that start after the last kept exit and a cooldown; an open trade blocks ``far`` days.
 
-    Greedy in the order of trigger and id, so a fold over each group's sorted trades, inside Spark.
+    Greedy in the order of trigger, id and exit.  A group's sorted rows stream by: a worker holds a batch and the day
+    up to which the group is blocked, and jumps from one kept trade to the next.  Trades without a trigger go.
     """
-    item = F.struct("trigger_date", "trade_id", "exit_date")
-    start = F.struct(F.lit(None).cast("date").alias("until"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        free = acc.until.isNull() | (t.trigger_date > acc.until)
-        end = F.coalesce(t.exit_date, F.date_add(t.trigger_date, far))
-        took = F.struct(F.date_add(end, cooldown).alias("until"), F.concat(acc.kept, F.array(t.trade_id)).alias("kept"))
-        return F.when(free, took).otherwise(acc)
-
-    kept = ledger.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s"))
-    return ledger.join(kept.select(F.explode("s.kept").alias("trade_id")), "trade_id", "left_semi")
+    end = F.coalesce("exit_date", F.date_add("trigger_date", far))
+    rows = ledger.where("trigger_date is not null").select("*", F.struct(*by).cast("string").alias("_group"), F.unix_date("trigger_date").alias("_from"), F.unix_date(F.date_add(end, cooldown)).alias("_until"))
+    columns = ledger.columns
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "trigger_date", "trade_id", F.asc_nulls_last("exit_date"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, blocked = None, 0
+        for batch in batches:
+            names = batch.column("_group").to_pylist()
+            begin, until = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_from", "_until"))
+            heads = [k for k, name in enumerate(names) if not k or name != names[k - 1]]
+            kept = []
+            for a, b in zip(heads, [*heads[1:], len(names)]):
+                if names[a] != group:
+                    group, blocked = names[a], -(1 << 31)
+                k = a
+                while (k := max(k, a + int(np.searchsorted(begin[a:b], blocked, "right")))) < b:
+                    kept.append(k)
+                    blocked = int(until[k])  # may lie before the trigger
+                    k += 1
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
+
+    return dealt.mapInArrow(run, ledger.schema)
 
 
 def trade_key(*parts: Column) -> Column:

@@ -37,21 +37,37 @@ def delta(s: Column, k: Column, t: Column, r: Column, v: Column, call: Column) -
     return F.when(call, d).otherwise(d - 1)
 
 
-def strike_for_delta(s: Column, target: Column, t: Column, r: Column, v: Column, call: Column, rounds: int = 30) -> Column:
-    """Strike whose delta is the target, between a fifth and five times the spot, by bisection.
+# Coefficients of a rational approximation of the normal quantile, good to 1.2e-9 of its size.
+QUANTILE_TAIL = 0.02425
+QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+QUANTILE_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+QUANTILE_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QUANTILE_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
+def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + c
+    return out
 
-    A fold over a short sequence keeps the search inside Spark.
-    """
-    low, high = F.log(s * 0.2), F.log(s * 5.0)
-    start = F.struct(low.alias("low"), high.alias("high"))
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc.low + acc.high) / 2
-        above = delta(s, F.exp(mid), t, r, v, call) > target  # delta falls as the strike grows
-        return F.struct(F.when(above, mid).otherwise(acc.low).alias("low"), F.when(above, acc.high).otherwise(mid).alias("high"))
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile; null outside of 0 to 1."""
+    q = p - 0.5
+    u = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    middle = q * _polynomial(q * q, QUANTILE_A) / _polynomial(q * q, QUANTILE_B)
+    tail = _polynomial(u, QUANTILE_C) / _polynomial(u, QUANTILE_D)
+    return F.when(
+        (p > 0) & (p < 1), F.when(p < QUANTILE_TAIL, tail).when(p > 1 - QUANTILE_TAIL, -tail).otherwise(middle)
+    )
+
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return F.exp((found.low + found.high) / 2)
+def strike_for_delta(s: Column, target: Column, t: Column, r: Column, v: Column, call: Column) -> Column:
+    """Strike whose delta is the target, between a fifth and five times the spot: the pricing formula solved for the strike."""
+    t, v = _sane(t, v)
+    d1 = normal_quantile(F.when(call, target).otherwise(target + 1))
+    return F.least(F.greatest(s * F.exp((r + v * v / 2) * t - v * F.sqrt(t) * d1), s * 0.2), s * 5.0)
 
 
 def clean_iv(iv: Column) -> Column:
@@ -94,6 +110,65 @@ def tenor_of(horizon: Column, grid: tuple[int, ...] = (63,)) -> Column:
     return out
 
 
+def market_vol(bars: DataFrame, px: str, name: str, by: str = "ticker", order: str = "date", n: int = 20) -> DataFrame:
+    """Adds ``name``: annual volatility of the last n logarithmic changes, from the (n + 2)-th price on; null if it is 0."""
+    w = Window.partitionBy(by).orderBy(order)
+    rows = bars.withColumn("_change", F.log(F.col(px) / F.lag(px).over(w)))
+    sd = F.stddev_samp("_change").over(w.rowsBetween(1 - n, 0))
+    return rows.withColumn(name, F.when((F.count(px).over(w) >= n + 2) & (sd > 0), sd * F.sqrt(F.lit(252.0)))).drop("_change")
+
+
+def slippage(tenor: Column, days_15: float = 0.0, days_30: float = 0.0, days_any: float = 0.0) -> Column:
+    """Slippage by the tenor's tier."""
+    return F.when(tenor <= 15, days_15).when(tenor <= 30, days_30).otherwise(days_any)
+
+
+def policy_id(enabled: Column, mode: str, horizon: Column) -> Column:
+    name = "moonshot" if mode == "moonshot" else "regime_aware"
+    return F.when(enabled, F.concat(F.lit(f"{name}_h"), horizon.cast("string"))).otherwise("disabled")
+
+
+def risk_free(quotes: list[Column], constant: float = 0.0) -> Column:
+    """The first known yield, a percentage if above 1, else the constant."""
+    first = F.coalesce(*quotes) if quotes else F.lit(None).cast("double")
+    return F.coalesce(F.when(first > 1, first / 100).otherwise(first), F.lit(constant))
+
+
+def missing_quotes(columns: list[str]) -> Column:
+    """Names of the volatility columns without a value."""
+    return F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)))
+
+
+def anchor(kind: str, call: Column, three_months: tuple[str, str], thirty_days: tuple[str, str], smile: tuple[str, str], needed: list[str]) -> tuple[Column, Column, Column]:
+    """(volatility, its reference days, whether it fell back): ``3M``, ``30D`` or ``1M`` quotes, the first where one of ``needed`` is missing."""
+    side = lambda pair: clean_iv(F.when(call, F.col(pair[0])).otherwise(F.col(pair[1])))
+    if kind == "3M":
+        return side(three_months), F.lit(63), F.lit(False)
+    back = F.size(missing_quotes(needed)) > 0
+    own = side(thirty_days if kind == "30D" else smile)
+    return F.when(back, side(three_months)).otherwise(own), F.when(back, 63).otherwise(21), back
+
+
+def priced_leg(s0: Column, s1: Column, strike: Column, days: Column, held: Column, r: Column, call: Column, entry_iv: Column, exit_iv: Column) -> tuple[Column, Column]:
+    """Prices of one option at entry and after ``held`` business days, a day of life left at least."""
+    year = 252.0
+    left = F.greatest(days - held, F.lit(1))
+    enter, leave = price(s0, strike, days / year, r, entry_iv, call), price(s1, strike, left / year, r, exit_iv, call)
+    return F.greatest(enter, F.lit(0.0)), F.greatest(leave, F.lit(0.0))
+
+
+def structure_key(option_type: Column, horizon: Column, strike: Column, underlying: Column, delta_: Column, width: Column | None = None) -> Column:
+    """Text that names a trade's option structure: type, tenor, strike relative to the spot, delta, width."""
+    relative = F.when(underlying != 0, strike / underlying - 1)
+    parts = [
+        F.concat(F.lit("type="), F.lower(F.coalesce(option_type, F.lit("unknown")))),
+        F.coalesce(F.format_string("tenor=%dd", horizon.cast("int")), F.lit("tenor=NA")) if horizon is not None else F.lit("tenor=NA"),
+        F.when(relative.isNotNull(), F.format_string("strike_rel=%.4f", relative)).otherwise(F.concat(F.lit("strike="), F.coalesce(strike.cast("string"), F.lit("None")))),
+        F.when(delta_.isNotNull(), F.format_string("delta=%.3f", delta_)).otherwise("delta=NA"),
+    ]
+    return F.concat_ws(";", *parts, *([F.when(width.isNotNull(), F.format_string("width=%.3f", width))] if width is not None else []))
+
+
 def smile_iv(target: Column, d10: Column, d25: Column, d40: Column) -> Column:
     """Volatility at an absolute delta, linear between the 10, 25 and 40 delta quotes, flat beyond."""
     a = F.abs(target)

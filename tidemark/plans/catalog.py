@@ -38,11 +38,14 @@ OTHERS = {c: sorted({t for ts, cs in SELF.items() if c in cs for t in ts}) for c
 def _family(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     if family == "macro":
         return features.compute(panel.macro(spark, sf_dir), family, by=("all_days",), keep=("date",), digits=DIGITS)
-    rows = features.compute(panel.panel(spark, sf_dir), family, digits=DIGITS)
+    rows = features.compute((panel.event_panel if family == "ev" else panel.panel)(spark, sf_dir), family, digits=DIGITS)
     return rows.withColumns({c: F.when(~F.col("ticker").isin(ts), F.col(c)) for c, ts in OTHERS.items()}) if family == "cross" else rows
 
 
 for _f in features.REGISTRY:
+    if _f == "ev":
+        add("features_ev", partial(_family, family="ev"), panel.EVENT_FEATURES)
+        continue
     _sql = (
         features.text(panel.MACRO_SQL, _f, by=("all_days",), keep=("date",), digits=DIGITS)
         if _f == "macro"

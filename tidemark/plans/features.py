@@ -169,6 +169,17 @@ _add(
     k__hysteresis=lambda s: R.hysteresis(s, R.zscore(s, C, 21), 1.0, 0.0, 2, 2),
     k__recent_breakout=lambda s: R.within(s, f"{R.breakout(s, C, 21)[0]} = 1"),
 )
+mom = lambda s, n: R.pct_change(s, C, n)
+_add(
+    "ev",
+    ev__gated_mom21=lambda s: s.let(f"{mom(s, 21)} * {R.flag(f'ev_heat_3 < {s.quantile('ev_heat_3', 0.5, 7)}')}"),
+    ev__tail_carry=lambda s: R.ewma(s, "ev_z", span=5, least=2),
+    ev__infl_beta_gate=lambda s: s.let(f"ev_inflation * {R.beta(s, R.ret(s), R.pct_change(s, 'dxy', 1), 63)}"),
+    ev__growth_rotation=lambda s: s.let(f"ev_growth * ({R.pct_change(s, 'v_px_last', 21)} - {R.pct_change(s, 'b_px_last', 21)})"),
+    ev__intensity_gated_mom=lambda s: s.let(f"{mom(s, 21)} * ev_heat_3"),
+    ev__regime_sensitivity=lambda s: s.let(f"ev_divergence * {R.beta(s, R.ret(s), bench(s), 63)}"),
+    ev__vol_regime_gate=lambda s: s.let(f"{mom(s, 5)} * {R.flag('ev_tail_21 > 0.5e0')}"),
+)
 _add(
     "macro",
     macro__2s10s_slope=lambda s: s.let("y10 - y2"),

@@ -361,17 +361,14 @@ def benchmark_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.regression_on(x.join(b, "date"), ["ticker"], "ret", "bench"), 5, alpha=4, tracking_error=4)
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY setup_id ORDER BY trigger_date, trade_id, exit_date) AS k FROM ({TRADES}) WHERE setup_id % 10 = 1 AND horizon = 2 AND trade_id IN (SELECT trade_id FROM ({TRADES}) GROUP BY 1 HAVING count(*) = 1)),
+@query(f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY setup_id ORDER BY trigger_date, trade_id, exit_date NULLS LAST) AS k FROM ({TRADES})),
   w AS (SELECT setup_id, k, trade_id, true AS kept, coalesce(exit_date, trigger_date + 3650) + 5 AS until FROM t WHERE k = 1
     UNION ALL SELECT t.setup_id, t.k, t.trade_id, t.trigger_date > w.until, CASE WHEN t.trigger_date > w.until THEN coalesce(t.exit_date, t.trigger_date + 3650) + 5 ELSE w.until END
     FROM w JOIN t ON t.setup_id = w.setup_id AND t.k = w.k + 1)
   SELECT setup_id, count(*) AS kept FROM w WHERE kept GROUP BY setup_id""")
 def exclusive_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of each setup that don't overlap an earlier kept one and its cooldown."""
-    t = trades(spark, sf_dir)
-    once = t.groupBy("trade_id").count().where("count = 1")
-    t = t.where("setup_id % 10 = 1 and horizon = 2").join(once, "trade_id", "left_semi")
-    return ledger.exclusive(t, ["setup_id"], 5).groupBy("setup_id").agg(F.count("*").alias("kept"))
+    return ledger.exclusive(trades(spark, sf_dir), ["setup_id"], 5).groupBy("setup_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"""WITH k AS (SELECT substr(sha256(concat_ws('|', CAST(setup_id AS VARCHAR), ticker, CAST(trigger_date AS VARCHAR), CAST(horizon AS VARCHAR))), 1, 16) AS key, pnl_dollars, capital FROM ({TRADES}))
@@ -577,7 +574,12 @@ def calendar_holdouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.calendar_holdouts(days(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM ({DAYS})), n AS (SELECT max(n) AS n FROM c),
+  f AS (SELECT CAST(unnest(range(0, 1000)) AS INT) AS number, n FROM n), g AS (SELECT number, 257 + 63 * number AS a, least(257 + 63 * number + 63, n) AS e, n FROM f WHERE 257 + 63 * number + 5 <= n AND (number = 0 OR 257 + 63 * number < n)),
+  h AS (SELECT number, (SELECT date FROM c WHERE k = 0) AS train_start, p.date AS train_end, s.date AS test_start, x.date AS test_end, 5 AS purge_days, 21 AS embargo_days, e = g.n AS is_tail
+    FROM g JOIN c p ON p.k = a - 6 JOIN c s ON s.k = a JOIN c x ON x.k = e - 1),
+  t AS (SELECT number, count(*) AS test_trades FROM h JOIN ({TRADES}) ON trigger_date BETWEEN test_start AND test_end GROUP BY number)
+  SELECT h.*, 'PAWF_v1|OUTER:' || strftime(test_start, '%Y%m') || '|H:5|E:63|P:5|EMB:21|REG:R0' AS split_id, test_trades FROM h LEFT JOIN t USING (number)""")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored folds of the calendar with the trades in each test window."""
     cal = [row.date for row in days(spark, sf_dir).orderBy("date").toLocalIterator()]
@@ -611,9 +613,30 @@ def option_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, strike=4)
 
 
-@query()
+def normal_sql(x: str) -> str:
+    """The normal distribution by the same published approximation."""
+    a, t = f"abs({x})", f"(1 / (1 + 0.2316419 * abs({x})))"
+    poly = f"({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    upper = f"exp(-{a} * {a} / 2) / sqrt(2 * pi()) * {poly}"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+def price_sql(s: str, k: str, t: str, v: str, rate: str = "0") -> str:
+    """Call price: spot, strike, years, volatility, rate."""
+    d1 = f"((ln({s} / {k}) + ({rate} + {v} * {v} / 2) * {t}) / ({v} * sqrt({t})))"
+    return f"({s} * ({normal_sql(d1)}) - {k} * exp(-{rate} * {t}) * ({normal_sql(f'({d1} - {v} * sqrt({t}))')}))"
+
+
+# 25 % quantile of the normal distribution
+Q25 = -0.6744897501960817
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * 1.02 AS k, p_size / 252e0 AS t FROM part),
+  y AS (SELECT *, {price_sql('s', 'k', 't', '0.25', '0.01')} AS call, (ln(s / k) + (0.01 + 0.25 * 0.25 / 2) * t) / (0.25 * sqrt(t)) AS d1 FROM x)
+  SELECT p_partkey, {r('call', 4)} AS call, {r('call - s + k * exp(-0.01 * t)', 4)} AS put, {r(normal_sql('d1'), 4)} AS delta,
+    {r(f'least(greatest(s * exp((0.01 + 0.25 * 0.25 / 2) * t - 0.25 * sqrt(t) * {Q25}), 0.2 * s), 5 * s)', 4)} AS strike_25 FROM y""")
 def option_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices, deltas and delta strikes over the parts; checked by parity and against a reference in the tests."""
+    """Prices, deltas and delta strikes over the parts."""
     p = read(spark, sf_dir, "part")
     s, k, t, v, zero = F.col("p_retailprice"), F.col("p_retailprice") * 1.02, F.col("p_size") / 252.0, F.lit(0.25), F.lit(0.01)
     strike = options.strike_for_delta(s, F.lit(0.25), t, zero, v, F.lit(True))
@@ -624,7 +647,20 @@ def option_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4)
 
 
-@query()
+STEP = "CASE WHEN s0 < 25 THEN 0.5 WHEN s0 < 50 THEN 1e0 WHEN s0 < 200 THEN 2.5 WHEN s0 < 500 THEN 5e0 ELSE 10e0 END"
+
+
+@query(f"""WITH b AS (SELECT ticker, date, px_last, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos, CASE WHEN iv3mc > 0 THEN least(greatest(CASE WHEN iv3mc > 2 THEN iv3mc / 100 ELSE iv3mc END, 2e-4), 5e0) END AS v FROM ({BARS})),
+  e AS (SELECT f.ticker, b.pos, f.date AS trigger_date, px_last AS s0, v FROM ({_feat_sql()}) f JOIN b ON b.ticker = f.ticker AND b.date = f.date WHERE feature = 'volume' AND z > 2),
+  k AS (SELECT *, least(greatest(round_even(s0 / {STEP}, 0) * {STEP}, s0 * 0.5), s0 * 1.5) AS strike FROM e),
+  m AS (SELECT k.ticker, k.pos, k.trigger_date, s0, strike, b.pos - k.pos AS step, b.px_last AS px, b.v AS iv, (63 - (b.pos - k.pos)) / 252e0 AS t FROM k JOIN b ON b.ticker = k.ticker AND b.pos BETWEEN k.pos AND k.pos + 10),
+  p AS (SELECT *, {price_sql('px', 'strike', 't', 'iv')} AS mark FROM m), g AS (SELECT *, first(mark) OVER (PARTITION BY ticker, pos ORDER BY step) AS entry_price FROM p),
+  h AS (SELECT *, mark / entry_price - 1 AS gain, CASE WHEN mark / entry_price - 1 >= 1.5 THEN 'profit_target' WHEN mark / entry_price - 1 <= -0.8 THEN 'stop_loss'
+      WHEN 1 - step / 63e0 <= 0.1 AND mark / entry_price - 1 >= 0.4 THEN 'near_expiry' WHEN step = 10 THEN 'max_horizon' END AS rule FROM g),
+  x AS (SELECT ticker, pos, arg_min(struct_pack(step := step, rule := rule, mark := mark, gain := gain), step) AS x FROM h WHERE step > 0 AND rule IS NOT NULL GROUP BY 1, 2)
+  SELECT h.ticker, CAST(h.pos AS INT) AS pos, h.trigger_date, {r('h.s0', 4)} AS s0, {r('h.strike', 4)} AS strike, {r('h.entry_price', 4)} AS entry_price, CAST(x.x.step AS INT) AS exit_step, x.x.rule AS exit_reason,
+    {r('x.x.mark', 4)} AS exit_price, {r('x.x.gain', 4)} AS pnl_pct, CAST(floor(1000 / greatest(h.entry_price, 1e-9)) AS BIGINT) AS contracts, {r('(x.x.mark - h.entry_price) * floor(1000 / greatest(h.entry_price, 1e-9))', 4)} AS pnl_dollars
+  FROM h LEFT JOIN x ON x.ticker = h.ticker AND x.pos = h.pos WHERE h.step = 0""")
 def option_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades simulated from volume breakouts."""
     w = Window.partitionBy("ticker").orderBy("date")
