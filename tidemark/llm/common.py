@@ -7,6 +7,9 @@ costs the tasks it was running.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The C library's call for it, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+#: Keys with this part of all rows or more are joined by broadcast, so there are as many at most.
+HOT_KEYS = 4096
+
 #: Characters that separate words in the contracts: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -26,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one where none is set and all runs on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.gettempdir()}/tidemark-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,26 +62,50 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], total: int, count: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with their ``groups``, of which ``count`` tells how many of the ``total`` rows each key has.
+
+    Rows of hot keys meet the broadcast groups where they are, so no key comes to one task; the others are shuffled,
+    whatever the size of ``groups``.  It has no null key and is read three times, so it should be a table or cheap.
+    """
+    n = F.col(count) * HOT_KEYS
+    hot = F.broadcast(groups.where(n >= total))  # HOT_KEYS rows at most
+    cold = rows.join(hot, on, "left_anti").join(groups.where(n < total).hint("merge"), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed() -> None:
+    """Gives freed memory of this Python worker back, so that idle workers of earlier stages stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
     schema: T.StructType | str,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``fn`` over every Arrow batch; memory is bounded by one batch."""
+    """``fn`` over every Arrow batch, then ``after``; memory is bounded by one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
+        if after:
+            after()
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
 
-def groups_of(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+def groups_of(column: pa.Array, size: int = 1 << 18) -> Iterator[list[str]]:
     """The texts of a column, null as empty, in lists of about ``size`` characters."""
     held, n = [], 0
     for value in column:
