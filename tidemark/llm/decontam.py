@@ -10,11 +10,17 @@ aligned within the band, with free ends in the text.
 
 The filter loses nothing, so the result equals a full search.  Items form blocks
 of ``BLOCK`` characters; each block is indexed on the driver, sent to the tasks
-and searched in one pass over the texts.  Where the bound is below 1 with ``q``, the
+and searched in one pass over the texts, so a benchmark of many blocks takes as many.
+Grams that many items share meet many places of a text: such pairs are counted
+``HITS`` at a time, and only counts of bands are kept.  Where the bound is below 1 with ``q``, the
 item has an index of the longest grams whose bound is 2 (8 for 17 to 19 characters).
 Items shorter than ``q`` characters leak by an exact copy as whole words; next to a
 character of a script without spaces, a word may begin and end anywhere.
 Null texts and items, and those without a word, have no characters and don't leak.
+Every row and item is searched by itself: ids may be null or repeat, and repeated rows
+have repeated results.  Of equal regions of an item the first is reported.  Texts of
+any length are searched whole.  Other columns are not read, whatever their names.
+No texts or no items give no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from tidemark.llm.common import groups_of, map_batches
 BLOCK = 1_000_000
 FILTER_BITS = 22
 ALIGNED_AT_ONCE = 512
+HITS = 1 << 20
 _GAPS = re.compile(r"[\W_]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 
@@ -174,6 +181,27 @@ def banded_edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[
     return best
 
 
+def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places lo, lo + 1, ... of the index, ``n`` for each."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def exact_copies(
+    codes: np.ndarray, starts: np.ndarray, pieces: list[tuple[np.ndarray, ...]], index: Index
+) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item) -> (0, begin, end) of the first place where the item stands as whole words."""
+    firsts: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for at, lo, n in pieces:
+        item, at = index.of[spread(lo, n)], np.repeat(at, n)
+        same = whole_words(codes, at, index.q)
+        for j in range(index.q):
+            same &= codes[at + j] == np.array([i[j] for i in index.items], np.uint32)[item]
+        text = np.searchsorted(starts, at, "right") - 1
+        for t, i, begin in zip(text[same].tolist(), item[same].tolist(), (at - starts[text])[same].tolist()):
+            firsts.setdefault((t, i), (0, begin, begin + index.q))
+    return firsts
+
+
 def find_in(parts: list[np.ndarray], index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item) -> (edits, begin, end) of the best region, for the pairs that leak."""
     pad = np.zeros(int(index.edits.max()) + 2, np.uint32)
@@ -186,23 +214,22 @@ def find_in(parts: list[np.ndarray], index: Index) -> dict[tuple[int, int], tupl
     at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
     if not len(at):
         return {}
-    which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item = index.of[which]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(HITS, n.sum() + HITS, HITS), "left")
+    cuts = np.unique(np.minimum(cuts, len(n) - 1))
+    pieces = [slice(a, b + 1) for a, b in zip(np.r_[0, cuts[:-1] + 1], cuts)]
     if index.whole:
-        at = np.repeat(at, n)
-        same = whole_words(codes, at, index.q)
-        for j in range(index.q):
-            same &= codes[at + j] == np.array([i[j] for i in index.items], np.uint32)[item]
-        firsts: dict[tuple[int, int], tuple[int, int, int]] = {}
-        text = np.searchsorted(starts, at, "right") - 1
-        for t, i, begin in zip(text[same].tolist(), item[same].tolist(), (at - starts[text])[same].tolist()):
-            firsts.setdefault((t, i), (0, begin, begin + index.q))
-        return firsts
-    step = index.edits[item] + 1
-    band = (np.repeat(at, n) - index.at[which]) // step + 1  # from 0: an item may begin before the text
-    key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])
-    key, count = np.unique(key[key & ((1 << 40) - 1) >= 0], return_counts=True)
-    item, band = key >> 40, key & ((1 << 40) - 1)
+        return exact_copies(codes, starts, [(at[p], lo[p], n[p]) for p in pieces], index)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for p in pieces:
+        which = spread(lo[p], n[p])
+        item = index.of[which]
+        step = index.edits[item] + 1
+        band = (np.repeat(at[p], n[p]) - index.at[which]) // step + 1  # from 0: an item may begin before the text
+        key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])
+        key, count = np.unique(key[key & ((1 << 40) - 1) >= 0], return_counts=True)
+        keys, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, count]), len(keys)).astype(np.int64)
+    item, band, count = keys >> 40, keys & ((1 << 40) - 1), counts
     reached = count >= index.bound[item]
     item, band = item[reached], band[reached]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -225,7 +252,7 @@ def find_in(parts: list[np.ndarray], index: Index) -> dict[tuple[int, int], tupl
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in lists of about ``BLOCK`` characters; the driver holds one at a time."""
+    """The items in lists of about ``BLOCK`` characters."""
     held, size = [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
         held.append((row[0], row[1]))
