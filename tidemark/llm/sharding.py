@@ -6,12 +6,17 @@ capacity is highest, among those it fits in.
 
 What the driver packs is bounded: groups that reach 1/``grain`` of a shard in some
 dimension are items of their own (at most 3 * grain * shards), all others join
-one of grain * shards bundles by the hash of their text.  A group beyond half a
-shard is split into pieces, for one text may hold a third of all rows.
+one of grain * shards bundles by the hash of their text.  Only a group that no
+shard can hold, because it exceeds a shard's share of some dimension, is split into
+as few pieces as fit, by the hash of the id, for one text may hold a third of all rows.
 
 The law that holds is ``bytes``: sizes near equal.  Slots count the rows of a
 shard from 0, through the counts of small cells.  Null texts are one group with
-no bytes besides the row's overhead; with no rows the result is empty.
+no bytes besides the row's overhead, as are empty texts another; with no rows the
+result is empty.  Ids may be null or repeat: every row has a slot of its own, and
+which of equal rows has which doesn't show.  Of shards with equal room the first
+is taken.  A row is never split, so a text beyond a shard's share makes that shard
+larger.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,8 +74,7 @@ def shard(
     room = {c: totals[c] / shards for c in LOADS}
     fill = F.greatest(*(F.col(c) / room[c] for c in LOADS))
     groups = rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in LOADS)).withColumn("fill", fill)
-    large = groups.where(F.col("fill") * grain >= 1).select("key", F.ceil(F.col("fill") * 2).alias("pieces"))
-    large = large.withColumn("pieces", F.when(F.col("pieces") <= 1, F.lit(1)).otherwise(F.col("pieces")))
+    large = groups.where(F.col("fill") * grain >= 1).select("key", F.ceil("fill").alias("pieces"))
     bundle = F.concat(F.lit("bundle-"), F.pmod(F.xxhash64("key"), F.lit(grain * shards)).cast("string"))
     piece = F.concat_ws("-", "key", F.pmod(F.xxhash64("id", F.lit("piece")), "pieces").cast("string"))
     named = rows.join(F.broadcast(large), "key", "left").withColumn(
