@@ -12,10 +12,13 @@ Features are rates: for a word and its prefixes of 4 to 6 letters, the share of
 the text's words that have it, relative to ``full_rate`` and at most 1.  Those
 whose mean in P most exceeds that in U, against their spread, are kept.
 
-P and U are bounded samples (``Params``), taken by the smallest hash of the id;
-the prior comes from the labelled rows.  Every whole text is scored.  Null and
-empty texts have no features and get the model's bias; without any confirmed
-toxic text every score is 0.
+P and U are bounded samples (``Params``), taken by the smallest hash of the id; an id
+with many rows counts once, with the text of the smallest hash.  The
+prior comes from the labelled rows.  Every whole text is scored by itself, so ids may
+be null or repeat.  Null and empty texts have no features and get the model's bias;
+without any confirmed toxic text every score is 0.  Of features with equal gaps the
+lower bucket is kept.  Columns besides id, text and label are not read, whatever
+their names.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -104,7 +107,9 @@ def sample_rates(docs: DataFrame, known: DataFrame, n: int, full_rate: float, id
             ["h", "buckets", "rates"],
         )
 
-    picked = docs.join(F.broadcast(ids), id_col).select(F.col("_h").alias("h"), F.col(text_col).cast("string"))
+    text = F.col(text_col).cast("string")
+    picked = docs.join(F.broadcast(ids), id_col).select(F.col("_h").alias("h"), F.xxhash64(text).alias("th"), text.alias("t"))
+    picked = picked.groupBy("h").agg(F.min_by("t", "th").alias("t"))
     got = map_batches(picked, run, "h bigint, buckets array<int>, rates array<float>").toArrow().sort_by("h")
     lists = got.column("buckets").combine_chunks()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
