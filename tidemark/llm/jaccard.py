@@ -30,8 +30,13 @@ Lists are scanned in two rounds, and pairs are verified on whole texts:
 So no link between two components is lost, and a group's pairs aren't enumerated.
 Hot lists are cut into salted parts whose pivots meet in a list of their own.
 
-Shingles and sets are compared by 64-bit hashes.  Null and wordless texts have
-the empty set and link with nothing, not even each other.
+Shingles are compared by 64-bit hashes.  Sets have 64-bit names; a second hash finds
+different sets of one name, and these go by that hash.  A set stands for all texts
+that have it and takes one of them, by its own hash, to be verified; so rows may
+repeat, and an id may be null or have several texts: each row gets the component of
+its own text, named by the smallest id in it that isn't null.  Null and wordless
+texts have the empty set and link with nothing, not even each other.  Other columns
+are not read, whatever their names.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_saved, groups_of, map_batches, saved, shuffle_width
+from tidemark.llm.common import drop_saved, groups_of, join_counted, map_batches, saved, shuffle_width, trimmed
 from tidemark.llm.components import connected_components
 
 SKETCH_BITS = 18
@@ -56,6 +61,7 @@ LARGEST_LIGHT = 24
 PART = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_SALTS = (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)
 
 
 @dataclass(frozen=True)
@@ -87,6 +93,10 @@ class _Powers:
     """Powers of the base and of its inverse modulo 2^64, grown on demand."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Idle workers hold none."""
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +148,17 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
-    h = int(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) + len(hashes) * _BASE
-    return int(np.uint64(h & _MASK).astype(np.int64))
+def set_ids(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit names of a set."""
+    sums = (int(mixed(hashes ^ np.uint64(salt)).sum(dtype=np.uint64)) + len(hashes) * _BASE for salt in _SALTS)
+    one, two = (int(np.uint64(h & _MASK).astype(np.int64)) for h in sums)
+    return one, two
+
+
+def set_id(hashes: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """The first name, or the second where different sets share the first."""
+    one, two = set_ids(hashes)
+    return two if one in clashing else one
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
@@ -149,31 +166,38 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sid) of each row, and rows (bucket, count) with the shingle counts of each task."""
+    """(id, th, n, sid, alt) of each row, and rows (bucket, count) with the shingle counts of each task.
+
+    ``th`` is the hash of the text, ``sid`` and ``alt`` are the names of its set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         kind = None
         for batch in batches:
-            kind, n, sid = batch.column(0).type, [], []
-            for texts in groups_of(batch.column(1)):
+            kind, n, names = batch.column(0).type, [], []
+            for texts in groups_of(batch.column(2)):
                 sets = shingle_sets(texts, p.words)
                 n += map(len, sets)
-                sid += map(set_id, sets)
+                names += map(set_ids, sets)
                 counts += np.bincount(bucket_of(np.concatenate(sets)), minlength=len(counts))
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), none, none], NAMES)
+            sid, alt = (pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), sid, alt, none, none], NAMES)
         at = np.flatnonzero(counts)
         if len(at):
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), none, none, pa.array(at), pa.array(counts[at])], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), *[none] * 4, pa.array(at), pa.array(counts[at])], NAMES)
+        _POWERS.forget()
+        trimmed()
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text)
     id_kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"id {id_kind}, n bigint, sid bigint, bucket bigint, count bigint")
+    return src.mapInArrow(run, f"id {id_kind}, " + ", ".join(f"{c} bigint" for c in NAMES[1:]))
 
 
-NAMES = ["id", "n", "sid", "bucket", "count"]
+NAMES = ["id", "th", "n", "sid", "alt", "bucket", "count"]
 
 
 def light_boundary(counts: np.ndarray, p: Params) -> int:
@@ -208,7 +232,7 @@ def keys_of(hashes: np.ndarray, counts: np.ndarray, light: int, p: Params) -> tu
     return keys, at
 
 
-def list_rows(docs: DataFrame, counts: np.ndarray, light: int, p: Params, text_col: str) -> DataFrame:
+def list_rows(docs: DataFrame, counts: np.ndarray, light: int, p: Params, text_col: str, clashing: frozenset[int]) -> DataFrame:
     """(key, salt, sid, n, pos): every set in each of its lists."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers
 
@@ -221,7 +245,7 @@ def list_rows(docs: DataFrame, counts: np.ndarray, light: int, p: Params, text_c
                 if keys:
                     key.append(np.array(keys, np.uint64))
                     pos.append(np.array(at, np.int32))
-                    sid.append(np.full(len(keys), set_id(hashes)))
+                    sid.append(np.full(len(keys), set_id(hashes, clashing)))
                     n.append(np.full(len(keys), len(hashes), np.int32))
             if key:
                 key, pos, sid, n = (np.concatenate(x) for x in (key, pos, sid, n))
@@ -231,7 +255,7 @@ def list_rows(docs: DataFrame, counts: np.ndarray, light: int, p: Params, text_c
                 arrays = (key.view(np.int64), salt, sid, n, pos)
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "salt", "sid", "n", "pos"])
 
-    return map_batches(docs.select(F.col(text_col).cast("string")), run, "key bigint, salt int, sid bigint, n int, pos int")
+    return map_batches(docs.select(F.col(text_col).cast("string")), run, "key bigint, salt int, sid bigint, n int, pos int", _POWERS.forget)
 
 
 def with_pivots(rows: DataFrame) -> DataFrame:
@@ -316,18 +340,18 @@ def paired(rows: DataFrame, p: Params) -> DataFrame:
 def scanned(split: DataFrame, p: Params) -> DataFrame:
     """(x, y) of different components that may link: the set of the smaller component scans its lists.
 
-    ``split``: key, sid, n, pos, rank, c and its size, main (size and id of the list's largest component).
-    A list comes in parts by the hash of its sets, each of about ``PART`` sets; a task counts one set's
-    meetings with one part of the sets at a time, so no list and no pairs of it are laid out as rows.
+    ``split``: key, sid, n, pos, rank, c and its size, main (size and id of the list's largest component), members
+    (the list's rows).  A list comes in parts by the hash of its sets, each of about ``PART`` sets; a task counts one
+    set's meetings with one part of the sets at a time.  What is shuffled is, for each set outside its list's largest
+    component, the list: sets inside it only ever stand in lists.
     """
-    longest = split.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-longest // PART))
+    parts = F.ceil(F.col("members") / PART).cast("int")
     member = F.struct(F.col("sid").alias("s"), "c", "size", "n", "pos", "rank")
-    listed = split.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("int")).groupBy("key", "part").agg(
+    listed = split.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).groupBy("key", "part").agg(
         F.collect_list(member).alias("sets")
     )
     asked = split.where(F.struct("size", "c") < F.col("main"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     met = asked.join(listed, ["key", "part"]).select("sid", "part", "n", "c", "size", "pos", "rank", "sets")
     dealt = met.repartition(shuffle_width(split.sparkSession), "sid", "part").sortWithinPartitions("sid", "part")
 
@@ -392,21 +416,23 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
         at = pa.array(links, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["x", "y"])
 
-    return map_batches(both, run, "x bigint, y bigint")
+    return map_batches(both, run, "x bigint, y bigint", _POWERS.forget)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sid, text) of the ``wanted`` (id, sid).
+    """(sid, text) of the ``wanted`` (id, th, sid).
 
     A bitmap of fixed size keeps most other texts out of the shuffle; the join decides.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS)).alias("slot")
+    slot = F.pmod(F.xxhash64("id", "th"), F.lit(1 << BITMAP_BITS)).alias("slot")
     words = wanted.select(slot).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, int(slot % 64)) AS bit")
     bitmap = words.groupBy("w").agg(F.bit_or("bit").alias("bits"))  # 2^(BITMAP_BITS - 6) rows at most
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     src = src.select("*", slot).withColumn("w", F.shiftright("slot", 6))
     near = src.join(F.broadcast(bitmap), "w").where("getbit(bits, int(slot % 64)) = 1")
-    return near.select("id", "text").join(wanted, "id").select("sid", "text")
+    same = (near["th"] == wanted["th"]) & near["id"].eqNullSafe(wanted["id"])
+    return near.join(wanted, same).select("sid", "text")
 
 
 def components(
@@ -418,16 +444,20 @@ def components(
     sketch = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[sketch.column("bucket").to_numpy()] = sketch.column("c").to_numpy()
-    rows = seen.where("bucket is null").select("id", "n", "sid")
-    sets = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"))
+    rows = seen.where("bucket is null").select("id", "th", "n", "sid", "alt")
+    clashes = rows.where("n > 0").groupBy("sid").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).where("a <> b")
+    clashing = frozenset(r.sid for r in clashes.select("sid").collect())  # about (sets)^2 / 2^65
+    if clashing:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(list(clashing)), F.col("alt")).otherwise(F.col("sid")))
+    sets = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("of"))
 
     light = light_boundary(counts, p)
-    lists = saved(with_reach(with_pivots(list_rows(docs, counts, light, p, text_col)), p), "lists")
+    lists = saved(with_reach(with_pivots(list_rows(docs, counts, light, p, text_col, clashing)), p), "lists")
     pivots = lists.where("salt >= 0").select(
         "key", F.lit(-1).alias("salt"), F.col("pivot").alias("sid"), F.col("pivot_n").alias("n"), F.col("pivot_pos").alias("pos")
     )
     stars = lists.drop("rank").unionByName(with_pivots(pivots.distinct()))
-    sharing = lists.select("sid").distinct().join(sets, "sid").select(F.col("rep").alias("id"), "sid")
+    sharing = lists.select("sid").distinct().join(sets, "sid").select("of.id", "of.th", "sid")
     texts = saved(texts_of(docs, sharing, id_col, text_col).dropDuplicates(["sid"]), "texts")
 
     star = paired(
@@ -444,16 +474,18 @@ def components(
     own = lists.select("key", "sid", "n", "pos", "rank").join(near, "sid", "left").withColumns(
         {"c": F.coalesce("component", "sid"), "size": F.coalesce("size", F.lit(1))}
     )
+    own = saved(own.drop("component"), "own")
     group = F.struct("size", "c")
-    main = own.groupBy("key").agg(F.max(group).alias("main"), F.min(group).alias("least")).where("least < main")
-    split = saved(own.join(main.select("key", "main"), "key").drop("component"), "split")
+    main = own.groupBy("key").agg(F.max(group).alias("main"), F.min(group).alias("least"), F.count("*").alias("members"))
+    main = saved(main.where("least < main").drop("least"), "main")
+    split = saved(join_counted(own, main, ["key"], own.count(), "members"), "split")
     second = verified(scanned(split, p), texts, p)
     linked = connected_components(first.unionByName(second), "x", "y")
 
     roots = sets.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     least = roots.groupBy("c").agg(F.min("rep").alias("least"))
     named = saved(roots.join(least, "c").select("sid", "least"), "components")
-    for done in (lists, texts, first, split):
+    for done in (lists, texts, first, own, main, split):
         drop_saved(done)
     out = rows.join(named, "sid", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
