@@ -76,7 +76,7 @@ def clean_iv(iv: Column) -> Column:
     return F.when(iv > 0, F.least(F.greatest(unit, F.lit(2e-4)), F.lit(5.0)))
 
 
-def tenor_sigma(sigma: Column, days: Column, realized: Column, reference: int = 63) -> Column:
+def tenor_sigma(sigma: Column, days: Column, realized: Column, reference: int | Column = 63) -> Column:
     """Volatility for a tenor: the anchor scaled by a power of time, with a share of the realised one."""
     anchored = sigma * F.pow(days / reference, F.lit(-0.15))
     mixed = F.when(realized.isNotNull(), 0.7 * anchored + 0.3 * realized).otherwise(anchored)

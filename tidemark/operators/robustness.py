@@ -77,3 +77,18 @@ def orthogonality(skills: DataFrame, by: Sequence[str], skill: str, least: float
     mean, sd = F.avg(skill), F.coalesce(F.stddev_samp(skill), F.lit(0.0))
     cv = F.when(F.abs(mean) > 1e-12, sd / F.abs(mean)).otherwise(0.0)
     return skills.groupBy(*by).agg((0.6 * F.avg((F.col(skill) >= least).cast("double")) + 0.4 / (1 + cv)).alias("orthogonality"))
+
+
+def centre_and_spread(rows: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Median of each group, and the scaled median distance from it."""
+    m = rows.where(F.col(x).isNotNull()).groupBy(*by).agg(F.median(x).alias("centre"))
+    away = F.abs(F.col(x) - F.col("centre"))
+    return rows.join(m, list(by)).groupBy(*by).agg(F.first("centre").alias("centre"), (1.4826 * F.median(away)).alias("mad"))
+
+
+def expectancy(rows: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Mean result, its t statistic (null where nothing varies), wins and number of results."""
+    sd = F.stddev_samp(x)
+    return rows.groupBy(*by).agg(
+        F.avg(x).alias("expectancy"), F.when(sd > 0, F.avg(x) / (sd / F.sqrt(F.count(x)))).alias("tstat"), F.sum((F.col(x) > 0).cast("double")).alias("wins"), F.count(x).alias("n")
+    )

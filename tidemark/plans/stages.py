@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import gauntlet, ledger, regimes, signals, support
+from tidemark.functions.series import NUDGE
+from tidemark.operators import gauntlet, ledger, options, regimes, robustness, signals, support
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import query, r, rounded
+from tidemark.plans.relational import price_sql, query, r, rounded
 
 # the market's shares and the first stage
 
@@ -310,3 +311,109 @@ def signal_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if("event").alias("event_days"), F.count_if("option").alias("option_days"),
         ), 5,
     )
+
+
+# option conventions over the bars
+
+
+NEEDED = ["iv30c", "iv30p", "c10", "c25", "c40", "p10", "p25", "p40"]
+OPT = f"SELECT * REPLACE (CASE WHEN dayofyear(date) % 11 <> 0 THEN c10 END AS c10, CASE WHEN dayofyear(date) % 5 <> 0 THEN iv3mp END AS iv3mp), dayofyear(date) % 200 AS tenor, ticker < 'N' AS call FROM ({BARS})"
+
+
+def option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.dayofyear("date")
+    b = bars(spark, sf_dir).withColumns({"c10": F.when(day % 11 != 0, F.col("c10")), "iv3mp": F.when(day % 5 != 0, F.col("iv3mp"))})
+    return b.withColumns({"tenor": day % 200, "call": F.col("ticker") < "N"})
+
+
+def _clean(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN least(greatest(CASE WHEN {x} > 2 THEN {x} / 100 ELSE {x} END, 2e-4), 5e0) END"
+
+
+def _tenor(x: str, days: str, rv: str, ref: str = "63") -> str:
+    scaled = f"({x} * power({days} * 1e0 / {ref}, -0.15))"
+    return f"least(greatest(CASE WHEN {rv} IS NOT NULL THEN 0.7 * {scaled} + 0.3 * {rv} ELSE {scaled} END, 2e-4), 5e0)"
+
+
+BACK = f"({' OR '.join(f'{c} IS NULL' for c in NEEDED)})"
+CONVENTIONS = f"""(WITH l AS (SELECT *, ln(px_last / lag(px_last) OVER w) AS change, row_number() OVER w AS k FROM ({OPT}) WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+  v AS (SELECT *, CASE WHEN k >= 22 AND stddev_samp(change) OVER w > 0 THEN stddev_samp(change) OVER w * sqrt(252) END AS rv FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  a AS (SELECT *, {_clean('CASE WHEN call THEN iv3mc ELSE iv3mp END')} AS three, {BACK} AS fell_back,
+    CASE WHEN {BACK} THEN {_clean('CASE WHEN call THEN iv3mc ELSE iv3mp END')} ELSE {_clean('CASE WHEN call THEN c40 ELSE p40 END')} END AS smile, CASE WHEN {BACK} THEN 63 ELSE 21 END AS ref,
+    CASE WHEN {BACK} THEN {_clean('CASE WHEN call THEN iv3mc ELSE iv3mp END')} ELSE {_clean('CASE WHEN call THEN iv30c ELSE iv30p END')} END AS thirty FROM v)
+  SELECT *, {_tenor('three', '63', 'rv')} AS sigma_63, {_tenor('smile', '42', 'rv', 'ref')} AS sigma_42, {_tenor('smile', '32', 'rv', 'ref')} AS sigma_32,
+    lead(px_last, 10) OVER (PARTITION BY ticker ORDER BY date) AS s1, CASE WHEN tenor % 7 = 0 THEN NULL WHEN tenor % 3 = 0 THEN 4.5 ELSE 0.03 END AS yield_a FROM a)"""
+
+
+def conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = options.market_vol(option_rows(spark, sf_dir), "px_last", "rv")
+    call = F.col("call")
+    three, _, _ = options.anchor("3M", call, ("iv3mc", "iv3mp"), ("iv30c", "iv30p"), ("c40", "p40"), NEEDED)
+    smile, ref, back = options.anchor("1M", call, ("iv3mc", "iv3mp"), ("iv30c", "iv30p"), ("c40", "p40"), NEEDED)
+    thirty, _, _ = options.anchor("30D", call, ("iv3mc", "iv3mp"), ("iv30c", "iv30p"), ("c40", "p40"), NEEDED)
+    rows = rows.withColumns({"three": three, "smile": smile, "ref": ref, "fell_back": back, "thirty": thirty, "s1": F.lead("px_last", 10).over(w)})
+    sigma = lambda x, days, by: options.tenor_sigma(F.col(x), F.lit(days), F.col("rv"), by)
+    t = F.col("tenor")
+    return rows.withColumns(
+        {
+            "sigma_63": sigma("three", 63, 63), "sigma_42": sigma("smile", 42, F.col("ref")), "sigma_32": sigma("smile", 32, F.col("ref")),
+            "yield_a": F.when(t % 7 == 0, F.lit(None).cast("double")).when(t % 3 == 0, 4.5).otherwise(0.03),
+        }
+    )
+
+
+@query(f"""SELECT ticker, date, fell_back, {', '.join(f'{r(c)} AS {c}' for c in ('rv', 'three', 'thirty', 'smile', 'sigma_63', 'sigma_42'))}, list_filter([{', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in NEEDED)}], lambda x: x IS NOT NULL)[1] AS first_missing,
+  {r('coalesce(CASE WHEN yield_a > 1 THEN yield_a / 100 ELSE yield_a END, CASE WHEN tenor % 2 = 0 THEN 0.01 END, 0.02)')} AS rate, CASE WHEN tenor <= 15 THEN 0.03e0 WHEN tenor <= 30 THEN 0.02e0 ELSE 0.01e0 END AS slippage,
+  CASE WHEN tenor % 4 <> 0 THEN 'regime_aware_h' || CAST(tenor AS VARCHAR) ELSE 'disabled' END AS policy, CASE WHEN round(tenor * 1.25) <= 21 THEN 21 WHEN round(tenor * 1.25) <= 63 THEN 63 ELSE 126 END AS tenor_bd FROM {CONVENTIONS}""")
+def option_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised and anchor volatilities, their tenors, rates, slippage and policies of every bar."""
+    t = F.col("tenor")
+    out = conventions(spark, sf_dir).select(
+        "ticker", "date", "fell_back", "rv", "three", "thirty", "smile", "sigma_63", "sigma_42", F.get(options.missing_quotes(NEEDED), F.lit(0)).alias("first_missing"),
+        options.risk_free([F.col("yield_a"), F.when(t % 2 == 0, 0.01)], 0.02).alias("rate"), options.slippage(t, 0.03, 0.02, 0.01).alias("slippage"),
+        options.policy_id(t % 4 != 0, "regime_aware", t).alias("policy"), options.tenor_of(t, (21, 63, 126)).alias("tenor_bd"),
+    )
+    return rounded(out)
+
+
+def _leg(s: str, t: str, v: str) -> str:
+    c = price_sql(s, "strike", t, v, "0.01e0")
+    return f"greatest(CASE WHEN call THEN {c} ELSE {c} - {s} + strike * exp(-0.01e0 * {t}) END, 0)"
+
+
+STEPS = "CASE WHEN px_last < 25 THEN 0.5 WHEN px_last < 50 THEN 1e0 WHEN px_last < 200 THEN 2.5 WHEN px_last < 500 THEN 5e0 ELSE 10e0 END"
+
+
+@query(f"""WITH x AS (SELECT *, least(greatest(round_even(px_last / {STEPS}, 0) * {STEPS}, px_last * 0.5), px_last * 1.5) AS strike FROM {CONVENTIONS} WHERE s1 IS NOT NULL AND smile IS NOT NULL),
+  y AS (SELECT *, {_leg('px_last', '(42 / 252e0)', 'sigma_42')} AS entry, {_leg('s1', '(32 / 252e0)', 'sigma_32')} AS leave FROM x)
+  SELECT ticker, date, {r('strike', 4)} AS strike, {r('entry', 4)} AS entry_price, {r('leave', 4)} AS exit_price,
+    'type=' || CASE WHEN call THEN 'call' ELSE 'put' END || ';tenor=' || CAST(tenor AS VARCHAR) || 'd;' || format('strike_rel={{:.4f}}', round(strike / px_last - 1 + 3.1e-8, 4) + 0e0) || ';delta=' || CASE WHEN tenor % 9 = 0 THEN 'NA' ELSE '0.400' END AS structure FROM y""")
+def option_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One option at every bar by the smile's volatility, priced at entry and ten bars on, and the key of its structure."""
+    call, px = F.col("call"), F.col("px_last")
+    x = conventions(spark, sf_dir).where("s1 is not null and smile is not null").withColumn("strike", options.listed_strike(px, px))
+    enter, leave = options.priced_leg(px, F.col("s1"), F.col("strike"), F.lit(42), F.lit(10), F.lit(0.01), call, F.col("sigma_42"), F.col("sigma_32"))
+    relative = px * (1 + F.round(F.col("strike") / px - 1 + NUDGE, 4) + 0.0)
+    key = options.structure_key(F.when(call, "Call").otherwise("Put"), F.col("tenor"), relative, px, F.when(F.col("tenor") % 9 != 0, 0.4))
+    out = x.select("ticker", "date", "strike", enter.alias("entry_price"), leave.alias("exit_price"), key.alias("structure"))
+    return rounded(out, 4)
+
+
+# small statistics of trades
+
+
+@query(f"""WITH t AS ({TRADES}), q AS (SELECT setup_id, median(pnl_pct) AS m, quantile_cont(pnl_pct, 0.05) AS lo, quantile_cont(pnl_pct, 0.95) AS hi FROM t GROUP BY 1)
+  SELECT setup_id, {r('any_value(m)')} AS centre, {r('1.4826 * median(abs(pnl_pct - m))')} AS mad, {r('avg(pnl_pct)')} AS expectancy, {r('avg(pnl_pct) / (stddev_samp(pnl_pct) / sqrt(count(*)))', 4)} AS tstat,
+    {r('avg(least(greatest(pnl_pct, lo), hi))')} AS clipped_mean, {r('max(abs((pnl_pct - m) / (1.4826 * 1 + 1e-9)))')} AS reach,
+    {r('(avg(CASE WHEN pnl_pct > 0 THEN 1e0 ELSE 0e0 END) + 3.8416e0 / (2 * count(*)) - 1.96 * sqrt(avg(CASE WHEN pnl_pct > 0 THEN 1e0 ELSE 0e0 END) * (1 - avg(CASE WHEN pnl_pct > 0 THEN 1e0 ELSE 0e0 END)) / count(*) + 3.8416e0 / (4e0 * count(*) * count(*)))) / (1 + 3.8416e0 / count(*))')} AS win_low
+  FROM t JOIN q USING (setup_id) GROUP BY setup_id""")
+def trade_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre and spread, expectancy, t statistic, clipped mean and the lower bound of the win rate of each setup."""
+    from tidemark.operators.gates import wilson
+
+    t = trades(spark, sf_dir).select("setup_id", "pnl_pct")
+    clipped = ledger.winsorized(t, ["setup_id"], "pnl_pct", 0.05, 0.95).groupBy("setup_id").agg(F.avg("pnl_pct").alias("clipped_mean"))
+    g = robustness.centre_and_spread(t, ["setup_id"], "pnl_pct").join(robustness.expectancy(t, ["setup_id"], "pnl_pct"), "setup_id").join(clipped, "setup_id")
+    reach = t.join(g.select("setup_id", "centre"), "setup_id").groupBy("setup_id").agg(F.max(F.abs((F.col("pnl_pct") - F.col("centre")) / (1.4826 + 1e-9))).alias("reach"))
+    return rounded(g.withColumn("win_low", wilson(F.col("wins"), F.col("n"))[0]).drop("wins", "n").join(reach, "setup_id"), 6, tstat=4)
