@@ -13,6 +13,9 @@ o(n, m) = percent (n + m) / (100 + percent), rounded up.
 
 The boundary is the largest size at which enumerating a set's subsets costs no
 more than scanning its lists, by the mean list length that the counts predict.
+That mean is too high where few shingles are very common, so the boundary is 24 at
+most: a set then has 2,600 subsets or so.  Larger sets take the other way, which is
+exact for all sizes.
 Counts are kept in a fixed number of buckets by hash; they cover every document,
 and any order gives the same result.
 
