@@ -9,12 +9,16 @@ regression for each language is fitted on mapped texts with targets +1 and -1.
 At scoring, both collapse into one matrix: a batch of presence vectors times the
 landmarks' presence matrix, scaled, times that matrix.
 
-Training takes a bounded sample: the ``per_lang`` texts of each language with
-the smallest hash of their id.  Scoring reads every whole text, in slices of
-bounded size.
+Training takes a bounded sample: the ``per_lang`` ids of each language with the
+smallest hash, among the first 2 ``per_lang`` rows by it.  Their whole texts become sets of n-gram buckets where
+they are, 2^``BUCKET_BITS`` at most, and only these come to the driver.  Scoring
+reads every whole text, in slices of bounded size.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything
-if no labelled text exists.
+if no labelled text exists.  Each row is judged by itself, so ids may be null or
+repeat; of repeated ids in one language one row, that of the smallest hash of its
+text, may be in the sample.  Equal scores go to the first language by name.  Columns
+besides id, text and language are only read if ``keep`` names them.
 
 ``recognised`` tells which texts are in a learned language.  Of a text in another
 script or of noise the landmarks know few n-grams; of one in a foreign language with
@@ -33,11 +37,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import drop_saved, map_batches, saved
 
 UNDETERMINED = "und"
 BUCKET_BITS = 18
 LARGEST_BROADCAST = 100_000
+HISTOGRAM_BITS = 12
 SLICE = 1 << 20
 ROWS = 64
 _LETTER = regex.compile(r"\p{L}")
@@ -96,20 +101,55 @@ def presence_rows(
     return out[:, :columns]
 
 
-def training_texts(docs: DataFrame, allowed: Column | None, per_lang: int, id_col: str, text_col: str, lang_col: str):
-    """(lang, k, text) of the bounded sample: ids are picked first, then only their texts are read."""
+def sampled(rows: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, h, k) of the ``per_lang`` smallest hashes of ids in each language, as a saved table.
+
+    A histogram over the hashes' first bits tells up to where they are, so that only about two times
+    ``per_lang`` rows of a language, and those that share the last bucket, are ranked in one task.
+    """
+    ids = rows.select("lang", F.xxhash64("id").alias("h")).withColumn("bucket", F.shiftright("h", 64 - HISTOGRAM_BITS))
+    before = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ids.groupBy("lang", "bucket").agg(F.count("*").alias("n"))
+    past = F.coalesce(F.sum("n").over(before), F.lit(0))
+    needed = counted.withColumn("past", past).where(F.col("past") < 2 * per_lang)
+    upto = saved(needed.groupBy("lang").agg(F.max("bucket").alias("upto")), "upto")
+    near = ids.join(broadcast_if_few(upto), "lang").where("bucket <= upto").select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy("h")
+    out = saved(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang), "sample")
+    drop_saved(upto)
+    return out
+
+
+def broadcast_if_few(table: DataFrame) -> DataFrame:
+    """A row or ``per_lang`` rows for each language are few; but labels may be many."""
+    return F.broadcast(table) if table.count() <= LARGEST_BROADCAST else table
+
+
+def training_sets(
+    docs: DataFrame, allowed: Column | None, p: Params, id_col: str, text_col: str, lang_col: str
+) -> list[tuple[str, int, np.ndarray]]:
+    """(lang, k, buckets) of the bounded sample: ids are picked first, then only their texts are read."""
     docs = docs if allowed is None else docs.where(allowed)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(id_col).alias("id"),
-        F.col(lang_col).cast("string").alias("lang"),
-        F.col(text_col).cast("string").alias("text"),
+    rows = docs.where(F.col(lang_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
-    known = picked.groupBy("id", "lang").agg(F.min("k").alias("k"))
-    if known.count() <= LARGEST_BROADCAST:  # per_lang rows a language; labels may be many
-        known = F.broadcast(known)
-    return sorted((r.lang, r.k, r.text) for r in rows.join(known, ["id", "lang"]).select("lang", "k", "text").collect())
+    picked = sampled(rows.select("id", "lang"), p.per_lang)
+    known = rows.withColumn("h", F.xxhash64("id")).join(broadcast_if_few(picked), ["lang", "h"]).where(F.col("text").rlike(r"\p{L}"))
+    once = known.groupBy("lang", "k").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = []
+        for value in batch.column(2):
+            seen = np.zeros(1 << BUCKET_BITS, bool)
+            for g in grams(value.as_py(), p.max_n):
+                seen[g] = True
+            sets.append(np.flatnonzero(seen).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], ["lang", "k", "buckets"])
+
+    got = map_batches(once.select("lang", "k", "text"), run, "lang string, k int, buckets array<int>").toArrow()
+    drop_saved(picked)
+    lists = (x.values.to_numpy() for x in got.column("buckets"))
+    return sorted(zip(got.column("lang").to_pylist(), got.column("k").to_pylist(), lists), key=lambda r: r[:2])
 
 
 def fit(
@@ -121,22 +161,24 @@ def fit(
     lang_col: str = "lang",
 ) -> Model | None:
     """A model from the labelled rows that ``allowed`` admits; None if there are none."""
-    rows = training_texts(docs, allowed, params.per_lang, id_col, text_col, lang_col)
+    rows = training_sets(docs, allowed, params, id_col, text_col, lang_col)
     if not rows:
         return None
     langs = sorted({lang for lang, _, _ in rows})
     each = max(1, params.landmarks // len(langs))
-    marks = [text for _, k, text in rows if k <= each]
+    marks = [buckets for _, k, buckets in rows if k <= each]
     lookup = np.full(1 << BUCKET_BITS, -1, np.int32)
-    for text in marks:
-        for g in grams(text, params.max_n):
-            lookup[g] = 1
+    for buckets in marks:
+        lookup[buckets] = 1
     known = np.flatnonzero(lookup > 0)
     lookup[:] = len(known)
     lookup[known] = np.arange(len(known))
 
-    def scaled(texts: list[str]) -> np.ndarray:
-        x = presence_rows(texts, lookup, len(known), params.max_n)
+    def scaled(sets: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(sets), len(known) + 1), np.float32)
+        for row, buckets in zip(x, sets):
+            row[lookup[buckets]] = 1
+        x = x[:, :-1]
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
     landmarks = scaled(marks)
@@ -144,7 +186,7 @@ def fit(
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
     kernel = np.vstack(
-        [scaled([t for _, _, t in rows[k : k + ROWS]]) @ landmarks.T for k in range(0, len(rows), ROWS)]
+        [scaled([b for _, _, b in rows[k : k + ROWS]]) @ landmarks.T for k in range(0, len(rows), ROWS)]
     ).astype(np.float64)
     mapped = np.c_[kernel @ root, np.ones(len(rows))]
     targets = np.array([[1.0 if lang == of else -1.0 for lang in langs] for of, _, _ in rows])
