@@ -42,6 +42,33 @@ def same(a, b, tol=1e-9):
     np.testing.assert_allclose(a, np.asarray(b, float), rtol=tol, atol=tol, equal_nan=True)
 
 
+med = lambda v: v.rolling(21, 10).median()
+ret = lambda v: v.ffill() / v.ffill().shift(1) - 1
+gains = lambda v: v.diff().clip(lower=0).fillna(0.0)
+up = lambda v: v.where(v > 0, 0.0)
+crossed = lambda above: (above & ~above.shift(1, fill_value=False)).astype(float)
+
+
+def below_peak(r):
+    grown = (1 + r.fillna(0)).cumprod()
+    return (grown < grown.cummax() * (1 - 1e-12)).astype(float)
+
+
+def slope(y, n):
+    out = np.full(len(y), np.nan)
+    for i in range(n - 1, len(y)):
+        v = y.to_numpy()[i - n + 1 : i + 1]
+        ok = np.isfinite(v)
+        out[i] = np.polyfit(np.arange(n)[ok], v[ok], 1)[0] if ok.sum() >= max(5, n // 2) else np.nan
+    return out
+
+
+def slope_on(a, b, n):
+    both = a.notna() & b.notna()
+    a, b = a.where(both), b.where(both)
+    return a.rolling(n, n // 2).cov(b) / (b.rolling(n, n // 2).var() + 1e-9)
+
+
 @pytest.mark.parametrize(
     "define, wanted",
     [
@@ -56,6 +83,28 @@ def same(a, b, tol=1e-9):
         (lambda s: R.ewma_recursive(s, "x", 10), lambda d: d.x.ewm(halflife=10, adjust=False, ignore_na=True).mean()),
         (lambda s: R.correlation(s, "x", "y", 30), lambda d: d.x.rolling(30, 15).corr(d.y.where(d.x.notna()))),
         (lambda s: R.drawdown(s, "y", 21), lambda d: d.y / (d.y.rolling(21).max() + 1e-9) - 1),
+        (lambda s: R.mad_z(s, "x", 21), lambda d: (d.x - med(d.x)) / (1.4826 * med((d.x - med(d.x)).abs()) + 1e-9)),
+        (lambda s: R.rsi(s, "y", 14), lambda d: 100 - 100 / (1 + gains(d.y).rolling(14).mean() / (gains(-d.y).rolling(14).mean() + 1e-9))),
+        (lambda s: R.log_slope(s, "x", 63), lambda d: slope(np.log(d.x), 63)),
+        (lambda s: R.up_down_ratio(s, R.ret(s, "x"), 21), lambda d: up(ret(d.x)).rolling(21).std() / (-up(-ret(d.x))).rolling(21).std()),
+        (lambda s: R.expected_shortfall(s, R.ret(s, "x"), 252, 0.05), lambda d: ret(d.x).rolling(252).apply(lambda v: v[v <= np.quantile(v, 0.05)].mean(), raw=True)),
+        (lambda s: R.right_shortfall(s, R.ret(s, "x"), 252, 0.05), lambda d: ret(d.x).rolling(252).apply(lambda v: v[-v <= np.quantile(-v, 0.05)].mean(), raw=True)),
+        (lambda s: R.time_in_drawdown(s, R.ret(s, "x"), 63), lambda d: below_peak(ret(d.x)).rolling(63, 31).mean()),
+        (lambda s: R.partial_moment(s, R.ret(s, "x"), 63, 2), lambda d: (-ret(d.x)).clip(lower=0).pow(2).rolling(63).mean()),
+        (lambda s: R.tail_share(s, R.ret(s, "x"), 63, 0.05), lambda d: (ret(d.x) <= ret(d.x).rolling(63).quantile(0.05)).astype(float).rolling(63).mean()),
+        (lambda s: R.semivariance(s, R.ret(s, "x"), 21), lambda d: ret(d.x).where(ret(d.x) < 0, 0.0).pow(2).rolling(21).mean()),
+        (lambda s: R.realized_vol(s, "x", 21), lambda d: np.log(d.x).diff().rolling(21).std() * 252**0.5),
+        (lambda s: R.vol_of_vol(s, "y", 21), lambda d: d.y.ffill().pct_change(fill_method=None).rolling(21, 10).std()),
+        (lambda s: R.ma_gap(s, "y", 5, 20), lambda d: (d.y.rolling(5).mean() - d.y.rolling(20).mean()) / (d.y.rolling(20).mean() + 1e-9)),
+        (lambda s: R.breakout(s, "y", 21)[0], lambda d: (d.y >= d.y.shift(1).rolling(21).max()).astype(float)),
+        (lambda s: R.crossover(s, "y", 5, 20)[0], lambda d: crossed(d.y.rolling(5).mean() > d.y.rolling(20).mean())),
+        (lambda s: R.trend_persistence(s, R.diff(s, "y"), 21), lambda d: (d.y.diff() > 0).astype(float).where(d.y.diff().notna()).rolling(21).mean()),
+        (lambda s: R.momentum_regime(s, R.ret(s, "y"), 21), lambda d: (ret(d.y).rolling(21).mean() / (ret(d.y).rolling(21).std() + 1e-9)).rolling(21).mean()),
+        (lambda s: R.beta(s, R.ret(s, "x"), R.ret(s, "y"), 30), lambda d: slope_on(ret(d.x), ret(d.y), 30)),
+        (lambda s: R.second_diff(s, "y", 5), lambda d: d.y.diff().diff(5)),
+        (lambda s: R.momentum_trend(s, "x", 10, 30), lambda d: d.x.rolling(10, 5).mean() - d.x.rolling(30, 15).mean()),
+        (lambda s: R.ewma(s, "x", span=5, least=2), lambda d: d.x.ewm(span=5, min_periods=2).mean()),
+        (lambda s: R.share_below(s, "y", 60), lambda d: d.y.rolling(60, 20).apply(lambda v: (v < v[-1]).mean(), raw=True)),
     ],
 )
 def test_rolling(spark, walk, define, wanted):
