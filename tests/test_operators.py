@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import Series
-from tidemark.operators import events, joins, kernels, ledger, options, scoring, search, selection, signals, splits
+from tidemark.operators import events, gauntlet, joins, kernels, ledger, options, regimes, scoring, search, selection, signals, splits, support
 from tidemark.operators import rolling as R
 from tidemark.plans import features
 from tidemark.sources import tables
@@ -287,3 +287,71 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.sql("SELECT * FROM heat").collect()) == 100
+
+
+def test_exclusive_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    start = date(2020, 1, 1)
+    trades = []
+    for k in range(400):
+        begin = start + timedelta(int(rng.integers(0, 300)))
+        end = None if rng.random() < 0.02 else begin + timedelta(int(rng.integers(-3, 9)))  # an exit may lie before its trigger
+        trades.append((int(rng.integers(0, 4)), int(rng.integers(0, 350)), begin, end, "x"))
+    trades += [(9, 1, None, None, "no trigger"), (7, 1, start, None, "open"), (7, 2, start + timedelta(9), start, "blocked")]
+    df = spark.createDataFrame(trades, "setup_id int, trade_id long, trigger_date date, exit_date date, note string")
+    far = date(9999, 1, 1)
+    wanted, until = [], {}
+    for t in sorted((t for t in trades if t[2]), key=lambda t: (t[0], t[2], t[1], t[3] or far)):
+        if t[0] not in until or t[2] > until[t[0]]:
+            wanted.append(t)
+            until[t[0]] = (t[3] or t[2] + timedelta(3650)) + timedelta(2)
+    got = sorted((tuple(r) for r in ledger.exclusive(df, ["setup_id"], 2).collect()), key=repr)
+    assert got == sorted(wanted, key=repr)
+    assert ledger.exclusive(df.where("false"), ["setup_id"], 2).count() == 0
+
+
+def test_matched_labels():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = map(int, rng.integers(1, 5, 2))
+        a, b = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
+        got, k = regimes.matched(a, b), min(n, m)
+        cost = lambda pairs: sum(np.linalg.norm(a[i] - b[j]) for i, j in pairs)
+        best = min(cost(zip(i, j)) for i in itertools.combinations(range(n), k) for j in itertools.permutations(range(m), k))
+        assert len(set(got.values())) == len(got) == k and abs(cost((i, j) for j, i in got.items()) - best) < 1e-9
+
+
+def test_support_of_nothing_and_of_streaks(spark):
+    rows = [("a", d, d in (1, 2, 3, 6), 1.0) for d in range(1, 8)] + [("b", 1, None, 2.0), ("c", 1, True, None)]
+    df = spark.createDataFrame(rows, "k string, d int, fired boolean, r double")
+    got = {r.k: (r.total_fires, r.max_streak, r.avg_streak, r.meets_min_support) for r in support.support_stats(df, ["k"], "d", 2).collect()}
+    assert got == {"a": (4, 3, 1.75, True), "b": (0, 0, 0.0, False), "c": (1, 1, 1.0, False)}
+    assert support.supported(df, ["k"], 2).count() == 4 and support.supported(df.where("false"), ["k"]).count() == 0
+    assert support.supported_returns(df, ["k"], "r", 2).where("r is not null").count() == 4
+    assert df.where(support.eligible([])).count() == 0 and df.where(support.eligible(["r", "fired"])).count() == 7
+
+
+def test_gauntlet_without_market_data(spark):
+    t0 = date(2024, 1, 1)
+    rows = [(1, "a", t0 + timedelta(k), t0 + timedelta(k + 3), 0.1, 10.0) for k in range(6)] + [(2, "a", t0, None, None, 1.0)]
+    df = spark.createDataFrame(rows, "setup_id int, ticker string, trigger_date date, exit_date date, pnl_pct double, capital double")
+    got = {r.setup_id: (r.reason, r.pass_stage1, r.recent_win_rate) for r in gauntlet.health(df, None).collect()}
+    assert got == {1: ("ok", True, 1.0), 2: ("S1_ACTIVITY", False, 0.0)}
+    stages = spark.createDataFrame([(1, True, True, True, True, 2.0), (2, True, False, None, True, 2.0)], "id int, pass_stage1 boolean, pass_stage2 boolean, pass_stage3 boolean, pass_stage4 boolean, score_3 double")
+    stages = stages.withColumns({f"score_{k}": F.lit(None).cast("double") for k in (1, 2, 4)})
+    out = {r.id: (round(r.promotion_score, 4), r.reject_code) for r in gauntlet.final(stages, 0.9).collect()}
+    assert out == {1: (round(0.55 * 0.25 + 0.45, 4), "S5_LOW_SCORE"), 2: (0.0, "S5_UPSTREAM_FAIL_S2+S3")}
+
+
+def test_quantile_and_structure(spark):
+    p = [1e-6, 0.01, 0.3, 0.5, 0.8, 0.99, 1 - 1e-6, 0.0, 1.0]
+    df = spark.createDataFrame([(x,) for x in p], "p double")
+    from statistics import NormalDist
+
+    got = [r.q for r in df.select(options.normal_quantile(F.col("p")).alias("q")).collect()]
+    assert got[-2:] == [None, None] and all(abs(a - NormalDist().inv_cdf(b)) < 1e-7 for a, b in zip(got[:-2], p))
+    key = options.structure_key(F.lit("Call"), F.lit(5.0), F.lit(110.0), F.lit(100.0), F.lit(0.4), F.lit(2.5))
+    assert df.select(key.alias("k")).first().k == "type=call;tenor=5d;strike_rel=0.1000;delta=0.400;width=2.500"
+    assert signals.is_z_like("x.beta_z") and not signals.is_z_like("rank") and signals.is_rank("CS.rank_mom")
