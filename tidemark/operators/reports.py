@@ -71,3 +71,27 @@ def valid_setups(rows: DataFrame, text: str) -> DataFrame:
     parsed = F.from_json(F.col(text), "ticker string, signals array<string>")
     ok = parsed["ticker"].isNotNull() & (F.coalesce(F.size(parsed["signals"]), F.lit(0)) > 0)
     return rows.select("*", parsed["ticker"].alias("ticker"), parsed["signals"].alias("signals"), ok.alias("valid"))
+
+
+def drift_table(rows: DataFrame, auc: str = "drift_auc", passed: str = "drift_passed") -> DataFrame:
+    """Of each ticker: mean separability of its samples, share that passed, validations."""
+    return rows.groupBy("ticker").agg(F.avg(auc).alias("mean_drift_auc"), F.avg(F.col(passed).cast("double")).alias("drift_pass_rate"), F.count("*").alias("n_validations"))
+
+
+def regime_table(rows: DataFrame, regime: str, skill: str, others: Sequence[str], passed: str = "drift_passed") -> DataFrame:
+    """Of each regime: mean, spread and count of the skill, means of other measures, share that passed."""
+    return rows.groupBy(regime).agg(
+        F.avg(skill).alias("skill_mean"), F.stddev_samp(skill).alias("skill_std"), F.count(skill).alias("skill_count"), *(F.avg(c).alias(f"{c}_mean") for c in others),
+        F.avg(F.col(passed).cast("double")).alias("pass_rate"),
+    )
+
+
+def validation_summary(rows: DataFrame, eligible: Column, skill: str) -> DataFrame:
+    """One row: validations, eligible ones and their rate, tickers, horizons, mean and median skill of all and of the eligible."""
+    ok = F.coalesce(eligible, F.lit(False))
+    mine = F.when(ok, F.col(skill))
+    return rows.agg(
+        F.count("*").alias("total_validations"), F.count_if(ok).alias("eligible_setups"), F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("eligibility_rate"),
+        F.count_distinct("ticker").alias("unique_tickers"), F.count_distinct("horizon").alias("unique_horizons"), F.avg(skill).alias("mean_skill"), F.median(skill).alias("median_skill"),
+        F.coalesce(F.avg(mine), F.lit(0.0)).alias("eligible_mean_skill"), F.coalesce(F.median(mine), F.lit(0.0)).alias("eligible_median_skill"),
+    )

@@ -100,3 +100,28 @@ def calendar_holdouts(days: DataFrame, day: str = "date") -> DataFrame:
     kind = F.when(wd == 0, "monday").when(wd == 4, "friday").when(wd.between(1, 3), "midweek")
     rows = days.select(day, F.array(kind, F.when(late, "month_end").otherwise("non_month_end")).alias("h"))
     return rows.select(day, F.explode(F.array_compact("h")).alias("holdout"))
+
+
+def horizon_holdouts(days: DataFrame, horizons: Sequence[int] = (1, 5, 21)) -> DataFrame:
+    """Every day once for each horizon; the evaluation enforces the horizon."""
+    return days.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+
+
+def extended(folds: Sequence[tuple[date, date, date, date]], days: Sequence[date], as_of: date | None = None) -> list[tuple[date, date, date, date]]:
+    """The folds with the last test window moved on to the last trading day up to ``as_of``; nothing is cut."""
+    if not folds:
+        return []
+    *before, (a, b, c, d) = folds
+    later = [x for x in days if d < x and (as_of is None or x <= as_of)]
+    return [*before, (a, b, c, max(later, default=d))]
+
+
+def fold_summary(spark: SparkSession, folds: Sequence[tuple[date, date, date, date]], days: DataFrame, day: str = "date") -> DataFrame:
+    """Of each fold: first and last trading day of its windows, their numbers of days and spans."""
+    table = spark.createDataFrame([(k, *f) for k, f in enumerate(folds)], "fold int, a date, b date, c date, d date")
+    hits = days.join(F.broadcast(table), F.col(day).between(F.col("a"), F.col("d")))  # folds are few
+    out = []
+    for name, low, high in (("train", "a", "b"), ("test", "c", "d")):
+        x = F.when(F.col(day).between(F.col(low), F.col(high)), F.col(day))
+        out += [F.min(x).alias(f"{name}_start"), F.max(x).alias(f"{name}_end"), F.count(x).alias(f"{name}_obs"), F.datediff(F.max(x), F.min(x)).alias(f"{name}_span_days")]
+    return hits.groupBy("fold").agg(*out)

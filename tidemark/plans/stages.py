@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import NUDGE
-from tidemark.operators import gauntlet, ledger, options, regimes, robustness, signals, support
+from tidemark.operators import gauntlet, ledger, options, regimes, reports, robustness, signals, splits, support
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import price_sql, query, r, rounded
+from tidemark.plans.relational import DAYS, days, price_sql, query, r, rounded
 
 # the market's shares and the first stage
 
@@ -417,3 +417,58 @@ def trade_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = robustness.centre_and_spread(t, ["setup_id"], "pnl_pct").join(robustness.expectancy(t, ["setup_id"], "pnl_pct"), "setup_id").join(clipped, "setup_id")
     reach = t.join(g.select("setup_id", "centre"), "setup_id").groupBy("setup_id").agg(F.max(F.abs((F.col("pnl_pct") - F.col("centre")) / (1.4826 + 1e-9))).alias("reach"))
     return rounded(g.withColumn("win_low", wilson(F.col("wins"), F.col("n"))[0]).drop("wins", "n").join(reach, "setup_id"), 6, tstat=4)
+
+
+# validation reports and inner folds
+
+
+VALID = f"""SELECT ticker, horizon, pnl_pct AS skill, abs(pnl_pct) AS crps, capital / 1000 AS calibration, 0.45 + (trade_id % 20) / 100e0 AS drift_auc,
+  trade_id % 20 < 12 AS drift_passed, horizon % 3 AS regime FROM ({TRADES})"""
+
+
+def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("trade_id") % 20
+    return trades(spark, sf_dir).select(
+        "ticker", "horizon", F.col("pnl_pct").alias("skill"), F.abs("pnl_pct").alias("crps"), (F.col("capital") / 1000).alias("calibration"),
+        (0.45 + k / 100.0).alias("drift_auc"), (k < 12).alias("drift_passed"), (F.col("horizon") % 3).alias("regime"),
+    )
+
+
+@query(f"SELECT ticker, {r('avg(drift_auc)')} AS mean_drift_auc, {r('avg(CASE WHEN drift_passed THEN 1e0 ELSE 0e0 END)')} AS drift_pass_rate, count(*) AS n_validations FROM ({VALID}) GROUP BY 1")
+def drift_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.drift_table(validations(spark, sf_dir)))
+
+
+@query(f"""SELECT regime, {r('avg(skill)')} AS skill_mean, {r('stddev_samp(skill)')} AS skill_std, count(skill) AS skill_count, {r('avg(crps)')} AS crps_mean, {r('avg(calibration)')} AS calibration_mean,
+  {r('avg(CASE WHEN drift_passed THEN 1e0 ELSE 0e0 END)')} AS pass_rate FROM ({VALID}) GROUP BY 1""")
+def regime_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.regime_table(validations(spark, sf_dir), "regime", "skill", ["crps", "calibration"]))
+
+
+OK = "skill >= 0.01 AND calibration <= 0.3 AND drift_passed"
+
+
+@query(f"""SELECT count(*) AS total_validations, count(*) FILTER ({OK}) AS eligible_setups, {r(f'avg(CASE WHEN {OK} THEN 1e0 ELSE 0e0 END)')} AS eligibility_rate, count(DISTINCT ticker) AS unique_tickers,
+  count(DISTINCT horizon) AS unique_horizons, {r('avg(skill)')} AS mean_skill, {r('median(skill)')} AS median_skill, {r(f'avg(skill) FILTER ({OK})')} AS eligible_mean_skill,
+  {r(f'median(skill) FILTER ({OK})')} AS eligible_median_skill FROM ({VALID})""")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and skill of all validations and of those that pass the filters."""
+    ok = (F.col("skill") >= 0.01) & (F.col("calibration") <= 0.3) & F.col("drift_passed")
+    return rounded(reports.validation_summary(validations(spark, sf_dir), ok, "skill"))
+
+
+@query(f"""WITH c AS ({DAYS}), e AS (SELECT max(date) AS last, min(date) AS first FROM c WHERE date <= DATE '1997-06-30'), k AS (SELECT CAST(unnest(range(0, 4)) AS INT) AS fold),
+  f AS (SELECT fold, first AS a, CAST(last - (21 * (4 - fold) - 1) AS DATE) AS c, last FROM e, k),
+  w AS (SELECT fold, a, CAST(c - 1 AS DATE) AS b, c, CASE WHEN fold = 3 THEN (SELECT max(date) FROM c WHERE date <= DATE '1997-08-15') ELSE CAST(c + 20 AS DATE) END AS d FROM f)
+  SELECT fold, {', '.join(f"min(date) FILTER ({t}) AS {n}_start, max(date) FILTER ({t}) AS {n}_end, count(*) FILTER ({t}) AS {n}_obs, CAST(max(date) FILTER ({t}) - min(date) FILTER ({t}) AS INT) AS {n}_span_days" for n, t in (('train', 'date BETWEEN a AND b'), ('test', 'date BETWEEN w.c AND d')))},
+    (SELECT count(*) * 3 FROM c) AS horizon_days FROM w JOIN c ON date BETWEEN a AND d GROUP BY fold""")
+def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested folds of the calendar up to June 1997, the last test window moved on to August, and all days by horizon."""
+    from datetime import date
+
+    table = days(spark, sf_dir)
+    cal = [x.date for x in table.orderBy("date").collect()]  # the calendar's days
+    folds = splits.nested_folds([d for d in cal if d <= date(1997, 6, 30)], 4)
+    folds = splits.extended(folds, cal, date(1997, 8, 15))
+    n = splits.horizon_holdouts(table).agg(F.count("*").alias("horizon_days"))
+    return splits.fold_summary(spark, folds, table).join(F.broadcast(n))
