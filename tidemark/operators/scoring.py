@@ -203,3 +203,8 @@ def conditional_entropy(rows: DataFrame, by: Sequence[str], x: str, y: str) -> D
     cells = rows.groupBy(*by, x, y).agg(F.count("*").alias("k"))
     parts = cells.withColumns({"n": F.sum("k").over(w), "kx": F.sum("k").over(Window.partitionBy(*by, x))})
     return parts.groupBy(*by).agg((-F.sum(F.col("k") / F.col("n") * F.log(F.col("k") / F.col("kx")))).alias("conditional_entropy"))
+
+
+def skill(score: Column, baseline: Column) -> Column:
+    """How much lower a score is than the baseline's; positive is better."""
+    return baseline - score

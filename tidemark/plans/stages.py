@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import NUDGE
-from tidemark.operators import gauntlet, ledger, options, regimes, reports, robustness, signals, splits, support
-from tidemark.plans.domain import TRADES, trades
+from tidemark.operators import gauntlet, ledger, options, regimes, reports, robustness, scoring, signals, splits, support
+from tidemark.plans.domain import TRADES, forward_returns, forward_sql, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import DAYS, days, price_sql, query, r, rounded
+from tidemark.plans.relational import DAYS, EDGE_SQL, EDGES, N_BANDS, _band_sql, days, price_sql, query, r, rounded
 
 # the market's shares and the first stage
 
@@ -472,3 +472,30 @@ def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = splits.extended(folds, cal, date(1997, 8, 15))
     n = splits.horizon_holdouts(table).agg(F.count("*").alias("horizon_days"))
     return splits.fold_summary(spark, folds, table).join(F.broadcast(n))
+
+
+# skill of a forecast against the marginal and the uniform one
+
+
+@query(f"""WITH f AS (SELECT *, {_band_sql('fwd')} AS band FROM ({forward_sql()}) WHERE fwd IS NOT NULL), c AS (SELECT ticker, band, count(*) AS k FROM f WHERE pos % 2 = 1 AND band IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT t.ticker, b.band, coalesce(k, 0) AS k FROM (SELECT DISTINCT ticker FROM c) t CROSS JOIN (SELECT CAST(unnest(range(0, {N_BANDS})) AS INT) AS band) b LEFT JOIN c ON c.ticker = t.ticker AND c.band = b.band),
+  s AS (SELECT ticker, band, k * 1e0 / sum(k) OVER (PARTITION BY ticker) AS own, sum(k) OVER (PARTITION BY band) * 1e0 / sum(k) OVER () AS marginal FROM g),
+  p AS (SELECT ticker, kind, band, (share + 1e-6) / sum(share + 1e-6) OVER (PARTITION BY ticker, kind) AS p FROM (SELECT ticker, band, 'own' AS kind, own AS share FROM s UNION ALL SELECT ticker, band, 'marginal', marginal FROM s UNION ALL SELECT ticker, band, 'uniform', 1e0 / {N_BANDS} FROM s)),
+  q AS (SELECT p.*, low, high, sum(p) OVER (PARTITION BY ticker, kind ORDER BY p.band) AS top FROM p JOIN {EDGE_SQL} e ON e.band = p.band),
+  y AS (SELECT ticker, pos, least(greatest(fwd, {EDGES[0]}), {EDGES[-1]}) AS y FROM f WHERE pos % 2 = 0),
+  z AS (SELECT q.ticker, kind, pos, sum((high - low) * ((power(top - p + p * u, 3) - power(top - p, 3)) / (3 * p) + (power(top - 1, 3) - power(top - p + p * u - 1, 3)) / (3 * p))) AS crps
+    FROM (SELECT q.*, y.pos, least(greatest((y.y - low) / (high - low), 0), 1) AS u FROM q JOIN y ON y.ticker = q.ticker) q GROUP BY 1, 2, 3),
+  m AS (SELECT ticker, {', '.join(f"avg(crps) FILTER (kind = '{k}') AS {k}" for k in ('own', 'marginal', 'uniform'))}, count(DISTINCT pos) AS n FROM z GROUP BY 1)
+  SELECT ticker, n, {r('own', 5)} AS crps, {r('marginal - own', 5)} AS skill_vs_marginal, {r('uniform - own', 5)} AS skill_vs_uniform FROM m""")
+def forecast_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much lower each ticker's forecast scores than that of all tickers and than equal bands, on the other half of its days."""
+    f = forward_returns(spark, sf_dir).where(F.col("fwd").isNotNull())
+    odd = f.where("pos % 2 = 1")
+    own = scoring.histogram(odd, ["ticker"], "fwd", EDGES).select("ticker", scoring.smoothed(F.col("probs")).alias("own"))
+    every = scoring.histogram(odd.withColumn("one", F.lit(1)), ["one"], "fwd", EDGES).select(scoring.smoothed(F.col("probs")).alias("marginal"))
+    rows = f.where("pos % 2 = 0").join(own, "ticker").join(F.broadcast(every)).withColumn("uniform", F.array(*[F.lit(1.0 / N_BANDS)] * N_BANDS))
+    crps = {k: F.avg(scoring.crps(k, "fwd", EDGES)) for k in ("own", "marginal", "uniform")}
+    g = rows.groupBy("ticker").agg(F.count("*").alias("n"), *(c.alias(k) for k, c in crps.items()))
+    return rounded(
+        g.select("ticker", "n", F.col("own").alias("crps"), scoring.skill(F.col("own"), F.col("marginal")).alias("skill_vs_marginal"), scoring.skill(F.col("own"), F.col("uniform")).alias("skill_vs_uniform")), 5
+    )
