@@ -57,8 +57,9 @@ def label_pairs(triggers: DataFrame, calendar: DataFrame, horizon: int, time: st
 
 
 def members(rows: DataFrame, folds: DataFrame, time: str, low: str, high: str) -> DataFrame:
-    """Rows with each fold whose interval [low, high] holds their time; folds are few and broadcast if small."""
-    return rows.join(folds, (F.col(time) >= F.col(low)) & (F.col(time) <= F.col(high)))
+    """Rows with each fold whose interval [low, high] of days holds theirs: folds are spread over their days, so the join is an equality."""
+    spread = folds.where(F.col(low) <= F.col(high)).withColumn("_day", F.explode(F.sequence(low, high)))
+    return rows.join(spread, F.to_date(time) == F.col("_day")).drop("_day")
 
 
 def last_before(a: DataFrame, b: DataFrame, days: int, a_date: str, b_date: str, value: str) -> DataFrame:

@@ -124,9 +124,17 @@ def calibration(rows: DataFrame, y: str, p: str, bins: int = 10, by: Sequence[st
 
 
 def ks_uniform(rows: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
-    """Kolmogorov-Smirnov distance of values in [0, 1] to the uniform distribution."""
+    """Kolmogorov-Smirnov distance of values in [0, 1] to the uniform distribution.
+
+    Ranks are those within one of 1,024 equal steps and the count of the steps below, so no group is one task's.
+    """
     w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy(x)), "_n": F.count("*").over(w)})
+    stepped = rows.withColumn("_b", F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 1024))
+    steps = stepped.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    below = F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.select(*by, "_b", below.alias("_below"), F.sum("_m").over(w).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(x))
+    ranked = stepped.join(steps, [*by, "_b"]).withColumn("_k", F.col("_below") + within)
     away = F.greatest(F.col("_k") / F.col("_n") - F.col(x), F.col(x) - (F.col("_k") - 1) / F.col("_n"))
     return ranked.groupBy(*by).agg(F.max(away).alias("ks"), F.count("*").alias("n"))
 

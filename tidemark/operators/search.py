@@ -6,47 +6,44 @@ generation as one DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from zlib import adler32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dominates(a: str, b: str, objectives: Sequence[str]) -> Column:
-    """All objectives at least as large, one larger."""
-    every, some = F.lit(True), F.lit(False)
-    for o in objectives:
-        every = every & (F.col(f"{a}.{o}") >= F.col(f"{b}.{o}"))
-        some = some | (F.col(f"{a}.{o}") > F.col(f"{b}.{o}"))
-    return every & some
-
-
-def skyline(rows: DataFrame, objectives: Sequence[str]) -> DataFrame:
+def skyline(rows: DataFrame, objectives: Sequence[str], fan: int = 8) -> DataFrame:
     """Rows that none dominates.
 
-    Each partition first drops what its own rows dominate, keeping the distinct candidate vectors;
-    only candidates meet all others.
+    A tournament: each task keeps the distinct vectors that none of its own dominates, ``fan`` tasks' winners
+    meet in one of the next round, and the last round has one task, which holds little more than the result.
     """
-    vectors = rows.select(*objectives).distinct()
-
-    def local(batches):
-        import pyarrow as pa
+    found = rows.select(*objectives).distinct()
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, len(objectives)))
         for batch in batches:
-            x = np.column_stack([np.asarray(batch.column(k), float) for k in range(len(objectives))])
-            order = np.argsort(-x.sum(axis=1), kind="stable")
-            kept: list[int] = []
-            for i in order:
-                if not any((x[j] >= x[i]).all() and (x[j] > x[i]).any() for j in kept):
-                    kept.append(int(i))
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    few = vectors.mapInArrow(local, vectors.schema)
-    best = few.alias("a").join(few.alias("b"), dominates("b", "a", objectives), "left_anti")
-    return rows.join(best, list(objectives), "left_semi")
+            x = np.vstack([kept, np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(objectives))])])
+            best: list[np.ndarray] = []
+            for v in x[np.argsort(-x.sum(axis=1), kind="stable")]:
+                b = np.array(best)
+                if not len(b) or not ((b >= v).all(axis=1) & (b > v).any(axis=1)).any():
+                    best.append(v)
+            kept = np.array(best)
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in range(len(objectives))], list(objectives))
+
+    doubles = ", ".join(f"`{c}` double" for c in objectives)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.mapInArrow(local, doubles)
+    while width > 1:
+        width = -(-width // fan)
+        found = found.repartition(width).mapInArrow(local, doubles)
+    return rows.join(found.distinct(), list(objectives), "left_semi")
 
 
 def front_numbers(vectors: np.ndarray) -> np.ndarray:
