@@ -9,7 +9,7 @@ from tidemark.functions.series import NUDGE
 from tidemark.operators import gauntlet, ledger, options, regimes, reports, robustness, scoring, signals, splits, support
 from tidemark.plans.domain import TRADES, forward_returns, forward_sql, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import DAYS, EDGE_SQL, EDGES, N_BANDS, _band_sql, days, price_sql, query, r, rounded
+from tidemark.plans.relational import DAYS, EDGE_SQL, EDGES, N_BANDS, _band_sql, days, normal_sql, price_sql, query, r, rounded
 
 # the market's shares and the first stage
 
@@ -499,3 +499,66 @@ def forecast_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         g.select("ticker", "n", F.col("own").alias("crps"), scoring.skill(F.col("own"), F.col("marginal")).alias("skill_vs_marginal"), scoring.skill(F.col("own"), F.col("uniform")).alias("skill_vs_uniform")), 5
     )
+
+
+# scores of the search and of Sharpe ratios
+
+
+DAILY_R = f"SELECT ticker, trigger_date, median(pnl_pct) / 10 AS r FROM ({TRADES}) GROUP BY 1, 2"
+STRUCTURES = (("long_call", -1.0, -0.5, 1.0, -0.5, 1.0), ("long_put", 1.0, -0.5, -1.0, 1.0, -0.5), ("call_spread", -1.0, 0.0, 1.2, -0.5, -0.5),
+              ("put_spread", 1.2, 0.0, -1.0, -0.5, -0.5), ("straddle", 0.3, -1.5, 0.3, 1.0, 1.0), ("iron_condor", -0.5, 1.5, -0.5, -1.0, -1.0))
+
+
+@query(f"""WITH d AS ({DAILY_R}), m AS (SELECT *, avg(r) OVER w AS mu, stddev_samp(r) OVER w AS sd FROM d WINDOW w AS (PARTITION BY ticker)),
+  g AS (SELECT ticker, count(*) AS n, any_value(mu / sd) AS sr, avg(power((r - mu) / sd, 3)) AS skew, avg(power((r - mu) / sd, 4)) - 3 AS kurt FROM m GROUP BY 1),
+  h AS (SELECT *, 1 - skew * sr + (kurt + 2) / 4 * sr * sr AS v FROM g),
+  x AS (SELECT *, sr * sqrt(n - 1) / sqrt(v) AS a, (sr - sqrt(2 * ln(50e0) / (n - 1))) * sqrt(n - 1) / sqrt(v) AS b FROM h)
+  SELECT ticker, n, {r('sr', 5)} AS sr, {r(normal_sql('a'), 5)} AS probabilistic, {r(normal_sql('b'), 5)} AS deflated, {r('greatest(0, sr * 16 - sqrt(ln(50e0)) / sqrt(n - 1))', 4)} AS shrunk FROM x""")
+def sharpe_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio of each ticker's daily returns, the probability that it is above 0 and above the best of 50 trials, and its shrunken form."""
+    from tidemark.operators.gates import safe_deflated
+
+    d = ledger.daily_by_trigger(trades(spark, sf_dir), ["ticker"]).withColumn("r", F.col("r") / 10)
+    w = Window.partitionBy("ticker")
+    z = (F.col("r") - F.avg("r").over(w)) / F.stddev_samp("r").over(w)
+    g = d.withColumn("z", z).groupBy("ticker").agg(
+        F.count("*").alias("n"), (F.avg("r") / F.stddev_samp("r")).alias("sr"), F.avg(F.pow("z", F.lit(3))).alias("skew"), (F.avg(F.pow("z", F.lit(4))) - 3).alias("kurt")
+    )
+    sr, n, skew, kurt = (F.col(c) for c in ("sr", "n", "skew", "kurt"))
+    out = g.select(
+        "ticker", "n", "sr", ledger.probabilistic_sharpe(sr, n, skew, kurt).alias("probabilistic"), ledger.deflated_sharpe(sr, n, skew, kurt, 50).alias("deflated"),
+        safe_deflated(sr * 16, n, 50).alias("shrunk"),
+    )
+    return rounded(out, 5, shrunk=4)
+
+
+SCORED = f"""SELECT setup_id, avg(pnl_pct) * 100 AS a, CASE WHEN setup_id % 9 <> 0 THEN avg(pnl_pct) / stddev_samp(pnl_pct) * 100 END AS b, count(*) AS n, count(DISTINCT ticker) AS t,
+  list_sort(list(DISTINCT ticker) FILTER (pnl_pct > 0.25)) AS up, list_sort(list(DISTINCT ticker) FILTER (pnl_pct < -0.2)) AS down,
+  {', '.join(f"avg(CASE WHEN {t} THEN 1e0 ELSE 0e0 END) AS p{k}" for k, t in enumerate(('pnl_pct < -0.05', 'abs(pnl_pct) <= 0.05', 'pnl_pct > 0.05', 'pnl_pct < -0.15', 'pnl_pct > 0.2')))} FROM ({TRADES}) GROUP BY 1"""
+SHORT = "0.6 * greatest(0, (700 - n) * 1e0 / 700) + 0.4 * greatest(0, (8 - t) * 1e0 / 8)"
+BEST = "greatest(" + ", ".join("(" + " + ".join(f"{w} * p{k}" for k, w in enumerate(ws)) + ")" for _, *ws in STRUCTURES) + ")"
+JAC = "CASE WHEN len(list_distinct(list_concat(coalesce(up, []), coalesce(down, [])))) > 0 THEN len(list_intersect(coalesce(up, []), coalesce(down, []))) * 1e0 / len(list_distinct(list_concat(coalesce(up, []), coalesce(down, [])))) END"
+
+
+@query(f"""SELECT setup_id, {r('least(greatest(a, -10), 10)', 5)} AS plain, {r('CASE WHEN b IS NULL THEN -999 ELSE sign(b) * ln(1 + abs(b)) END', 5)} AS ratio, {r(f'1 + ({SHORT}) / (1 + {SHORT})', 5)} AS penalty,
+  {r(f'0.5 * (1 - coalesce({JAC}, 1)) + 0.5 * CASE WHEN n % 3 <> t % 3 THEN 1 ELSE 0 END', 5)} AS distance, {r(f'coalesce({JAC}, 0)', 5)} AS overlap,
+  CASE {' '.join("WHEN round(" + " + ".join(f"{w} * p{k}" for k, w in enumerate(ws)) + f", 9) = round({BEST}, 9) THEN '{name}'" for name, *ws in STRUCTURES)} END AS structure FROM ({SCORED})""")
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clamped objectives, penalty, distance and overlap of two ticker sets, and the option structure that fits each setup's results."""
+    from tidemark.operators import search, selection, subspaces
+
+    x = F.col("pnl_pct")
+    part = lambda test: F.avg(test.cast("double"))
+    g = trades(spark, sf_dir).groupBy("setup_id").agg(
+        (F.avg(x) * 100).alias("a"), (F.avg(x) / F.stddev_samp(x) * 100).alias("b"), F.count("*").alias("n"), F.count_distinct("ticker").alias("t"),
+        F.collect_set(F.when(x > 0.25, F.col("ticker"))).alias("up"), F.collect_set(F.when(x < -0.2, F.col("ticker"))).alias("down"),
+        part(x < -0.05).alias("p0"), part(F.abs(x) <= 0.05).alias("p1"), part(x > 0.05).alias("p2"), part(x < -0.15).alias("p3"), part(x > 0.2).alias("p4"),
+    ).withColumn("b", F.when(F.col("setup_id") % 9 != 0, F.col("b")))
+    n, t = F.col("n"), F.col("t")
+    out = g.select(
+        "setup_id", search.clamp_objective(F.col("a"), False).alias("plain"), search.clamp_objective(F.col("b"), True).alias("ratio"),
+        search.penalty_scalar([(n, F.lit(700.0), 0.6), (t, F.lit(8.0), 0.4)]).alias("penalty"),
+        search.setup_distance(F.col("up"), F.col("down"), n % 3, t % 3).alias("distance"), subspaces.overlap(F.col("up"), F.col("down")).alias("overlap"),
+        selection.option_structure(*(F.col(f"p{k}") for k in range(5))).alias("structure"),
+    )
+    return rounded(out, 5)
