@@ -16,13 +16,19 @@ change it.  Two facts bound what it must hold back:
 
 Tokens that are final are emitted, and encoding resumes at their end: no merge
 crosses a token boundary of the final result, so the rest encodes on its own.
-Memory is thus constant, whatever the length of a text or of a single word.
+Every text takes this way, in chunks of ``CHUNK`` characters.  Pre-tokens that are
+complete are merged a window at a time, equal ones once; what they became is kept
+for words of the last ``MEMO`` to 2 ``MEMO`` characters of new words, which changes
+no token.  So memory is constant, whatever the length of a text, of a word, or the
+number of words seen.
 
 Decoding maps each id to its bytes and feeds them to an incremental UTF-8
 machine, which keeps at most three bytes between tokens; malformed bytes become
 U+FFFD.
 
 Nulls count as empty texts: no tokens, and the digests of the empty string.
+Every row has a result of its own, so repeated ids and rows stay; columns besides
+the id and the text are not read, whatever their names.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +48,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import groups_of, map_batches
+from tidemark.llm.common import map_batches
 
 # The split pattern of byte-level BPE vocabularies, and the
 # classes of its unbounded runs.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUNS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
 
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
-
 #: Characters read at a time, and the longest word that is kept whole.
 CHUNK = 1 << 16
 LONG_WORD = 1 << 12
-#: Words whose encoding is remembered in a worker.
-CACHE = 400_000
+#: Characters of new words after which the older half of those remembered goes, and words that are merged together.
+MEMO, WINDOW = 1 << 20, 1 << 15
+#: Fewer new words than this are merged one by one.
+FEW = 48
 #: Rank of a pair that no merge joins.
 NEVER = 1 << 60
 
+#: What the transducer emits: complete pre-tokens, or final ids of a long one.
+Part = list[str] | tuple[int, ...]
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in of every byte: printable Latin-1 stands for itself, the rest follows U+0100 on."""
@@ -77,10 +87,10 @@ class Vocabulary:
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.merges = [(raw(a), raw(b)) for a, b in pairs]
+        merges = [(raw(a), raw(b)) for a, b in pairs]
         self.byte_id = [self.ids[bytes([b])] for b in range(256)]
-        self.rank = {(self.ids[a], self.ids[b]): r for r, (a, b) in enumerate(self.merges)}
-        self.merged = [self.ids[a + b] for a, b in self.merges]
+        self.rank = {(self.ids[a], self.ids[b]): r for r, (a, b) in enumerate(merges)}
+        self.merged = [self.ids[a + b] for a, b in merges]
         self.byte_ids, self.merged_ids = np.array(self.byte_id), np.array(self.merged)
         keys = np.array([a << 32 | b for a, b in self.rank])
         self.order = np.argsort(keys)
@@ -88,8 +98,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.lookahead = sufficient_lookahead(self.merges)
+        self.names = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
 
+    @cached_property
+    def lookahead(self) -> int:
+        """See ``sufficient_lookahead``; only long words need it."""
+        return sufficient_lookahead([(self.bytes_of[a], self.bytes_of[b]) for a, b in self.rank])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, ``NEVER`` where no merge joins them."""
@@ -190,8 +204,9 @@ class Encoder:
         self.runs = [regex.compile(p) for p in RUNS]
         self.special = regex.compile("|".join(regex.escape(s) for s in vocab.special)) if vocab.special else None
         self.hold = max(map(len, vocab.special), default=1) - 1
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.held = 0  # characters of the words in ``young``
         self.reset()
 
     def reset(self) -> None:
@@ -199,39 +214,47 @@ class Encoder:
         self.run: regex.Pattern | None = None  # class of the long word that is being read
         self.word = b""  # its bytes that aren't final
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = tuple(merge_word(word.encode(), self.vocab))
-            if len(word) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = ids
-        return ids
-
-    def pieces(self, text: str) -> list[str] | None:
-        """Cuts a text before single spaces and around single newlines: there the split pattern always cuts.
-
-        None where white space meets white space or an end, a NUL or a special token occurs.
-        """
-        if len(text) > CHUNK or "\0" in text or UNEVEN.search(text) or self.special and self.special.search(text):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes those pieces that aren't known, together."""
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        words = [self.split.findall(p) for p in new]
-        todo = list(dict.fromkeys(w for ws in words for w in ws))
-        short = [w for w in todo if 1 < len(w) <= 64]
-        ids = dict(zip(short, merge_words([w.encode() for w in short], self.vocab))) if short else {}
-        for p, ws in zip(new, words):
-            flat = tuple(i for w in ws for i in (ids[w] if w in ids else self.word_ids(w)))
-            self.known[p] = flat, ",".join(map(str, flat)).encode()
-
-    def _grow(self, part: str, last: bool) -> Iterator[tuple[int, ...]]:
+    def known(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; those that are new are merged together."""
+        if self.held >= MEMO:
+            self.young, self.old, self.held = {}, self.young, 0
+        found = list(map(self.young.get, words))
+        if missing := [k for k, ids in enumerate(found) if ids is None]:
+            self.learn({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.young[words[k]]
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers ``words``, those that were forgotten last as they were."""
+        new = []
+        for word in words:
+            self.held += len(word)
+            if found := self.old.get(word):
+                self.young[word] = found
+            else:
+                new.append(word)
+        raw = [w.encode() for w in new]
+        merged = merge_words(raw, self.vocab) if len(raw) >= FEW else [merge_word(w, self.vocab) for w in raw]
+        self.young.update(zip(new, merged))
+
+    def look(self, part: Part) -> list[int]:
+        """Ids of one part."""
+        if isinstance(part, tuple):
+            return list(part)
+        return list(chain.from_iterable(self.known(part)))
+
+    @staticmethod
+    def settled(text: str) -> tuple[str, str]:
+        """The text up to its last single space between words, where the split pattern always cuts, and the rest."""
+        end = len(text) - 1
+        while (p := text.rfind(" ", 1, max(end, 1))) > 0:
+            if not text[p - 1].isspace() and not text[p + 1].isspace():
+                return text[:p], text[p:]
+            end = p
+        return "", text
+
+    def _grow(self, part: str, last: bool) -> Iterator[Part]:
         """More of a long word; what can't change any more goes out."""
         self.word += part.encode()
         if last:
@@ -247,7 +270,7 @@ class Encoder:
             self.word = self.word[end:]
             yield tuple(final)
 
-    def _plain(self, last: bool) -> Iterator[tuple[int, ...]]:
+    def _plain(self, last: bool) -> Iterator[Part]:
         """Splits the buffer; keeps what may still change, unless it is the last."""
         while self.text or (last and self.run):
             if self.run:
@@ -261,14 +284,13 @@ class Encoder:
                     return
                 self.run = None
                 continue
-            words = self.split.findall(self.text)
-            if last:
-                self.text = ""
-                for w in words:
-                    yield self.word_ids(w)
+            head, self.text = (self.text, "") if last else self.settled(self.text)
+            if head:
+                yield self.split.findall(head)
+            if len(self.text) <= LONG_WORD:
                 return
-            for w in words[:-1]:
-                yield self.word_ids(w)
+            words = self.split.findall(self.text)
+            yield words[:-1]
             self.text = words[-1]
             if len(self.text) <= LONG_WORD:
                 return
@@ -277,16 +299,16 @@ class Encoder:
             yield from self._grow(self.text[:lead], False)
             self.text = self.text[lead:]
 
-    def feed(self, chunk: str) -> Iterator[tuple[int, ...]]:
-        """Ids of the words that ``chunk`` completes."""
+    def feed(self, chunk: str) -> Iterator[Part]:
+        """Parts that ``chunk`` completes."""
         self.text += chunk
         yield from self._specials(False)
 
-    def finish(self) -> Iterator[tuple[int, ...]]:
+    def finish(self) -> Iterator[Part]:
         yield from self._specials(True)
         self.reset()
 
-    def _specials(self, last: bool) -> Iterator[tuple[int, ...]]:
+    def _specials(self, last: bool) -> Iterator[Part]:
         while self.special and (m := self.special.search(self.text)):
             rest, self.text = self.text[m.end() :], self.text[: m.start()]
             yield from self._plain(True)
@@ -299,16 +321,31 @@ class Encoder:
             yield from self._plain(False)
             self.text += tail
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Groups of ids of a whole text, in order."""
-        if len(text) <= CHUNK:
-            self.text = text
-            yield from self.finish()
-            return
-        for k in range(0, len(text), CHUNK):
+    def parts(self, text: str) -> Iterator[Part]:
+        """Parts of a whole text, in order."""
+        for k in range(0, len(text) - CHUNK, CHUNK):
             yield from self.feed(text[k : k + CHUNK])
+        self.text += text[(len(text) - 1) // CHUNK * CHUNK :] if text else ""
         yield from self.finish()
 
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+        """(place of the text, ids), in order; the words of a window are merged together."""
+        held: list[tuple[int, Part]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self.parts(text):
+                held.append((k, part))
+                size += len(part)
+                if size >= WINDOW:
+                    yield from self._looked(held)
+                    held, size = [], 0
+        yield from self._looked(held)
+
+    def _looked(self, held: list[tuple[int, Part]]) -> Iterator[tuple[int, list[int]]]:
+        ids = iter(self.known([w for _, part in held if isinstance(part, list) for w in part]))
+        for k, part in held:
+            yield k, list(chain.from_iterable(islice(ids, len(part)))) if isinstance(part, list) else list(part)
+
 
 class Decoder:
     """Incremental byte-to-text machine over ids."""
@@ -324,6 +361,24 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+class Digest:
+    """Count and hash of a text's ids, and hash of the text that they decode to."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder, self.names = Decoder(vocab), vocab.names
+
+    def add(self, ids: list[int]) -> None:
+        if ids:
+            self.ids.update((b"," if self.n else b"") + b",".join([self.names[i] for i in ids]))
+            self.text.update(self.decoder.feed(ids).encode())
+            self.n += len(ids)
+
+    def text_digest(self) -> str:
+        self.text.update(self.decoder.finish().encode())
+        return self.text.hexdigest()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -339,13 +394,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        out = []
-        for texts in groups_of(batch.column(1)):
-            cut = [e.pieces(t) for t in texts]
-            e.learn(p for c in cut if c for p in c)
-            for text, c in zip(texts, cut):
-                groups = (e.known[p][0] for p in c) if c else e.encode(text)
-                out.append([i for g in groups for i in g])
+        out: list[list[int]] = [[] for _ in range(batch.num_rows)]
+        for k, ids in e.encode(t.as_py() or "" for t in batch.column(1)):
+            out[k] += ids
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], [id_col, "ids"])
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -366,12 +417,6 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return map_batches(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, text string")
 
 
-def named_blocks(groups: Iterable[tuple[int, ...]], size: int = 4096) -> Iterator[list[tuple[tuple[int, ...], bytes]]]:
-    """Groups of ids with their decimal names, in lists of bounded length."""
-    while block := list(islice(groups, size)):
-        yield [(ids, ",".join(map(str, ids)).encode()) for ids in block]
-
-
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count and digest of each text's ids, and the digest of what they decode to.
 
@@ -381,25 +426,21 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         counts, ids_sha, text_sha = [], [], []
-        for texts in groups_of(batch.column(1)):
-            cut = [e.pieces(t) for t in texts]
-            e.learn(p for c in cut if c for p in c)
-            for text, c in zip(texts, cut):
-                n, ids_hash, text_hash, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(e.vocab)
-                if c:
-                    parts = [list(map(e.known.__getitem__, c))]
-                else:
-                    parts = named_blocks(e.encode(text))
-                for part in parts:
-                    flat = [i for ids, _ in part for i in ids]
-                    if flat:
-                        ids_hash.update((b"," if n else b"") + b",".join([name for _, name in part if name]))
-                        text_hash.update(d.feed(flat).encode())
-                        n += len(flat)
-                text_hash.update(d.finish().encode())
-                counts.append(n)
-                ids_sha.append(ids_hash.hexdigest())
-                text_sha.append(text_hash.hexdigest())
+        now = Digest(e.vocab)
+
+        def ended(upto: int) -> None:
+            """The texts before ``upto`` are over."""
+            nonlocal now
+            while len(counts) < upto:
+                counts.append(now.n)
+                ids_sha.append(now.ids.hexdigest())
+                text_sha.append(now.text_digest())
+                now = Digest(e.vocab)
+
+        for k, ids in e.encode(t.as_py() or "" for t in batch.column(1)):
+            ended(k)
+            now.add(ids)
+        ended(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
             [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
