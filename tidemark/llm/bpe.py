@@ -40,7 +40,6 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +58,16 @@ RUNS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
 CHUNK = 1 << 16
 LONG_WORD = 1 << 12
 #: Characters of new words after which the older half of those remembered goes, and words that are merged together.
-MEMO, WINDOW = 1 << 20, 1 << 15
+MEMO, WINDOW = 1 << 19, 1 << 14
 #: Fewer new words than this are merged one by one.
 FEW = 48
 #: Rank of a pair that no merge joins.
 NEVER = 1 << 60
 
-#: What the transducer emits: complete pre-tokens, or final ids of a long one.
-Part = list[str] | tuple[int, ...]
+#: Ids of a pre-token or a part of one, their decimal names with a comma before each, and their bytes.
+Entry = tuple[tuple[int, ...], bytes, bytes]
+#: What the transducer emits: complete pre-tokens, or entries of a long one.
+Part = list[str] | list[Entry]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -98,7 +99,6 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.names = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
 
     @cached_property
     def lookahead(self) -> int:
@@ -204,8 +204,8 @@ class Encoder:
         self.runs = [regex.compile(p) for p in RUNS]
         self.special = regex.compile("|".join(regex.escape(s) for s in vocab.special)) if vocab.special else None
         self.hold = max(map(len, vocab.special), default=1) - 1
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, Entry] = {}
+        self.old: dict[str, Entry] = {}
         self.held = 0  # characters of the words in ``young``
         self.reset()
 
@@ -214,21 +214,16 @@ class Encoder:
         self.run: regex.Pattern | None = None  # class of the long word that is being read
         self.word = b""  # its bytes that aren't final
 
-    def known(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; those that are new are merged together."""
-        if self.held >= MEMO:
-            self.young, self.old, self.held = {}, self.young, 0
-        found = list(map(self.young.get, words))
-        if missing := [k for k, ids in enumerate(found) if ids is None]:
-            self.learn({words[k] for k in missing})
-            for k in missing:
-                found[k] = self.young[words[k]]
-        return found
+    def entry(self, ids: Iterable[int]) -> Entry:
+        ids = tuple(ids)
+        return ids, b"".join([b",%d" % i for i in ids]), b"".join(map(self.vocab.bytes_of.__getitem__, ids))
 
     def learn(self, words: set[str]) -> None:
-        """Remembers ``words``, those that were forgotten last as they were."""
+        """Makes sure that ``words`` are remembered."""
+        if self.held >= MEMO:
+            self.young, self.old, self.held = {}, self.young, 0
         new = []
-        for word in words:
+        for word in words.difference(self.young):
             self.held += len(word)
             if found := self.old.get(word):
                 self.young[word] = found
@@ -236,13 +231,14 @@ class Encoder:
                 new.append(word)
         raw = [w.encode() for w in new]
         merged = merge_words(raw, self.vocab) if len(raw) >= FEW else [merge_word(w, self.vocab) for w in raw]
-        self.young.update(zip(new, merged))
+        self.young.update(zip(new, map(self.entry, merged)))
 
-    def look(self, part: Part) -> list[int]:
-        """Ids of one part."""
-        if isinstance(part, tuple):
-            return list(part)
-        return list(chain.from_iterable(self.known(part)))
+    def look(self, part: Part) -> list[Entry]:
+        """Entries of one part."""
+        if not part or not isinstance(part[0], str):
+            return part
+        self.learn(set(part))
+        return list(map(self.young.__getitem__, part))
 
     @staticmethod
     def settled(text: str) -> tuple[str, str]:
@@ -258,7 +254,7 @@ class Encoder:
         """More of a long word; what can't change any more goes out."""
         self.word += part.encode()
         if last:
-            yield tuple(merge_word(self.word, self.vocab))
+            yield [self.entry(merge_word(self.word, self.vocab))]
             self.word = b""
         elif len(self.word) > LONG_WORD + 2 * self.vocab.lookahead:
             final, end, stable = [], 0, len(self.word) - self.vocab.lookahead
@@ -268,7 +264,7 @@ class Encoder:
                 end += len(self.vocab.bytes_of[i])
                 final.append(i)
             self.word = self.word[end:]
-            yield tuple(final)
+            yield [self.entry(final)]
 
     def _plain(self, last: bool) -> Iterator[Part]:
         """Splits the buffer; keeps what may still change, unless it is the last."""
@@ -312,7 +308,7 @@ class Encoder:
         while self.special and (m := self.special.search(self.text)):
             rest, self.text = self.text[m.end() :], self.text[: m.start()]
             yield from self._plain(True)
-            yield (self.vocab.special[m[0]],)
+            yield [self.entry([self.vocab.special[m[0]]])]
             self.text = rest
         if last or not self.special:
             yield from self._plain(last)
@@ -328,8 +324,8 @@ class Encoder:
         self.text += text[(len(text) - 1) // CHUNK * CHUNK :] if text else ""
         yield from self.finish()
 
-    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
-        """(place of the text, ids), in order; the words of a window are merged together."""
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, list[Entry]]]:
+        """(place of the text, entries), in order; the words of a window are looked up together."""
         held: list[tuple[int, Part]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -341,10 +337,11 @@ class Encoder:
                     held, size = [], 0
         yield from self._looked(held)
 
-    def _looked(self, held: list[tuple[int, Part]]) -> Iterator[tuple[int, list[int]]]:
-        ids = iter(self.known([w for _, part in held if isinstance(part, list) for w in part]))
-        for k, part in held:
-            yield k, list(chain.from_iterable(islice(ids, len(part)))) if isinstance(part, list) else list(part)
+    def _looked(self, held: list[tuple[int, Part]]) -> Iterator[tuple[int, list[Entry]]]:
+        whole = [bool(part) and isinstance(part[0], str) for _, part in held]
+        self.learn(set().union(*(part for (_, part), w in zip(held, whole) if w)))
+        for (k, part), w in zip(held, whole):
+            yield k, list(map(self.young.__getitem__, part)) if w else part
 
 
 class Decoder:
@@ -355,7 +352,11 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+        return self.feed_bytes(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    def feed_bytes(self, raw: bytes) -> str:
+        """Text that the bytes of further ids complete."""
+        return self.state.decode(raw)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -365,14 +366,14 @@ class Digest:
     """Count and hash of a text's ids, and hash of the text that they decode to."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
-        self.decoder, self.names = Decoder(vocab), vocab.names
+        self.n, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocab)
 
-    def add(self, ids: list[int]) -> None:
-        if ids:
-            self.ids.update((b"," if self.n else b"") + b",".join([self.names[i] for i in ids]))
-            self.text.update(self.decoder.feed(ids).encode())
-            self.n += len(ids)
+    def add(self, part: list[Entry]) -> None:
+        if part:
+            ids, names, raw = zip(*part)
+            self.ids.update(b"".join(names)[0 if self.n else 1 :])
+            self.text.update(self.decoder.feed_bytes(b"".join(raw)).encode())
+            self.n += sum(map(len, ids))
 
     def text_digest(self) -> str:
         self.text.update(self.decoder.finish().encode())
@@ -395,8 +396,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         out: list[list[int]] = [[] for _ in range(batch.num_rows)]
-        for k, ids in e.encode(t.as_py() or "" for t in batch.column(1)):
-            out[k] += ids
+        for k, part in e.encode(t.as_py() or "" for t in batch.column(1)):
+            out[k] += [i for ids, _, _ in part for i in ids]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], [id_col, "ids"])
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -437,9 +438,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 text_sha.append(now.text_digest())
                 now = Digest(e.vocab)
 
-        for k, ids in e.encode(t.as_py() or "" for t in batch.column(1)):
+        for k, part in e.encode(t.as_py() or "" for t in batch.column(1)):
             ended(k)
-            now.add(ids)
+            now.add(part)
         ended(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
