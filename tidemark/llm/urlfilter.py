@@ -6,10 +6,13 @@ that redirect to each other or name each other as canonical are one resource:
 components over those edges carry decisions to the aliases that no rule fits.
 In a component an explicit allow outweighs a block; without either, ``allow``.
 
-Edges come from canonical links and refresh redirects in the html, and from a
-table of redirects if there is one.  Urls are the same node if host (lower-cased),
+Edges come from all canonical links and refresh redirects in the html outside of
+comments, and from a table of redirects if there is one.  Urls are the same node if host (lower-cased),
 path and query agree.  A null url, or one without ``://``, has no host and path,
-fits no rule and has no aliases; it gets ``allow``.  Null html has no links.
+fits no rule and has no aliases; it gets ``allow``.  Null html has no links.  Every
+row is judged by its own url, so ids may be null or repeat; html of any length is read
+whole.  Of rules of equal length allow comes first.  Other columns are not read,
+whatever their names.  No pages give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ BROADCAST_RULES = 50_000
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 BEYOND = r"(?s)^.*?://[^/?#]*([^#]*)"
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+COMMENT = r"(?s)<!--.*?-->"
+LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"[^\">]*\bcanonical\b[^\">]*\"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
@@ -57,12 +61,10 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     A target is absolute, without scheme, from the root, or beside the page.
     """
-    html, url = F.col(html_col), F.col(url_col)
-    linked = pages.where(html.rlike(r"(?i)canonical|http-equiv"))
-    hrefs = F.array(
-        F.regexp_extract(F.regexp_extract(html, LINK, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
-    )
+    html, url = F.regexp_replace(F.col(html_col), COMMENT, ""), F.col(url_col)
+    linked = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv"))
+    each = lambda tag, value: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+    hrefs = F.concat(each(LINK, HREF), each(REFRESH, TARGET))
     rows = linked.select(node_of(url).alias("src"), host_of(url).alias("host"), path_of(url).alias("path"), F.explode(hrefs).alias("href"))
     folder = F.regexp_replace("path", r"[^/]*$", "")
     rows = rows.where("src <> '' and href <> ''").withColumn("folder", F.when(folder == "", "/").otherwise(folder))
@@ -159,6 +161,7 @@ def oracle(rules: Sequence[tuple[str, str]]) -> str:
         return f"CASE WHEN {host(c)} <> '' THEN {host(c)} || regexp_extract({c}, '{BEYOND}', 1) ELSE '' END"
 
     link, href, refresh, target = (p.replace("(?is)", "").replace("'", "''") for p in (LINK, HREF, REFRESH, TARGET))
+    plain = "regexp_replace(html, '" + COMMENT.replace("(?s)", "") + "', '', 'gs')"
     folder = "regexp_replace(" + path("url") + ", '[^/]*$', '')"
     fits = """
       SELECT {key}, max(struct_pack(n := length(r.rule), a := r.action = 'allow', rule := r.rule, action := r.action)) AS b
@@ -167,8 +170,8 @@ def oracle(rules: Sequence[tuple[str, str]]) -> str:
     return f"""
     WITH RECURSIVE rules(suffix, start, rule, action) AS (VALUES {values}),
     hrefs AS (
-      SELECT url, unnest([regexp_extract(regexp_extract(html, '{link}', 0, 'is'), '{href}', 1, 'is'),
-                          regexp_extract(regexp_extract(html, '{refresh}', 0, 'is'), '{target}', 1, 'is')]) AS href
+      SELECT url, unnest(list_concat(list_transform(regexp_extract_all({plain}, '{link}', 0, 'is'), lambda x: regexp_extract(x, '{href}', 1, 'is')),
+                                     list_transform(regexp_extract_all({plain}, '{refresh}', 0, 'is'), lambda x: regexp_extract(x, '{target}', 1, 'is')))) AS href
       FROM pages WHERE regexp_matches(html, 'canonical|http-equiv', 'i') AND {node('url')} <> ''),
     targets AS (
       SELECT {node('url')} AS src, CASE
