@@ -24,8 +24,14 @@ that occurs in so many documents is a repeated run by itself, wherever it stands
    ones.
 4. In each interval all members but the first are later copies.
 
-Null texts stay null, texts without a repeated run stay as they are.  Rows that
-agree in id and text are one document and are edited alike.
+Joins on lines, ranks and intervals broadcast the few keys that hold a large part of
+all rows, so a line that a third of the corpus has doesn't come to one task.
+
+Null texts stay null, texts without a repeated run stay as they are; a null id is an
+id like another.  Rows that agree in id and text are one document and are edited
+alike; of equal places the order of (id, text hash) decides.  Texts of any length are
+cut whole.  No rows give no rows.  Columns of ``docs`` stay, but ``n_lines`` and
+``n_removed``, if there, give way to those of the result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, drop_saved, saved
+from tidemark.llm.common import WORD_PATTERN, drop_saved, join_counted, saved
 
 CHUNKS = 4096
 LARGEST_BROADCAST = 100_000
@@ -72,8 +78,11 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").withColumn("a", F.lit(0))
     shift = 64 - CHUNKS.bit_length() + 1
     ids = with_rank(ids, F.lit(1), ["h1", "h2"], F.shiftright("h1", shift))
-    now = saved(lines.join(ids.select("h1", "h2", F.col("rank").alias("r0")), ["h1", "h2"]).drop("h1", "h2"), "ranks")
-    wide = max(1, now.count() // CHUNKS)
+    ids = saved(ids.select("h1", "h2", "n", F.col("rank").alias("r0")), "ids")
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    now = saved(join_counted(lines, ids, ["h1", "h2"], total).drop("h1", "h2", "n"), "ranks")
+    drop_saved(ids)
+    wide = max(1, total // CHUNKS)
     place = Window.partitionBy(*DOC).orderBy("seq")
     k = 0
     while 2 << k <= depth:
@@ -82,9 +91,10 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
         paired = now.withColumn("b", F.when(follows, F.lead(f"r{k}", h).over(place)).otherwise(0))
         pairs = paired.groupBy(F.col(f"r{k}").alias("a"), "b").agg(F.count("*").alias("n"))
         ranked = with_rank(pairs, F.col("a"), ["b"], F.floor(F.col("b") / wide))
-        ranked = ranked.select(F.col("a").alias(f"r{k}"), "b", F.col("rank").alias(f"r{k + 1}"))
-        before, now = now, saved(paired.join(ranked, [f"r{k}", "b"]).drop("b"), "ranks")
+        ranked = saved(ranked.select(F.col("a").alias(f"r{k}"), "b", "n", F.col("rank").alias(f"r{k + 1}")), "pairs")
+        before, now = now, saved(join_counted(paired, ranked, [f"r{k}", "b"], total).drop("b", "n"), "ranks")
         drop_saved(before)
+        drop_saved(ranked)
         k += 1
     return now
 
@@ -134,7 +144,7 @@ def shortest_runs(ranks: DataFrame, min_words: int) -> DataFrame:
         found = seen.withColumn("n", length(name, sign)).where("n is not null")
         start = F.col("seq") if sign > 0 else F.col("seq") - n + 1
         lines = F.transform(F.slice(run, F.lit(1), n), lambda x: x.line)
-        out.append(found.select(*DOC, start.alias("start"), "n", *interval(run, n, sign < 0), lines.alias("lines")))
+        out.append(found.select(*DOC, start.alias("start"), n.alias("size"), *interval(run, n, sign < 0), lines.alias("lines")))
     return out[0].unionByName(out[1])
 
 
@@ -163,12 +173,18 @@ def later_copies(
     ranks = suffix_ranks(lines, min_words)
     runs = saved(shortest_runs(ranks, min_words), "runs")
     drop_saved(lines)
-    interval = ["n", "first", "last"]
-    earliest = runs.groupBy(*interval).agg(F.min(F.struct(*DOC, "start")).alias("earliest"), F.count("*").alias("k"))
-    later = runs.join(earliest.where("k > 1"), interval).where(F.struct(*DOC, "start") > F.col("earliest"))
+    drop_saved(ranks)
+    interval = ["size", "first", "last"]
+    earliest = runs.groupBy(*interval).agg(F.min(F.struct(*DOC, "start")).alias("earliest"), F.count("*").alias("n"))
+    earliest = saved(earliest.where("n > 1"), "intervals")
+    total = earliest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = join_counted(runs, earliest, interval, total).where(F.struct(*DOC, "start") > F.col("earliest"))
     gone = later.select(*DOC, F.explode("lines").alias("line"))
     gone = gone if short is None else gone.unionByName(short)
-    return gone.groupBy(*DOC).agg(F.collect_set("line").alias("gone"))
+    out = saved(gone.groupBy(*DOC).agg(F.collect_set("line").alias("gone")), "gone")
+    for done in (runs, earliest, *([short] if short else [])):
+        drop_saved(done)
+    return out
 
 
 def dedup(
@@ -177,15 +193,17 @@ def dedup(
     """All rows and columns of ``docs``, the text without later copies, and ``n_lines`` and ``n_removed``."""
     gone = later_copies(docs, min_words, id_col, text_col, often)
     text = F.col(f"d.{text_col}").cast("string")
-    rows = docs.alias("d").withColumn("_th", F.xxhash64(text_col))
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("_th") == F.col("g.th"))
-    joined = rows.join(gone.alias("g"), same, "left")
+    key = next(name for k in range(len(docs.columns) + 1) if (name := f"_th{k}") not in docs.columns)
+    rows = docs.alias("d").withColumn(key, F.xxhash64(text_col))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col(key) == F.col("g.th"))
+    joined = rows.join(gone.alias("g").hint("merge"), same, "left")  # a table that grows with the documents
     split = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(1), F.size(split)), F.transform("g.gone", lambda i: i + 1))
     clean = F.when(F.col("g.gone").isNull(), text).otherwise(
         F.array_join(F.transform(F.array_sort(kept), lambda i: F.element_at(split, i)), "\n")
     )
-    columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in kept_columns]
     counts = [
         F.when(text.isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
         F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).alias("n_removed"),
