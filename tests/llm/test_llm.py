@@ -12,7 +12,7 @@ import pytest
 from conftest import DATA, rows
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, decontam, jaccard, langid, licenses, linededup, queries, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, common, components, decontam, jaccard, langid, licenses, linededup, queries, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -106,13 +106,38 @@ def test_bpe_streams(library, monkeypatch):
         out, k = [], 0
         while k < len(text):
             step = rng.randint(1, 40)
-            out += [i for g in e.feed(text[k : k + step]) for i in g]
+            out += [i for part in e.feed(text[k : k + step]) for ids, _, _ in e.look(part) for i in ids]
             k += step
-        out += [i for g in e.finish() for i in g]
+        out += [i for part in e.finish() for ids, _, _ in e.look(part) for i in ids]
         assert out == lib.encode(text, add_special_tokens=False).ids
         assert len(e.word) < 8 + 2 * e.vocab.lookahead + 64
 
 
+def test_bpe_on_documents(spark, library):
+    path, lib = library
+    docs = table(spark, DATA.replace("0.001", "0.01"), "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in bpe.digests(docs, path).collect():
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False).encode()
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(back).hexdigest()
+
+
+def test_bpe_memory(library, monkeypatch):
+    path, lib = library
+    monkeypatch.setattr(bpe, "MEMO", 500)
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    e, rng = bpe.Encoder(bpe.Vocabulary(path)), random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 9))) for _ in range(80)) for _ in range(60)]
+    out = [[] for _ in texts]
+    for k, part in e.encode([*texts, ""]):
+        if part:
+            out[k] += [i for ids, _, _ in part for i in ids]
+        assert sum(map(len, [*e.young, *e.old])) < 2 * (500 + 130 * 10)
+    assert out == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_decoder_replaces_malformed_bytes(library):
     v = bpe.Vocabulary(library[0])
     d = bpe.Decoder(v)
@@ -165,6 +190,24 @@ def test_components_of_nothing(spark):
     assert jaccard.components(empty(spark)).count() == 0
 
 
+def test_components_of_repeated_and_null_ids(spark):
+    base = [f"b{k}" for k in range(100)]
+    near, other = [*base[:50], "new", *base[51:]], [f"o{k}" for k in range(30)]
+    far = [*other[:14], "else", *other[15:]]
+    pairs = [(1, other), (1, base), (2, near), (None, base), (3, far), (3, far), (None, ["alone"] * 9), (4, None), (None, None)]
+    df = spark.createDataFrame([(d, w and " ".join(w)) for d, w in pairs], "doc_id long, text string")
+    got = rows(jaccard.components(df, jaccard.Params(percent=70)).withColumn("same", F.lit(1)))
+    wanted = [(1, d, max(len(w) - 3, 1) if w else 0, 1) for d, w in pairs[:6]] + [(None, None, 1, 1), (4, 4, 0, 1), (None, None, 0, 1)]
+    wanted[6] = (None, None, 1, 1)
+    assert got == sorted(wanted, key=repr)
+
+
+def test_sets_of_one_name():
+    a, b = jaccard.shingle_sets(["a b c d e f", "g h i j k l"], 4)
+    assert jaccard.set_id(a) == jaccard.set_ids(a)[0] != jaccard.set_id(b)
+    assert jaccard.set_id(a, frozenset({jaccard.set_id(a)})) == jaccard.set_ids(a)[1]
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -213,6 +256,25 @@ def test_lines_against_brute_force(spark):
     assert linededup.dedup(empty(spark)).count() == 0
 
 
+def test_lines_of_odd_rows(spark):
+    long = "\n".join(f"line number {k} of a long text that goes on" for k in range(30_000))
+    rows_ = [(None, "a b c d e f g h"), (1, "a b c d e f g h\nown"), (2, long), (3, long), (3, long), (4, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({"n_lines": F.lit("mine"), "_th0": F.lit(0), "th": F.lit(1), "line": F.lit(2)})
+    out = linededup.dedup(df)
+    assert out.columns == ["doc_id", "text", "_th0", "th", "line", "n_lines", "n_removed"]
+    got = sorted(((r.doc_id or 0, -1 if r.text is None else len(r.text), r.n_lines, r.n_removed) for r in out.collect()))
+    empty_ = (3, 0, 30_000, 30_000)
+    assert got == [(0, 15, 1, 0), (1, 3, 2, 1), (2, len(long), 30_000, 0), empty_, empty_, (4, -1, 0, 0)]
+
+
+def test_hot_keys_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    df = spark.range(100).select(F.expr("CASE WHEN id < 60 THEN 0 ELSE id % 13 END").alias("k"), "id")
+    groups = df.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = rows(common.join_counted(df, groups, ["k"], 100))
+    assert got == rows(df.join(groups, "k")) and len(got) == 100
+
+
 # decontamination, licenses, urls, shards
 
 
@@ -268,6 +330,35 @@ def test_short_items_leak(spark):
     assert not {91, 92} & {i for _, i in got}
 
 
+def test_shared_grams_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(6)) for _ in range(12)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(9))) for k in range(20)] + [(50 + k, w) for k, w in enumerate(words)]
+    parts = [decontam.points(" ".join([*(rng.choice(words) for _ in range(20)), items[k][1]])) for k in range(20)]
+    found = [decontam.find_in(parts, index) for index in decontam.build_index(items, decontam.Params())]
+    monkeypatch.setattr(decontam, "HITS", 7)
+    assert found == [decontam.find_in(parts, index) for index in decontam.build_index(items, decontam.Params())]
+    assert sum(map(len, found)) >= 20
+
+
+def test_leaks_of_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = spark.createDataFrame([(None, item), (1, item), (1, item), (2, "pad " * 250_000 + item), (3, item * 2)], "doc_id long, text string")
+    docs = docs.withColumns({"item_id": F.lit("x"), "edits": F.lit(9), "_text": F.lit(0)})
+    items = spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.edits, r.begin) for r in decontam.leaks(docs, items).collect())
+    wanted = [(d, i, 0, 1_000_000 if d == 2 else 0) for d in (0, 1, 1, 2, 3) for i in (0, 7, 7)]
+    assert got == sorted(wanted)
+
+
+def test_licenses_of_odd_rows(spark):
+    mit = "Released under the MIT License."
+    df = spark.createDataFrame([(None, mit), (1, mit), (1, mit), (2, "pad " * 250_000 + mit)], "doc_id long, text string")
+    df = df.withColumns({"license": F.lit("clash"), "t": F.lit(1), "begin": F.lit(2)})
+    got = sorted((r.doc_id or 0, r.license, r.begin) for r in licenses.scan(df).collect())
+    assert got == [(0, "MIT", 0), (1, "MIT", 0), (1, "MIT", 0), (2, "MIT", 1_000_000)]
+
+
 def test_licenses(spark):
     texts = [None, "", "no terms here", "Foo\nReleased under the MIT License.\nbar", "Licensed under CC BY-NC 4.0. x", "Licensed under CC BY 4.0.",
              "licensed under the GNU General Public License, version 9.", "pad " * 5000 + "Licensed under the Apache License, Version 2.0."]
@@ -306,6 +397,29 @@ def test_url_aliases(spark):
     assert urlfilter.judge(df.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_url_aliases_by_sql(spark, tmp_path):
+    """The components against the SQL, on pages that have links; the driver's have none."""
+    import duckdb
+
+    links = [
+        '<link rel="alternate canonical" href="/c">', "<link rel=canonical href=/c><LINK href='/d' REL='Canonical'>", '<!-- <link rel="canonical" href="/z"> -->',
+        "<meta content='3;url=//B.example.net/es/9' http-equiv=\"refresh\">", "<link rel='canonical-not' href='/q'>", '<link rel="canonical" href="http://www.example.com/en/x?k#f">', None, "",
+    ]
+    hosts = ["http://a.example.org", "http://b.example.net", "http://www.example.com/en", "http://example.com/en", "nohost", None]
+    rng = random.Random(2)
+    pages = [(k, (h and f"{h}/{p}"), rng.choice(links)) for k, (h, p) in enumerate((rng.choice(hosts), rng.choice(["c", "d", "z", "es/9", "q", "x?k", "es/1"])) for _ in range(150))]
+    df = spark.createDataFrame([*pages, (3, *pages[3][1:]), (None, *pages[4][1:])], "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
+    df.drop("rule").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    got = urlfilter.judge(df, queries.URL_RULES)
+    names = sorted(got.columns)
+    wanted = con.sql(f"SELECT {', '.join(names)} FROM ({urlfilter.oracle(queries.URL_RULES)})").fetchall()
+    assert rows(got) == sorted(wanted, key=repr) and any(r.alias_of for r in got.collect())
+    verdicts = {(r.rule, r.verdict) for r in got.where("alias_of is not null").collect()}
+    assert (None, "block") in verdicts or (None, "allow") in verdicts
+
+
 def test_shards(spark):
     texts = [*TEXTS, *["hot text " * 20] * 300, *[f"text {k} " * (k % 40) for k in range(600)]]
     got = sharding.shard(docs_of(spark, texts, True), 5).toPandas()
@@ -320,6 +434,34 @@ def test_shards(spark):
     assert sharding.shard(empty(spark), 5).count() == 0
 
 
+def test_groups_of_equal_texts_stay_together(spark):
+    texts = ["g" * 500] * 16 + ["h" * 300] * 30 + ["t" * 100] * 400 + [f"{k} " * 40 for k in range(300)]
+    docs = docs_of(spark, texts).withColumns({"key": F.lit(1), "shard": F.lit(2), "rows": F.lit(3)})
+    docs = docs.unionByName(docs.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sharding.shard(docs, 10).toPandas()
+    room = {"bytes": got["size"].sum() / 10, "rows": len(got) / 10}
+    for first, of in (("g", got[got.doc_id < 16]), ("h", got[(got.doc_id >= 16) & (got.doc_id < 46)])):
+        assert of.shard.nunique() == 1, first
+    many = got[(got.doc_id >= 46) & (got.doc_id < 446)]
+    assert many.shard.nunique() <= -(-max(many["size"].sum() / room["bytes"], len(many) / room["rows"]) // 1)
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(texts) + 2 and load.max() / load.min() < 1.1
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_packing_against_brute_force():
+    rng = np.random.default_rng(1)
+    loads = rng.random((60, 3)) / 9
+    left, wanted = np.ones((6, 3)), [0] * 60
+    for i in sorted(range(60), key=lambda i: (-max(loads[i]), i)):
+        fits = [s for s in range(6) if left[s][0] >= loads[i][0]]
+        dot = lambda s: sum(left[s][d] * loads[i][d] for d in range(3))
+        wanted[i] = max(fits, key=lambda s: (dot(s), -s)) if fits else max(range(6), key=lambda s: (left[s][0], -s))
+        left[wanted[i]] -= loads[i]
+    assert sharding.pack(loads, 6).tolist() == wanted
+
+
 # per-text models
 
 
@@ -341,6 +483,34 @@ def test_repetition_against_brute_force():
         assert (windows[k], runs[k], longest[k]) == (len(cover[3]), len(cover[4]), max(best, default=0))
 
 
+def brute_quality(text):
+    """All columns of the quality query, from counts of word windows."""
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+
+    def again(m):
+        seen = defaultdict(list)
+        for i in range(len(words) - m + 1):
+            seen[tuple(words[i : i + m])].append(i)
+        return {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(m)}
+
+    low, high = 0, len(words)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if again(mid) else (low, mid - 1)
+    dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
+    n, repeated, runs = len(words), len(again(3)), len(again(8))
+    failed = n < 50 or 100 * repeated > 50 * n
+    long = 100 * runs > 40 * n or low > 60 and 100 * low > 25 * n
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, repeated, failed, not failed and not long
+
+
+def test_quality_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in table(spark, DATA, "documents").collect()}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in queries.op6_quality_rules(spark, DATA).collect()}
+    assert got == {d: brute_quality(t) for d, t in docs.items()}
+
+
 def test_quality_rows(spark):
     texts = [*TEXTS, "\n".join(["one two three"] * 30), " ".join(f"w{i}" for i in range(60)), "a # b\na # b\n\n\n"]
     got = {r.doc_id: r for r in repetition.judge(docs_of(spark, texts, True)).collect()}
@@ -359,6 +529,10 @@ def test_language_held_out(spark):
     odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs_of(spark, TEXTS, True), model).collect()}
     assert odd[0] == odd[1] == odd[2] == ("und", 0.0) and odd[3][0] != "und" and 0 <= odd[3][1] <= 1
     assert langid.fit(empty(spark)) is None
+    again = docs.withColumn("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN NULL ELSE doc_id END"))
+    model = langid.fit(again.withColumns({"h": F.lit(0), "k": F.lit(0), "bucket": F.lit("x")}))
+    out = langid.predict(again, model, keep=("lang",))
+    assert out.count() == docs.count() and out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
     assert langid.predict(docs_of(spark, TEXTS), None).where("lang_pred <> 'und'").count() == 0
 
 
@@ -374,6 +548,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit(docs, labels.where("false")) is None
 
 
+def test_scores_against_brute_force(spark):
+    """The scores of ``score`` and ``predict`` from the models' own arrays, text by text."""
+    at = DATA.replace("0.001", "0.01")
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels")
+    model = toxicity.fit(docs, labels)
+    again = docs.withColumn("doc_id", F.expr("CASE WHEN doc_id % 2 = 0 THEN NULL ELSE doc_id - doc_id % 4 END"))
+    assert toxicity.score(again, model).count() == docs.count() and toxicity.fit(again, labels.withColumn("doc_id", F.expr("doc_id - doc_id % 4"))) is not None
+    got = {r.doc_id: r.score for r in toxicity.score(docs.limit(200), model).collect()}
+    langs = langid.fit(docs)
+    spoken = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.limit(200), langs).collect()}
+    for r in docs.limit(200).collect():
+        have = toxicity.rates(r.text or "", model.params.full_rate)
+        total = model.bias + sum(model.weights[f] * have.get(b, 0) for b, f in model.chosen.items())
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-6)
+        if not r.text or not langid._LETTER.search(r.text):
+            assert spoken[r.doc_id] == ("und", 0.0)
+            continue
+        known = sorted(set(langs.lookup[np.concatenate(list(langid.grams(r.text, 3)))].tolist()) - {len(langs.presence)})
+        kernel = [sum(float(langs.presence[c][m]) for c in known) / max(len(known), 1) ** 0.5 for m in range(langs.presence.shape[1])]
+        margin = (np.array(kernel) @ langs.weights[:-1] + langs.weights[-1]) / langs.params.temperature
+        share = np.exp(margin - margin.max()) / np.exp(margin - margin.max()).sum()
+        assert spoken[r.doc_id][0] == langs.langs[int(share.argmax())] and spoken[r.doc_id][1] == pytest.approx(share.max(), abs=1e-3)
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     pos, unl = rng.normal(2, 1, (200, 2)), np.r_[rng.normal(2, 1, (100, 2)), rng.normal(-2, 1, (300, 2))]

@@ -66,3 +66,26 @@ def test_short_lines_of_many_documents(spark):
     got = {r.doc_id: r.text for r in pipeline.lines(spark, docs, DATA).collect()}
     wanted = {k: t if k in (0, 13, 14) else t.replace("\nshare this now", "") for k, t in enumerate(texts) if k != 12}
     assert got == wanted
+
+
+def test_stages_of_odd_rows(spark):
+    words = [r.text for r in table(spark, DATA, "documents").where("length(text) > 400").orderBy("doc_id").limit(3).collect()]
+    long = " ".join(f"{w}{k % 977}" for k, w in enumerate((words[0] * 400).split()[:60_000]))
+    texts = [(None, words[0]), (1, words[1]), (1, words[1]), (1, words[2]), (2, long), (3, ""), (4, None), (5, "12 34")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    docs = docs.withColumns({c: F.lit(c) for c in ("score", "lang_pred", "row", "_row", "copies", "n_lines", "n_removed", "th", "item_id", "c0", "c3", "id")})
+    nothing = docs.where("false")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert {r.score for r in rows} == {"score"} and stage(spark, nothing, DATA).count() == 0, name
+        kept = sorted((r.doc_id or 0, len(r.text or "")) for r in rows)
+        if name == "language":
+            assert not {3, 4, 5} & {k for k, _ in kept} and (0, len(words[0])) in kept
+        if name == "near_copies":
+            assert kept.count((1, len(words[1]))) == 1 and (2, len(long)) in kept and (4, 0) in kept
+        if name == "benchmark":
+            assert (2, len(long)) in kept and kept.count((1, len(words[1]))) == 2
+    done = pipeline.tokens(spark, docs, DATA)
+    assert done.count() == len(texts) and pipeline.tokens(spark, nothing, DATA).count() == 0
