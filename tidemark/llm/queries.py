@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, jaccard, langid, licenses, linededup, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, decontam, jaccard, langid, lexical, licenses, linededup, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,6 +95,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -106,9 +111,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.oracle(),
     "op4_url_filter": urlfilter.oracle(URL_RULES),
+    "op11_lexical_search": lexical.oracle(),
 }
