@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, jaccard, langid, lexical, licenses, linededup, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, conversations, decontam, jaccard, langid, lexical, licenses, linededup, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -100,6 +100,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cost, edits and digest of its cheapest repair."""
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -112,10 +117,12 @@ QUERIES = {
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.oracle(),
     "op4_url_filter": urlfilter.oracle(URL_RULES),
     "op11_lexical_search": lexical.oracle(),
+    "op12_conversation_repair": conversations.oracle(),
 }
