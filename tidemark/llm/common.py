@@ -118,6 +118,16 @@ def groups_of(column: pa.Array, size: int = 1 << 18) -> Iterator[list[str]]:
         yield held
 
 
+def windows(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes of a text whose words are separated by spaces; no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind(b" ", at, at + size) + 1 or text.find(b" ", at + size) + 1 or len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def lowest_ids(docs: DataFrame, id_col: str, n: int) -> DataFrame:
     """The ``n`` ids with the smallest hash: a bounded sample that does not depend on the order of rows."""
     return docs.select(F.col(id_col), F.xxhash64(id_col).alias("_h")).distinct().orderBy("_h", id_col).limit(n)

@@ -36,30 +36,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, saved, trimmed
+from tidemark.llm.common import map_batches, saved, trimmed, windows
 
 #: Bits of the filter of asked terms, matches accumulated at a time, and pairs of item and term in a block of queries.
 FILTER_BITS = 23
 MATCHES = 1 << 21
 BLOCK = 1 << 19
-#: Bytes of a text that are split at a time.
-WINDOW = 1 << 20
 #: A byte's lower-case self where terms have it, else a space: ASCII digits, letters, and all bytes of other characters.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
-    """Parts of a text whose terms are separated by spaces; no term is cut."""
-    at = 0
-    while len(text) - at > size:
-        cut = text.rfind(b" ", at, at + size) + 1 or text.find(b" ", at + size) + 1 or len(text)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def term_counts(text: bytes) -> Counter[bytes]:
     counts: Counter[bytes] = Counter()
     for part in windows(text.translate(TERM_BYTES)):

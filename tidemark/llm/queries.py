@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversations, decontam, jaccard, langid, lexical, licenses, linededup, repetition, sharding, toxicity, urlfilter
+from tidemark.llm import bpe, classlm, conversations, decontam, jaccard, langid, lexical, licenses, linededup, repetition, sharding, toxicity, urlfilter
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -105,6 +105,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text by a class model of the six folds that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = classlm.fit(docs, id_fold(7) != 2)
+    scored = classlm.score(docs, model)
+    return scored.select("doc_id", (id_fold(7) == 2).alias("held_out"), *scored.columns[1:])
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -118,6 +126,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
