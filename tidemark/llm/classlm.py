@@ -11,8 +11,9 @@ by key, and one row for each unit holds its neighbours.
 
 *Exchange.*  In each round tasks get the classes and the matrix of class bigrams (both
 of fixed size), and move a unit out of its class and to where the likelihood of the
-class bigrams becomes highest.  A third of the units may move in a round, those that
-gain most first if all moves together would lose; the end keeps a class alone.
+class bigrams becomes highest.  A third of the units may move in a round.  From a start
+by rank all moves of the first ``FREE`` rounds are made; later only those that gain most
+if all together would lose.  The end keeps a class alone.
 
 *Smoothing.*  Transitions are interpolated with the classes' own frequency, by the number
 of different successors (Witten-Bell); within a class a word seen c times has
@@ -48,6 +49,8 @@ END, END_UNIT, END_CLASS = b"", 0, 0
 #: Distinct words, or bigrams, that a task counts before it passes them on; words it remembers besides the broadcast ones.
 COUNTED, PAIRS, MEMO = 1 << 19, 1 << 22, 1 << 18
 ENDING = 3
+#: Rounds whose moves are all made: two of each unit.
+FREE = 6
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,7 @@ class Params:
     frequent: int = 6144
     endings: int = 2048
     classes: int = 64
-    rounds: int = 24
+    rounds: int = 18
     known: int = 1 << 17
 
     @property
@@ -248,7 +251,7 @@ def exchange(near: DataFrame, frequencies: np.ndarray, p: Params) -> tuple[np.nd
     order = np.lexsort((np.arange(p.units), -frequencies))
     order = order[order != END_UNIT]
     classes = np.zeros(p.units, np.int64)
-    classes[order] = 1 + np.minimum(np.arange(p.units - 1), k - 2)
+    classes[order] = 1 + np.arange(p.units - 1) % (k - 1)
     pairs = class_pairs(near, classes, k)
     still = 0
     for turn in range(p.rounds):
@@ -258,10 +261,10 @@ def exchange(near: DataFrame, frequencies: np.ndarray, p: Params) -> tuple[np.nd
             new = classes.copy()
             new[[u for _, u, _ in moves]] = [c for *_, c in moves]
             after = class_pairs(near, new, k)
-            if likelihood(after) > likelihood(pairs):
+            if turn < FREE or likelihood(after) > likelihood(pairs):
                 classes, pairs, moved = new, after, True
                 break
-            moves = moves[: len(moves) // 2]
+            moves = moves[: len(moves) // 4]
         still = 0 if moved else still + 1
         if still == 3:
             break
