@@ -194,8 +194,8 @@ def best_class(pairs: np.ndarray, a: int, after: np.ndarray, before: np.ndarray,
     m[a] -= after
     m[:, a] -= before
     m[a, a] -= own
-    size, n = m.sum(1), after.sum() + own
-    size[a] = pairs[a].sum() - n
+    size, n = pairs.sum(1), after.sum() + own
+    size[a] -= n
     x, y = np.flatnonzero(after), np.flatnonzero(before)
     d = np.arange(len(m))
     diag = m[d, d]
