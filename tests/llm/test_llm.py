@@ -186,6 +186,39 @@ def test_salted_lists(spark, monkeypatch):
     assert rows(jaccard.components(docs_of(spark, texts))) == sorted(brute_components(enumerate(texts)), key=repr)
 
 
+def chain(n, k):
+    """Texts of which only neighbours link, and a family of near copies that shares its start with them."""
+    words = [f"c{i}" for i in range(40 + 2 * n)]
+    texts = [" ".join(["common start of all these", *words[2 * j : 2 * j + 40]]) for j in range(n)]
+    return texts + [" ".join(["common start of all these", *(f"f{i}" for i in range(45)), f"own{j % k}"]) for j in range(3 * n)]
+
+
+@pytest.mark.parametrize("part, held", [(3, 1 << 18), (3, 40), (64, 16)])
+def test_lists_of_unequal_length(spark, monkeypatch, part, held):
+    """However lists are cut, keys that two sets share meet."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "HELD", held)
+    texts = chain(30, 30)
+    assert rows(jaccard.components(docs_of(spark, texts))) == sorted(brute_components(enumerate(texts)), key=repr)
+
+
+def test_scanning_lists_of_unequal_length(spark):
+    """200 partners in three lists of 5,000, 100 or 200 and 9,000 sets are all found."""
+    rng = random.Random(6)
+    names = [rng.getrandbits(62) for _ in range(14_000)]
+    for sizes in ((5000, 5000, 5000), (5000, 200, 9000)):
+        row = lambda key, sid, size: (key, sid, 100, key, key, sid, size)
+        made = [row(k, 7, 1) for k in range(3)]
+        rest = 200
+        for k, size in enumerate(sizes):
+            made += [row(k, s, 2) for s in names[:200]] + [row(k, s, 2) for s in names[rest : rest + size - 200]]
+            rest += size - 200
+        df = spark.createDataFrame(made, "key long, sid long, n int, pos int, rank int, c long, size long")
+        counts = df.groupBy("key").agg(F.max(F.struct("size", "c")).alias("main"), F.count("*").alias("members"))
+        got = jaccard.scanned(df.join(counts, "key"), jaccard.Params()).where("x = 7 or y = 7").collect()
+        assert {r.x + r.y - 7 for r in got} == set(names[:200])
+
+
 def test_components_of_nothing(spark):
     assert jaccard.components(empty(spark)).count() == 0
 

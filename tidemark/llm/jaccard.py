@@ -61,7 +61,7 @@ SKETCH_BITS = 18
 BITMAP_BITS = 23
 SALT_ROWS = 1 << 20
 LARGEST_LIGHT = 24
-PART = 4096
+PART, HELD = 4096, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SALTS = (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B)
@@ -340,23 +340,30 @@ def paired(rows: DataFrame, p: Params) -> DataFrame:
     return found.where(promising(p)).select("x", "y", "k")
 
 
+def power_of_two(x: Column) -> Column:
+    """The least power of two that isn't below ``x``, 1 at least."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(x, F.lit(1.0))))).cast("long")
+
+
 def scanned(split: DataFrame, p: Params) -> DataFrame:
     """(x, y) of different components that may link: the set of the smaller component scans its lists.
 
     ``split``: key, sid, n, pos, rank, c and its size, main (size and id of the list's largest component), members
-    (the list's rows).  A list comes in parts by the hash of its sets, each of about ``PART`` sets; a task counts one
-    set's meetings with one part of the sets at a time.  What is shuffled is, for each set outside its list's largest
-    component, the list: sets inside it only ever stand in lists.
+    (the list's rows).  A list comes in parts of about ``PART`` sets, by the low bits of their names.  An asking set's
+    meetings are counted a slot at a time: its slots are as many as its longest list has parts, or more if its lists have
+    over ``HELD`` rows a slot, and go by the same bits, so all keys that two sets share meet in one slot, however the
+    lists differ in length.  What is shuffled is, for each set outside its list's largest component, the list: sets inside
+    it only ever stand in lists.
     """
-    parts = F.ceil(F.col("members") / PART).cast("int")
+    split = split.withColumn("parts", power_of_two(F.col("members") / PART))
     member = F.struct(F.col("sid").alias("s"), "c", "size", "n", "pos", "rank")
-    listed = split.withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int")).groupBy("key", "part").agg(
-        F.collect_list(member).alias("sets")
-    )
+    listed = split.groupBy("key", F.col("sid").bitwiseAND(F.col("parts") - 1).alias("part")).agg(F.collect_list(member).alias("sets"))
     asked = split.where(F.struct("size", "c") < F.col("main"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = asked.join(listed, ["key", "part"]).select("sid", "part", "n", "c", "size", "pos", "rank", "sets")
-    dealt = met.repartition(shuffle_width(split.sparkSession), "sid", "part").sortWithinPartitions("sid", "part")
+    wide = asked.groupBy("sid").agg(F.greatest(F.max("parts"), power_of_two(F.sum("members") / HELD)).alias("slots"))
+    asked = asked.join(wide, "sid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = asked.join(listed, ["key", "part"]).select("sid", F.col("part").alias("slot"), "n", "c", "size", "pos", "rank", "sets", "parts", "slots")
+    met = met.where("parts = slots").drop("parts", "slots").unionByName(slotted(met.where("parts < slots")))
+    dealt = met.repartition(shuffle_width(split.sparkSession), "sid", "slot").sortWithinPartitions("sid", "slot")
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         sid, _, n, c, size = rows[0][:5]
@@ -396,6 +403,25 @@ def scanned(split: DataFrame, p: Params) -> DataFrame:
     return dealt.mapInArrow(run, "x bigint, y bigint").distinct()
 
 
+def slotted(met: DataFrame) -> DataFrame:
+    """Parts of lists, cut by the slots of the set that asks."""
+    schema = met.drop("parts", "slots").schema
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kinds = batch.schema.field("sets").type.value_type
+        for k, slots in enumerate(batch.column("slots").to_pylist()):
+            sets = batch.column("sets")[k].values
+            slot = sets.field(0).to_numpy() & (slots - 1)
+            order = np.argsort(slot, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0])
+            offsets = pa.array(np.r_[first, len(order)], pa.int32())
+            own = [batch.column(c).take(pa.array([k] * len(first))) for c in ("sid", "n", "c", "size", "pos", "rank")]
+            cut = pa.ListArray.from_arrays(offsets, sets.take(pa.array(order)).cast(kinds))
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(slot[order][first]), *own[1:], cut], schema.names)
+
+    return map_batches(met, run, schema)
+
+
 def _spread(row: tuple) -> tuple[np.ndarray, ...]:
     """A list part's columns (set, component, its size, n, position, rank), and the asking set's position and rank."""
     columns = [row[7].field(k).to_numpy().astype(np.int64) for k in range(6)]
