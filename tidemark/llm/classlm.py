@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_saved, map_batches, saved, trimmed, windows
+from tidemark.llm.common import drop_saved, saved, trimmed, windows
 
 #: Bytes of a text as words see them: white space as a space, A-Z lower-cased.
 WORD_BYTES = bytes(0x20 if 9 <= b <= 13 else b for b in bytes(range(256)).lower())
@@ -51,17 +51,19 @@ COUNTED, PAIRS, MEMO = 1 << 19, 1 << 22, 1 << 18
 ENDING = 3
 #: Rounds whose moves are all made: two of each unit.
 FREE = 6
+#: Files of the units' neighbours, at most ``units`` squared pairs.
+FILES = 8
 
 
 @dataclass(frozen=True)
 class Params:
     """Sizes of the model, and rounds of the exchange."""
 
-    frequent: int = 6144
-    endings: int = 2048
+    frequent: int = 3072
+    endings: int = 1024
     classes: int = 64
     rounds: int = 18
-    known: int = 1 << 17
+    known: int = 1 << 18
 
     @property
     def units(self) -> int:
@@ -163,7 +165,7 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     """A row for each unit: units ``after`` it and ``before`` it, with counts.  A list is no longer than the number of units."""
     gather = lambda at, other, n: [F.collect_list(F.when(F.col("side") == at, F.col(c))).alias(f"{c}_{at}") for c in (other, n)]
     both = pairs.selectExpr("a as unit", "b as other", "n", "'after' as side").unionByName(pairs.selectExpr("b as unit", "a as other", "n", "'before' as side"))
-    return both.groupBy("unit").agg(*gather("after", "other", "n"), *gather("before", "other", "n"))
+    return both.groupBy("unit").agg(*gather("after", "other", "n"), *gather("before", "other", "n")).repartition(FILES)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -231,17 +233,18 @@ def proposals(near: DataFrame, classes: np.ndarray, pairs: np.ndarray, turn: int
     shared = near.sparkSession.sparkContext.broadcast((classes, pairs))
     allowed = (F.col("unit") != END_UNIT) & (F.pmod(F.xxhash64("unit"), F.lit(3)) == turn % 3)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, pairs = shared.value
-        out = []
-        for (unit, after, own), (_, before, _) in zip(*(class_counts(batch, s, classes, len(pairs)) for s in ("after", "before"))):
-            b, gain = best_class(pairs, classes[unit], after, before, own)
-            if gain > 1e-6:
-                out.append((gain, unit, b))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["gain", "unit", "class"])
-
-    got = map_batches(near.where(allowed), run, "gain double, unit bigint, class bigint").toArrow()
+        for batch in batches:
+            out = []
+            for (unit, after, own), (_, before, _) in zip(*(class_counts(batch, s, classes, len(pairs)) for s in ("after", "before"))):
+                b, gain = best_class(pairs, classes[unit], after, before, own)
+                if gain > 1e-6:
+                    out.append((gain, unit, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["gain", "unit", "class"])
+
+    got = near.where(allowed).mapInArrow(run, "gain double, unit bigint, class bigint").toArrow()
     return sorted(zip(*(got.column(c).to_pylist() for c in ("gain", "unit", "class"))), key=lambda r: (-r[0], r[1]))
 
 
@@ -282,7 +285,9 @@ def fit(docs: DataFrame, allowed: Column | None = None, params: Params = Params(
         return None
     top = vocabulary.orderBy(F.expr("word = X''").desc(), F.col("n").desc(), "word").limit(p.known).toArrow()
     words, counts = top.column("word").to_pylist(), top.column("n").to_numpy()
-    near = saved(neighbours(saved(unit_pairs(texts, words[: p.frequent], p), "pairs")), "neighbours")
+    counted = saved(unit_pairs(texts, words[: p.frequent], p), "pairs")
+    near = saved(neighbours(counted), "neighbours")
+    drop_saved(counted)
     sizes = near.select("unit", F.aggregate("n_after", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).toArrow()
     frequencies = np.zeros(p.units, np.int64)
     frequencies[sizes.column("unit").to_numpy()] = sizes.column("n").to_numpy()
