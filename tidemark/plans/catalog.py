@@ -57,7 +57,7 @@ for _f in features.REGISTRY:
     add(f"features_{_f}", partial(_family, family=_f), _sql)
 
 
-from tidemark.plans import relational, stages  # noqa: E402, F401
+from tidemark.plans import relational, stages, validation  # noqa: E402, F401
 
 QUERIES |= relational.QUERIES
 ORACLES |= relational.ORACLES
