@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cpcv
+from tidemark.operators import cpcv, signals, validation
 from tidemark.plans.domain import TRADES, trades
-from tidemark.plans.relational import query, r, rounded
+from tidemark.plans.panel import BARS, bars
+from tidemark.plans.relational import EDGES, FIRED, N_BANDS, _band_sql, _feat_sql, feature_rows, query, r, rounded
 
 # combinatorially purged cross-validation of the ledger; the regime of a trade is its ticker
 
@@ -95,3 +96,84 @@ def cpcv_stage3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cpcv_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third stage of the gauntlet over the purged paths: the first failed gate, and all of them."""
     return rounded(cpcv_stage3(spark, sf_dir), 5)
+
+
+# forecasts out of fold: setups are pairs of a price rule and a volume rule on a ticker
+
+HORIZONS = (1, 5, 21)
+FIRST, STEP, WINDOW_DAYS = 756, 63, 63
+
+
+def spans(spark: SparkSession, sf_dir: str) -> list[validation.FoldSpan]:
+    """Folds of the bars' calendar: three years of training at least, tests of a quarter, the longest horizon purged between them."""
+    n = bars(spark, sf_dir).agg(F.count_distinct("date")).first()[0]
+    starts = range(FIRST + max(HORIZONS), n - 4, STEP)
+    return [validation.FoldSpan(k, a - max(HORIZONS) - 1, a, min(a + WINDOW_DAYS, n) - 1) for k, a in enumerate(starts)]
+
+
+SETUPS = f"""(SELECT a.ticker, a.date, a.rule || '+' || b.rule AS setup FROM (SELECT * FROM fired WHERE feature = 'px_last') a JOIN (SELECT * FROM fired WHERE feature = 'volume') b USING (ticker, date))"""
+
+FOLD_SQL = f"""feats AS ({_feat_sql()}), fired AS ({FIRED}), cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ({BARS}))),
+  fold AS (SELECT CAST((a - {FIRST + max(HORIZONS)}) / {STEP} AS INT) AS fold, a - {max(HORIZONS) + 1} AS train_end, a AS test_start, least(a + {WINDOW_DAYS}, n) - 1 AS test_end
+    FROM (SELECT unnest(range({FIRST + max(HORIZONS)}, n - 4, {STEP})) AS a, n FROM (SELECT DISTINCT n FROM cal))),
+  px AS (SELECT ticker, date, pos, px_last FROM ({BARS}) JOIN cal USING (date)), h(horizon) AS (VALUES {', '.join(f'({h})' for h in HORIZONS)}),
+  market AS (SELECT a.ticker, a.date, a.pos, horizon, CASE WHEN a.px_last <> 0 THEN z.px_last / a.px_last - 1 END AS fwd FROM px a CROSS JOIN h JOIN px z ON z.ticker = a.ticker AND z.pos = a.pos + horizon)"""
+
+
+def _hist(rows: str, by: str) -> str:
+    """Smoothed probabilities of the bands by group, as a list; and the number of rows."""
+    share = [f"count(*) FILTER (({_band_sql('fwd')}) = {k})" for k in range(N_BANDS)]
+    total = " + ".join(share)
+    raw = [f"({c}) / (({total}) + 1e-9) + 1e-6" for c in share]
+    return f"(SELECT {by}, count(*) AS n, [{', '.join(raw)}] AS p0 FROM ({rows}) GROUP BY {by})"
+
+
+def _crps_of(p: str, y: str = "fwd") -> str:
+    """CRPS of the bands' probabilities, written out band by band."""
+    out = []
+    for k, (a, b) in enumerate(zip(EDGES, EDGES[1:])):
+        low = f"list_sum({p}[1:{k}])" if k else "0e0"
+        u = f"least(greatest((least(greatest({y}, {EDGES[0]}), {EDGES[-1]}) - ({a})) / {b - a}, 0), 1)"
+        w = f"{p}[{k + 1}]"
+        out.append(f"{b - a} * ((power({low} + {w} * {u}, 3) - power({low}, 3)) / (3 * {w}) + (power({low} + {w} - 1, 3) - power({low} + {w} * {u} - 1, 3)) / (3 * {w}))")
+    return " + ".join(out)
+
+
+def _quantile_of(p: str, q: float) -> str:
+    cases = "".join(
+        f"WHEN list_sum({p}[1:{k + 1}]) >= {q} - 1e-12 THEN {a} + ({q} - {f'list_sum({p}[1:{k}])' if k else '0'}) / {p}[{k + 1}] * {b - a} " for k, (a, b) in enumerate(zip(EDGES, EDGES[1:]))
+    )
+    return f"CASE {cases} ELSE {EDGES[-1]} END"
+
+
+VALIDATED = f"""{FOLD_SQL}, trig AS (SELECT m.*, setup FROM market m JOIN {SETUPS} USING (ticker, date) WHERE fwd IS NOT NULL),
+  train AS (SELECT trig.*, fold FROM trig JOIN fold ON pos + horizon <= train_end), test AS (SELECT trig.*, fold FROM trig JOIN fold ON pos >= test_start AND pos + horizon <= test_end),
+  mtest AS (SELECT market.*, fold FROM market JOIN fold ON pos >= test_start AND pos + horizon <= test_end WHERE fwd IS NOT NULL),
+  fit AS (SELECT *, list_transform(p0, lambda x: x / list_sum(p0)) AS p FROM {_hist('SELECT * FROM train', 'ticker, setup, horizon, fold')} WHERE n >= 10),
+  marg AS (SELECT * EXCLUDE (n), list_transform(p0, lambda x: x / list_sum(p0)) AS mp FROM {_hist('SELECT * FROM mtest', 'ticker, horizon, fold')}),
+  joined AS (SELECT t.*, f.n AS n_train, p, mp, {[1 / N_BANDS] * N_BANDS} AS up FROM test t JOIN fit f USING (ticker, setup, horizon, fold) JOIN marg USING (ticker, horizon, fold)),
+  each AS (SELECT *, {_crps_of('p')} AS c, {_crps_of('up')} AS cu, {_crps_of('mp')} AS cm, {_quantile_of('p', 0.1)} AS q10, {_quantile_of('p', 0.9)} AS q90, {_band_sql('fwd')} AS band FROM joined),
+  g AS (SELECT ticker, setup, horizon, fold, any_value(n_train) AS n_train, count(*) AS n_test, avg(c) AS crps, avg(CASE WHEN fwd >= q10 THEN 0.9 * (fwd - q10) ELSE 0.1 * (q10 - fwd) END) AS pinball_q10,
+    avg(CASE WHEN fwd >= q90 THEN 0.1 * (fwd - q90) ELSE 0.9 * (q90 - fwd) END) AS pinball_q90, avg(cu) - avg(c) AS skill_vs_uniform, avg(cm) - avg(c) AS skill_vs_marginal,
+    any_value(p) AS p, [{', '.join(f'count(*) FILTER (band = {k})' for k in range(N_BANDS))}] AS k, count(band) AS inside FROM each GROUP BY ALL HAVING count(*) >= 3),
+  validated AS (SELECT *, CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: abs(p[i] - k[i] * 1e0 / inside))) / {N_BANDS} END AS calibration_mae,
+    CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: (k[i] + 1e0) / (inside + {N_BANDS}) * (ln((k[i] + 1e0) / (inside + {N_BANDS})) - ln(greatest(p[i], 1e-12))))) / ln(2e0) END AS info_gain FROM g)"""
+
+SCORES = ("crps", "pinball_q10", "pinball_q90", "skill_vs_uniform", "skill_vs_marginal", "calibration_mae", "info_gain")
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all setups, horizons and folds."""
+    days = bars(spark, sf_dir).select("date").distinct()
+    market = validation.outcomes(bars(spark, sf_dir), days, HORIZONS)
+    f = signals.compile_rules(feature_rows(spark, sf_dir))
+    side = lambda c, n: f.where(F.col("feature") == c).select("ticker", "date", F.col("rule").alias(n))
+    setups = side("px_last", "a").join(side("volume", "b"), ["ticker", "date"]).select("ticker", "date", F.concat("a", F.lit("+"), "b").alias("setup"))
+    triggered = market.join(setups, ["ticker", "date"])
+    return validation.scored(triggered, market, spans(spark, sf_dir), ["ticker", "setup"], EDGES, spark)
+
+
+@query(f"WITH {VALIDATED} SELECT ticker, setup, horizon, fold, n_train, n_test, {', '.join(f'{r(c, 5)} AS {c}' for c in SCORES)} FROM validated")
+def forecast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of every setup's banded forecast."""
+    return rounded(validated(spark, sf_dir).drop("probs"), 5)
