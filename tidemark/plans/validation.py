@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cpcv, signals, validation
+from tidemark.operators import cpcv, exits, options, signals, validation
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import EDGES, FIRED, N_BANDS, _band_sql, _feat_sql, feature_rows, query, r, rounded
+from tidemark.plans.relational import EDGES, FIRED, N_BANDS, STEP, _band_sql, _feat_sql, feature_rows, price_sql, query, r, rounded
 
 # combinatorially purged cross-validation of the ledger; the regime of a trade is its ticker
 
@@ -101,21 +101,21 @@ def cpcv_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 # forecasts out of fold: setups are pairs of a price rule and a volume rule on a ticker
 
 HORIZONS = (1, 5, 21)
-FIRST, STEP, WINDOW_DAYS = 756, 63, 63
+FIRST, EVERY, WINDOW_DAYS = 756, 63, 63
 
 
 def spans(spark: SparkSession, sf_dir: str) -> list[validation.FoldSpan]:
     """Folds of the bars' calendar: three years of training at least, tests of a quarter, the longest horizon purged between them."""
     n = bars(spark, sf_dir).agg(F.count_distinct("date")).first()[0]
-    starts = range(FIRST + max(HORIZONS), n - 4, STEP)
+    starts = range(FIRST + max(HORIZONS), n - 4, EVERY)
     return [validation.FoldSpan(k, a - max(HORIZONS) - 1, a, min(a + WINDOW_DAYS, n) - 1) for k, a in enumerate(starts)]
 
 
 SETUPS = f"""(SELECT a.ticker, a.date, a.rule || '+' || b.rule AS setup FROM (SELECT * FROM fired WHERE feature = 'px_last') a JOIN (SELECT * FROM fired WHERE feature = 'volume') b USING (ticker, date))"""
 
 FOLD_SQL = f"""feats AS ({_feat_sql()}), fired AS ({FIRED}), cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ({BARS}))),
-  fold AS (SELECT CAST((a - {FIRST + max(HORIZONS)}) / {STEP} AS INT) AS fold, a - {max(HORIZONS) + 1} AS train_end, a AS test_start, least(a + {WINDOW_DAYS}, n) - 1 AS test_end
-    FROM (SELECT unnest(range({FIRST + max(HORIZONS)}, n - 4, {STEP})) AS a, n FROM (SELECT DISTINCT n FROM cal))),
+  fold AS (SELECT CAST((a - {FIRST + max(HORIZONS)}) / {EVERY} AS INT) AS fold, a - {max(HORIZONS) + 1} AS train_end, a AS test_start, least(a + {WINDOW_DAYS}, n) - 1 AS test_end
+    FROM (SELECT unnest(range({FIRST + max(HORIZONS)}, n - 4, {EVERY})) AS a, n FROM (SELECT DISTINCT n FROM cal))),
   px AS (SELECT ticker, date, pos, px_last FROM ({BARS}) JOIN cal USING (date)), h(horizon) AS (VALUES {', '.join(f'({h})' for h in HORIZONS)}),
   market AS (SELECT a.ticker, a.date, a.pos, horizon, CASE WHEN a.px_last <> 0 THEN z.px_last / a.px_last - 1 END AS fwd FROM px a CROSS JOIN h JOIN px z ON z.ticker = a.ticker AND z.pos = a.pos + horizon)"""
 
@@ -177,3 +177,51 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of every setup's banded forecast."""
     return rounded(validated(spark, sf_dir).drop("probs"), 5)
+
+
+# exits: each bar opens a call at the money, under three policies
+
+TENOR, MARKED = 21, 45
+POLICIES = {"regime_aware": exits.REGIME_AWARE, "moonshot": exits.MOONSHOT, "disabled": exits.DISABLED}
+_STRIKE = "least(greatest(round_even(s0 / {0}, 0) * {0}, s0 * 0.5), s0 * 1.5)".format(STEP)
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily prices of the options opened on each bar; every seventh horizon is longer than the path."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    b = bars(spark, sf_dir).select("ticker", "date", "px_last", F.col("iv3mc").alias("iv"), F.row_number().over(w).alias("pos"))
+    entry = b.select("ticker", "pos", F.col("px_last").alias("s0"))
+    path = options.paths(entry, b.withColumn("iv", options.clean_iv(F.col("iv"))).withColumn("px_last", F.struct("date", "px_last")), MARKED - 1)
+    strike = options.listed_strike(F.col("s0"), F.col("s0"))
+    left = F.greatest(F.lit(TENOR) - F.col("step"), F.lit(1)) / 252.0
+    price = options.price(F.col("px.px_last"), strike, left, F.lit(0.0), F.col("iv"), F.lit(True))
+    horizon = F.when(F.col("pos") % 7 == 0, 60).otherwise(3 + F.col("pos") % 30)
+    return path.select("ticker", "pos", "step", F.col("px.date").alias("day"), F.round(price, 6).alias("price"), F.lit(TENOR).alias("tenor"), horizon.alias("horizon"))
+
+
+def _rules_sql(p: exits.Policy) -> str:
+    target = f"WHEN gain >= {p.target} THEN 'pt_hit_legA' " if p.target is not None else ""
+    return f"""CASE {target}WHEN step >= 2 AND gain >= {p.spike_profit} AND abs(c0 - c1) / 2 > {p.spike} THEN 'volatility_spike_profit'
+      WHEN (expiry - day) / {TENOR}e0 <= {p.expiry_life} AND gain >= {p.expiry_profit} THEN 'time_decay_protection' WHEN gain <= {p.stop} THEN 'stop_loss'
+      WHEN step >= 5 AND gain >= {p.trail_profit} AND price <= high - (high - low) / 5 * {p.trail_ranges} THEN 'atr_trail_hit' WHEN day >= expiry THEN 'option_expired' END"""
+
+
+EXITS = f"""WITH b AS (SELECT ticker, date, px_last, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos, CASE WHEN iv3mc > 0 THEN least(greatest(CASE WHEN iv3mc > 2 THEN iv3mc / 100 ELSE iv3mc END, 2e-4), 5e0) END AS v FROM ({BARS})),
+  e AS (SELECT ticker, pos, date AS t0, px_last AS s0, {_STRIKE} AS strike, CASE WHEN pos % 7 = 0 THEN 60 ELSE 3 + pos % 30 END AS horizon,
+    (SELECT max(x) FROM (SELECT x FROM (SELECT date + CAST(i AS INT) AS x FROM range(1, {TENOR * 2}) g(i)) WHERE isodow(x) < 6 ORDER BY x LIMIT {TENOR})) AS expiry FROM b),
+  m AS (SELECT e.*, b.pos - e.pos AS step, b.date AS day, b.px_last AS px, b.v AS iv, greatest({TENOR} - (b.pos - e.pos), 1) / 252e0 AS t FROM e JOIN b ON b.ticker = e.ticker AND b.pos BETWEEN e.pos AND e.pos + {MARKED - 1}),
+  p AS (SELECT *, round({price_sql('px', 'strike', 't', 'iv')}, 6) AS price FROM m),
+  q AS (SELECT *, first(price) OVER w AS entry_price, lag(price) OVER w AS p1, lag(price, 2) OVER w AS p2, max(price) OVER f AS high, min(price) OVER f AS low, max(step) OVER (PARTITION BY ticker, pos) AS last
+    FROM p WINDOW w AS (PARTITION BY ticker, pos ORDER BY step), f AS (PARTITION BY ticker, pos ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+  g AS (SELECT *, CASE WHEN entry_price > 0 THEN (price - entry_price) / entry_price ELSE 0 END AS gain, CASE WHEN p1 <> 0 THEN (price - p1) / p1 END AS c0, CASE WHEN p2 <> 0 THEN (p1 - p2) / p2 END AS c1 FROM q),
+  z AS ({' UNION ALL '.join(f"SELECT *, '{n}' AS policy, {_rules_sql(p)} AS rule, CASE WHEN horizon > 0 THEN least(last, greatest(0, horizon - 1)) ELSE last END AS back FROM g" if p.enabled else f"SELECT *, '{n}' AS policy, CASE WHEN step = last AND day >= expiry THEN 'option_expired' END AS rule, NULL AS back FROM g" for n, p in POLICIES.items())}),
+  x AS (SELECT policy, ticker, pos, coalesce(min(step) FILTER (rule IS NOT NULL), any_value(back)) AS at, coalesce(arg_min(rule, step) FILTER (rule IS NOT NULL), CASE WHEN any_value(back) IS NOT NULL THEN 'max_horizon_exit' END) AS reason FROM z GROUP BY 1, 2, 3)
+  SELECT x.policy, x.ticker, CAST(x.pos AS INT) AS pos, s.t0 AS trigger_date, {r('s.entry_price', 4)} AS entry_price, CAST(x.at AS INT) AS exit_step, reason AS exit_reason, n.day AS exit_date, {r('n.price', 4)} AS exit_price,
+    {r('CASE WHEN s.entry_price > 0 THEN n.price / s.entry_price - 1 END', 4)} AS pnl_pct
+  FROM x JOIN g s ON s.ticker = x.ticker AND s.pos = x.pos AND s.step = 0 LEFT JOIN g n ON n.ticker = x.ticker AND n.pos = x.pos AND n.step = x.at"""
+
+
+@query(EXITS)
+def exit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits of a call opened on every bar, under each policy."""
+    return rounded(exits.closed(marks(spark, sf_dir), ["ticker", "pos"], POLICIES), 4)
