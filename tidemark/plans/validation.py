@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cpcv, exits, options, signals, validation
+from tidemark.operators import bitmaps, cpcv, exits, mixtures, options, signals, validation
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
 from tidemark.plans.relational import EDGES, FIRED, N_BANDS, STEP, _band_sql, _feat_sql, feature_rows, price_sql, query, r, rounded
@@ -225,3 +225,51 @@ EXITS = f"""WITH b AS (SELECT ticker, date, px_last, row_number() OVER (PARTITIO
 def exit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exits of a call opened on every bar, under each policy."""
     return rounded(exits.closed(marks(spark, sf_dir), ["ticker", "pos"], POLICIES), 4)
+
+
+# regimes of each ticker's days, named alike in all folds
+
+
+def regime_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[validation.FoldSpan]]:
+    """Regime of each ticker's days under the model of every fourth fold's training days."""
+    days = bars(spark, sf_dir).select("date").distinct()
+    at = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"))
+    rows = bars(spark, sf_dir).select("ticker", "date", "px_last").join(F.broadcast(at), "date")
+    rows = mixtures.features(rows, ["ticker"], "pos", "px_last")
+    folds = spans(spark, sf_dir)[::4]
+    fits = mixtures.aligned(mixtures.fit(rows, {f.number: f.train_end for f in folds}, ["ticker"], ["volatility", "trend"]), ["ticker"])
+    return mixtures.assign(rows, fits, ["ticker"], ["volatility", "trend"]), folds
+
+
+@query()
+def regime_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commonest regimes of the training and test days of each ticker and fold, and whether they are one."""
+    labels, folds = regime_labels(spark, sf_dir)
+    table = spark.createDataFrame([(f.number, f.train_end, f.test_start, f.test_end) for f in folds], "fold int, train_end long, test_start long, test_end long")
+    return mixtures.window_regimes(labels, table, ["ticker"])
+
+
+# what the signals of a setup tell about each other: every two or three signals of a ticker
+
+
+@query(f"""WITH feats AS ({_feat_sql()}), fired AS ({FIRED}), s AS (SELECT DISTINCT ticker, date, feature || ':' || rule AS signal FROM fired), n AS (SELECT count(DISTINCT date) * 1e0 AS days FROM ({BARS})),
+  one AS (SELECT ticker, signal, count(*) AS k FROM s GROUP BY 1, 2), two AS (SELECT a.ticker, a.signal AS a, b.signal AS b, a.k AS n_a, b.k AS n_b FROM one a JOIN one b ON b.ticker = a.ticker AND b.signal > a.signal),
+  c AS (SELECT x.ticker, x.signal AS a, y.signal AS b, count(*) AS n_ab FROM s x JOIN s y ON y.ticker = x.ticker AND y.date = x.date AND y.signal > x.signal GROUP BY 1, 2, 3),
+  p AS (SELECT two.*, days, coalesce(n_ab, 0) AS n_ab FROM two LEFT JOIN c USING (ticker, a, b), n),
+  m AS (SELECT ticker, a, b, {' + '.join(f"CASE WHEN {x} > 0 THEN ({x}) / days * ln((({x}) / days) / (({y}) / days * (({z}) / days))) ELSE 0 END" for x, y, z in (('n_ab', 'n_a', 'n_b'), ('n_a - n_ab', 'n_a', 'days - n_b'), ('n_b - n_ab', 'days - n_a', 'n_b'), ('days - n_a - n_b + n_ab', 'days - n_a', 'days - n_b')))} AS mi FROM p),
+  u AS (SELECT ticker, a || '+' || b AS setup, 1 AS pairs, mi AS mean_mi FROM m
+    UNION ALL SELECT x.ticker, x.a || '+' || x.b || '+' || y.b, 3, (x.mi + y.mi + z.mi) / 3 FROM m x JOIN m y ON y.ticker = x.ticker AND y.a = x.b JOIN m z ON z.ticker = x.ticker AND z.a = x.a AND z.b = y.b)
+  SELECT ticker, setup, pairs, {r('mean_mi')} AS mean_mi FROM u""")
+def signal_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean mutual information of the pairs of signals of each setup."""
+    f = signals.compile_rules(feature_rows(spark, sf_dir)).select("ticker", "date", F.concat("feature", F.lit(":"), "rule").alias("name"))
+    days = bars(spark, sf_dir).select("date").distinct()
+    at = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"))
+    fired = f.join(F.broadcast(at), "date").select("ticker", F.concat("ticker", F.lit("/"), "name").alias("signal"), "name", "pos")
+    names = fired.select("ticker", "name").distinct()  # the signals of a ticker are a few rules
+    other = lambda c: names.select("ticker", F.col("name").alias(c))
+    twos = names.join(other("b"), "ticker").where("b > name")
+    threes = twos.join(other("c"), "ticker").where("c > b")
+    setups = twos.select("ticker", F.array("name", "b").alias("of")).unionByName(threes.select("ticker", F.array("name", "b", "c").alias("of")))
+    setups = setups.select("ticker", F.array_join("of", "+").alias("setup"), F.transform("of", lambda x: F.concat("ticker", F.lit("/"), x)).alias("signals"))
+    return rounded(bitmaps.mean_information(setups, fired, days.count(), ["ticker", "setup"]))
