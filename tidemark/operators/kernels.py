@@ -7,11 +7,12 @@ key in Arrow batches.  Windowed kernels see one window at a time.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import factorial, log, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +213,65 @@ def h0_wasserstein(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(np.r_[a, np.zeros(n - len(a))] - np.r_[b, np.zeros(n - len(b))]).sum())
 
 
+def h0_diagram(points: np.ndarray) -> np.ndarray:
+    """(birth, death) of each point's component; the last one, which never merges, ends with the longest life."""
+    n = len(points)
+    deaths = h0_lifetimes(points) if n > 1 else np.zeros(0)
+    return np.c_[np.zeros(n), np.r_[deaths, [deaths.max() if len(deaths) else 0.0] * (n > 0)]]
+
+
+def h0_landscape(diagram: np.ndarray, bins: int = 32) -> np.ndarray:
+    """Density of the lifetimes in equal bins from 0 to a little above the longest; zeros without any."""
+    if not len(diagram):
+        return np.zeros(bins)
+    life = diagram[:, 1] - diagram[:, 0]
+    return np.histogram(life, bins, (0, life.max() + 1e-12), density=True)[0]
+
+
+def covers(must: np.ndarray, near: np.ndarray) -> bool:
+    """Whether all rows of ``must`` can have a column each that ``near`` allows: an augmenting path for each row in turn."""
+    of: dict[int, int] = {}
+    for row in must:
+        back, stack, seen, end = {}, [int(row)], set(), -1
+        while stack and end < 0:
+            at = stack.pop()
+            for c in np.flatnonzero(near[at]).tolist():
+                if c in seen:
+                    continue
+                seen.add(c)
+                back[c] = at
+                if c not in of:
+                    end = c
+                    break
+                stack.append(of[c])
+        if end < 0:
+            return False
+        while end >= 0:  # the path's edges change sides
+            row_at = back[end]
+            of[end], end = row_at, next((c for c, r in of.items() if r == row_at and c != end), -1)
+    return True
+
+
+def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
+    """Least distance within which all points of two diagrams can be matched, to one another or to the diagonal.
+
+    The distance is found among those of pairs and of points to the diagonal.  A point nearer to the diagonal than it
+    needs no partner; a matching that serves all others on both sides exists if one exists for each side by itself.
+    """
+    to_a, to_b = (np.abs(d[:, 1] - d[:, 0]) / 2 for d in (a, b))
+    apart = np.abs(a[:, None] - b[None]).max(axis=2) if len(a) and len(b) else np.zeros((len(a), len(b)))
+    steps = np.unique(np.r_[0.0, apart.ravel(), to_a, to_b])
+    low, high = 0, len(steps) - 1
+    while low < high:
+        mid = (low + high) // 2
+        near = apart <= steps[mid]
+        if covers(np.flatnonzero(to_a > steps[mid]), near) and covers(np.flatnonzero(to_b > steps[mid]), near.T):
+            high = mid
+        else:
+            low = mid + 1
+    return float(steps[low])
+
+
 def hidden_states(features: np.ndarray, k: int = 3, rounds: int = 50, seed: int = 0) -> np.ndarray:
     """Most likely states of a Gaussian hidden Markov model with diagonal covariances, fitted by EM."""
     x = np.asarray(features, float)
@@ -340,6 +400,67 @@ def windowed(rows: DataFrame, by: Sequence[str], order: str, x: str, n: int, ker
     return rows.select(*names, order, x).groupBy(*names).applyInPandas(run, schema)
 
 
+def huber_z(windows: np.ndarray, k: float = 1.345) -> np.ndarray:
+    """Of each row, a window: how far its last value is from a robust mean, in robust deviations; NaN below three values.
+
+    Values beyond k median deviations from the median weigh inversely to their distance.  Without a median
+    deviation the median and the plain deviation serve; without that either there is no score.
+    """
+    known = np.isfinite(windows)
+    n = known.sum(axis=1)
+    x = np.where(known, windows, np.nan)
+    x[n == 0] = 0.0
+    mid = np.nanmedian(x, axis=1)
+    spread = np.nanmedian(np.abs(x - mid[:, None]), axis=1)
+    far = np.abs(x - mid[:, None]) / (k * spread + 1e-9)[:, None]
+    weight = np.where(known, 1 / np.maximum(far, 1.0), 0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(spread > 0, np.nansum(weight * x, axis=1) / weight.sum(axis=1), mid)
+        sd = np.where(spread > 0, 1.4826 * spread, np.nanstd(x, axis=1))
+        out = (windows[:, -1] - mean) / sd
+    return np.where((n >= 3) & (sd > 0), out, np.nan)
+
+
+def streamed(rows: DataFrame, by: Sequence[str], order: str, x: str, n: int, kernels: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Kernels of all windows of the last ``n`` rows at every row; null before there are n rows, and where a kernel has no value.
+
+    A group's rows stream by, sorted: all windows of an Arrow batch are taken at once, and the last n - 1 values are
+    carried to the next batch, so no series is held.  A kernel takes a matrix of windows and gives a value for each.
+    Rows of equal order are taken by value.
+    """
+    names = list(by)
+    kinds = [rows.schema[c].dataType.simpleString() for c in (*names, order)]
+    src = rows.select(*names, order, F.col(x).cast("double").alias("_x"))
+    dealt = src.repartition(*names).sortWithinPartitions(*names, order, "_x")
+    block = max(1, (1 << 22) // n)  # windows that are unfolded at a time
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tail = None, np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(float)
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(names)))))
+            heads = [k for k, v in enumerate(keys) if not k or v != keys[k - 1]]
+            out = {name: np.full(len(values), np.nan) for name in kernels}
+            for a, b in zip(heads, [*heads[1:], len(values)]):
+                if keys[a] != key:
+                    key, tail = keys[a], np.zeros(0)
+                whole = np.r_[tail, values[a:b]]
+                if len(whole) >= n:
+                    windows = np.lib.stride_tricks.sliding_window_view(whole, n)
+                    first = b - len(windows)
+                    for name, f in kernels.items():
+                        for k in range(0, len(windows), block):
+                            out[name][first + k : first + min(k + block, len(windows))] = f(windows[k : k + block])
+                tail = whole[len(whole) - min(n - 1, len(whole)) :]
+            cols = [pa.array(v, from_pandas=True) for v in out.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names) + 1)), *cols], [*names, order, *kernels])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip([*names, order], kinds)) + ", " + ", ".join(f"{k} double" for k in kernels)
+    return dealt.mapInArrow(run, schema)
+
+
 def adaptive_cooldown(rows: DataFrame, by: Sequence[str], order: str, fired: str, vol: str, base: int = 5, stretch: float = 2.0) -> DataFrame:
     """Signals that follow the last kept one by more than a cooldown that grows with volatility over its median."""
     names = list(by)

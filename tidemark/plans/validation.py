@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmaps, cpcv, exits, mixtures, options, signals, validation
+from tidemark.operators import bitmaps, cpcv, exits, islands, kernels, mixtures, options, regression, signals, validation
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import EDGES, FIRED, N_BANDS, STEP, _band_sql, _feat_sql, feature_rows, price_sql, query, r, rounded
+from tidemark.plans.relational import EDGES, FIRED, N_BANDS, OBJ, STEP, _band_sql, _feat_sql, feature_rows, objectives, price_sql, query, r, returns, rounded
+from tidemark.plans.stages import THINNED, thinned
 
 # combinatorially purged cross-validation of the ledger; the regime of a trade is its ticker
 
@@ -273,3 +274,106 @@ def signal_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     setups = twos.select("ticker", F.array("name", "b").alias("of")).unionByName(threes.select("ticker", F.array("name", "b", "c").alias("of")))
     setups = setups.select("ticker", F.array_join("of", "+").alias("setup"), F.transform("of", lambda x: F.concat("ticker", F.lit("/"), x)).alias("signals"))
     return rounded(bitmaps.mean_information(setups, fired, days.count(), ["ticker", "setup"]))
+
+
+# kernels over streamed windows, topology, regression
+
+
+def _huber(x: str) -> str:
+    return f"""SELECT ticker, date, k, {x}, CASE WHEN k >= 60 AND len(l) >= 3 AND {x} IS NOT NULL THEN CASE WHEN mad > 0 THEN ({x} - list_sum(list_transform(l, lambda v: v / greatest(1, abs(v - med) / (1.345 * mad + 1e-9))))
+      / list_sum(list_transform(l, lambda v: 1 / greatest(1, abs(v - med) / (1.345 * mad + 1e-9))))) / (1.4826 * mad) WHEN sd > 0 THEN ({x} - med) / sd END END AS z
+    FROM (SELECT *, list_aggregate(list_transform(l, lambda v: abs(v - med)), 'median') AS mad FROM (SELECT *, list_aggregate(l, 'median') AS med, list_aggregate(l, 'stddev_pop') AS sd
+      FROM (SELECT ticker, date, {x}, row_number() OVER w AS k, coalesce(list({x}) FILTER ({x} IS NOT NULL) OVER w, []) AS l FROM ({THINNED}) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))))"""
+
+
+@query(f"SELECT ticker, date, {r('p.z', 4)} AS px_huber_z, {r('v.z', 4)} AS volume_huber_z FROM ({_huber('px_last')}) p JOIN ({_huber('volume')}) v USING (ticker, date)")
+def huber_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust scores of price and volume over the last 60 bars, some without a price."""
+    b = thinned(spark, sf_dir).select("ticker", "date", "px_last", "volume")
+    score = lambda c, n: kernels.streamed(b, ["ticker"], "date", c, 60, {n: kernels.huber_z})
+    return rounded(score("px_last", "px_huber_z").join(score("volume", "volume_huber_z"), ["ticker", "date"]), 4)
+
+
+@query()
+def topology_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each ticker's quarters to the one before, by the components of their pairs of successive returns."""
+    import numpy as np
+    import pandas as pd
+
+    def diagram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("date")["ret"].to_numpy()
+        d = kernels.h0_diagram(kernels.embedded(x, 2)) if len(x) > 2 else np.zeros((0, 2))
+        return pd.DataFrame({"ticker": [key[0]], "quarter": [key[1]], "deaths": [d[:, 1].tolist()]})
+
+    def distances(batches):
+        for pdf in batches:
+            full = lambda v: np.c_[np.zeros(len(v)), v] if len(v) else np.zeros((0, 2))
+            both = [(full(np.array(a, float)), full(np.array(b, float))) for a, b in zip(pdf["deaths"], pdf["before"])]
+            pdf["points"] = [len(a) for a, _ in both]
+            pdf["bottleneck"] = [kernels.bottleneck(a, b) for a, b in both]
+            pdf["wasserstein"] = [kernels.h0_wasserstein(a[:, 1], b[:, 1]) for a, b in both]
+            pdf["landscape_gap"] = [float(np.abs(kernels.h0_landscape(a) - kernels.h0_landscape(b)).max()) for a, b in both]
+            yield pdf[["ticker", "quarter", "points", "bottleneck", "wasserstein", "landscape_gap"]]
+
+    quarter = (F.year("date") * 4 + F.quarter("date")).alias("quarter")
+    rows = returns(spark, sf_dir).where("ret is not null").select("ticker", "date", "ret", quarter)
+    made = rows.groupBy("ticker", "quarter").applyInPandas(diagram, "ticker string, quarter int, deaths array<double>")
+    before = made.select("ticker", (F.col("quarter") + 1).alias("quarter"), F.col("deaths").alias("before"))
+    out = made.join(before, ["ticker", "quarter"]).mapInPandas(distances, "ticker string, quarter int, points long, bottleneck double, wasserstein double, landscape_gap double")
+    return rounded(out, 5)
+
+
+Z = 1.959963984540054
+_T = f"""({Z} + {(Z**3 + Z) / 4} / df + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / (df * df) + {(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384} / power(df, 3)
+  + {(79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z) / 92160} / power(df, 4))"""
+
+
+@query(f"""WITH g AS (SELECT setup_id, count(*) AS n, avg(horizon) AS mx, avg(capital) AS mz, avg(pnl_pct) AS my, var_pop(horizon) AS xx, var_pop(capital) AS zz, var_pop(pnl_pct) AS yy,
+    covar_pop(horizon, capital) AS xz, covar_pop(horizon, pnl_pct) AS xy, covar_pop(capital, pnl_pct) AS zy FROM ({TRADES}) GROUP BY 1),
+  s AS (SELECT *, xx * zz - xz * xz AS det, 5 - mx AS gx, 250 - mz AS gz, (n - 3) * 1e0 AS df FROM g),
+  b AS (SELECT *, (zz * xy - xz * zy) / det AS bx, (xx * zy - xz * xy) / det AS bz FROM s),
+  e AS (SELECT *, my + bx * gx + bz * gz AS y_hat, sqrt(n * (yy - bx * xy - bz * zy) / df * (1e0 / n + (zz * gx * gx - 2 * xz * gx * gz + xx * gz * gz) / det / n)) AS se FROM b)
+  SELECT setup_id, n, {r('y_hat', 5)} AS y_hat, {r('se', 5)} AS se, {r(f'y_hat - {_T} * se', 5)} AS lower, {r(f'y_hat + {_T} * se', 5)} AS upper FROM e""")
+def mean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted profit of a trade of five days and a capital of 250, by each setup's own regression."""
+    return rounded(regression.mean_prediction(trades(spark, sf_dir), ["setup_id"], "pnl_pct", ["horizon", "capital"], [5.0, 250.0]), 5)
+
+
+# islands: an individual is a setup on a ticker, its island the setup's number modulo four
+
+ISLANDS, GENERATION, SEED = 4, 3, 7
+_PEOPLE = f"SELECT setup_id % {ISLANDS} AS island, setup_id || '|' || ticker AS dna, a, b, round(a + b, 6) AS fitness FROM ({OBJ}) WHERE b IS NOT NULL"
+
+
+@query(f"""WITH p AS ({_PEOPLE}), m AS (SELECT * FROM (SELECT island AS source, dna, fitness, row_number() OVER (PARTITION BY island ORDER BY fitness DESC, dna) AS place FROM p) WHERE place <= 5),
+  pool AS (SELECT *, row_number() OVER (ORDER BY source, place) - 1 AS k, count(*) OVER () // {ISLANDS} AS share FROM m),
+  s AS (SELECT 'ring' AS topology, source, (source + 1) % {ISLANDS} AS target, place, dna, fitness FROM m
+    UNION ALL SELECT 'random', source, (source + 1 + (((source * 2654435761 + {GENERATION * 40503 + SEED * 69069 + 12345}) % 4294967296) // 65536) % {ISLANDS - 1}) % {ISLANDS}, place, dna, fitness FROM m
+    UNION ALL SELECT 'all_to_all', source, k // share, k % share + 1, dna, fitness FROM pool WHERE share > 0 AND k < share * {ISLANDS}),
+  f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY topology, target, place ORDER BY source, dna) = 1),
+  w AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY fitness, dna) AS place FROM p)
+  SELECT t.topology, w.island, coalesce(f.dna, w.dna) AS dna, {r('coalesce(f.fitness, w.fitness)')} AS fitness, f.source AS came_from
+  FROM w CROSS JOIN (VALUES ('ring'), ('random'), ('all_to_all')) t(topology) LEFT JOIN f ON f.topology = t.topology AND f.target = w.island AND f.place = w.place""")
+def island_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each island's population after its five fittest have migrated, by each topology."""
+    p = people(spark, sf_dir)
+    moving = islands.migrants(p, 5)
+    made = [islands.received(p, islands.sent(moving, ISLANDS, t, GENERATION, SEED)).withColumn("topology", F.lit(t)) for t in islands.TOPOLOGIES]
+    return rounded(made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = objectives(spark, sf_dir).where("b is not null")
+    return o.select((F.col("setup_id") % ISLANDS).alias("island"), F.concat("setup_id", F.lit("|"), "ticker").alias("dna"), "a", "b", F.round(F.col("a") + F.col("b"), 6).alias("fitness"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT dna, a, b FROM ({_PEOPLE})),
+  chain AS (SELECT dna, a, b, 1 AS front FROM p UNION SELECT y.dna, y.a, y.b, x.front + 1 FROM chain x JOIN p y ON x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b) WHERE x.front < 60),
+  f AS (SELECT dna, a, b, max(front) AS front FROM chain GROUP BY ALL),
+  g AS (SELECT *, lead(a) OVER wa - lag(a) OVER wa AS ga, lead(b) OVER wb - lag(b) OVER wb AS gb, max(a) OVER q - min(a) OVER q AS ra, max(b) OVER q - min(b) OVER q AS rb
+    FROM f WINDOW wa AS (PARTITION BY front ORDER BY a, dna), wb AS (PARTITION BY front ORDER BY b, dna), q AS (PARTITION BY front)),
+  c AS (SELECT *, CASE WHEN ra > 0 THEN ga / ra WHEN ga IS NOT NULL THEN 0 END + CASE WHEN rb > 0 THEN gb / rb WHEN gb IS NOT NULL THEN 0 END AS crowding FROM g)
+  SELECT dna, front, {r('crowding')} AS crowding FROM (SELECT *, row_number() OVER (ORDER BY front, crowding DESC NULLS FIRST, dna) AS k FROM c) WHERE k <= 40""")
+def island_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 individuals that all islands together keep."""
+    return rounded(islands.synchronized(people(spark, sf_dir), ["a", "b"], 40).select("dna", "front", "crowding"))
