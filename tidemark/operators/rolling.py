@@ -124,8 +124,8 @@ def stochastic_k(s: Series, close: str, low: str, high: str, n: int) -> str:
 
 
 def range_position(s: Series, close: str, low: str, high: str, n: int) -> str:
-    ll = s.let(f"least({s.roll('min', close, n)}, {s.roll('min', low, n)})")
-    hh = s.let(f"greatest({s.roll('max', close, n)}, {s.roll('max', high, n)})")
+    a, b, c, d = s.roll("min", close, n), s.roll("min", low, n), s.roll("max", close, n), s.roll("max", high, n)
+    ll, hh = (s.let(f"CASE WHEN {u} IS NOT NULL AND {v} IS NOT NULL THEN {f}({u}, {v}) END") for f, u, v in (("least", a, b), ("greatest", c, d)))
     return s.let(f"({close} - {ll}) / ({hh} - {ll} + {EPS})")
 
 
@@ -280,7 +280,7 @@ def roll_spread(s: Series, r: str, n: int) -> str:
 
 
 def market_impact(s: Series, r: str, volume: str, n: int) -> str:
-    return mean(s, f"abs({s.let(r)}) / sqrt(greatest({volume}, 1e0))", n)
+    return mean(s, f"CASE WHEN {volume} IS NOT NULL THEN abs({s.let(r)}) / sqrt(greatest({volume}, 1e0)) END", n)
 
 
 def liquidity_premium(s: Series, spread: str, vol: str, n: int) -> str:
@@ -288,7 +288,7 @@ def liquidity_premium(s: Series, spread: str, vol: str, n: int) -> str:
 
 
 def price_pressure(s: Series, x: str, volume: str, n: int) -> str:
-    return s.let(f"{mean(s, ret(s, x), n)} * {mean(s, zscore(s, volume, n), n)}")
+    return s.let(f"{mean(s, ret(s, x), n)} * {mean(s, zscore(s, volume, 2 * n), n)}")
 
 
 def skew_dynamics(s: Series, call: str, put: str, n: int) -> str:
@@ -296,11 +296,11 @@ def skew_dynamics(s: Series, call: str, put: str, n: int) -> str:
 
 
 def flow_pressure(s: Series, call: str, put: str, n: int) -> str:
-    return pct_change(s, safe_div(call, put), n)
+    return rate_of_change(s, f"{call} / ({put} + {EPS})", n)
 
 
 def congestion(s: Series, x: str, peak: str, n: int) -> str:
-    return s.let(f"{zscore(s, x, n)} * (1 - {pct_rank(s, peak, n)})")
+    return s.let(f"{zscore(s, x, n, n)} * (1 - {pct_rank(s, peak, n)})")
 
 
 def term_slope(s: Series, short: str, long: str) -> str:
@@ -315,7 +315,7 @@ def consensus(s: Series, sources: list[str], weights: list[float]) -> str:
 
 
 def burst(s: Series, x: str, n: int, limit: float = 2.0) -> str:
-    return s.let(flag(f"abs({zscore(s, x, n)}) > {num(limit)}"))
+    return s.let(flag(f"abs({zscore(s, x, n, n)}) > {num(limit)}"))
 
 
 def rate_of_change(s: Series, x: str, n: int) -> str:
@@ -326,15 +326,15 @@ def rate_of_change(s: Series, x: str, n: int) -> str:
 
 def sentiment_regime(s: Series, x: str, volume: str, n: int) -> str:
     """-2 to 2: direction by the sentiment's z-score, doubled where volume is high as well."""
-    a, b = zscore(s, x, n), zscore(s, volume, n)
+    a, b = zscore(s, x, n, n), zscore(s, volume, n, n)
     return s.let(
         f"CASE WHEN {a} > 1 AND {b} > 1 THEN 2e0 WHEN {a} < -1 AND {b} > 1 THEN -2e0"
-        f" WHEN {a} > 0.5 THEN 1e0 WHEN {a} < -0.5 THEN -1e0 ELSE 0e0 END"
+        f" WHEN {a} > 1 AND {b} <= 1 THEN 1e0 WHEN {a} < -1 AND {b} <= 1 THEN -1e0 ELSE 0e0 END"
     )
 
 
 def news_momentum(s: Series, count: str, x: str, n: int) -> str:
-    return s.let(f"{diff(s, x, n)} * {count} / ({mean(s, count, 2 * n, n)} + {EPS})")
+    return s.let(f"{diff(s, x, n)} * {count} / ({mean(s, count, 2 * n)} + {EPS})")
 
 
 def divergence(s: Series, sources: list[str], n: int) -> str:
@@ -374,30 +374,33 @@ def hedged(s: Series, a: str, b: str, n: int) -> str:
 
 
 def corr_of_abs(s: Series, a: str, b: str, n: int) -> str:
-    return correlation(s, f"abs({s.let(a)})", f"abs({s.let(b)})", n)
+    return correlation(s, f"abs({s.let(a)})", f"abs({s.let(b)})", n, n)
 
 
-def partial_corr(s: Series, a: str, b: str, c: str, n: int) -> str:
+def partial_corr(s: Series, a: str, b: str, c: str, n: int, least: int = 20) -> str:
     """Correlation of a and b after removing their betas to c."""
-    return correlation(s, hedged(s, a, c, n), hedged(s, b, c, n), n)
+    return correlation(s, hedged(s, a, c, n), hedged(s, b, c, n), n, least)
 
 
 def lead_lag(s: Series, a: str, b: str, n: int, most: int) -> tuple[str, str]:
-    """The correlation of a with b k rows before that is largest in size, and k; the first of equals."""
-    by = {k: correlation(s, a, s.lag(b, k), n) for k in range(-most, most + 1)}
-    top = s.let("greatest(" + ", ".join(f"abs({c})" for c in by.values()) + ")")
+    """The correlation of a with b k rows before that is largest in size, and k; the first of equals.
+
+    From the row on that has n + most rows before it.
+    """
+    by = {k: correlation(s, a, s.lag(b, k), n, 2) for k in range(-most, most + 1)}
+    top = s.let(f"CASE WHEN {s.let(f'row_number() {s.row()}')} > {n + most} THEN greatest(" + ", ".join(f"abs({c})" for c in by.values()) + ") END")
     value = "CASE " + " ".join(f"WHEN abs({c}) = {top} THEN {c}" for c in by.values()) + " END"
     lag = "CASE " + " ".join(f"WHEN abs({c}) = {top} THEN {k}" for k, c in by.items()) + " END"
     return s.let(value), s.let(lag)
 
 
 def coint_z(s: Series, a: str, b: str, n: int) -> str:
-    """Residual of the rolling regression of a on b, in its own standard deviations."""
+    """Residual of the rolling regression of a on b, in its own standard deviations, from the n-th row on; half the pairs suffice."""
     least = n // 2
     slope, const = s.roll2("regr_slope", a, b, n, least), s.roll2("regr_intercept", a, b, n, least)
     ssr = s.let(f"{s.roll2('regr_syy', a, b, n, least)} - power({slope}, 2) * {s.roll2('regr_sxx', a, b, n, least)}")
     sigma = root(f"{ssr} / {s.roll2('regr_count', a, b, n, least)}")
-    return s.let(f"({s.let(a)} - {const} - {slope} * {s.let(b)}) / ({s.let(sigma)} + {EPS})")
+    return s.let(f"CASE WHEN {s.let(f'row_number() {s.row()}')} >= {n} THEN ({s.let(a)} - {const} - {slope} * {s.let(b)}) / ({s.let(sigma)} + {EPS}) END")
 
 
 # exponential smoothing
@@ -429,7 +432,7 @@ def ewma_recursive(s: Series, x: str, halflife: float, least: int = 1) -> str:
 
 def ewma_corr(s: Series, a: str, b: str, halflife: float) -> str:
     """Correlation of two series with exponential means."""
-    a, b = (s.let(f"CASE WHEN {s.let(v)} IS NOT NULL AND {s.let(u)} IS NOT NULL THEN {s.let(u)} END") for u, v in ((a, b), (b, a)))
+    a, b = s.let(a), s.let(b)
     ma, mb = ewma(s, a, halflife), ewma(s, b, halflife)
     da, db = s.let(f"{a} - {ma}"), s.let(f"{b} - {mb}")
     cov = ewma(s, f"{da} * {db}", halflife)
@@ -439,14 +442,15 @@ def ewma_corr(s: Series, a: str, b: str, halflife: float) -> str:
 
 def dcc(s: Series, a: str, b: str, halflife: float, n: int = 63) -> str:
     """Exponential correlation of two standardised series."""
-    x, y = zscore(s, a, n), zscore(s, b, n)
+    x, y = zscore(s, a, n, n), zscore(s, b, n, n)
     q = ewma(s, f"{x} * {y}", halflife)
     return s.let(f"{q} / sqrt({ewma(s, f'{x} * {x}', halflife)} * {ewma(s, f'{y} * {y}', halflife)} + {EPS})")
 
 
 def weighted_ewma(s: Series, x: str, weight: str, halflife: float) -> str:
-    """Exponential mean of values scaled by their weight's share of its largest in five rows."""
-    return ewma(s, f"{s.let(x)} * {weight} / ({s.roll('max', weight, 5, 1)} + {EPS})", halflife)
+    """Exponential mean, of two values or more, of values scaled by their weight's share of its largest in five rows; weights below 0 are 0."""
+    w = s.let(f"CASE WHEN {weight} < 0 THEN 0e0 ELSE {weight} END")
+    return ewma(s, f"{s.let(x)} * {w} / ({s.roll('max', w, 5)} + {EPS})", halflife, least=2)
 
 
 def order_flow(s: Series, buy: str, sell: str, span: int) -> str:

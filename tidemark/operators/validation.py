@@ -123,5 +123,6 @@ def scored(
     gain = scoring.array_sum(F.zip_with(raised, F.col("probs"), lambda e, p: e * (F.log(e) - F.log(F.greatest(p, F.lit(1e-12)))))) / F.log(F.lit(2.0))
     return g.select(
         *keys, "n_train", "n_test", "crps", "pinball_q10", "pinball_q90", "skill_vs_uniform", "skill_vs_marginal",
-        F.when(inside > 0, scoring.calibration_mae(F.col("probs"), seen)).alias("calibration_mae"), F.when(inside > 0, gain).alias("info_gain"), "probs",
+        F.when(inside > 0, scoring.calibration_mae(F.col("probs"), seen)).alias("calibration_mae"), F.when(inside > 0, gain).alias("info_gain"),
+        F.when(inside > 0, scoring.wasserstein(F.col("probs"), seen, edges)).alias("w1_effect"), "probs",
     )

@@ -153,8 +153,8 @@ _add(
     x__beta_60_z120=lambda s: R.zscore(s, R.beta(s, R.ret(s), bench(s), 60), 120),
     x__corr_abs_21=lambda s: R.corr_of_abs(s, R.ret(s), bench(s), 21),
     x__partial_corr_21=lambda s: R.partial_corr(s, R.ret(s), bench(s), R.ret(s, "v_px_last"), 21),
-    x__leadlag_best_5=lambda s: R.lead_lag(s, R.ret(s), bench(s), 63, 5)[0],
-    x__leadlag_best_5_lag=lambda s: R.lead_lag(s, R.ret(s), bench(s), 63, 5)[1],
+    x__leadlag_best_5=lambda s: R.lead_lag(s, R.ret(s), bench(s), 21, 5)[0],
+    x__leadlag_best_5_lag=lambda s: R.lead_lag(s, R.ret(s), bench(s), 21, 5)[1],
     x__coint_resid_z_252=lambda s: R.coint_z(s, R.ln(C), R.ln("b_px_last"), 252),
     gate__liquid_flag=lambda s: s.let(
         R.flag(f"{R.zscore(s, 'volume', 63)} > 0 AND {R.zscore(s, 'turnover', 63)} > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bitmaps, cpcv, exits, islands, kernels, mixtures, options, regression, signals, validation
+from tidemark.operators import objectives as objectives_of
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
 from tidemark.plans.relational import EDGES, FIRED, N_BANDS, OBJ, STEP, _band_sql, _feat_sql, feature_rows, objectives, price_sql, query, r, returns, rounded
@@ -147,23 +148,28 @@ def _quantile_of(p: str, q: float) -> str:
     return f"CASE {cases} ELSE {EDGES[-1]} END"
 
 
-VALIDATED = f"""{FOLD_SQL}, trig AS (SELECT m.*, setup FROM market m JOIN {SETUPS} USING (ticker, date) WHERE fwd IS NOT NULL),
+WIDTHS = [b - a for a, b in zip(EDGES, EDGES[1:])]
+
+
+def _validated_sql(least_train: int, least_test: int) -> str:
+    return f"""{FOLD_SQL}, trig AS (SELECT m.*, setup FROM market m JOIN {SETUPS} USING (ticker, date) WHERE fwd IS NOT NULL),
   train AS (SELECT trig.*, fold FROM trig JOIN fold ON pos + horizon <= train_end), test AS (SELECT trig.*, fold FROM trig JOIN fold ON pos >= test_start AND pos + horizon <= test_end),
   mtest AS (SELECT market.*, fold FROM market JOIN fold ON pos >= test_start AND pos + horizon <= test_end WHERE fwd IS NOT NULL),
-  fit AS (SELECT *, list_transform(p0, lambda x: x / list_sum(p0)) AS p FROM {_hist('SELECT * FROM train', 'ticker, setup, horizon, fold')} WHERE n >= 10),
+  fit AS (SELECT *, list_transform(p0, lambda x: x / list_sum(p0)) AS p FROM {_hist('SELECT * FROM train', 'ticker, setup, horizon, fold')} WHERE n >= {least_train}),
   marg AS (SELECT * EXCLUDE (n), list_transform(p0, lambda x: x / list_sum(p0)) AS mp FROM {_hist('SELECT * FROM mtest', 'ticker, horizon, fold')}),
   joined AS (SELECT t.*, f.n AS n_train, p, mp, {[1 / N_BANDS] * N_BANDS} AS up FROM test t JOIN fit f USING (ticker, setup, horizon, fold) JOIN marg USING (ticker, horizon, fold)),
   each AS (SELECT *, {_crps_of('p')} AS c, {_crps_of('up')} AS cu, {_crps_of('mp')} AS cm, {_quantile_of('p', 0.1)} AS q10, {_quantile_of('p', 0.9)} AS q90, {_band_sql('fwd')} AS band FROM joined),
   g AS (SELECT ticker, setup, horizon, fold, any_value(n_train) AS n_train, count(*) AS n_test, avg(c) AS crps, avg(CASE WHEN fwd >= q10 THEN 0.9 * (fwd - q10) ELSE 0.1 * (q10 - fwd) END) AS pinball_q10,
     avg(CASE WHEN fwd >= q90 THEN 0.1 * (fwd - q90) ELSE 0.9 * (q90 - fwd) END) AS pinball_q90, avg(cu) - avg(c) AS skill_vs_uniform, avg(cm) - avg(c) AS skill_vs_marginal,
-    any_value(p) AS p, [{', '.join(f'count(*) FILTER (band = {k})' for k in range(N_BANDS))}] AS k, count(band) AS inside FROM each GROUP BY ALL HAVING count(*) >= 3),
+    any_value(p) AS p, [{', '.join(f'count(*) FILTER (band = {k})' for k in range(N_BANDS))}] AS k, count(band) AS inside FROM each GROUP BY ALL HAVING count(*) >= {least_test}),
   validated AS (SELECT *, CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: abs(p[i] - k[i] * 1e0 / inside))) / {N_BANDS} END AS calibration_mae,
-    CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: (k[i] + 1e0) / (inside + {N_BANDS}) * (ln((k[i] + 1e0) / (inside + {N_BANDS})) - ln(greatest(p[i], 1e-12))))) / ln(2e0) END AS info_gain FROM g)"""
+    CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: (k[i] + 1e0) / (inside + {N_BANDS}) * (ln((k[i] + 1e0) / (inside + {N_BANDS})) - ln(greatest(p[i], 1e-12))))) / ln(2e0) END AS info_gain,
+    CASE WHEN inside > 0 THEN list_sum(list_transform(range(1, {N_BANDS + 1}), lambda i: abs(list_sum(p[1:i]) - list_sum(k[1:i]) * 1e0 / inside) * {WIDTHS}[i])) END AS w1_effect FROM g)"""
 
-SCORES = ("crps", "pinball_q10", "pinball_q90", "skill_vs_uniform", "skill_vs_marginal", "calibration_mae", "info_gain")
+SCORES = ("crps", "pinball_q10", "pinball_q90", "skill_vs_uniform", "skill_vs_marginal", "calibration_mae", "info_gain", "w1_effect")
 
 
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validated(spark: SparkSession, sf_dir: str, least_train: int = 10, least_test: int = 3) -> DataFrame:
     """Scores of all setups, horizons and folds."""
     days = bars(spark, sf_dir).select("date").distinct()
     market = validation.outcomes(bars(spark, sf_dir), days, HORIZONS)
@@ -171,15 +177,39 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda c, n: f.where(F.col("feature") == c).select("ticker", "date", F.col("rule").alias(n))
     setups = side("px_last", "a").join(side("volume", "b"), ["ticker", "date"]).select("ticker", "date", F.concat("a", F.lit("+"), "b").alias("setup"))
     triggered = market.join(setups, ["ticker", "date"])
-    return validation.scored(triggered, market, spans(spark, sf_dir), ["ticker", "setup"], EDGES, spark)
+    return validation.scored(triggered, market, spans(spark, sf_dir), ["ticker", "setup"], EDGES, spark, least_train, least_test)
 
 
-@query(f"WITH {VALIDATED} SELECT ticker, setup, horizon, fold, n_train, n_test, {', '.join(f'{r(c, 5)} AS {c}' for c in SCORES)} FROM validated")
+@query(f"WITH {_validated_sql(10, 3)} SELECT ticker, setup, horizon, fold, n_train, n_test, {', '.join(f'{r(c, 5)} AS {c}' for c in SCORES)} FROM validated")
 def forecast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of every setup's banded forecast."""
     return rounded(validated(spark, sf_dir).drop("probs"), 5)
 
 
+_LOWER = [m for m in SCORES if any(part in m for part in objectives_of.LOWER)]
+_TRADE = " + ".join(f"probs[{k + 1}] * {(a + b) / 2}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:])))
+_UP = " + ".join(f"probs[{k + 1}] * {min(max(b / (b - a), 0.0), 1.0)}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:])))
+
+
+def _bands(p: str) -> str:
+    mid = [f"median({p}[{k + 1}])" for k in range(N_BANDS)]
+    return f"[{', '.join(f'{m} / ({" + ".join(mid)} + 1e-9)' for m in mid)}]"
+
+
+@query(f"""WITH {_validated_sql(3, 2)}, f AS (SELECT ticker, setup, horizon, count(crps) * 1e0 AS folds_used, {', '.join(f'median({m}) AS {m}' for m in SCORES)}, {_bands('p')} AS probs FROM validated GROUP BY 1, 2, 3),
+  m AS (SELECT *, median(crps) OVER (PARTITION BY ticker, setup) AS mid FROM f),
+  h AS (SELECT ticker, setup, count(*) AS horizons, arg_min(horizon, struct_pack(c := crps, h := horizon)) AS best_horizon, quantile_cont(folds_used, 0.75) AS folds_used,
+    {', '.join(f'quantile_cont({m}, {0.25 if m in _LOWER else 0.75}) AS {m}' for m in SCORES)}, {_bands('probs')} AS probs, median(abs(crps - mid)) AS horizon_stability_mad FROM m GROUP BY 1, 2)
+  SELECT ticker, setup, horizons, best_horizon, {', '.join(f'{r(c, 5)} AS {c}' for c in ('folds_used', *SCORES, 'horizon_stability_mad'))}, {r(_TRADE, 5)} AS expected_move, {r(_UP, 5)} AS p_up,
+    {r(f'list_sum(probs) - ({_UP})', 5)} AS p_down, {r('-crps', 5)} AS objective_crps, {r('info_gain', 5)} AS objective_info_gain, {r('skill_vs_marginal', 5)} AS objective_skill_vs_marginal FROM h""")
+def setup_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each setup's scores over folds and horizons, and what a balanced search would maximise."""
+    scored = validated(spark, sf_dir, 3, 2)
+    rows = objectives_of.over_folds(scored, ["ticker", "setup"], SCORES, N_BANDS)
+    out = objectives_of.over_horizons(rows, ["ticker", "setup"], SCORES, EDGES)
+    return rounded(objectives_of.transformed(out, objectives_of.recommended("balanced")).drop("probs"), 5)
+
+
 # exits: each bar opens a call at the money, under three policies
 
 TENOR, MARKED = 21, 45
