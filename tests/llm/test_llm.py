@@ -488,7 +488,7 @@ def test_packing_against_brute_force():
     loads = rng.random((60, 3)) / 9
     left, wanted = np.ones((6, 3)), [0] * 60
     for i in sorted(range(60), key=lambda i: (-max(loads[i]), i)):
-        fits = [s for s in range(6) if left[s][0] >= loads[i][0]]
+        fits = [s for s in range(6) if all(left[s] >= loads[i])] or [s for s in range(6) if left[s][0] >= loads[i][0]]
         dot = lambda s: sum(left[s][d] * loads[i][d] for d in range(3))
         wanted[i] = max(fits, key=lambda s: (dot(s), -s)) if fits else max(range(6), key=lambda s: (left[s][0], -s))
         left[wanted[i]] -= loads[i]

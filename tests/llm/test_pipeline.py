@@ -2,31 +2,84 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 from test_llm import brute_components, brute_lines
+from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
+import public_tokenizers  # noqa: E402
+
 from tidemark.llm import decontam, langid  # noqa: E402
-from tidemark.llm.common import table  # noqa: E402
+from tidemark.llm.common import saved, table  # noqa: E402
+from tidemark.llm.queries import VOCABULARY  # noqa: E402
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def leaks(item, text):
+    """Whether the text holds the item with 6 % edits at most: the edit distance to any part, row by row."""
+    most = int(decontam.Params().edit_rate * len(item))
+    row = np.zeros(len(text) + 1, int)  # a part may start anywhere
+    letters = np.array([ord(c) for c in text])
+    for k, c in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = k
+        new[1:] = np.minimum(row[:-1] + (letters != ord(c)), row[1:] + 1)
+        at = np.arange(len(new))
+        row = np.minimum.accumulate(new - at) + at
+    return row.min() <= most
+
+
+def often_lines(docs, least, many):
+    """Later copies of lines of fewer than ``least`` words that ``many`` documents have."""
+    lines = [(d, i, x) for d, t in docs for i, x in enumerate(t.split("\n")) if 0 < len(WORD.findall(x)) < least]
+    holders, first = defaultdict(set), {}
+    for d, i, x in sorted(lines):
+        holders[x].add(d)
+        first.setdefault(x, (d, i))
+    return {(d, i) for d, i, x in lines if len(holders[x]) >= many and first[x] != (d, i)}
+
+
+def without(docs, gone):
+    """Texts without the lines that are gone; documents that lose all their words go."""
+    out = []
+    for d, t in docs:
+        new = "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
+        if new == t or WORD.search(new):
+            out.append((d, new))
+    return out
 
 
 def test_pipeline(spark):
+    """Stage by stage with the stages' own parameters: texts, then tokens by the library."""
     docs = sorted((r.doc_id, r.text) for r in table(spark, DATA, "documents").collect())
     kept = [(d, t) for d, t in docs if t and langid._LETTER.search(t)]
-    gone = brute_lines(kept, 8)
-    lines = []
-    for d, t in kept:
-        new = "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
-        if new == t or new.split():
-            lines.append((d, new))
-    firsts = [(d, t) for (c, d, _), (_, t) in zip(sorted(brute_components(lines), key=lambda x: x[1]), lines) if c == d]
-    items = [decontam.normal(r.text) for r in table(spark, DATA, "benchmark").collect()]
-    clean = {d for d, t in firsts if not any(x in decontam.normal(t) for x in items)}
-    got = {r.doc_id for r in pipeline.run(spark, DATA).collect()}
-    assert got <= {d for d, _ in firsts} and got <= clean and len(clean - got) <= 2
+    lines = without(kept, brute_lines(kept, 8) | often_lines(kept, 8, pipeline.OFTEN))
+    near = pipeline.NEAR
+    firsts = [(d, t) for (c, d, _), (_, t) in zip(sorted(brute_components(lines, near.percent, near.words), key=lambda x: x[1]), lines) if c == d]
+    items = table(spark, DATA, "benchmark").collect()
+    assert all(len(decontam.normal(r.text)) >= 20 for r in items)
+    clean = [(d, t) for d, t in firsts if not any(leaks(decontam.normal(r.text), decontam.normal(t)) for r in items)]
+    rows = table(spark, DATA, "documents")
+    for name, stage, wanted in zip(("language", "lines", "near_copies", "benchmark"), (f for _, f in pipeline.STAGES), (kept, lines, firsts, clean)):
+        rows = saved(stage(spark, rows, DATA), name)
+        assert sorted((r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()) == wanted, name
+    library = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    tokens = []
+    for d, t in clean:
+        ids = library.encode(t, add_special_tokens=False).ids
+        tokens.append((d, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == tokens
 
 
 def test_stages_keep_columns(spark):

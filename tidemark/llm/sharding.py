@@ -35,14 +35,15 @@ LOADS = ("bytes", "tokens", "rows")
 def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item; loads are shares of one shard's capacity, in several dimensions.
 
-    The first dimension is the law's: an item only goes where it fits in that, and where it fits nowhere,
-    to the shard with most room in it.  The others weigh in through the dot product.
+    An item goes to a shard that has room for it in every dimension.  Where none has, the law's dimension, the first,
+    decides alone, and where it fits nowhere, it goes to the shard with most room in that.
     """
     residual = np.ones((shards, loads.shape[1]))
     out = np.zeros(len(loads), np.int64)
     for i in np.lexsort((np.arange(len(loads)), -loads.max(axis=1, initial=0))):
         fit = residual @ loads[i]
-        inside = residual[:, 0] >= loads[i, 0]
+        inside = (residual >= loads[i]).all(axis=1)
+        inside = inside if inside.any() else residual[:, 0] >= loads[i, 0]
         out[i] = np.argmax(np.where(inside, fit, -np.inf)) if inside.any() else np.argmax(residual[:, 0])
         residual[out[i]] -= loads[i]
     return out
