@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import islands, kernels, regression
+from tidemark.operators import gauntlet, islands, kernels, regression, slates
 from tidemark.operators.search import front_numbers
 
 # streamed windows
@@ -198,3 +199,73 @@ def test_survivors(spark):
     assert sum(f < last for f in fronts) == sum(r.front < last for r in got)
     assert islands.synchronized(df, ["a", "b"], 500).count() == 90
     assert islands.synchronized(df.where("false"), ["a", "b"], 5).count() == 0
+
+
+# slates and books
+
+
+def test_trade_ready_fields(spark):
+    edges = (-999.0, -0.05, -0.03, 0.0, 0.02, 0.03, 0.05, 999.0)
+    probs = [0.05, 0.1, 0.2, 0.25, 0.2, 0.15, 0.05]
+    cross = (-0.02, 0.01, 0.04)
+    df = spark.createDataFrame([(1, probs), (2, [0.5, 0.5]), (3, None)], "id int, probs array<double>")
+    r, short, null = df.select("id", *(c.alias(n) for n, c in slates.trade_ready("probs", edges).items())).orderBy("id").collect()
+    assert r.expected_move == pytest.approx(0.05 * -0.12 + 0.1 * -0.04 + 0.2 * -0.015 + 0.25 * 0.01 + 0.2 * 0.025 + 0.15 * 0.04 + 0.05 * 0.12)
+    assert (r.p_up, r.p_down) == (pytest.approx(0.4), pytest.approx(0.15))  # bands that touch 0 are neither
+    assert (r.p_3_to_5, r.p_above_5, r.p_minus_5_to_3, r.p_below_5) == pytest.approx((0.15, 0.05, 0.1, 0.05))
+    assert short.p_up is None and null.expected_move is None
+    split = df.where("id = 2").select(*(c.alias(n) for n, c in slates.trade_ready("probs", cross).items())).first()
+    assert split.p_up == pytest.approx(0.5 / 3 + 0.5) and split.p_down == pytest.approx(0.5 * 2 / 3)
+
+
+def test_slates(spark):
+    rows = [("A", f"s{k}", float(k % 4), [0.5, 0.5]) for k in range(8)] + [("B", "x", None, None), ("C", "y", 9.0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "ticker string, setup string, score double, probs array<double>")
+    got = [(r.ticker, r.setup) for r in slates.slate(df, "probs", (-1.0, 0.0, 1.0), "score", "setup", 3, 4).orderBy(F.col("score").desc_nulls_last(), "setup").collect()]
+    assert got == [("C", "y"), ("A", "s3"), ("A", "s7"), ("A", "s2")]
+    whole = slates.slate(df, "probs", (-1.0, 0.0, 1.0), "score", "setup", 0, 0)
+    assert whole.count() == 10 and whole.where("ticker = 'B'").first().probs == [0.5, 0.5]
+
+
+def test_open_book(spark):
+    d = lambda k: dt.date(2024, 3, 1) + dt.timedelta(days=k)
+    rows = [
+        (1, d(0), d(0), None, "long", 10.0, 2.0, None, None), (2, d(0), d(1), d(40), "Short", 10.0, 3.0, 9.0, "target"), (3, d(0), d(1), d(5), "long", 10.0, 1.0, 12.0, "stop"),
+        (4, d(-60), d(-60), None, "long", 10.0, 1.0, None, None), (5, None, None, None, None, None, None, None, None), (6, d(2), d(30), None, None, 10.0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, trigger_date date, entry_date date, exit_date date, direction string, entry_price double, contracts double, exit_price double, exit_reason string").withColumn("mark", F.lit(13.0))
+    got = {r.id: r for r in slates.open_at_end(df, d(20), d(25), 30, "mark").collect()}
+    assert {k for k, r in got.items() if r.status == "OPEN"} == {1, 2, 6}
+    assert (got[1].unrealized_pnl, got[2].unrealized_pnl, got[6].unrealized_pnl) == (6.0, -9.0, 0.0)
+    assert (got[2].exit_date, got[2].exit_price, got[2].exit_reason, got[1].holding_days_open, got[6].holding_days_open) == (None, None, "EOD_OPEN", 20, 0)
+    assert (got[3].exit_reason, got[3].exit_price, got[4].status, got[5].status) == ("stop", 12.0, None, None)
+    assert slates.open_at_end(df, d(20), d(25)).where("unrealized_pnl is not null").count() == 0
+
+
+def test_selection_reports(spark):
+    rows = [("A", k, float(k), "idle", k == 5) for k in range(8)] + [("B", 1, 1.0, "live", False), ("B", 2, 5.0, "fatal", None)]
+    df = spark.createDataFrame(rows, "ticker string, setup_id int, candidate_score double, status string, dup_suppressed boolean")
+    df = df.withColumns({"triggered_any": F.col("setup_id") > 3, "soft_flags_present": F.lit(None).cast("boolean"), "used_bootstrap": F.col("setup_id") == 1})
+    got = {r.ticker: r for r in slates.selection_summary(df, ["ticker"]).collect()}
+    assert tuple(got["A"])[1:] == (8, 4, 0, 0, 1, 7, 0) and tuple(got["B"])[1:] == (2, 0, 1, 0, 1, 1, 1)
+    assert slates.selection_summary(df.where("false")).first().n_checked == 0
+    assert sorted((r.ticker, r.setup_id) for r in slates.near_misses(df, ["ticker"]).collect()) == [("A", k) for k in (2, 3, 4, 6, 7)]
+
+
+def test_portfolio_stage(spark):
+    rows = [(1, 0.5, 1.0, 0.1, 0.1), (2, 0.3, 0.0, 0.1, 0.1), (3, 0.5, None, 0.9, 0.9), (4, None, None, None, None)]
+    got = {r.setup_id: r for r in gauntlet.portfolio(spark.createDataFrame(rows, "setup_id int, dsr double, capacity double, mean_abs_corr double, overlap double")).collect()}
+    assert got[1].pass_stage4 and got[1].portfolio_score == pytest.approx(0.6 * 0.5 + 0.4 * 0.9)
+    assert got[2].reject_code == "S4_CAPACITY" and got[2].dsr_after_capacity == pytest.approx(0.15)
+    assert got[3].reason == "S4_CORR;S4_OVERLAP" and got[3].dsr_after_capacity == 0.5
+    assert got[4].pass_stage4 and got[4].portfolio_score is None
+
+
+def test_exclusive_groups_that_print_alike(spark):
+    """("a, b", "c") and ("a", "b, c") are two groups."""
+    from tidemark.operators import ledger
+
+    d = dt.date(2024, 1, 1)
+    rows = [("a, b", "c", d, d + dt.timedelta(days=9), 1), ("a", "b, c", d + dt.timedelta(days=1), d + dt.timedelta(days=2), 2)]
+    df = spark.createDataFrame(rows, "x string, y string, trigger_date date, exit_date date, trade_id int").coalesce(1)
+    assert ledger.exclusive(df, ["x", "y"], 0).count() == 2

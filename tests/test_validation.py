@@ -12,7 +12,7 @@ import pytest
 from conftest import rows as plain
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmaps, cpcv, exits, mixtures, regimes, validation
+from tidemark.operators import bitmaps, cpcv, exits, mixtures, objectives, regimes, validation
 
 DAY0 = dt.date(2020, 1, 6)
 
@@ -314,3 +314,72 @@ def test_information_of_setups(spark):
 
     want = {i: [mi(a, b) for a, b in combinations(s or [], 2)] for i, s in setups}
     assert {r.id: (r.pairs, pytest.approx(r.mean_mi, abs=1e-12)) for r in got.collect()} == {i: (len(v), sum(v) / len(v)) for i, v in want.items() if v}
+
+
+# objectives
+
+
+def test_objective_registry():
+    names = ["crps", "brier_score", "pinball_q10", "info_gain", "skill_vs_marginal"]
+    got, labels = objectives.values({"crps": 0.1, "brier_score": 0.2, "pinball_q10": 0.05, "info_gain": 0.5, "skill_vs_marginal": 0.02}, names)
+    assert got == [-0.1, -0.2, -0.05, 0.5, 0.02] and [labels[n] for n in names] == ["negate"] * 3 + ["identity"] * 2
+    assert objectives.values({"coverage_80": 0.7}, ["coverage_80"])[0] == [pytest.approx(-0.1)] and "target" in objectives.label_of("coverage_95")
+    for bad in (math.nan, math.inf):
+        with pytest.raises(ValueError, match="non-finite"):
+            objectives.values({"crps": bad}, ["crps"])
+    with pytest.raises(KeyError, match="Unknown objective"):
+        objectives.values({"crps": 0.1}, ["crps", "missing_metric"])
+    assert "LEGACY" in objectives.values({"ig_sharpe": 2.0}, ["ig_sharpe"])[1]["ig_sharpe"]
+    with pytest.raises(ValueError, match="Legacy P&L objective"):
+        objectives.checked(["ig_sharpe"], allow_legacy=False)
+    assert objectives.audit(["crps", "nothing"]) == (False, ["nothing"]) and objectives.audit(["crps", "info_gain"]) == (True, [])
+    assert objectives.proper_only(["crps", "ig_sharpe", "calibration_mae"]) == ["crps"]
+    assert all(n in objectives.PROPER for n in objectives.recommended("forecast")) and all(n in objectives.LEGACY for n in objectives.recommended("legacy"))
+    with pytest.raises(ValueError, match="Unknown mode"):
+        objectives.recommended("odd")
+    assert all(objectives.label_of(n) == "negate" for n in objectives.PROPER)
+
+
+def test_objectives_of_columns(spark):
+    df = spark.createDataFrame([(1, 0.1, 0.85), (2, 0.3, 0.6)], "id int, crps double, coverage_80 double")
+    assert plain(objectives.transformed(df, ["crps", "coverage_80"]).select("id", "objective_crps", "objective_coverage_80")) == [(1, -0.05, -0.1), (2, -0.2, -0.3)]
+    for bad in (None, math.nan, math.inf):
+        odd = df.unionByName(spark.createDataFrame([(3, bad, 0.8)], df.schema))
+        with pytest.raises(Exception, match="non-finite"):
+            objectives.transformed(odd, ["crps"]).collect()
+    with pytest.raises(KeyError, match="Missing"):
+        objectives.transformed(df, ["info_gain"])
+
+
+@pytest.mark.parametrize("method", ["p75", "mean", "best"])
+def test_folds_and_horizons(spark, method):
+    rng = random.Random(6)
+    edges = (-0.2, 0.0, 0.1, 0.4)
+    rows = []
+    for s in "abc":
+        for h in ((1, 5, 21) if s != "c" else (5,)):
+            for f in range(rng.randint(1, 4)):
+                p = np.random.default_rng(rng.randint(0, 99)).dirichlet(np.ones(3))
+                rows.append((s, h, f, rng.random(), rng.random(), p.tolist()))
+    df = spark.createDataFrame(rows, "setup string, horizon int, fold int, crps double, info_gain double, probs array<double>")
+    folds = objectives.over_folds(df, ["setup"], ["crps", "info_gain"], 3)
+    got = {r.setup: r for r in objectives.over_horizons(folds, ["setup"], ["crps", "info_gain"], edges, objectives.Horizons(method)).collect()}
+    for s in "abc":
+        by = {}
+        for t, h, _, c, g, p in rows:
+            if t == s:
+                by.setdefault(h, []).append((c, g, p))
+        mid = {h: (np.median([x[0] for x in v]), np.median([x[1] for x in v]), (lambda m: m / (m.sum() + 1e-9))(np.median([x[2] for x in v], axis=0)), len(v)) for h, v in by.items()}
+        best = min(mid, key=lambda h: (mid[h][0], h))
+        crps, gain, used = ([m[k] for m in mid.values()] for k in (0, 1, 3))
+        want = {
+            "p75": (np.percentile(crps, 25), np.percentile(gain, 75), np.percentile(used, 75)), "mean": (np.mean(crps), np.mean(gain), np.mean(used)),
+            "best": (mid[best][0], mid[best][1], mid[best][3]),
+        }[method]
+        probs = mid[best][2] if method == "best" else (lambda m: m / (m.sum() + 1e-9))(np.median([m[2] for m in mid.values()], axis=0))
+        r = got[s]
+        assert (r.horizons, r.best_horizon) == (len(mid), best) and (r.crps, r.info_gain, r.folds_used) == pytest.approx(want)
+        assert r.probs == pytest.approx(probs.tolist()) and r.horizon_stability_mad == pytest.approx(np.median(np.abs(crps - np.median(crps))))
+        assert r.expected_move == pytest.approx(float(probs @ [-0.1, 0.05, 0.25])) and r.p_up == pytest.approx(float(probs[1:].sum()))
+    with pytest.raises(ValueError):
+        objectives.Horizons("odd")

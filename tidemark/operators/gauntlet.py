@@ -265,6 +265,35 @@ def capacity() -> Column:
     return F.when(known > 0, F.least(F.greatest(total / known, F.lit(0.0)), F.lit(1.0)))
 
 
+@dataclass(frozen=True)
+class PortfolioLimits:
+    # The gate's limits and the weights of its score.
+    dsr: float = 0.20
+    correlation: float = 0.35
+    overlap: float = 0.35
+    dsr_weight: float = 0.6
+    apart_weight: float = 0.4
+
+
+def portfolio(candidates: DataFrame, lim: PortfolioLimits = PortfolioLimits()) -> DataFrame:
+    """Stage 4: the deflated Sharpe ratio after the capacity's haircut, correlation with the live book, overlap with its days.
+
+    ``candidates``: dsr, capacity, mean_abs_corr, overlap, of which any may be null: what isn't known isn't tested.  Adds
+    dsr_after_capacity and ``portfolio_score``, null where one of its parts is.
+    """
+    after = F.when(F.col("capacity").isNull(), F.col("dsr")).otherwise(F.col("dsr") * (0.5 + 0.5 * F.col("capacity")))
+    rows = candidates.withColumn("dsr_after_capacity", after)
+    rows = rows.withColumn("portfolio_score", lim.dsr_weight * F.col("dsr_after_capacity") + lim.apart_weight * (1 - F.col("mean_abs_corr")))
+    unknown_or = lambda c, test: F.col(c).isNull() | test
+    return judged(
+        rows, 4, [
+            ("S4_CAPACITY", unknown_or("dsr_after_capacity", F.col("dsr_after_capacity") >= lim.dsr)),
+            ("S4_CORR", unknown_or("mean_abs_corr", F.col("mean_abs_corr") <= lim.correlation)),
+            ("S4_OVERLAP", unknown_or("overlap", F.col("overlap") <= lim.overlap)),
+        ],
+    )
+
+
 def final(stages: DataFrame, least: float = 0.0) -> DataFrame:
     """Stage 5: weighted score of the stage scores (0 to 2; null is 0.5) of those that passed all stages.
 

@@ -202,7 +202,7 @@ def exclusive(ledger: DataFrame, by: Sequence[str], cooldown: int, far: int = 36
     up to which the group is blocked, and jumps from one kept trade to the next.  Trades without a trigger go.
     """
     end = F.coalesce("exit_date", F.date_add("trigger_date", far))
-    rows = ledger.where("trigger_date is not null").select("*", F.struct(*by).cast("string").alias("_group"), F.unix_date("trigger_date").alias("_from"), F.unix_date(F.date_add(end, cooldown)).alias("_until"))
+    rows = ledger.where("trigger_date is not null").select("*", F.to_json(F.struct(*by)).alias("_group"), F.unix_date("trigger_date").alias("_from"), F.unix_date(F.date_add(end, cooldown)).alias("_until"))
     columns = ledger.columns
     dealt = rows.repartition(*by).sortWithinPartitions(*by, "trigger_date", "trade_id", F.asc_nulls_last("exit_date"))
 

@@ -33,9 +33,8 @@ def latest(rows: DataFrame, by: Sequence[str], regime: str, day: str, as_of: dat
 
 def weighted_rate(rates: DataFrame, occupancy: DataFrame, by: Sequence[str], regime: str, rate: str = "rate", weight: str = "occupancy") -> DataFrame:
     """Trigger rates of regimes weighted by the time spent in them; a regime without a rate counts 0."""
-    keys = rates.select(*by).distinct().join(F.broadcast(occupancy))  # a row for each regime
-    joined = keys.join(rates, [*by, regime], "left")
-    return joined.groupBy(*by).agg(F.sum(F.coalesce(rate, F.lit(0.0)) * F.col(weight)).alias("tau"))
+    joined = rates.join(occupancy, regime, "left")
+    return joined.groupBy(*by).agg(F.coalesce(F.sum(F.col(rate) * F.col(weight)), F.lit(0.0)).alias("tau"))
 
 
 def worst(rows: DataFrame, by: Sequence[str], regime: str, value: str) -> DataFrame:

@@ -13,6 +13,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import members
+
 MONTH = 21
 
 
@@ -119,7 +121,7 @@ def extended(folds: Sequence[tuple[date, date, date, date]], days: Sequence[date
 def fold_summary(spark: SparkSession, folds: Sequence[tuple[date, date, date, date]], days: DataFrame, day: str = "date") -> DataFrame:
     """Of each fold: first and last trading day of its windows, their numbers of days and spans."""
     table = spark.createDataFrame([(k, *f) for k, f in enumerate(folds)], "fold int, a date, b date, c date, d date")
-    hits = days.join(F.broadcast(table), F.col(day).between(F.col("a"), F.col("d")))  # folds are few
+    hits = members(days, table, day, "a", "d")
     out = []
     for name, low, high in (("train", "a", "b"), ("test", "c", "d")):
         x = F.when(F.col(day).between(F.col(low), F.col(high)), F.col(day))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import NUDGE, Series, rounding
-from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, models, options, reports, robustness, scoring, search, selection, signals, splits, subspaces
+from tidemark.operators import crosssection, events, gates, joins, kernels, ledger, mixtures, models, options, reports, robustness, scoring, search, selection, signals, splits, subspaces
 from tidemark.operators import rolling as R
 from tidemark.plans.domain import RELEASES, TRADES, forward_returns, forward_sql, releases, trades
 from tidemark.plans.panel import BARS, bars, read
@@ -125,11 +125,11 @@ def asof_last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof(t, quotes(spark, sf_dir), ["ticker"], "trigger_date", "date", "px", keep_null=True)
 
 
-DAYS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'"
+DAYS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_shipdate IS NOT NULL"
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.to_timestamp_ntz(F.lit("1999-01-01")))
+    line = read(spark, sf_dir, "lineitem").where("l_shipdate is not null")
     return line.select(F.to_date("l_shipdate").alias("date")).distinct()
 
 
@@ -861,7 +861,7 @@ def hidden_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pandas as pd
 
         x = pdf.sort_values("date")["ret"].to_numpy()
-        s = kernels.hidden_states(np.c_[x, pd.Series(x).rolling(20, 1).std().fillna(0).to_numpy()], 3, 15)
+        s = kernels.hidden_states(np.c_[x, pd.Series(x).rolling(20, 1).std().fillna(0).to_numpy()])
         return pd.DataFrame({"ticker": key[0], "state": range(3), "days": [int((s == j).sum()) for j in range(3)], "mean_ret": [float(x[s == j].mean()) if (s == j).any() else None for j in range(3)]})
 
     rows = returns(spark, sf_dir).where("ret is not null")
@@ -872,7 +872,7 @@ def hidden_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio of each ticker's daily returns with bootstrap bounds."""
     d = ledger.daily_by_trigger(trades(spark, sf_dir), ["ticker"])
-    return ledger.bootstrap(d, ["ticker"], ["trigger_date"], "sharpe", replicates=100)
+    return ledger.bootstrap(d, ["ticker"], ["trigger_date"], "sharpe")
 
 
 @query()
@@ -944,16 +944,17 @@ def feature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(subspaces.score_features(f.join(t, ["ticker", "date"])), 5)
 
 
-@query(f"""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 211 = 0),
+@query(f"""WITH v AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1), e AS (SELECT day FROM v WHERE v > (SELECT quantile_cont(v, 0.9) FROM v)),
   b AS (SELECT ticker, date, px_open, px_last, lead(px_last, 5) OVER (PARTITION BY ticker ORDER BY date) AS later FROM ({BARS})),
   s AS (SELECT ticker, day, min(date) AS date FROM e JOIN b ON b.date BETWEEN e.day AND e.day + 7 GROUP BY 1, 2)
   SELECT s.ticker, count(*) AS n, {r('avg(px_last / px_open - 1)', 4)} AS same_day, {r('avg(later / px_open - 1)', 4)} AS five_days, {r('avg(CASE WHEN px_last > px_open THEN 1e0 ELSE 0e0 END)')} AS win_rate
   FROM s JOIN b ON b.ticker = s.ticker AND b.date = s.date GROUP BY s.ticker""")
 def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open to close returns of the first bar within a week of each event."""
+    """Open to close returns of the first bar within a week of each event: days of which the orders' value is above nine tenths of all days'."""
     w = Window.partitionBy("ticker").orderBy("date")
     b = bars(spark, sf_dir).select("ticker", "date", "px_open", "px_last", F.lead("px_last", 5).over(w).alias("later"))
-    e = read(spark, sf_dir, "orders").where("o_orderkey % 211 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
+    v = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    e = v.where(F.col("v") > v.agg(F.percentile("v", F.lit(0.9))).first()[0]).select("day")
     near = e.select("day", F.explode(F.sequence("day", F.date_add("day", 7))).alias("date"))
     hit = near.join(b, "date").groupBy("ticker", "day").agg(F.min_by(F.struct("px_open", "px_last", "later"), "date").alias("x"))
     o, c = F.col("x.px_open"), F.col("x.px_last")
@@ -975,14 +976,14 @@ def calibrated_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mixture_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and mean volume of the benchmark's volatility regimes."""
-    s = Series()
-    out = {"vol": R.std(s, R.ret(s), 20, 10), "trend": s.roll("sum", R.ret(s), 20, 10)}
-    one = s.spark(bars(spark, sf_dir).where("ticker = 'NO'"), ["date", "volume"], out, None)
-    found = models.mixture_regimes(one, ["vol", "trend"], 3, "date")
-    if found is None:
-        return spark.createDataFrame([], "regime string, days bigint, mean_volume double")
-    return rounded(found.where("regime is not null").groupBy("regime").agg(F.count("*").alias("days"), F.avg("volume").alias("mean_volume")), 3)
+    """Days and mean volume of each ticker's regimes, by a mixture fitted on all its days."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = bars(spark, sf_dir).select("ticker", "date", "px_last", "volume", F.row_number().over(w).alias("pos"))
+    rows = mixtures.features(rows, ["ticker"], "pos", "px_last")
+    names = ["volatility", "trend"]
+    fits = mixtures.aligned(mixtures.fit(rows, {0: 1 << 31}, ["ticker"], names, components=(3, 3)), ["ticker"])
+    found = mixtures.assign(rows, fits, ["ticker"], names).where("regime is not null")
+    return rounded(found.groupBy("ticker", "regime").agg(F.count("*").alias("days"), F.avg("volume").alias("mean_volume")), 3)
 
 
 @query()

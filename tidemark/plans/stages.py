@@ -180,25 +180,6 @@ def gauntlet_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robust(spark, sf_dir), 5)
 
 
-@query(f"""WITH a AS (SELECT setup_id, bool_or(pass_stage1) AS pass_stage1 FROM (SELECT *, NOT reason LIKE '%S1_DAILY_CAP%' AS pass_stage1 FROM ({STAGE1.replace('AS pass_stage1', 'AS _p')})) GROUP BY 1),
-  s AS (SELECT a.setup_id, a.pass_stage1, b.wf_fold_min_return >= -0.2 AS pass_stage2, c.fragility < 0.2 AS pass_stage3, a.setup_id % 5 <> 0 AS pass_stage4, 1e0 AS score_1, b.wf_sharpe AS score_2, c.lite_score AS score_3,
-    CASE WHEN a.setup_id % 3 <> 0 THEN 1.2e0 END AS score_4 FROM a JOIN ({STAGE2}) b USING (setup_id) JOIN {ROBUST} c USING (setup_id)),
-  f AS (SELECT *, list_filter([{', '.join(f"CASE WHEN NOT coalesce(pass_stage{k}, false) THEN 'S{k}' END" for k in range(1, 5))}], lambda x: x IS NOT NULL) AS failed,
-    {' + '.join(f'{w} * least(greatest(coalesce(score_{k}, 0.5) / 2, 0), 1)' for k, w in ((1, 0.1), (2, 0.25), (3, 0.45), (4, 0.2)))} AS score FROM s)
-  SELECT setup_id, {r('CASE WHEN len(failed) = 0 THEN score ELSE 0 END', 5)} AS promotion_score,
-    CASE WHEN len(failed) > 0 THEN 'S5_UPSTREAM_FAIL_' || array_to_string(failed, '+') WHEN score < 0.3 THEN 'S5_LOW_SCORE' END AS reject_code,
-    len(failed) = 0 AND score >= 0.3 AS pass_stage5 FROM f""")
-def gauntlet_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifth stage: score and decision of each setup."""
-    a = stage1(spark, sf_dir).groupBy("setup_id").agg(F.max(~F.col("reason").contains("S1_DAILY_CAP")).alias("pass_stage1"))
-    b = rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir)), 5).select("setup_id", (F.col("wf_fold_min_return") >= -0.2).alias("pass_stage2"), F.col("wf_sharpe").alias("score_2"))
-    c = robust(spark, sf_dir).select("setup_id", (F.col("fragility") < 0.2).alias("pass_stage3"), F.col("lite_score").alias("score_3"))
-    s = a.join(b, "setup_id").join(c, "setup_id").withColumns(
-        {"pass_stage4": F.col("setup_id") % 5 != 0, "score_1": F.lit(1.0), "score_4": F.when(F.col("setup_id") % 3 != 0, 1.2)}
-    )
-    return rounded(gauntlet.final(s, 0.3).select("setup_id", "promotion_score", "reject_code", "pass_stage5"), 5)
-
-
 # support
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmaps, cpcv, exits, islands, kernels, mixtures, options, regression, signals, validation
+from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, kernels, ledger, mixtures, options, regression, signals, slates, validation
 from tidemark.operators import objectives as objectives_of
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
 from tidemark.plans.relational import EDGES, FIRED, N_BANDS, OBJ, STEP, _band_sql, _feat_sql, feature_rows, objectives, price_sql, query, r, returns, rounded
-from tidemark.plans.stages import THINNED, thinned
+from tidemark.plans.stages import SHARES, STAGE1, STAGE2, THINNED, shares, stage1, thinned
 
 # combinatorially purged cross-validation of the ledger; the regime of a trade is its ticker
 
@@ -100,6 +102,71 @@ def cpcv_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cpcv_stage3(spark, sf_dir), 5)
 
 
+# the portfolio stage and the decision: live are the setups 1 to 3, busy days those of setup 1
+
+
+STAGE4 = f"""cap AS (SELECT setup_id, avg((ok_volume + ok_interest + ok_px_volume) / 3) AS capacity FROM ({TRADES}) JOIN ({SHARES}) USING (ticker) GROUP BY 1),
+  live AS (SELECT DISTINCT trigger_date FROM ({TRADES}) WHERE setup_id = 1),
+  busy AS (SELECT setup_id, avg(CASE WHEN live.trigger_date IS NOT NULL THEN 1e0 ELSE 0e0 END) AS overlap FROM (SELECT DISTINCT setup_id, trigger_date FROM ({TRADES})) LEFT JOIN live USING (trigger_date) GROUP BY 1),
+  rday AS (SELECT setup_id, trigger_date, median(pnl_pct) AS r FROM ({TRADES}) GROUP BY 1, 2),
+  pair AS (SELECT c.setup_id, l.setup_id AS live, count(*) AS n, CASE WHEN stddev_samp(c.r) * stddev_samp(l.r) > 1e-15 THEN covar_samp(c.r, l.r) / (stddev_samp(c.r) * stddev_samp(l.r)) END AS k
+    FROM rday c JOIN rday l ON l.trigger_date = c.trigger_date AND l.setup_id <= 3 WHERE c.setup_id > 3 GROUP BY 1, 2),
+  crowd AS (SELECT setup_id, avg(abs(k)) AS mean_abs_corr FROM pair WHERE n >= 10 GROUP BY 1),
+  fit4 AS (SELECT g.setup_id, median_dsr AS dsr, capacity, mean_abs_corr, overlap, coalesce(median_dsr * (0.5 + 0.5 * capacity), median_dsr) AS dsr_after_capacity
+    FROM stage3 g LEFT JOIN cap USING (setup_id) LEFT JOIN crowd USING (setup_id) LEFT JOIN busy USING (setup_id)),
+  stage4 AS (SELECT *, 0.6 * dsr_after_capacity + 0.4 * (1 - mean_abs_corr) AS portfolio_score, list_filter([CASE WHEN dsr_after_capacity < 0.2 THEN 'S4_CAPACITY' END,
+    CASE WHEN mean_abs_corr > 0.35 THEN 'S4_CORR' END, CASE WHEN overlap > 0.35 THEN 'S4_OVERLAP' END], lambda x: x IS NOT NULL) AS failed4 FROM fit4)"""
+
+
+def stage4(spark: SparkSession, sf_dir: str, stage3: DataFrame) -> DataFrame:
+    t = trades(spark, sf_dir)
+    market = shares(spark, sf_dir).withColumn("capacity", gauntlet.capacity()).select("ticker", "capacity")
+    d = ledger.daily_by_trigger(t, ["setup_id"])
+    live = d.where("setup_id <= 3").withColumnRenamed("setup_id", "live_id")
+    parts = (
+        t.join(market, "ticker").groupBy("setup_id").agg(F.avg("capacity").alias("capacity")),
+        gates.mean_abs_corr(d.where("setup_id > 3"), live, "setup_id", "live_id", "trigger_date", "r"),
+        gates.overlap(t, t.where("setup_id = 1")),
+    )
+    rows = stage3.select("setup_id", F.col("median_dsr").alias("dsr"))
+    for part in parts:
+        rows = rows.join(part, "setup_id", "left")
+    return gauntlet.portfolio(rows)
+
+
+@query(f"""WITH {ROBUST_CPCV}, {STAGE4} SELECT setup_id, {', '.join(f'{r(c, 5)} AS {c}' for c in ('dsr', 'capacity', 'mean_abs_corr', 'overlap', 'dsr_after_capacity', 'portfolio_score'))},
+  failed4[1] AS reject_code, CASE WHEN len(failed4) = 0 THEN 'ok' ELSE array_to_string(failed4, ';') END AS reason, len(failed4) = 0 AS pass_stage4 FROM stage4""")
+def gauntlet_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourth stage: capacity, crowding and overlap with the live book."""
+    return rounded(stage4(spark, sf_dir, cpcv_stage3(spark, sf_dir)), 5)
+
+
+_HART3 = """greatest(least(greatest(median_dsr, 0), 2) / 2 + 0.3 * least(greatest(support_rate, 0), 1) - 0.4 * least(iqr_sharpe, 1)
+  - 0.3 * least(greatest((0.5 - cvar5) / 0.5, 0), 1) - 0.2 * least(fragility / 0.5, 1) - 0.5 * CASE WHEN top_coverage >= 0.8 THEN 1 ELSE 0 END, 0)"""
+
+
+@query(f"""WITH {ROBUST_CPCV}, {STAGE4}, one AS (SELECT setup_id, bool_or(reason NOT LIKE '%S1_DAILY_CAP%') AS pass_stage1, avg(CASE WHEN reason = 'ok' THEN 1e0 ELSE 1 - len(string_split(reason, ';')) / 10e0 END) AS score_1 FROM ({STAGE1}) GROUP BY 1),
+  two AS (SELECT setup_id, wf_fold_min_return >= -0.2 AS pass_stage2, wf_sharpe AS score_2 FROM ({STAGE2})),
+  s AS (SELECT one.setup_id, pass_stage1, score_1, pass_stage2, score_2, len(failed) < 4 AS pass_stage3, {_HART3} AS score_3, len(failed4) < 2 AS pass_stage4, portfolio_score AS score_4
+    FROM one JOIN two USING (setup_id) JOIN stage3 USING (setup_id) JOIN stage4 USING (setup_id)),
+  f AS (SELECT *, list_filter([{', '.join(f"CASE WHEN NOT coalesce(pass_stage{k}, false) THEN 'S{k}' END" for k in range(1, 5))}], lambda x: x IS NOT NULL) AS failed,
+    {' + '.join(f'{w} * least(greatest(coalesce(score_{k}, 0.5) / 2, 0), 1)' for k, w in ((1, 0.1), (2, 0.25), (3, 0.45), (4, 0.2)))} AS score FROM s)
+  SELECT setup_id, {r('CASE WHEN len(failed) = 0 THEN score ELSE 0 END', 5)} AS promotion_score,
+    CASE WHEN len(failed) > 0 THEN 'S5_UPSTREAM_FAIL_' || array_to_string(failed, '+') WHEN score < 0.3 THEN 'S5_LOW_SCORE' END AS reject_code,
+    len(failed) = 0 AND score >= 0.3 AS pass_stage5 FROM f""")
+def gauntlet_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifth stage over the four before it; here the third passes with three failed gates, the fourth with one, and the first without its daily cap."""
+    third = cpcv_stage3(spark, sf_dir).withColumn("mono_regime", F.col("top_coverage") >= 0.8).persist()
+    fourth = stage4(spark, sf_dir, third)
+    n_failed = F.when(F.col("reason") == "ok", 0).otherwise(F.size(F.split("reason", ";")))
+    a = stage1(spark, sf_dir).groupBy("setup_id").agg(F.max(~F.col("reason").contains("S1_DAILY_CAP")).alias("pass_stage1"), F.avg(1 - n_failed / 10).alias("score_1"))
+    b = rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir)), 5).select("setup_id", (F.col("wf_fold_min_return") >= -0.2).alias("pass_stage2"), F.col("wf_sharpe").alias("score_2"))
+    c = third.select("setup_id", (n_failed < 4).alias("pass_stage3"), gauntlet.composite_score(False).alias("score_3"))
+    d = fourth.select("setup_id", (n_failed < 2).alias("pass_stage4"), F.col("portfolio_score").alias("score_4"))
+    s = a.join(b, "setup_id").join(c, "setup_id").join(d, "setup_id")
+    return rounded(gauntlet.final(s, 0.3).select("setup_id", "promotion_score", "reject_code", "pass_stage5"), 5)
+
+
 # forecasts out of fold: setups are pairs of a price rule and a volume rule on a ticker
 
 HORIZONS = (1, 5, 21)
@@ -196,18 +263,24 @@ def _bands(p: str) -> str:
     return f"[{', '.join(f'{m} / ({" + ".join(mid)} + 1e-9)' for m in mid)}]"
 
 
-@query(f"""WITH {_validated_sql(3, 2)}, f AS (SELECT ticker, setup, horizon, count(crps) * 1e0 AS folds_used, {', '.join(f'median({m}) AS {m}' for m in SCORES)}, {_bands('p')} AS probs FROM validated GROUP BY 1, 2, 3),
+def joint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = objectives_of.over_folds(validated(spark, sf_dir, 3, 2), ["ticker", "setup"], SCORES, N_BANDS)
+    return objectives_of.over_horizons(rows, ["ticker", "setup"], SCORES, EDGES)
+
+
+OVER_HORIZONS = f"""{_validated_sql(3, 2)}, f AS (SELECT ticker, setup, horizon, count(crps) * 1e0 AS folds_used, {', '.join(f'median({m}) AS {m}' for m in SCORES)}, {_bands('p')} AS probs FROM validated GROUP BY 1, 2, 3),
   m AS (SELECT *, median(crps) OVER (PARTITION BY ticker, setup) AS mid FROM f),
-  h AS (SELECT ticker, setup, count(*) AS horizons, arg_min(horizon, struct_pack(c := crps, h := horizon)) AS best_horizon, quantile_cont(folds_used, 0.75) AS folds_used,
-    {', '.join(f'quantile_cont({m}, {0.25 if m in _LOWER else 0.75}) AS {m}' for m in SCORES)}, {_bands('probs')} AS probs, median(abs(crps - mid)) AS horizon_stability_mad FROM m GROUP BY 1, 2)
+  joint AS (SELECT ticker, setup, count(*) AS horizons, arg_min(horizon, struct_pack(c := crps, h := horizon)) AS best_horizon, quantile_cont(folds_used, 0.75) AS folds_used,
+    {', '.join(f'quantile_cont({m}, {0.25 if m in _LOWER else 0.75}) AS {m}' for m in SCORES)}, {_bands('probs')} AS probs, median(abs(crps - mid)) AS horizon_stability_mad FROM m GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {OVER_HORIZONS}
   SELECT ticker, setup, horizons, best_horizon, {', '.join(f'{r(c, 5)} AS {c}' for c in ('folds_used', *SCORES, 'horizon_stability_mad'))}, {r(_TRADE, 5)} AS expected_move, {r(_UP, 5)} AS p_up,
-    {r(f'list_sum(probs) - ({_UP})', 5)} AS p_down, {r('-crps', 5)} AS objective_crps, {r('info_gain', 5)} AS objective_info_gain, {r('skill_vs_marginal', 5)} AS objective_skill_vs_marginal FROM h""")
+    {r(f'list_sum(probs) - ({_UP})', 5)} AS p_down, {r('-crps', 5)} AS objective_crps, {r('info_gain', 5)} AS objective_info_gain, {r('skill_vs_marginal', 5)} AS objective_skill_vs_marginal FROM joint WHERE crps IS NOT NULL AND info_gain IS NOT NULL AND skill_vs_marginal IS NOT NULL""")
 def setup_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each setup's scores over folds and horizons, and what a balanced search would maximise."""
-    scored = validated(spark, sf_dir, 3, 2)
-    rows = objectives_of.over_folds(scored, ["ticker", "setup"], SCORES, N_BANDS)
-    out = objectives_of.over_horizons(rows, ["ticker", "setup"], SCORES, EDGES)
-    return rounded(objectives_of.transformed(out, objectives_of.recommended("balanced")).drop("probs"), 5)
+    """Scores over folds and horizons of each setup that has all, and what a balanced search would maximise."""
+    wanted = objectives_of.recommended("balanced")
+    return rounded(objectives_of.transformed(joint_scores(spark, sf_dir).dropna(subset=wanted), wanted).drop("probs"), 5)
 
 
 # exits: each bar opens a call at the money, under three policies
@@ -407,3 +480,74 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 def island_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 40 individuals that all islands together keep."""
     return rounded(islands.synchronized(people(spark, sf_dir), ["a", "b"], 40).select("dna", "front", "crowding"))
+
+
+# slates and books
+
+
+_BANDS = list(zip(EDGES, EDGES[1:]))
+_DOWN = " + ".join(f"probs[{k + 1}] * {1.0 if b < 0 else -a / (b - a) if a < 0 < b else 0.0}" for k, (a, b) in enumerate(_BANDS))
+_ABOVE, _BELOW = (" + ".join(f"probs[{k + 1}]" for k, (a, b) in enumerate(_BANDS) if test(a, b)) for test in (lambda a, b: a >= 0.05, lambda a, b: b <= -0.05))
+
+
+@query(f"""WITH {OVER_HORIZONS}, k AS (SELECT *, {r('skill_vs_marginal', 5)} AS rank_score FROM joint), t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rank_score DESC NULLS LAST, setup) AS place FROM k)
+  SELECT ticker, setup, rank_score, best_horizon, {r(_TRADE, 5)} AS expected_move, {r(_UP, 5)} AS p_up, {r(_DOWN, 5)} AS p_down, {r('0e0 * probs[1]', 5)} AS p_3_to_5, {r(_ABOVE, 5)} AS p_above_5,
+    {r('0e0 * probs[1]', 5)} AS p_minus_5_to_3, {r(_BELOW, 5)} AS p_below_5 FROM (SELECT * FROM t WHERE place <= 5 ORDER BY rank_score DESC NULLS LAST, setup, ticker LIMIT 20)""")
+def forecast_slate_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 forecasts of the highest skill, five of a ticker at most, with trade-ready fields."""
+    rows = rounded(joint_scores(spark, sf_dir).select("ticker", "setup", F.col("skill_vs_marginal").alias("rank_score"), "best_horizon", "probs"), 5)
+    return rounded(slates.slate(rows, "probs", EDGES, "rank_score", "setup", 5, 20).drop("probs"), 5)
+
+
+END = date(1998, 6, 30)
+_LIVE = f"(trigger_date >= DATE '{END}' - 30 AND (exit_date IS NULL OR exit_date > DATE '{END}'))"
+
+
+@query(f"""WITH m AS (SELECT ticker, arg_max(px_last, date) AS mark FROM ({BARS}) WHERE date <= DATE '{END}' GROUP BY 1),
+  t AS (SELECT t.*, capital / 10 AS contracts, 1000e0 AS entry_price, CASE WHEN setup_id % 2 = 0 THEN 'long' ELSE 'short' END AS direction, mark FROM ({TRADES}) t LEFT JOIN m USING (ticker) WHERE trigger_date <= DATE '{END}')
+  SELECT trade_id, setup_id, ticker, CASE WHEN {_LIVE} THEN 'OPEN' END AS status, CASE WHEN {_LIVE} THEN 'EOD_OPEN' WHEN exit_date IS NOT NULL THEN 'closed' END AS exit_reason, CASE WHEN NOT {_LIVE} THEN exit_date END AS exit_date,
+    {r(f"CASE WHEN {_LIVE} THEN (mark - entry_price) * contracts * CASE WHEN direction = 'short' THEN -1 ELSE 1 END END", 3)} AS unrealized_pnl,
+    CASE WHEN {_LIVE} THEN CAST(greatest(DATE '{END}' - trigger_date, 0) AS INT) END AS holding_days_open FROM t""")
+def open_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as of a day: trades of the last 30 days that were open then are marked at the last price."""
+    t = trades(spark, sf_dir).where(F.col("trigger_date") <= F.lit(END))
+    mark = bars(spark, sf_dir).where(F.col("date") <= F.lit(END)).groupBy("ticker").agg(F.max_by("px_last", "date").alias("mark"))
+    t = t.join(mark, "ticker", "left").withColumns(
+        {
+            "contracts": F.col("capital") / 10, "entry_price": F.lit(1000.0), "direction": F.when(F.col("setup_id") % 2 == 0, "long").otherwise("short"),
+            "entry_date": F.col("trigger_date"), "exit_price": F.lit(None).cast("double"), "exit_reason": F.when(F.col("exit_date").isNotNull(), "closed"),
+        }
+    )
+    out = slates.open_at_end(t, END, END, 30, "mark")
+    return rounded(out.select("trade_id", "setup_id", "ticker", "status", "exit_reason", "exit_date", "unrealized_pnl", "holding_days_open"), 3)
+
+
+# the selector's records: a setup on a ticker; nothing is live on tickers whose name begins with N
+
+_RECORDS = f"""SELECT setup_id, ticker, {r('avg(pnl_pct)')} AS candidate_score, max(trigger_date) >= DATE '{END}' - 7 AS triggered_any, count(*) < 40 AS soft_flags_present, setup_id % 3 = 0 AS used_bootstrap,
+  setup_id % 4 = 0 AS dup_suppressed, CASE WHEN min(pnl_pct) < -0.27 THEN 'fatal' WHEN avg(pnl_pct) > 0.005 AND ticker NOT LIKE 'N%' THEN 'live' ELSE 'idle' END AS status
+  FROM ({TRADES}) WHERE trigger_date <= DATE '{END}' GROUP BY 1, 2"""
+
+
+def selector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trades(spark, sf_dir).where(F.col("trigger_date") <= F.lit(END))
+    s, mean = F.col("setup_id"), F.avg("pnl_pct")
+    g = t.groupBy("setup_id", "ticker").agg(
+        mean.alias("candidate_score"), (F.max("trigger_date") >= F.date_sub(F.lit(END), 7)).alias("triggered_any"), (F.count("*") < 40).alias("soft_flags_present"),
+        F.when(F.min("pnl_pct") < -0.27, "fatal").when((mean > 0.005) & ~F.first("ticker").startswith("N"), "live").otherwise("idle").alias("status"),
+    )
+    return rounded(g).withColumns({"used_bootstrap": s % 3 == 0, "dup_suppressed": s % 4 == 0})
+
+
+@query(f"""SELECT ticker, count(*) AS n_checked, count(*) FILTER (triggered_any) AS n_recent_trigger, count(*) FILTER (status = 'fatal') AS n_blocked_fatal, count(*) FILTER (soft_flags_present) AS n_soft_flagged,
+  count(*) FILTER (used_bootstrap) AS n_scored_with_bootstrap, count(*) FILTER (NOT used_bootstrap) AS n_scored_point_estimate, count(*) FILTER (status = 'live') AS n_final_selected FROM ({_RECORDS}) GROUP BY 1""")
+def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the selector's records on each ticker."""
+    return slates.selection_summary(selector_records(spark, sf_dir), ["ticker"])
+
+
+@query(f"""WITH x AS ({_RECORDS}) SELECT ticker, setup_id, candidate_score FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY candidate_score DESC, setup_id) AS k FROM x
+  WHERE NOT dup_suppressed AND ticker NOT IN (SELECT ticker FROM x WHERE status = 'live')) WHERE k <= 5""")
+def selection_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best records of each ticker on which nothing is live."""
+    return slates.near_misses(selector_records(spark, sf_dir), ["ticker"]).select("ticker", "setup_id", "candidate_score")
