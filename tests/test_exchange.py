@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gauntlet, islands, kernels, regression, slates
+from tidemark.operators import gauntlet, islands, kernels, predictive, regression, slates
 from tidemark.operators.search import front_numbers
 
 # streamed windows
@@ -269,3 +269,44 @@ def test_exclusive_groups_that_print_alike(spark):
     rows = [("a, b", "c", d, d + dt.timedelta(days=9), 1), ("a", "b, c", d + dt.timedelta(days=1), d + dt.timedelta(days=2), 2)]
     df = spark.createDataFrame(rows, "x string, y string, trigger_date date, exit_date date, trade_id int").coalesce(1)
     assert ledger.exclusive(df, ["x", "y"], 0).count() == 2
+
+
+# predictive power
+
+
+def test_year_splits():
+    d = dt.date
+    got = predictive.year_splits(d(2015, 8, 10), d(2020, 3, 15))
+    assert got[0] == predictive.Split(d(2015, 8, 10), d(2018, 6, 30), d(2018, 7, 8), d(2019, 7, 7))
+    assert got[1].train_start == d(2016, 1, 1) and got[-1] == predictive.Split(d(2017, 3, 8), d(2020, 3, 7), d(2019, 3, 16), d(2020, 3, 15))
+    assert all(s.train_end + dt.timedelta(8) == s.test_start for s in got[:-1]) and max(s.test_end for s in got) == d(2020, 3, 15)
+    assert predictive.year_splits(d(2020, 1, 1), d(2020, 6, 1), aligned=False) == [] and predictive.plus_months(d(2020, 1, 31), 13) == d(2021, 2, 28)
+
+
+def test_predictive_power(spark):
+    rng = random.Random(12)
+    first = dt.date(2015, 1, 1)
+    rows = [(s, first + dt.timedelta(days=k), None if rng.random() < 0.1 else rng.gauss(0.02, 1) if s != "flat" else 0.0) for s in ("a", "b", "flat") for k in range(0, 1900, 7 if s == "b" else 3)]
+    rows += [("few", first + dt.timedelta(days=5), 1.0), ("a", None, 1.0)]
+    splits = predictive.year_splits(first, first + dt.timedelta(days=1899))
+    df = spark.createDataFrame(rows, "setup string, date date, fwd double")
+    got = {(r.setup, r.fold): r for r in predictive.directed(predictive.predictive_power(df, splits, ["setup"], spark)).collect()}
+    want = 0
+    for name in ("a", "b", "flat", "few"):
+        for fold, s in enumerate(splits, 1):
+            mine = [(d, y) for t, d, y in rows if t == name and y is not None and d is not None]
+            x = np.array([y for d, y in mine if s.train_start <= d <= s.train_end])
+            z = np.array([y for d, y in mine if s.test_start <= d <= s.test_end])
+            if len(x) < 15 or len(z) < 10 or x.mean() == 0:
+                assert (name, fold) not in got
+                continue
+            want += 1
+            r = got[name, fold]
+            assert (r.support_is, r.support_oos, r.direction) == (len(x), len(z), "long" if x.mean() > 0 else "short")
+            assert (r.mu_is, r.p_long_is, r.mu_oos) == pytest.approx((x.mean(), (x > 0).mean(), z.mean()))
+            assert r.acc_oos == pytest.approx((np.sign(z) == np.sign(x.mean())).mean()) and r.tstat_oos == pytest.approx(math.sqrt(len(z)) * z.mean() / z.std(ddof=1))
+            assert r.expected_edge_pct == pytest.approx(math.exp(z.mean()) - 1)
+    assert len(got) == want > 5
+    best = predictive.best_signals(predictive.directed(predictive.predictive_power(df, splits, ["setup"], spark)), ["direction"], ["setup", "fold"]).collect()
+    for r in best:
+        assert r.acc_oos == max(x.acc_oos for x in got.values() if x.direction == r.direction)

@@ -69,8 +69,7 @@ def forecasts(rows: DataFrame, folds: Sequence[FoldSpan], by: Sequence[str], edg
     """
     ends = sorted({f.train_end for f in folds})
     rank = {e: k for k, e in enumerate(ends)}
-    done = F.array(*map(F.lit, ends))
-    segment = F.size(F.filter(done, lambda e: e < F.col("pos") + F.col("horizon")))
+    segment = sum((F.when(F.col("pos") + F.col("horizon") > e, 1).otherwise(0) for e in ends), F.lit(0))
     bands = [f"b{k}" for k in range(len(edges) - 1)]
     keys = [*by, "horizon"]
     counted = rows.where("fwd is not null").withColumn("segment", segment).where(F.col("segment") < len(ends))

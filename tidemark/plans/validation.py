@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, kernels, ledger, mixtures, options, regression, signals, slates, validation
+from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, kernels, ledger, mixtures, options, predictive, regression, signals, slates, validation
 from tidemark.operators import objectives as objectives_of
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
@@ -236,14 +236,19 @@ def _validated_sql(least_train: int, least_test: int) -> str:
 SCORES = ("crps", "pinball_q10", "pinball_q90", "skill_vs_uniform", "skill_vs_marginal", "calibration_mae", "info_gain", "w1_effect")
 
 
-def validated(spark: SparkSession, sf_dir: str, least_train: int = 10, least_test: int = 3) -> DataFrame:
-    """Scores of all setups, horizons and folds."""
+def triggered_outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of the days on which each setup fires, and of all days."""
     days = bars(spark, sf_dir).select("date").distinct()
     market = validation.outcomes(bars(spark, sf_dir), days, HORIZONS)
     f = signals.compile_rules(feature_rows(spark, sf_dir))
     side = lambda c, n: f.where(F.col("feature") == c).select("ticker", "date", F.col("rule").alias(n))
     setups = side("px_last", "a").join(side("volume", "b"), ["ticker", "date"]).select("ticker", "date", F.concat("a", F.lit("+"), "b").alias("setup"))
-    triggered = market.join(setups, ["ticker", "date"])
+    return market.join(setups, ["ticker", "date"]), market
+
+
+def validated(spark: SparkSession, sf_dir: str, least_train: int = 10, least_test: int = 3) -> DataFrame:
+    """Scores of all setups, horizons and folds."""
+    triggered, market = triggered_outcomes(spark, sf_dir)
     return validation.scored(triggered, market, spans(spark, sf_dir), ["ticker", "setup"], EDGES, spark, least_train, least_test)
 
 
@@ -551,3 +556,42 @@ def selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best records of each ticker on which nothing is live."""
     return slates.near_misses(selector_records(spark, sf_dir), ["ticker"]).select("ticker", "setup_id", "candidate_score")
+
+
+# predictive power in moving years
+
+
+POWER = f"""feats AS ({_feat_sql()}), fired AS ({FIRED}), cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM ({BARS}))),
+  ends AS (SELECT min(date) AS a, max(date) AS z FROM cal), c AS (SELECT CAST(unnest(generate_series(make_date(year(a), CASE WHEN month(a) <= 6 THEN 1 ELSE 7 END, 1), z, INTERVAL 6 MONTH)) AS DATE) AS c, a, z FROM ends),
+  w AS (SELECT c, CAST(c + INTERVAL 3 YEAR AS DATE) - 1 AS te, a, z FROM c WHERE c < z), x AS (SELECT greatest(c, a) AS train_start, least(te, z) AS train_end, te + 8 AS test_start, least(CAST((te + 8) + INTERVAL 1 YEAR AS DATE) - 1, z) AS test_end FROM w WHERE te + 8 <= z),
+  split AS (SELECT *, row_number() OVER (ORDER BY last, train_start) AS fold FROM (SELECT *, 0 AS last FROM x WHERE train_start < train_end AND test_start < test_end
+    UNION ALL SELECT CAST((z - 8) - INTERVAL 3 YEAR AS DATE) + 1, z - 8, CAST(z - INTERVAL 1 YEAR AS DATE) + 1, z, 1 FROM ends)),
+  px AS (SELECT ticker, date, pos, px_last FROM ({BARS}) JOIN cal USING (date)), h(horizon) AS (VALUES {', '.join(f'({h})' for h in HORIZONS)}),
+  y AS (SELECT a.ticker, a.date, horizon, ln(z.px_last / a.px_last) AS fwd FROM px a CROSS JOIN h JOIN px z ON z.ticker = a.ticker AND z.pos = a.pos + horizon),
+  trig AS (SELECT y.*, setup FROM y JOIN {SETUPS} USING (ticker, date)),
+  i AS (SELECT ticker, setup, horizon, fold, count(*) AS support_is, avg(fwd) AS mu_is, avg(CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END) AS p_long_is FROM trig JOIN split ON date BETWEEN train_start AND train_end GROUP BY ALL),
+  o AS (SELECT ticker, setup, horizon, fold, count(*) AS support_oos, avg(fwd) AS mu_oos, avg(CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END) AS up, avg(CASE WHEN fwd < 0 THEN 1e0 ELSE 0e0 END) AS down, stddev_samp(fwd) AS sd
+    FROM trig JOIN split ON date BETWEEN test_start AND test_end GROUP BY ALL),
+  power AS (SELECT *, CASE WHEN mu_is > 0 THEN up ELSE down END AS acc_oos, CASE WHEN sd > 1e-9 THEN sqrt(support_oos) * mu_oos / sd ELSE 0 END AS tstat_oos, CASE WHEN mu_is > 0 THEN 'long' ELSE 'short' END AS direction,
+    exp(least(greatest(mu_oos, -20), 20)) - 1 AS expected_edge_pct FROM i JOIN o USING (ticker, setup, horizon, fold) WHERE support_is >= 15 AND support_oos >= 10 AND abs(mu_is) > 1e-12)"""
+_POWER = ", ".join(f"{r(c, 5)} AS {c}" for c in ("mu_is", "p_long_is", "mu_oos", "acc_oos", "tstat_oos", "expected_edge_pct"))
+
+
+def power_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = bars(spark, sf_dir).select("date").distinct()
+    ends = days.agg(F.min("date").alias("a"), F.max("date").alias("z"), F.count("*").alias("n")).first()
+    rows = triggered_outcomes(spark, sf_dir)[0].where("fwd > -1").withColumn("fwd", F.log1p("fwd"))
+    return predictive.directed(predictive.predictive_power(rows, predictive.year_splits(ends.a, ends.z, days=ends.n), ["ticker", "setup", "horizon"], spark))
+
+
+@query(f"WITH {POWER} SELECT ticker, setup, horizon, CAST(fold AS INT) AS fold, direction, support_is, support_oos, {_POWER} FROM power")
+def predictive_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and t-statistic of each setup's learnt direction in each test year."""
+    return rounded(power_rows(spark, sf_dir), 5)
+
+
+@query(f"""WITH {POWER} SELECT ticker, direction, horizon, setup, CAST(fold AS INT) AS fold, support_is, support_oos, {_POWER} FROM power
+  QUALIFY row_number() OVER (PARTITION BY ticker, direction, horizon ORDER BY round(acc_oos, 9) DESC, round(tstat_oos, 9) DESC, support_oos DESC, setup, fold) = 1""")
+def tradeable_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best setup of each ticker, direction and horizon over all folds."""
+    return rounded(predictive.best_signals(power_rows(spark, sf_dir), ["ticker", "direction", "horizon"], ["setup", "fold"]), 5)
