@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gauntlet, islands, kernels, predictive, regression, slates
+from tidemark.operators import gauntlet, islands, kernels, predictive, regression, slates, splits
 from tidemark.operators.search import front_numbers
 
 # streamed windows
@@ -280,7 +280,7 @@ def test_year_splits():
     assert got[0] == predictive.Split(d(2015, 8, 10), d(2018, 6, 30), d(2018, 7, 8), d(2019, 7, 7))
     assert got[1].train_start == d(2016, 1, 1) and got[-1] == predictive.Split(d(2017, 3, 8), d(2020, 3, 7), d(2019, 3, 16), d(2020, 3, 15))
     assert all(s.train_end + dt.timedelta(8) == s.test_start for s in got[:-1]) and max(s.test_end for s in got) == d(2020, 3, 15)
-    assert predictive.year_splits(d(2020, 1, 1), d(2020, 6, 1), aligned=False) == [] and predictive.plus_months(d(2020, 1, 31), 13) == d(2021, 2, 28)
+    assert predictive.year_splits(d(2020, 1, 1), d(2020, 6, 1), aligned=False) == [] and splits.plus_months(d(2020, 1, 31), 13) == d(2021, 2, 28)
 
 
 def test_predictive_power(spark):
@@ -310,3 +310,39 @@ def test_predictive_power(spark):
     best = predictive.best_signals(predictive.directed(predictive.predictive_power(df, splits, ["setup"], spark)), ["direction"], ["setup", "fold"]).collect()
     for r in best:
         assert r.acc_oos == max(x.acc_oos for x in got.values() if x.direction == r.direction)
+
+
+# outer folds
+
+
+def business_days(first, n):
+    out = []
+    while len(out) < n:
+        if first.weekday() < 5:
+            out.append(first)
+        first += dt.timedelta(days=1)
+    return out
+
+
+def test_tail_fold_gives_up_buffers():
+    days = business_days(dt.date(2022, 1, 3), 420)
+    folds = splits.outer_folds(days, 5, 252, 12, 252, 3)
+    assert folds[-1].test_end == days[-1] and [f.is_tail for f in folds].count(True) == 1
+    folds = splits.outer_folds(days, 5, 252, 12, 252, 3, embargo_cap=252)
+    tail = folds[-1]
+    assert tail.is_tail and tail.embargo_from > tail.embargo_days == tail.test_last - tail.test_first + 1 - 5
+
+
+def test_outer_folds():
+    days = business_days(dt.date(2018, 1, 1), 1500)
+    folds = splits.outer_folds(days, 10, 63, 36, 21, 1)
+    for f, after in zip(folds, folds[1:]):
+        assert f.test_first - f.train_last - 1 == f.purge_days == 10 and f.embargo_days == (20 if f.test_last - f.test_first + 1 == 21 else f.embargo_days)
+        assert after.test_start >= splits.plus_months(f.test_start, 1)
+    assert folds[-1].test_end == days[-1] and all(f.train_start == days[0] for f in folds) and all(f.train_last + 1 >= 36 * 21 for f in folds)
+    assert splits.parse_split_id(folds[0].split_id)["P"] == "10"
+    for few, months in ((days[:200], 36), ([], 12)):
+        with pytest.raises(ValueError):
+            splits.outer_folds(few, 5, 63, months)
+    with pytest.raises(ValueError, match="No valid splits"):
+        splits.outer_folds(days[::15], 5, 63, 36)  # enough months, too few days

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.selection import top_k
+from tidemark.operators.splits import plus_months
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,6 @@ class Split:
     test_end: date
 
 
-def plus_months(day: date, months: int) -> date:
-    """The same day of a month that many months later, or that month's last day."""
-    k = day.year * 12 + day.month - 1 + months
-    first, after = date(k // 12, k % 12 + 1, 1), date((k + 1) // 12, (k + 1) % 12 + 1, 1)
-    return min(first + timedelta(day.day - 1), after - timedelta(1))
-
-
 def year_splits(first: date, last: date, train_years: int = 3, test_years: int = 1, step_months: int = 6, embargo: int = 7, aligned: bool = True, days: int = 11) -> list[Split]:
     """Windows of years that move by months from a half-year's start; windows are cut at the calendar's ends.
 

@@ -6,6 +6,7 @@ and used as interval joins.  Positions count trading days from 0.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import date, timedelta
@@ -66,6 +67,80 @@ def anchored_folds(
     return out
 
 
+def plus_months(day: date, months: int) -> date:
+    """The same day of a month that many months later, or that month's last day."""
+    k = day.year * 12 + day.month - 1 + months
+    first, after = date(k // 12, k % 12 + 1, 1), date((k + 1) // 12, (k + 1) % 12 + 1, 1)
+    return min(first + timedelta(day.day - 1), after - timedelta(1))
+
+
+@dataclass(frozen=True)
+class OuterFold(Fold):
+    """A fold with the positions of its bounds, and what became of its buffers (None: as asked for)."""
+
+    train_last: int = 0
+    test_first: int = 0
+    test_last: int = 0
+    embargo_from: int | None = None
+    purge_from: int | None = None
+    appended: bool = False
+
+
+def outer_folds(
+    days: Sequence[date], horizon: int, lookback: int, min_train_months: int = 36, test_days: int = 21, step_months: int = 1,
+    embargo_cap: int = 21, least_test: int = 5, regime: str = "R1",
+) -> list[OuterFold]:
+    """Anchored folds whose tests start a calendar month step apart, up to the last day.
+
+    The fold that ends on the last day gives up as much of its embargo, and of its purge if the horizon still fits, as
+    leaves ``least_test`` test days beyond them; what was asked for is noted.  If no fold ends there, one more is appended.
+    Too short a calendar raises ValueError.
+    """
+    days = sorted(set(days))
+    if not days:
+        raise ValueError("no trading days")
+    n, least_train = len(days), min_train_months * MONTH
+    at = bisect_left(days, plus_months(days[0], min_train_months))
+    if at >= n:
+        raise ValueError(f"Insufficient data: need at least {min_train_months} months")
+    out: list[OuterFold] = []
+
+    def add(first: int, last: int, appended: bool = False) -> bool:
+        size = last - first + 1
+        if size < least_test:
+            return False
+        purge = min(max(horizon, 0), first)
+        embargo = max(5, min(lookback, embargo_cap))
+        embargo = embargo if embargo < size else max(0, size - 1)
+        tail, room = last == n - 1, max(0, size - least_test)
+        embargo_from = embargo if tail and embargo > room else None
+        purge_from = purge if tail and purge > room >= horizon else None
+        embargo = room if embargo_from is not None else embargo
+        purge = room if purge_from is not None else purge
+        end = max(0, first - purge - 1)
+        if end + 1 < least_train or end <= 0:
+            return False
+        out.append(
+            OuterFold(len(out), days[0], days[end], days[first], days[last], purge, embargo, tail, split_id(days[first], horizon, lookback, purge, embargo, regime),
+                      end, first, last, embargo_from, purge_from, appended)
+        )
+        return True
+
+    while at < n:
+        first, last = at, min(at + test_days - 1, n - 1)
+        if last == n - 1 and last - first + 1 < least_test:
+            first = max(0, n - least_test)
+        add(first, last)
+        if out and out[-1].is_tail:
+            break
+        at = max(bisect_left(days, plus_months(days[first], step_months)), at + 1)
+    if not out:
+        raise ValueError(f"No valid splits: {min_train_months} months of training don't fit")
+    if not out[-1].is_tail and not add(max(0, n - max(test_days, least_test)), n - 1, True):
+        raise ValueError("no tail split reaches the last day")
+    return out
+
+
 def nested_folds(days: Sequence[date], k: int, test_days: int = 21, least_train: int = 252, gap: int = 0, fewest: int = 2) -> list[tuple[date, date, date, date]]:
     """(train start, train end, test start, test end) by calendar days; k falls until ``fewest`` fit."""
     first, last = days[0], days[-1]

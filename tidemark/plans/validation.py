@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, kernels, ledger, mixtures, options, predictive, regression, signals, slates, validation
+from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, joins, kernels, ledger, mixtures, options, predictive, regression, signals, slates, splits, validation
 from tidemark.operators import objectives as objectives_of
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
@@ -595,3 +595,27 @@ def predictive_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tradeable_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best setup of each ticker, direction and horizon over all folds."""
     return rounded(predictive.best_signals(power_rows(spark, sf_dir), ["ticker", "direction", "horizon"], ["setup", "fold"]), 5)
+
+
+# outer folds by calendar months, with the trades of their test windows
+
+
+@query(f"""WITH RECURSIVE cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ({BARS}))),
+  s AS (SELECT 0 AS number, min(k) AS k FROM cal WHERE date >= (SELECT CAST(min(date) + INTERVAL 36 MONTH AS DATE) FROM cal)
+    UNION ALL SELECT number + 1, (SELECT min(x.k) FROM cal x WHERE x.k > s.k AND x.date >= CAST(c.date + INTERVAL 3 MONTH AS DATE)) FROM s JOIN cal c ON c.k = s.k WHERE s.k + 63 < c.n),
+  t AS (SELECT number, CASE WHEN n - k < 5 THEN n - 5 ELSE k END AS a, least(k + 62, n - 1) AS z, n FROM s, (SELECT max(n) AS n FROM cal) WHERE k IS NOT NULL),
+  b AS (SELECT *, z = n - 1 AS is_tail, z - a + 1 AS size, CASE WHEN z - a + 1 <= 21 THEN z - a ELSE 21 END AS e FROM t),
+  f AS (SELECT *, CASE WHEN is_tail AND e > size - 5 THEN size - 5 ELSE e END AS embargo, CASE WHEN is_tail AND e > size - 5 THEN e END AS embargo_from, CASE WHEN is_tail AND 21 > size - 5 AND size - 5 >= 21 THEN size - 5 ELSE 21 END AS purge FROM b),
+  g AS (SELECT f.*, p.date AS train_end, x.date AS test_start, y.date AS test_end FROM f JOIN cal p ON p.k = a - purge - 1 JOIN cal x ON x.k = a JOIN cal y ON y.k = z)
+  SELECT CAST(number AS INT) AS number, train_end, test_start, test_end, CAST(purge AS INT) AS purge_days, CAST(embargo AS INT) AS embargo_days, CAST(embargo_from AS INT) AS embargo_from, is_tail,
+    'PAWF_v1|OUTER:' || strftime(test_start, '%Y%m') || '|H:21|E:252|P:' || purge || '|EMB:' || embargo || '|REG:R1' AS split_id,
+    (SELECT count(*) FROM ({TRADES}) q WHERE q.trigger_date BETWEEN test_start AND test_end) AS test_trades FROM g""")
+def outer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored folds of the bars' calendar whose tests start a quarter apart, the last with the buffers that it can have."""
+    days = [row.date for row in bars(spark, sf_dir).select("date").distinct().toLocalIterator()]
+    folds = splits.outer_folds(days, 21, 252, 36, 63, 3)
+    rows = [(f.number, f.train_end, f.test_start, f.test_end, f.purge_days, f.embargo_days, f.embargo_from, f.is_tail, f.split_id) for f in folds]
+    table = spark.createDataFrame(rows, "number int, train_end date, test_start date, test_end date, purge_days int, embargo_days int, embargo_from int, is_tail boolean, split_id string")
+    hits = joins.members(trades(spark, sf_dir).select("trigger_date"), table.select("number", "test_start", "test_end"), "trigger_date", "test_start", "test_end")
+    n = hits.groupBy("number").agg(F.count("*").alias("test_trades"))
+    return table.join(n, "number", "left").na.fill({"test_trades": 0})
