@@ -157,6 +157,55 @@ def priced_leg(s0: Column, s1: Column, strike: Column, days: Column, held: Colum
     return F.greatest(enter, F.lit(0.0)), F.greatest(leave, F.lit(0.0))
 
 
+# Deltas of the named buckets; by direction, a call's and a put's.
+BUCKETS = {"CALL_40D": 0.40, "CALL_25D": 0.25, "CALL_10D": 0.10, "PUT_40D": -0.40, "PUT_25D": -0.25, "PUT_10D": -0.10}
+BY_DIRECTION = 0.40
+
+
+def delta_target(bucket: Column, call: Column) -> Column:
+    """Delta that a bucket asks for; null for at the money, and for names that aren't known."""
+    out = F.when(bucket == "AUTO_BY_DIRECTION", F.when(call, BY_DIRECTION).otherwise(-BY_DIRECTION))
+    for name, value in BUCKETS.items():
+        out = out.when(bucket == name, value)
+    return out
+
+
+def enhanced_leg(
+    rows: DataFrame, s0: str, s1: str, days: Column, held: Column, r: Column, call: Column, entry_anchor: Column, reference: Column, exit_anchor: Column,
+    entry_realized: Column, exit_realized: Column, bucket: Column, strike: Column | None = None,
+) -> DataFrame:
+    """Rows with the fields of one option from entry to exit, from anchor volatilities of both days.
+
+    The strike is the listed one at the money, or next to that of the bucket's delta, unless one is given.  Both
+    volatilities are brought to their tenors by the entry's reference days; without an anchor at the exit the entry's
+    serves, without one at the entry all is null.  A day of life is left at least.  Fields are made in stages, so that
+    what many need is computed once.
+    """
+    year, a, z = 252.0, F.col(s0), F.col(s1)
+    left = F.greatest(days - held, F.lit(1))
+    known = entry_anchor.isNotNull()
+    rows = rows.withColumns(
+        {
+            "sigma_entry": F.when(known, tenor_sigma(entry_anchor, days, entry_realized, reference)),
+            "sigma_exit": F.when(known, tenor_sigma(F.coalesce(exit_anchor, entry_anchor), left, exit_realized, reference)),
+            "delta_target": delta_target(bucket, call) if strike is None else F.lit(None).cast("double"), "t_exit": F.when(known, left / year),
+        }
+    )
+    v, u, t = F.col("sigma_entry"), F.col("sigma_exit"), days / year
+    target = F.col("delta_target")
+    wanted = F.when(target.isNotNull(), strike_for_delta(a, target, t, r, v, call)).otherwise(a) if strike is None else strike
+    rows = rows.withColumn("_wanted", wanted)
+    rows = rows.withColumn("strike", F.when(v.isNotNull(), listed_strike(F.col("_wanted"), a))).drop("_wanted")
+    k = F.col("strike")
+    return rows.withColumns(
+        {
+            "k_over_s": k / a, "delta_achieved": delta(a, k, t, r, v, call),
+            "entry_price": F.when(v.isNotNull(), F.greatest(price(a, k, t, r, v, call), F.lit(0.0))),
+            "exit_price": F.when(v.isNotNull() & z.isNotNull(), F.greatest(price(z, k, F.col("t_exit"), r, u, call), F.lit(0.0))),
+        }
+    )
+
+
 def structure_key(option_type: Column, horizon: Column, strike: Column, underlying: Column, delta_: Column, width: Column | None = None) -> Column:
     """Text that names a trade's option structure: type, tenor, strike relative to the spot, delta, width."""
     relative = F.when(underlying != 0, strike / underlying - 1)

@@ -11,8 +11,8 @@ from tidemark.operators import bitmaps, cpcv, exits, gates, gauntlet, islands, j
 from tidemark.operators import objectives as objectives_of
 from tidemark.plans.domain import TRADES, trades
 from tidemark.plans.panel import BARS, bars
-from tidemark.plans.relational import EDGES, FIRED, N_BANDS, OBJ, STEP, _band_sql, _feat_sql, feature_rows, objectives, price_sql, query, r, returns, rounded
-from tidemark.plans.stages import SHARES, STAGE1, STAGE2, THINNED, shares, stage1, thinned
+from tidemark.plans.relational import EDGES, EXP, FIRED, N_BANDS, OBJ, STEP, _band_sql, _feat_sql, feature_rows, normal_sql, objectives, price_sql, query, r, returns, rounded
+from tidemark.plans.stages import CONVENTIONS, SHARES, STAGE1, STAGE2, THINNED, conventions, shares, stage1, thinned
 
 # combinatorially purged cross-validation of the ledger; the regime of a trade is its ticker
 
@@ -619,3 +619,47 @@ def outer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = joins.members(trades(spark, sf_dir).select("trigger_date"), table.select("number", "test_start", "test_end"), "trigger_date", "test_start", "test_end")
     n = hits.groupBy("number").agg(F.count("*").alias("test_trades"))
     return table.join(n, "number", "left").na.fill({"test_trades": 0})
+
+
+# options from anchor volatilities: on odd positions by delta, on even ones at the money
+
+_D1 = "((ln(s0 / strike) + (0.01e0 + sigma_entry * sigma_entry / 2) * t0) / (sigma_entry * sqrt(t0)))"
+_AT = 0.2533471031357997  # quantile of 0.6
+
+
+def _sigma(anchor: str, days: str, rv: str) -> str:
+    scaled = f"({anchor} * power({days} * 1e0 / ref, -0.15))"
+    return f"least(greatest(CASE WHEN {rv} IS NOT NULL THEN 0.7 * {scaled} + 0.3 * {rv} ELSE {scaled} END, 2e-4), 5e0)"
+
+
+def _either(spot: str, t: str, v: str) -> str:
+    c = price_sql(spot, "strike", t, v, "0.01e0")
+    return f"greatest(CASE WHEN call THEN {c} ELSE {c} - {spot} + strike * exp(-0.01e0 * {t}) END, 0)"
+
+
+ENHANCED = f"""WITH c AS (SELECT ticker, date, px_last, call, thirty, rv, ref, fell_back, tenor, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos FROM {CONVENTIONS}),
+  h AS (SELECT *, 3 + tenor % 30 AS held, 3 + tenor % 30 + greatest(5, (3 + tenor % 30) // 4) AS d FROM c), e AS (SELECT *, {EXP} AS days FROM h),
+  x AS (SELECT e.*, e.px_last AS s0, z.px_last AS s1, e.thirty AS a0, coalesce(z.thirty, e.thirty) AS a1, z.rv AS rv1, e.days / 252e0 AS t0, greatest(e.days - e.held, 1) / 252e0 AS t1, greatest(e.days - e.held, 1) AS rest
+    FROM e LEFT JOIN c z ON z.ticker = e.ticker AND z.pos = e.pos + e.held WHERE e.thirty IS NOT NULL),
+  v AS (SELECT *, {_sigma('a0', 'days', 'rv')} AS sigma_entry, {_sigma('a1', 'rest', 'rv1')} AS sigma_exit FROM x),
+  k AS (SELECT *, CASE WHEN pos % 2 = 1 THEN least(greatest(s0 * exp((0.01e0 + sigma_entry * sigma_entry / 2) * t0 - sigma_entry * sqrt(t0) * CASE WHEN call THEN -{_AT} ELSE {_AT} END), s0 * 0.2), s0 * 5) ELSE s0 END AS wanted FROM v),
+  l AS (SELECT *, least(greatest(round_even(wanted / {STEP}, 0) * {STEP}, s0 * 0.5), s0 * 1.5) AS strike FROM k)
+  SELECT ticker, date, CAST(days AS INT) AS days, fell_back, {r('strike', 4)} AS strike, {r('strike / s0', 5)} AS k_over_s, CASE WHEN pos % 2 = 1 THEN CASE WHEN call THEN 0.4e0 ELSE -0.4e0 END END AS delta_target,
+    {r(f'({normal_sql(_D1)}) - CASE WHEN call THEN 0 ELSE 1 END', 5)} AS delta_achieved, {r('sigma_entry', 5)} AS sigma_entry, {r('sigma_exit', 5)} AS sigma_exit, {r('t1', 5)} AS t_exit,
+    {r(_either('s0', 't0', 'sigma_entry'), 4)} AS entry_price, CASE WHEN s1 IS NOT NULL THEN {r(_either('s1', 't1', 'sigma_exit'), 4)} END AS exit_price FROM l"""
+
+
+@query(ENHANCED)
+def enhanced_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One option at every bar that has an anchor: strike, delta, volatilities and prices from entry to the horizon's end."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = conventions(spark, sf_dir).withColumn("pos", F.row_number().over(w))
+    held = 3 + F.col("tenor") % 30
+    rows = rows.select("ticker", "date", "pos", "px_last", "call", "thirty", "rv", "ref", "fell_back", held.alias("held"), options.expiry_days(held).alias("days"))
+    at_exit = rows.select("ticker", (F.col("pos")).alias("_p"), F.col("px_last").alias("s1"), F.col("thirty").alias("a1"), F.col("rv").alias("rv1"))
+    x = rows.where("thirty is not null").withColumn("_p", F.col("pos") + F.col("held")).join(at_exit, ["ticker", "_p"], "left")
+    bucket = F.when(F.col("pos") % 2 == 1, "AUTO_BY_DIRECTION").otherwise("ATM")
+    c = F.col
+    legs = options.enhanced_leg(x, "px_last", "s1", c("days"), c("held"), F.lit(0.01), c("call"), c("thirty"), c("ref"), c("a1"), c("rv"), c("rv1"), bucket)
+    fields = ("strike", "k_over_s", "delta_target", "delta_achieved", "sigma_entry", "sigma_exit", "t_exit", "entry_price", "exit_price")
+    return rounded(legs.select("ticker", "date", "days", "fell_back", *fields), 5, strike=4, entry_price=4, exit_price=4)
