@@ -42,8 +42,8 @@ def mixture(z: np.ndarray, k: int, rounds: int = 150, tol: float = 1e-3) -> tupl
     for _ in range(rounds):
         mass = resp.sum(axis=0) + 1e-10
         weight, mean = mass / n, resp.T @ z / mass[:, None]
-        gap = z[:, None] - mean
-        cov = np.einsum("nk,nki,nkj->kij", resp, gap, gap) / mass[:, None, None] + 1e-6 * np.eye(d)
+        gap = z - mean[:, None]
+        cov = (resp.T[:, None] * gap.transpose(0, 2, 1)) @ gap / mass[:, None, None] + 1e-6 * np.eye(d)
         log = log_densities(z, weight, mean, cov)
         top = log.max(axis=1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
@@ -57,8 +57,8 @@ def mixture(z: np.ndarray, k: int, rounds: int = 150, tol: float = 1e-3) -> tupl
 
 def log_densities(z: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """Logarithm of weight times density of each row and component."""
-    gap = z[:, None] - mean
-    quad = np.einsum("nki,kij,nkj->nk", gap, np.linalg.inv(cov), gap)
+    gap = z - mean[:, None]
+    quad = ((gap @ np.linalg.inv(cov)) * gap).sum(axis=2).T
     return np.log(weight) - 0.5 * (quad + np.linalg.slogdet(cov)[1] + z.shape[1] * np.log(2 * np.pi))
 
 
@@ -100,7 +100,8 @@ def fit(rows: DataFrame, folds: Mapping[int, int], by: Sequence[str], names: Seq
         return pd.DataFrame(out, columns=[*keys, "k", "bic", "state", "weight", "mean", "precision", "logdet", "shift", "scale"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    return spread.groupBy(*keys).applyInPandas(run, f"{kinds}, {PARAMETERS}")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fits are long and rows few, so partitions aren't joined
+    return spread.repartition(width, *keys).groupBy(*keys).applyInPandas(run, f"{kinds}, {PARAMETERS}")
 
 
 def aligned(parameters: DataFrame, by: Sequence[str]) -> DataFrame:
