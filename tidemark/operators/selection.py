@@ -94,7 +94,7 @@ def daily_selection(records: DataFrame, positions: int, cap: float = 1.0) -> Dat
 
 
 def option_structure(p_down: Column, p_flat: Column, p_up: Column, tail_down: Column, tail_up: Column) -> Column:
-    """Structure whose linear score of the band masses is highest; the first of equals."""
+    """Structure whose linear score of the band masses is highest; the first of equals, to nine digits, as equal scores are different sums."""
     # Weights of (down, flat, up, lower tail, upper tail).
     table = {
         "long_call": (-1.0, -0.5, 1.0, -0.5, 1.0),
@@ -106,6 +106,7 @@ def option_structure(p_down: Column, p_flat: Column, p_up: Column, tail_down: Co
     }
     parts = (p_down, p_flat, p_up, tail_down, tail_up)
     scores = {n: sum((w * p for w, p in zip(ws, parts)), F.lit(0.0)) for n, ws in table.items()}
+    scores = {n: F.round(s, 9) for n, s in scores.items()}
     top = F.greatest(*scores.values())
     out = F.lit(None).cast("string")
     for n, s in reversed(scores.items()):
