@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 def asof(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, value: str, keep_null: bool = False
 ) -> DataFrame:
-    """``left`` with ``value`` as of its time: one shuffle, both sides carried along in one order.
+    """``left`` with ``value`` as of its time: both sides' distinct keys and times are carried along in one order.
 
     A row of ``right`` at exactly the time decides, even if its value is null.  Where there is
     none, the last earlier row counts: the last with a value, or with ``keep_null`` the last at all.
-    ``right`` has one row for each key and time.
+    ``right`` has one row for each key and time.  However many rows of ``left`` share a key, a task
+    orders only its distinct times; the rows take their values by equality.  A null key or time has none.
     """
     key = list(on)
-    l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})  # noqa: E741
+    wanted = left.select(*key, F.col(left_time).alias("_t")).distinct()
+    l = wanted.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})  # noqa: E741
     r = right.select(*key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    both = l.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     row = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
     last_row = F.last(row, ignorenulls=True).over(w)
     last_value = F.last("_v", ignorenulls=True).over(w)
     exact = last_row["t"] == F.col("_t")
     picked = last_row["v"] if keep_null else F.when(exact, last_row["v"]).otherwise(last_value)
-    return both.withColumn("_p", picked).where("_side = 1").select(*left.columns, F.col("_p").alias(value))
+    found = l.unionByName(r).withColumn("_p", picked).where("_side = 1").select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(key)), "_t", "_p")
+    same = [left[c] == found[f"_{k}"] for k, c in enumerate(key)] + [left[left_time] == found["_t"]]
+    return left.join(found, same, "left").select(*(left[c] for c in left.columns), F.col("_p").alias(value))
 
 
 def snap_forward(left: DataFrame, calendar: DataFrame, time: str, day: str = "date") -> DataFrame:
