@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.gauntlet import judged, sharpe_of, tail_mean
+from tidemark.operators.ledger import summed
 
 
 @dataclass(frozen=True)
@@ -131,7 +132,7 @@ def learnt(rows: DataFrame, spark: SparkSession, plan: Plan, setup: str = "setup
 
 def path_returns(rows: DataFrame, fits: DataFrame, spark: SparkSession, plan: Plan, base: float = 100_000.0, setup: str = "setup_id") -> DataFrame:
     """Of each setup, ``path`` and trigger day: the day's return over the base, in the direction learnt for its block, and its trades."""
-    days = rows.groupBy(setup, "block", "trigger_date").agg((F.sum("pnl_dollars") / base).alias("r"), F.count("*").alias("trades"))
+    days = rows.groupBy(setup, "block", "trigger_date").agg((summed("pnl_dollars", rows.columns) / base).alias("r"), F.count("*").alias("trades"))
     at = F.broadcast(spark.createDataFrame(plan.paths, "path int, block int, subset int"))
     sides = fits.select(setup, "subset", "direction").join(at, "subset").where("direction <> 0")
     return days.join(sides, [setup, "block"]).select(setup, "path", "trigger_date", (F.col("r") * F.col("direction")).alias("r"), "trades")

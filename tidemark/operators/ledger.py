@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import is_weekday
+from tidemark.operators.joins import is_weekday, weekdays_between
 
 YEAR = 252.0
 
@@ -37,6 +37,33 @@ def nav_returns(ledger: DataFrame, by: Sequence[str], base: float) -> DataFrame:
     return spine.join(day, [*by, "exit_date"], "left").select(*by, "exit_date", (F.coalesce("pnl", F.lit(0.0)) / base).alias("r"))
 
 
+def summed(x: str, columns: Sequence[str], row: str = "row") -> Column:
+    """Sum of a group's doubles; in the order of ``row`` if there is one: the last digit hangs on the order, and a limit or a tie on that."""
+    if row not in columns:
+        return F.sum(x)
+    terms = F.array_sort(F.collect_list(F.when(F.col(x).isNotNull(), F.struct(row, x))))
+    return F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0.0), lambda total, term: total + term[x]))
+
+
+def realised(ledger: DataFrame, by: Sequence[str], base: float) -> DataFrame:
+    """The weekdays of ``nav_returns`` without the rows of idle days: ``r`` of ``n`` equal days, in the order of exit_date and ``step``.
+
+    An exit day is a row (n is 0 on a weekend), the weekdays up to the next exit are one more with r 0.  ``trades`` counts
+    known profits; those of open trades stand in a row without a date.  Rows are dealt by the first of ``by`` once, so
+    what groups or orders them by that and others needs no further shuffle.
+    """
+    order = [c for c in ("row",) if c in ledger.columns]
+    dealt = ledger.select(*by, "exit_date", "pnl_dollars", "pnl_pct", *order).repartition(by[0])
+    day = dealt.groupBy(*by, "exit_date").agg(F.coalesce(summed("pnl_dollars", dealt.columns), F.lit(0.0)).alias("_pnl"), F.count("pnl_pct").alias("_trades"))
+    following = F.lead("exit_date").over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("exit_date")))
+    day = day.withColumn("_next", following)
+    idle = F.coalesce(weekdays_between(F.date_add("exit_date", 1), F.date_sub("_next", 1)), F.lit(0))
+    worked = F.col("exit_date").isNotNull() & is_weekday(F.col("exit_date"))
+    entry = lambda step, r, n, trades: F.struct(F.lit(step).alias("step"), r.alias("r"), n.cast("long").alias("n"), trades.alias("trades"))
+    both = F.array(entry(0, F.when(worked, F.col("_pnl") / base), F.when(worked, 1).otherwise(0), F.col("_trades")), entry(1, F.lit(0.0), idle, F.lit(0).cast("long")))
+    return day.select(*by, "exit_date", F.explode(both).alias("_x")).select(*by, "exit_date", "_x.*").where("step = 0 or n > 0")
+
+
 def winsorized(returns: DataFrame, by: Sequence[str], r: str = "r", low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Returns clipped to their own quantiles."""
     w = Window.partitionBy(*by)

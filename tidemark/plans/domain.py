@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.plans.panel import BARS, bars, read
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger: one trade for each line; setups are suppliers; a tenth is open (no exit)."""
-    t = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def trades(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """Ledger: one trade for each line; setups are suppliers; a tenth is open (no exit).
+
+    ``numbered`` adds ``row``, which rises in the order of the table's rows, for sums in that order.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    lines = lines.withColumn("row", F.monotonically_increasing_id()) if numbered else lines
+    t = lines.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     pct = (F.col("l_discount") - 0.05) * 4 + (0.04 - F.col("l_tax")) * 2
     capital = F.col("l_quantity") * 10
     is_open = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10 == 0
@@ -28,6 +33,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         capital.alias("capital"),
         F.round(F.round(pct, 6) * capital, 4).alias("pnl_dollars"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trade_id"),
+        *(["row"] if numbered else []),
     )
 
 

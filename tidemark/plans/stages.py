@@ -118,7 +118,7 @@ STAGE2 = f"""WITH f AS {_folds('setup_id, fold')}, n AS {_nav('setup_id, fold')}
 @query(STAGE2)
 def gauntlet_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second stage over each setup's years."""
-    return rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir)), 5)
+    return rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir, numbered=True)), 5)
 
 
 SINGLE = [
@@ -137,7 +137,7 @@ NEAR = f"SELECT * FROM (SELECT *, max(trigger_date) OVER (PARTITION BY setup_id)
     {_judged(SINGLE, 2)} FROM h""")
 def gauntlet_single_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second stage over each setup's whole ledger, with recent and trade metrics."""
-    return rounded(gauntlet.single_fold_profit(trades(spark, sf_dir)), 5)
+    return rounded(gauntlet.single_fold_profit(trades(spark, sf_dir, numbered=True)), 5)
 
 
 # robustness and the decision; the regime of a trade is its ticker
@@ -169,7 +169,7 @@ ROBUST = f"""(WITH f AS {_folds('setup_id, fold')}, p AS (SELECT setup_id, media
 
 
 def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = gauntlet.fold_metrics(trades(spark, sf_dir), ["setup_id", "fold"])
+    paths = gauntlet.fold_metrics(trades(spark, sf_dir, numbered=True), ["setup_id", "fold"])
     g = gauntlet.path_metrics(paths, "setup_id", 60).join(gauntlet.regime_fragility(regime_rows(spark, sf_dir), "setup_id"), "setup_id")
     return g.withColumns({"full_score": gauntlet.composite_score(), "lite_score": gauntlet.composite_score(False)})
 

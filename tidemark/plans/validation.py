@@ -44,7 +44,7 @@ PURGED = f"""t AS (SELECT *, row_number() OVER () AS id FROM ({TRADES}) WHERE ex
 
 def purged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labelled trades and what each subset of blocks learns."""
-    t = trades(spark, sf_dir)
+    t = trades(spark, sf_dir, numbered=True)
     days = t.where("trigger_date is not null").select(F.col("trigger_date").alias("date")).distinct()
     rows = cpcv.labelled(t, cpcv.block_bounds(days, PLAN), PLAN)
     return rows, cpcv.learnt(rows, spark, PLAN)
@@ -160,7 +160,7 @@ def gauntlet_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     fourth = stage4(spark, sf_dir, third)
     n_failed = F.when(F.col("reason") == "ok", 0).otherwise(F.size(F.split("reason", ";")))
     a = stage1(spark, sf_dir).groupBy("setup_id").agg(F.max(~F.col("reason").contains("S1_DAILY_CAP")).alias("pass_stage1"), F.avg(1 - n_failed / 10).alias("score_1"))
-    b = rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir)), 5).select("setup_id", (F.col("wf_fold_min_return") >= -0.2).alias("pass_stage2"), F.col("wf_sharpe").alias("score_2"))
+    b = rounded(gauntlet.walk_forward_profit(trades(spark, sf_dir, numbered=True)), 5).select("setup_id", (F.col("wf_fold_min_return") >= -0.2).alias("pass_stage2"), F.col("wf_sharpe").alias("score_2"))
     c = third.select("setup_id", (n_failed < 4).alias("pass_stage3"), gauntlet.composite_score(False).alias("score_3"))
     d = fourth.select("setup_id", (n_failed < 2).alias("pass_stage4"), F.col("portfolio_score").alias("score_4"))
     s = a.join(b, "setup_id").join(c, "setup_id").join(d, "setup_id")
@@ -535,8 +535,8 @@ _RECORDS = f"""SELECT setup_id, ticker, {r('avg(pnl_pct)')} AS candidate_score,
 
 
 def selector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where(F.col("trigger_date") <= F.lit(END))
-    s, mean = F.col("setup_id"), F.avg("pnl_pct")
+    t = trades(spark, sf_dir, numbered=True).where(F.col("trigger_date") <= F.lit(END))
+    s, mean = F.col("setup_id"), ledger.summed("pnl_pct", t.columns) / F.count("pnl_pct")
     g = t.groupBy("setup_id", "ticker").agg(
         mean.alias("candidate_score"), (F.max("trigger_date") >= F.date_sub(F.lit(END), 7)).alias("triggered_any"), (F.count("*") < 40).alias("soft_flags_present"),
         F.when(F.min("pnl_pct") < -0.27, "fatal").when((mean > 0.005) & ~F.first("ticker").startswith("N"), "live").otherwise("idle").alias("status"),
