@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -54,9 +55,12 @@ def mixture_regimes(rows: DataFrame, features: Sequence[str], k: int, by_time: s
 
 
 def adversarial_auc(a: DataFrame, b: DataFrame, features: Sequence[str], trees: int = 50, depth: int = 5, folds: int = 3, seed: int = 42) -> tuple[float, dict[str, float]]:
-    """How well a forest tells two samples apart, out of fold, and which features it uses."""
+    """How well a forest tells two samples apart, out of fold, and which features it uses.
+
+    Each fit and score reads the rows several times: they are made once and kept, in memory or on the executors' disks, until the end.
+    """
     cols = list(features)
-    both = a.select(*cols, F.lit(0.0).alias("_y")).unionByName(b.select(*cols, F.lit(1.0).alias("_y")))
+    both = a.select(*cols, F.lit(0.0).alias("_y")).unionByName(b.select(*cols, F.lit(1.0).alias("_y"))).persist(StorageLevel.MEMORY_AND_DISK)
     full = Imputer(strategy="median", inputCols=cols, outputCols=[f"_{c}" for c in cols]).fit(both).transform(both)
     data = VectorAssembler(inputCols=[f"_{c}" for c in cols], outputCol="_x").transform(full)
     data = data.withColumn("_fold", F.pmod(F.xxhash64(*cols), F.lit(folds)))
@@ -67,6 +71,7 @@ def adversarial_auc(a: DataFrame, b: DataFrame, features: Sequence[str], trees:
         model = forest.fit(data.where(F.col("_fold") != k))
         scores.append(area.evaluate(model.transform(data.where(F.col("_fold") == k))))
     weights = forest.fit(data).featureImportances.toArray()
+    both.unpersist()
     return float(np.mean(scores)), dict(sorted(zip(cols, map(float, weights)), key=lambda x: -x[1]))
 
 
