@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.gauntlet import judged, sharpe_of, tail_mean
+from tidemark.operators.gauntlet import judged, sharpe_of, with_quantile
 from tidemark.operators.ledger import summed
 
 
@@ -97,13 +97,14 @@ def labelled(rows: DataFrame, bounds: Sequence[tuple[date, date]], plan: Plan, s
     known = rows.where("trigger_date is not null and exit_date is not null and pnl_pct is not null")
     known = known.withColumn("block", block_of(F.col("trigger_date"), bounds)).where("block is not null")
     own = F.greatest("trigger_date", "exit_date")
-    reach = [F.greatest(F.lit(b), F.max(F.when(F.col("block") == k, own))) for k, (_, b) in enumerate(bounds)]
-    reaches = known.groupBy(setup).agg(F.array(*(F.date_add(x, plan.embargo) for x in reach)).alias("_reach"))
+    w = Window.partitionBy(setup)  # deals the rows by setup; what follows needs no other shuffle
+    reach = [F.greatest(F.lit(b), F.max(F.when(F.col("block") == k, own)).over(w)) for k, (_, b) in enumerate(bounds)]
+    known = known.withColumn("_reach", F.array(*(F.date_add(x, plan.embargo) for x in reach)))
     near = F.lit(0).cast("long")
     for k, (first, _) in enumerate(bounds):
         meets = (F.col("trigger_date") <= F.col("_reach")[k]) & (own >= F.lit(first))
         near = near + F.when(meets, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    return known.join(reaches, setup).withColumn("near", near).drop("_reach")
+    return known.withColumn("near", near).drop("_reach")
 
 
 def learnt(rows: DataFrame, spark: SparkSession, plan: Plan, setup: str = "setup_id") -> DataFrame:
@@ -135,15 +136,21 @@ def path_returns(rows: DataFrame, fits: DataFrame, spark: SparkSession, plan: Pl
     days = rows.groupBy(setup, "block", "trigger_date").agg((summed("pnl_dollars", rows.columns) / base).alias("r"), F.count("*").alias("trades"))
     at = F.broadcast(spark.createDataFrame(plan.paths, "path int, block int, subset int"))
     sides = fits.select(setup, "subset", "direction").join(at, "subset").where("direction <> 0")
-    return days.join(sides, [setup, "block"]).select(setup, "path", "trigger_date", (F.col("r") * F.col("direction")).alias("r"), "trades")
+    # both are dealt by setup, so they meet by it alone: a setup's sides as one short list
+    sides = sides.groupBy(setup).agg(F.collect_list(F.struct("path", "block", "direction")).alias("_sides"))
+    met = days.join(sides, setup).withColumn("_side", F.explode(F.expr("filter(_sides, x -> x.block = block)")))
+    return met.select(setup, F.col("_side.path").alias("path"), "trigger_date", (F.col("r") * F.col("_side.direction")).alias("r"), "trades")
 
 
 def path_metrics(days: DataFrame, setup: str = "setup_id") -> DataFrame:
     """Of each setup and path: days, trades, return, Sharpe and deflated Sharpe ratio, mean of the lowest twentieth."""
     by = [setup, "path"]
-    g = days.groupBy(*by).agg(F.count("*").alias("n_obs"), F.sum("trades").alias("support"), F.sum("r").alias("total_r"), sharpe_of("r").alias("sharpe"))
+    g = with_quantile(days, by, "_q").groupBy(*by).agg(
+        F.count("*").alias("n_obs"), F.sum("trades").alias("support"), F.sum("r").alias("total_r"), sharpe_of("r").alias("sharpe"),
+        F.avg(F.when(F.col("r") <= F.col("_q"), F.col("r"))).alias("cvar5"),
+    )
     dsr = F.when(F.col("n_obs") > 1, F.greatest(F.lit(0.0), F.col("sharpe") - 1 / F.sqrt(F.col("n_obs") - 1))).otherwise(F.lit(0.0))
-    return g.withColumn("dsr", dsr).join(tail_mean(days, by, "cvar5"), by)
+    return g.withColumn("dsr", dsr)
 
 
 def overfitting(fits: DataFrame, top: float = 0.20, setup: str = "setup_id") -> DataFrame:

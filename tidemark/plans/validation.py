@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +88,10 @@ ROBUST_CPCV = f"""{PURGED},
 
 
 def cpcv_stage3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, fits = purged(spark, sf_dir)
+    rows = purged(spark, sf_dir)[0]
+    # fits, paths and regimes read these columns of one copy, not the ledger thrice
+    rows = rows.select("setup_id", "ticker", "trigger_date", "block", "near", "pnl_pct", "pnl_dollars", "row").persist(StorageLevel.MEMORY_AND_DISK)
+    fits = cpcv.learnt(rows, spark, PLAN)
     paths = cpcv.path_metrics(cpcv.path_returns(rows, fits, spark, PLAN))
     sd = F.stddev_samp("pnl_pct")
     reg = rows.groupBy("setup_id", "ticker").agg(F.count("*").alias("support"), F.when(sd > 1e-12, F.avg("pnl_pct") / sd).alias("sharpe"))
@@ -119,14 +123,14 @@ STAGE4 = f"""cap AS (SELECT setup_id, avg((ok_volume + ok_interest + ok_px_volum
 
 
 def stage4(spark: SparkSession, sf_dir: str, stage3: DataFrame) -> DataFrame:
-    t = trades(spark, sf_dir)
+    t = trades(spark, sf_dir).repartition("setup_id")  # medians of dealt rows: no lists of values are shuffled
     market = shares(spark, sf_dir).withColumn("capacity", gauntlet.capacity()).select("ticker", "capacity")
     d = ledger.daily_by_trigger(t, ["setup_id"])
     live = d.where("setup_id <= 3").withColumnRenamed("setup_id", "live_id")
     parts = (
-        t.join(market, "ticker").groupBy("setup_id").agg(F.avg("capacity").alias("capacity")),
+        t.join(F.broadcast(market), "ticker").groupBy("setup_id").agg(F.avg("capacity").alias("capacity")),
         gates.mean_abs_corr(d.where("setup_id > 3"), live, "setup_id", "live_id", "trigger_date", "r"),
-        gates.overlap(t, t.where("setup_id = 1")),
+        gates.overlap(t, trades(spark, sf_dir).where("setup_id = 1")),
     )
     rows = stage3.select("setup_id", F.col("median_dsr").alias("dsr"))
     for part in parts:
@@ -464,7 +468,7 @@ _PEOPLE = f"SELECT setup_id % {ISLANDS} AS island, setup_id || '|' || ticker AS
   FROM w CROSS JOIN (VALUES ('ring'), ('random'), ('all_to_all')) t(topology) LEFT JOIN f ON f.topology = t.topology AND f.target = w.island AND f.place = w.place""")
 def island_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each island's population after its five fittest have migrated, by each topology."""
-    p = people(spark, sf_dir)
+    p = people(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # a row for each setup and ticker, read by each topology
     moving = islands.migrants(p, 5)
     made = [islands.received(p, islands.sent(moving, ISLANDS, t, GENERATION, SEED)).withColumn("topology", F.lit(t)) for t in islands.TOPOLOGIES]
     return rounded(made[0].unionByName(made[1]).unionByName(made[2]))
