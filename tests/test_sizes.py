@@ -76,3 +76,31 @@ def test_folds_from_one_shuffle(spark):
     assert {r.setup_id: r.wf_cvar_5 for r in profit.collect()} == pytest.approx(whole)
     plan = profit._jdf.queryExecution().executedPlan().toString()
     assert plan[plan.find("Initial Plan") :].count("Exchange ") == 1
+
+
+def test_setups_paths_from_one_shuffle_a_side(spark):
+    """Purging and paths deal the rows by setup only: no join or group deals them again by path or block."""
+    from tidemark.operators import cpcv
+
+    plan = cpcv.Plan(6, 2, 5)
+    t = trades(spark)
+    rows = cpcv.labelled(t, cpcv.block_bounds(t.select(F.col("trigger_date").alias("date")).distinct(), plan), plan)
+    df = cpcv.path_metrics(cpcv.path_returns(rows, cpcv.learnt(rows, spark, plan), spark, plan))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in text.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and all("hashpartitioning(setup_id#" in x and "path#" not in x and "block#" not in x for x in dealt)
+
+
+def test_drift_reads_its_samples_once(spark):
+    from tidemark.operators import models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(400).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("z"))
+    models.adversarial_auc(df.mapInArrow(count, "a double, z double"), df.withColumn("a", F.col("a") + 3), ["a", "z"], 3, 2, 2)
+    assert seen.value == 400

@@ -96,8 +96,9 @@ def labelled(rows: DataFrame, bounds: Sequence[tuple[date, date]], plan: Plan, s
     """Rows with a label, their ``block`` and the mask ``near`` of the blocks beside which they are purged."""
     known = rows.where("trigger_date is not null and exit_date is not null and pnl_pct is not null")
     known = known.withColumn("block", block_of(F.col("trigger_date"), bounds)).where("block is not null")
+    known = known.repartition(setup)  # what follows needs no other shuffle, even where ``near`` and its window aren't read
     own = F.greatest("trigger_date", "exit_date")
-    w = Window.partitionBy(setup)  # deals the rows by setup; what follows needs no other shuffle
+    w = Window.partitionBy(setup)
     reach = [F.greatest(F.lit(b), F.max(F.when(F.col("block") == k, own)).over(w)) for k, (_, b) in enumerate(bounds)]
     known = known.withColumn("_reach", F.array(*(F.date_add(x, plan.embargo) for x in reach)))
     near = F.lit(0).cast("long")
